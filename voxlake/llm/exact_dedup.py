@@ -24,19 +24,22 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def _key(norm: Column, digest: Column, ident: Column) -> Column:
+def _head(text: Column) -> Column:
+    return normalised(F.substring(text, 1, HEAD))
+
+
+def _key(head: Column, digest: Column, ident: Column) -> Column:
     """A string that sorts by content first and then by identifier."""
-    number = F.lpad(F.hex(ident.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
-    return F.concat(F.substring(norm, 1, HEAD), F.lit("\x01"), digest, F.coalesce(number, F.lit("")))
+    return F.concat(head, F.lit("\x01"), digest, F.coalesce(ident.cast("string"), F.lit("")))
 
 
-def _splitters(keyed: DataFrame, ranges: int) -> list[str]:
+def _splitters(rows: DataFrame, ranges: int) -> list[str]:
     """At most ranges - 1 evenly spaced keys out of a hash sample of about ranges * SAMPLES keys."""
-    total = keyed.count()
-    every = max(1, total // (ranges * SAMPLES))
-    sample = keyed.where(F.pmod(F.xxhash64("__id", "__len"), F.lit(every)) == 0) if every > 1 else keyed
-    keys = sorted(r[0] for r in sample.select("__key").limit(ranges * SAMPLES * 4).collect())
-    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+    every = max(1, rows.count() // (ranges * SAMPLES))
+    sample = rows.where(F.pmod(F.xxhash64("__id", F.octet_length("__text")), F.lit(every)) == 0) if every > 1 else rows
+    keys = sample.limit(ranges * SAMPLES * 4).select(_key(_head(F.col("__text")), F.sha2(normalised(F.col("__text")), 256), F.col("__id")).alias("k"))
+    keys = sorted((r.k for r in keys.collect()), key=lambda k: k.encode("utf-8", "surrogatepass"))
+    return list(dict.fromkeys(keys[len(keys) * i // ranges] for i in range(1, ranges))) if keys else []
 
 
 def _range_of(key: Column, splitters: list[str]) -> Column:
@@ -63,26 +66,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     best = {"min": F.min, "max": F.max}[keep]
     taken = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS and not c.startswith("__")]
-    ident, norm = F.col(f"`{id_col}`"), normalised(F.col(f"`{text_col}`"))
-    digest = F.sha2(norm, 256)
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES
-    splitters = _splitters(docs.select(ident.alias("__id"), F.length(norm).alias("__len"), _key(norm, digest, ident).alias("__key")), ranges)
-    rows = docs.select(*taken, ident.alias("__id"), digest.alias("text_sha256")).withColumn("__range", _range_of(_key(norm, F.col("text_sha256"), ident), splitters))
+    splitters = _splitters(docs.select(ident.alias("__id"), text.alias("__text")), ranges)
+    rows = docs.select(*taken, ident.alias("__id"), _head(text).alias("__head"), F.sha2(normalised(text), 256).alias("text_sha256"))
+    # the key is a column of its own, so that it isn't worked out anew for each splitter
+    ranged = rows.withColumn("__key", _key(F.col("__head"), F.col("text_sha256"), ident)).withColumn("__range", _range_of(F.col("__key"), splitters)).drop("__key")
 
     order = F.col("__id").asc_nulls_last() if keep == "min" else F.col("__id").desc_nulls_last()
-    sorted_range = W.partitionBy("__range").orderBy("__norm", order)
-    first = F.coalesce(F.lag("__norm").over(sorted_range) != F.col("__norm"), F.lit(True))
+    sorted_range = W.partitionBy("__range").orderBy("__head", "text_sha256", order)
+    # texts are compared in full wherever the digests of neighbours agree
+    equal = F.when(F.lag("text_sha256").over(sorted_range) == F.col("text_sha256"), normalised(F.lag(text).over(sorted_range)) == normalised(text))
     own = W.partitionBy("__range", "__run")
     runs = (
-        rows.repartition("__range")
-        .withColumn("__norm", norm)
-        .withColumn("__run", first)
+        ranged.repartition("__range")
+        .withColumn("__run", ~F.coalesce(equal, F.lit(False)))
         .withColumn("__run", F.sum(F.col("__run").cast("int")).over(sorted_range.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("__best", best("__id").over(own))
         .withColumn("__n", F.count("*").over(own))
         .withColumn("__nth", F.row_number().over(own.orderBy(order)))
     )
-    whole = runs.join(F.broadcast(_cut_groups(rows, splitters, best)), "text_sha256", "left")
+    whole = runs.join(F.broadcast(_cut_groups(ranged, splitters, best)), "text_sha256", "left")
     keep_id = F.when(F.col("__all").isNull(), F.col("__best")).otherwise(F.col("__top"))
     stays = F.col("__id").eqNullSafe(keep_id) & (F.col("__nth") == 1) & (F.col("__at").isNull() | (F.col("__at") == F.col("__range")))
     return whole.select(*taken, keep_id.alias("keep_id"), F.coalesce("__all", "__n").cast("long").alias("group_size"), stays.alias("kept"), "text_sha256")
@@ -94,8 +98,9 @@ def _cut_groups(rows: DataFrame, splitters: list[str], best) -> DataFrame:
     Only a text whose digest stands in a splitter lies on both sides of it, so
     there are fewer groups here than ranges: a broadcast of bounded size.
     """
-    cut = sorted({s.rpartition("\x01")[2][:64] for s in splitters})
-    found = rows.where(F.col("text_sha256").isin(cut) if cut else F.lit(False)).groupBy("text_sha256", "__range").agg(best("__id").alias("__id"), F.count("*").alias("__n"))
+    cut = sorted({(head, rest[:64]) for head, _, rest in (s.rpartition("\x01") for s in splitters)})
+    here = F.col("__head").isin([c[0] for c in cut]) & F.col("text_sha256").isin([c[1] for c in cut]) if cut else F.lit(False)
+    found = rows.where(here).groupBy("text_sha256", "__range").agg(best("__id").alias("__id"), F.count("*").alias("__n"))
     pick = F.min_by if best is F.min else F.max_by
     known = F.col("__id").isNull() if best is F.min else F.col("__id").isNotNull()
     return found.groupBy("text_sha256").agg(F.sum("__n").alias("__all"), best("__id").alias("__top"), pick("__range", F.struct(known, "__id")).alias("__at"))
