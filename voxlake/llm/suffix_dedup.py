@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .storage import materialize, release
 from .suffix_array import permuted_lcp, suffix_array
@@ -33,6 +33,8 @@ from .suffix_array import permuted_lcp, suffix_array
 GRAM = 32
 #: Bytes of text sorted at once, and contexts of one hash in a shard.
 SHARD_BYTES, SHARD_CONTEXTS = 1_500_000, 2048
+#: Parts that the distinct windows of a split hash are dealt to; more for more than 64 shards.
+PARTS = np.uint64(1024)
 #: Positions in a block of the anchor search.
 BLOCK = 1 << 17
 
@@ -111,11 +113,14 @@ def _contexts_of(batch: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]
     view = memoryview(joined)
     for h, first, n in contexts(np.frombuffer(joined, np.uint8), ends, length):
         owner = np.searchsorted(ends, first, side="right")
-        digest = [xxhash.xxh3_64_intdigest(view[a : a + k + length - 1]) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
-        rows = pa.array(owner)
+        digest = np.array([xxhash.xxh3_64_intdigest(view[a : a + k + length - 1]) for a, k in zip(first.tolist(), n.tolist(), strict=True)], np.uint64).view(np.int64)
+        # in periodic text one context follows itself; such a run is one row
+        same = (h[1:] == h[:-1]) & (digest[1:] == digest[:-1]) & (owner[1:] == owner[:-1]) & (first[1:] == first[:-1] + n[:-1]) & (n[1:] == n[:-1])
+        heads = np.flatnonzero(np.r_[True, ~same])
+        rows = pa.array(owner[heads])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h), pa.array(np.array(digest, np.uint64).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((first - begins[owner]).astype(np.int64)), pa.array(n.astype(np.int32))],
-            names=["h", "g", "id", "td", "s", "n"],
+            [pa.array(h[heads]), pa.array(digest[heads]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((first - begins[owner])[heads].astype(np.int64)), pa.array(n[heads].astype(np.int32)), pa.array(np.diff(np.r_[heads, len(h)]).astype(np.int64))],
+            names=["h", "g", "id", "td", "s", "n", "r"],
         )
 
 
@@ -196,21 +201,54 @@ def _sorted(batches: list[pa.RecordBatch], length: int) -> pa.RecordBatch:
     tails = np.r_[heads[1:], len(take)] - 1
     found = (owner[take[heads]], start[take[heads]], start[take[tails]]) if len(take) else (np.zeros(0, int),) * 3
 
-    split = np.flatnonzero((column["shards"].to_numpy() > 1)[owner] & ~again[place])
+    # a row of runs, or the distinct windows of a split hash that fall to one part
+    shards = column["shards"].to_numpy()
+    split = np.flatnonzero((shards > 1)[owner] & ~again[place])
     body8 = memoryview(b"\x00".join(cut))
-    digests = [xxhash.xxh3_128_digest(body8[p : p + length]) for p in place[split].tolist()]
-    who = pa.array(np.r_[found[0], owner[split]].astype(np.int64))
-    return pa.RecordBatch.from_arrays(
-        [
-            column["id"].take(who),
-            column["td"].take(who),
-            pa.array(np.r_[found[1], start[split]].astype(np.int64)),
-            pa.array(np.r_[found[2], start[split]].astype(np.int64)),
-            pa.array([None] * len(found[0]) + digests, pa.binary()),
-            pa.array(np.r_[np.ones(len(found[0]), bool), (hit | ~once)[split]]),
-        ],
-        names=["id", "td", "a", "b", "digest", "settled"],
-    )
+    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(body8[p : p + length]) for p in place[split].tolist()), np.uint64).reshape(-1, 2)
+    parts = PARTS * np.maximum(1, shards[owner[split]].astype(np.uint64) // np.uint64(64))
+    part = ((digests[:, 0] % parts) ^ column["h"].to_numpy().view(np.uint64)[owner[split]]).view(np.int64)
+    order = np.argsort(part, kind="stable")
+    heads = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+    who = pa.array(np.r_[found[0], owner[split][order]].astype(np.int64))
+    ends = pa.array(np.r_[[0] * min(1, len(found[0])), len(found[0]) + heads, len(who)].astype(np.int32))
+    fields = {
+        "id": column["id"].take(who),
+        "td": column["td"].take(who),
+        "a": pa.array(np.r_[found[1], start[split][order]].astype(np.int64)),
+        "b": pa.array(np.r_[found[2], start[split][order]].astype(np.int64)),
+        "x": pa.array(np.r_[np.zeros(len(found[0]), np.int64), digests[order, 0].view(np.int64)]),
+        "y": pa.array(np.r_[np.zeros(len(found[0]), np.int64), digests[order, 1].view(np.int64)]),
+        "settled": pa.array(np.r_[np.ones(len(found[0]), bool), (hit | ~once)[split][order]]),
+    }
+    names = pa.array([None] * min(1, len(found[0])) + part[order][heads].tolist(), pa.int64())
+    lists = {k: pa.ListArray.from_arrays(ends, v) for k, v in fields.items()}
+    return pa.RecordBatch.from_arrays([names, *lists.values()], names=["part", *lists])
+
+
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part in; windows whose digest two shards have and that their own left open, out."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1)
+            if held and held[-1].column(0)[0].as_py() != row.column(0)[0].as_py():
+                yield _agreed(held)
+                held = []
+            held.append(row)
+    if held:
+        yield _agreed(held)
+
+
+def _agreed(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    column = {k: pa.concat_arrays([r.column(k).flatten() for r in rows]) for k in rows[0].schema.names[1:]}
+    x, y = column["x"].to_numpy(), column["y"].to_numpy()
+    order = np.lexsort((y, x))
+    same = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])
+    found = np.zeros(len(x), bool)
+    found[order] = np.r_[same, False] | np.r_[False, same]
+    take = pa.array(np.flatnonzero(found & ~np.asarray(column["settled"])))
+    return pa.RecordBatch.from_arrays([column[k].take(take) for k in ("id", "td", "a", "b")], names=["id", "td", "a", "b"])
 
 
 def _remove(length: int, with_text: bool):
@@ -260,24 +298,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(ident.alias("id"), F.xxhash64(text).alias("td"), text.alias("text"), *[F.col(f"`{c}`").alias(f"__{c}") for c in kept])
     id_type = base.schema["id"].dataType.simpleString()
 
-    every = materialize(base.where(F.length("text") >= length).select("id", "td", "text").mapInArrow(_find_contexts(length), f"h long, g long, id {id_type}, td long, s long, n int"), "anchors")
-    hashes = every.groupBy(F.col("h").alias("__h")).agg(F.count("*").alias("c")).where("c > 1").select("__h")
+    every = materialize(base.where(F.length("text") >= length).select("id", "td", "text").mapInArrow(_find_contexts(length), f"h long, g long, id {id_type}, td long, s long, n int, r long"), "anchors")
+    # these tables stand alone, so that a join may split what a frequent hash gathers
+    hashes = materialize(every.groupBy(F.col("h").alias("__h")).agg(F.sum("r").alias("c")).where("c > 1").select("__h"), "hashes")
     shared = materialize(every.join(hashes, F.col("h") == F.col("__h")).drop("__h"), "shared")
     release(every)
 
-    counted = materialize(shared.groupBy("h", "g").agg(F.count("*").alias("w"), F.min(F.struct("id", "td", "s", "n")).alias("at")), "contexts")
-    settled = shared.join(counted.where("w > 1").select(F.col("h").alias("__h"), F.col("g").alias("__g")), (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g"))).select("id", "td", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1).alias("b"))
+    counted = materialize(shared.groupBy("h", "g").agg(F.sum("r").alias("w"), F.min(F.struct("id", "td", "s", "n")).alias("at")), "contexts")
+    settled = shared.join(counted.where("w > 1").select(F.col("h").alias("__h"), F.col("g").alias("__g")), (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g"))).select("id", "td", F.col("s").alias("a"), (F.col("s") + F.col("n") * F.col("r") - 1).alias("b"))
 
-    mixed = counted.groupBy(F.col("h").alias("__h")).agg(F.count("*").alias("k"), F.min("w").alias("least")).where("k > 1 and least = 1")
+    mixed = materialize(counted.groupBy(F.col("h").alias("__h")).agg(F.count("*").alias("k"), F.min("w").alias("least")).where("k > 1 and least = 1"), "mixed")
     asked = counted.join(mixed, F.col("h") == F.col("__h")).withColumn("shards", F.ceil(F.col("k") / SHARD_CONTEXTS).cast("int"))
     asked = asked.select("at.id", "at.td", F.struct("h", F.pmod("g", "shards").cast("int").alias("shard"), "shards", "w", "at.s", "at.n").alias("x"))
     asked = asked.groupBy(F.col("id").alias("__id"), F.col("td").alias("__td")).agg(F.collect_list("x").alias("asked"))
     cut = base.select("id", "td", "text").join(asked, F.col("id").eqNullSafe(F.col("__id")) & (F.col("td") == F.col("__td"))).select("id", "td", "text", "asked")
     cut = cut.mapInArrow(_cut(length), f"h long, shard int, shards int, w long, id {id_type}, td long, s long, n int, c binary")
-    found = materialize(cut.repartition("h", "shard").sortWithinPartitions("h", "shard").mapInArrow(_sort_shards(length), f"id {id_type}, td long, a long, b long, digest binary, settled boolean"), "windows")
-    agreed = F.count("*").over(W.partitionBy("digest"))
-    across = found.where("digest is not null").withColumn("c", agreed).where("c > 1 and not settled")
-    spans = settled.union(found.where("digest is null").select("id", "td", "a", "b")).union(across.select("id", "td", "a", "b"))
+    windows = f"part long, id array<{id_type}>, td array<long>, a array<long>, b array<long>, x array<long>, y array<long>, settled array<boolean>"
+    found = materialize(cut.repartition("h", "shard").sortWithinPartitions("h", "shard").mapInArrow(_sort_shards(length), windows), "windows")
+    inside = found.where("part is null").select(F.inline(F.arrays_zip("id", "td", "a", "b")))
+    across = found.where("part is not null").repartition("part").sortWithinPartitions("part").mapInArrow(_agree, f"id {id_type}, td long, a long, b long")
+    spans = settled.union(inside).union(across)
 
     spans = spans.groupBy(F.col("id").alias("__id"), F.col("td").alias("__td")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     rows = base.join(spans, F.col("id").eqNullSafe(F.col("__id")) & (F.col("td") == F.col("__td")), "left").select("id", "td", "text", "spans", *[F.col(f"`__{c}`").alias(c) for c in kept])
