@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, mixing, suffix_dedup, token_counts
+from ..session import prepare
+from . import bpe, embed_dedup, exact_dedup, mixing, pii, quality, simhash, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
@@ -39,6 +40,64 @@ SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM k
 """
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    counts = [pii.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
+def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embed_dedup.link_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+#: The made-up fetch day of a page: the tables have none.
+FETCHED = "date_add(date'2024-01-01', cast(page_id % 366 as int))"
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_captures(pages, url_filter.entries(spark), fetched=F.expr(FETCHED)).withColumn("fetched", F.col("fetched").cast("string"))
+
+
+OP5_SQL = (
+    r"""
+WITH e(kind, pattern, category, day, active) AS (VALUES
+"""
+    + ",\n".join(f"  ('{k}', '{p}', '{c}', DATE '{d}', {a})" for k, p, c, d, a in url_filter.ENTRIES)
+    + r"""
+), i AS (
+  SELECT kind, pattern, category, day AS since, active, lead(day) OVER (PARTITION BY kind, pattern, category ORDER BY day) AS until FROM e
+), p AS (
+  SELECT page_id, url, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', '') AS host,
+         lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path,
+         (DATE '2024-01-01' + (page_id % 366)::INT) AS fetched
+  FROM pages
+), h AS (
+  SELECT p.page_id, i.category FROM p JOIN i ON i.active AND i.since <= p.fetched AND (i.until IS NULL OR p.fetched < i.until) AND (
+    (i.kind = 'host' AND (p.host = i.pattern OR ends_with(p.host, '.' || i.pattern)))
+    OR (i.kind = 'prefix' AND p.host || '/' || regexp_extract(p.path, '^/([^/]*)', 1) = i.pattern)
+    OR (i.kind = 'word' AND list_contains(string_split_regex(p.path, '[^a-z0-9]+'), i.pattern)))
+), g AS (
+  SELECT page_id, count(*) AS n_hits, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM h GROUP BY page_id
+)
+SELECT p.page_id, p.url, p.host, p.fetched::VARCHAR AS fetched, coalesce(g.n_hits, 0)::BIGINT AS n_hits, coalesce(g.categories, '') AS categories, g.n_hits IS NOT NULL AS blocked
+FROM p LEFT JOIN g USING (page_id)
+"""
+)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.bpe_round_trip(docs, *tokenizer(), ids=False)
@@ -91,6 +150,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op7_byte_bpe, op8_mix_sources, op9_token_counts, op10_suffix_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_pii, op3_simhash, op4_embedding_links, op5_url_filter, op6_quality, op7_byte_bpe, op8_mix_sources, op9_token_counts, op10_suffix_dedup)
+}
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op8_mix_sources": OP8_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL, "op8_mix_sources": OP8_SQL}
