@@ -76,3 +76,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     left = whole - epochs * F.col("source_size")
     once_more = F.greatest(F.lit(0), F.least(F.col("size"), left - first))
     return placed.select(*taken, "size", "source_size", "target", (epochs * F.col("size") + once_more).cast("long").alias("taken"))
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    pieces = F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ")
+    start = F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        words = acc["words"] + (piece != "").cast("long")
+        at = acc["at"] + F.length(piece)
+        return F.struct(words.alias("words"), (at + 1).alias("at"), F.when((piece != "") & (words <= n), at).otherwise(acc["end"]).alias("end"))
+
+    return F.substring(text, F.lit(1), F.aggregate(pieces, start, step, lambda acc: acc["end"]))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as ``mix`` takes them, with their columns.
+
+    A document that a budget cuts comes last with its first words only; a
+    column n_chars is set to what is left of such a text.  Documents without
+    words are never taken.
+    """
+    found = mix(docs, id_col, text_col, source_col, **how).where("taken > 0").withColumn("__times", F.ceil(F.col("taken") / F.col("size")))
+    rows = found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+    rest = F.col("taken") - (F.col("__copy") - 1) * F.col("size")
+    part = rest < F.col("size")
+    text = F.when(part, _first_words(F.col(f"`{text_col}`"), rest)).otherwise(F.col(f"`{text_col}`"))
+    out = []
+    for c in docs.columns:
+        if c == text_col:
+            out.append(text.alias(c))
+        elif c == "n_chars":
+            out.append(F.when(part, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema[c].dataType).alias(c))
+        else:
+            out.append(F.col(f"`{c}`"))
+    return rows.select(*out)

@@ -200,9 +200,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t.as_py()) for t in batch.column(len(kept))]).reshape(batch.num_rows, len(FEATURES))
+            x = np.array([features(t.as_py()) for t in batch.column(at)]).reshape(batch.num_rows, len(FEATURES))
             p = model.scores(x)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), batch.column(len(kept) + 1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*kept, *added])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), batch.column(len(kept)), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*kept, *added])
 
-    rows = docs.select(*[f"`{c}`" for c in kept], F.col(f"`{text_col}`").alias("__text"), held_out(F.col(f"`{id_col}`")).alias("__out"))
+    rows = docs.select(*[f"`{c}`" for c in kept], held_out(F.col(f"`{id_col}`")).alias("__out"), *([] if keep_text else [F.col(f"`{text_col}`").alias("__text")]))
+    at = kept.index(text_col) if keep_text else len(kept) + 1
     return rows.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, with their columns."""
+    return score(docs, model, id_col, text_col, keep_text=True).where("predicted = 1").select(*[f"`{c}`" for c in docs.columns])
