@@ -92,6 +92,8 @@ def new_header(dims, datatype: int = 16, voxel_size=(1.0, 1.0, 1.0), origin=(0,
     sizes = [float(v) for v in voxel_size]
     header: dict = {"byte_order": "little", "hk": {"sizeof_hdr": SIZE, "regular": "r"}, "dime": {}, "hist": {"descrip": description, "magic": "" if analyze else "n+1", "originator": [*(int(o) for o in origin), 0, 0]}}
     header["dime"] = {"dim": [len(dims), *dims, *[1] * (7 - len(dims))], "datatype": datatype, "bitpix": TYPES[datatype][0], "pixdim": [1.0, *sizes, 1.0, 1.0, 1.0, 1.0], "vox_offset": 0.0 if analyze else 352.0, "glmax": int(limits[1]), "glmin": int(limits[0])}
+    for block, name, code in LAYOUT:
+        header[block].setdefault(name, "" if code[-1] == "s" else [0] * int(code[:-1]) if len(code) > 1 else 0)
     if not analyze:
         rows = np.diag([*sizes, 1.0])
         if any(origin):

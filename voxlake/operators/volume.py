@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..model import AXES
+from .resample import half_away
 
 SIDES = {"L": ("x", 0), "R": ("x", 1), "P": ("y", 0), "A": ("y", 1), "I": ("z", 0), "S": ("z", 1)}
 
@@ -42,7 +43,7 @@ def _per_side(counts: Mapping[str, float], dims: Sequence[int], origin: Sequence
     out = {a: [0, 0] for a in AXES}
     for side, count in counts.items():
         axis, end = SIDES[side]
-        k, n = AXES.index(axis), int(count + 0.5)
+        k, n = AXES.index(axis), int(half_away(count))
         if n < 0 or (n > dims[k] - origin[k] if end else n >= origin[k]):
             raise ValueError(f"{doing} {count} at {side} is negative or reaches beyond the origin")
         out[axis][end] = n

@@ -310,9 +310,9 @@ def _grid_sql(grid: R.Grid, bg: str) -> str:
 _ENDS_SQL = "(max(CASE WHEN x + y + z = 0 THEN v END) + max(CASE WHEN x + y + z = 9 THEN v END)) / 2"
 
 
-def _nearest_sql(grid: R.Grid, bg: str) -> str:
+def _nearest_sql(grid: R.Grid, bg: str, value: str = rs("coalesce(v.v, g.bg)")) -> str:
     same = " AND ".join(f"v.{a} = round(g.p{a})::INT - 1" for a in "xyz")
-    return f"WITH {VOLUMES_SQL}, {_grid_sql(grid, bg)} SELECT g.image_id, g.x, g.y, g.z, {rs('coalesce(v.v, g.bg)')} AS v FROM g LEFT JOIN volumes v ON v.image_id = g.image_id AND {same}"
+    return f"WITH {VOLUMES_SQL}, {_grid_sql(grid, bg)} SELECT g.image_id, g.x, g.y, g.z, {value} AS v FROM g LEFT JOIN volumes v ON v.image_id = g.image_id AND {same}"
 
 
 def _trilinear_sql(grid: R.Grid, bg: str) -> str:
@@ -361,10 +361,10 @@ def resample_along_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(R.along_lines(volumes(spark, sf_dir), _GRID, CUBE))
 
 
-@query(_nearest_sql(R.output_grid(CUBE, _TURN, (0.8, 0.8, 0.8)), _ENDS_SQL))
+@query(_nearest_sql(R.output_grid(CUBE, _TURN, (0.8, 0.8, 0.8)), _ENDS_SQL, rs("coalesce(v.v, g.bg)::FLOAT::DOUBLE", 5)))
 def reslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = R.reslice(volumes(spark, sf_dir), CUBE, _TURN, (1.0, 0.8, 1.5), method=2)
-    return _long(out.withColumn("v", F.col("v").cast("double")))
+    return out.select("image_id", "x", "y", "z", r(F.col("v").cast("double"), 5).alias("v"))
 
 
 @query(_volume_sql(f"x, y, z, {rs('((0.25::DOUBLE * v + 3)::FLOAT)::DOUBLE', 5)} AS v"))
