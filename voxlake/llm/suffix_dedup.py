@@ -295,7 +295,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     results = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"}
     kept = [c for c in docs.columns if c.lower() not in results and c != text_col and not c.startswith("__")]
     ident, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
-    base = docs.select(ident.alias("id"), F.xxhash64(text).alias("td"), text.alias("text"), *[F.col(f"`{c}`").alias(f"__{c}") for c in kept])
+    base = docs.select(ident.alias("id"), F.xxhash64(text).alias("td"), text.alias("text"), *[F.col(f"`{c}`").alias(f"__k_{c}") for c in kept])
     id_type = base.schema["id"].dataType.simpleString()
 
     every = materialize(base.where(F.length("text") >= length).select("id", "td", "text").mapInArrow(_find_contexts(length), f"h long, g long, id {id_type}, td long, s long, n int, r long"), "anchors")
@@ -320,6 +320,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = settled.union(inside).union(across)
 
     spans = spans.groupBy(F.col("id").alias("__id"), F.col("td").alias("__td")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    rows = base.join(spans, F.col("id").eqNullSafe(F.col("__id")) & (F.col("td") == F.col("__td")), "left").select("id", "td", "text", "spans", *[F.col(f"`__{c}`").alias(c) for c in kept])
+    rows = base.join(spans, F.col("id").eqNullSafe(F.col("__id")) & (F.col("td") == F.col("__td")), "left")
+    rows = rows.select(*[F.col(c).alias(f"__{c}__") for c in ("id", "td", "text", "spans")], *[F.col(f"`__k_{c}`").alias(c) for c in kept])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept_bytes binary"] * with_text)
     return rows.mapInArrow(_remove(length, with_text), schema)
