@@ -14,7 +14,7 @@ def zero_padded(n: Column, width: int = 2) -> Column:
 
 def fixed_decimal(v: Column, digits: int) -> Column:
     """A number with so many decimals, rounded as C's %f does: by its exact value, half to even."""
-    return F.call_function("format_number", v.cast("double"), F.lit("0." + "0" * digits))
+    return F.call_function("format_number", v.cast("double"), F.lit("0." + "0" * digits if digits else "0"))
 
 
 def short_decimal(v: Column) -> Column:
@@ -22,13 +22,13 @@ def short_decimal(v: Column) -> Column:
 
     Numbers below 1e-4 or from 1e6 on get an exponent of two digits at least.
     """
-    text = F.format_string("%.5e", v.cast("double"))
-    mantissa, exponent = F.substring_index(text, "e", 1), F.substring_index(text, "e", -1).cast("int")
+    text = F.call_function("format_number", v.cast("double"), F.lit("0.00000E0"))
+    mantissa, exponent = F.substring_index(text, "E", 1), F.substring_index(text, "E", -1).cast("int")
     tidy = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     plain = F.lit(None).cast("string")
     for e in range(-4, 6):
-        plain = F.when(exponent == e, F.format_string(f"%.{5 - e}f", v.cast("double"))).otherwise(plain)
-    power = F.concat(tidy(mantissa), F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+        plain = F.when(exponent == e, fixed_decimal(v, 5 - e)).otherwise(plain)
+    power = F.concat(tidy(mantissa), F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.format_string("%02d", F.abs(exponent)))
     return F.when(F.isnan(v), "nan").when(F.abs(v) == float("inf"), F.when(v > 0, "inf").otherwise("-inf")).when(v == 0, "0").otherwise(F.coalesce(tidy(plain), power))
 
 

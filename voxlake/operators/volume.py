@@ -188,7 +188,7 @@ def concatenate(parts: Sequence[tuple[DataFrame, int]], axis: str = "t") -> Data
 def frames_by_name(df: DataFrame, name: str = "path", t: str = "t") -> DataFrame:
     """Single volumes numbered in the order of their file names.  Only the names are sorted together."""
     order = df.select(name).distinct().select(name, (F.row_number().over(W.orderBy(name)) - 1).cast("int").alias(t))
-    return df.drop(t).join(F.broadcast(order), name)
+    return df.drop(t).join(order, name)
 
 
 def replace_slices(df: DataFrame, patch: DataFrame, by: Sequence[str] = ("image_id",), on: Sequence[str] = ("t", "z")) -> DataFrame:

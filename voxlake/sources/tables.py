@@ -15,7 +15,7 @@ def read_motion(spark: SparkSession, path: str, rotations_first: bool = True) ->
     an error.
     """
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("path"), F.posexplode(lines).alias("t", "line"))
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(lines).alias("t", "line"))
     cells = F.split(F.trim("line"), r"\s+")
     checked = F.when(F.size(cells) == 6, cells).otherwise(F.raise_error(F.lit("a motion file has six columns")).cast("array<string>"))
     names = CHANNELS if rotations_first else CHANNELS[3:] + CHANNELS[:3]
@@ -25,7 +25,7 @@ def read_motion(spark: SparkSession, path: str, rotations_first: bool = True) ->
 
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
     """(path, slice_timing array<double>) of JSON sidecars; without a list of numbers under SliceTiming an error."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("path"), "value")
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     found = F.get_json_object("value", "$.SliceTiming")
     fail = lambda text: F.raise_error(F.lit(text)).cast("array<double>")
     # true and false count as 1 and 0
@@ -41,12 +41,12 @@ def timing_lines(sidecars: DataFrame) -> DataFrame:
 
 def read_params(spark: SparkSession, path: str) -> DataFrame:
     """(path, params map<string, string>) of key=value files."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("path"), params(F.col("value")).alias("params"))
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"), params(F.col("value")).alias("params"))
 
 
 def read_template(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, line) of one text file, lines in order."""
-    return spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
 
 
 def read_labels_csv(spark: SparkSession, path: str) -> DataFrame:
