@@ -167,7 +167,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = distinct.select("fp").mapInArrow(_keys, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long")
     roots = connected_components(links)
     groups = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    groups = groups.join(groups.groupBy(F.col("root").alias("__root")).agg(F.min("least").alias("best")), F.col("root") == F.col("__root")).select(F.col("fp").alias("__fp"), "best")
+    # a table of its own, so that the join may split what a large component gathers
+    best = materialize(groups.groupBy(F.col("root").alias("__root")).agg(F.min("least").alias("best")), "components")
+    groups = groups.join(best, F.col("root") == F.col("__root")).select(F.col("fp").alias("__fp"), "best")
     found = prints.join(groups, F.col("fp") == F.col("__fp"))
     return found.select(
         F.col("id").alias(id_col), F.col("td").alias("__td"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

@@ -303,6 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hashes = materialize(every.groupBy(F.col("h").alias("__h")).agg(F.sum("r").alias("c")).where("c > 1").select("__h"), "hashes")
     shared = materialize(every.join(hashes, F.col("h") == F.col("__h")).drop("__h"), "shared")
     release(every)
+    release(hashes)
 
     counted = materialize(shared.groupBy("h", "g").agg(F.sum("r").alias("w"), F.min(F.struct("id", "td", "s", "n")).alias("at")), "contexts")
     settled = shared.join(counted.where("w > 1").select(F.col("h").alias("__h"), F.col("g").alias("__g")), (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g"))).select("id", "td", F.col("s").alias("a"), (F.col("s") + F.col("n") * F.col("r") - 1).alias("b"))
@@ -315,6 +316,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = cut.mapInArrow(_cut(length), f"h long, shard int, shards int, w long, id {id_type}, td long, s long, n int, c binary")
     windows = f"part long, id array<{id_type}>, td array<long>, a array<long>, b array<long>, x array<long>, y array<long>, settled array<boolean>"
     found = materialize(cut.repartition("h", "shard").sortWithinPartitions("h", "shard").mapInArrow(_sort_shards(length), windows), "windows")
+    release(mixed)
     inside = found.where("part is null").select(F.inline(F.arrays_zip("id", "td", "a", "b")))
     across = found.where("part is not null").repartition("part").sortWithinPartitions("part").mapInArrow(_agree, f"id {id_type}, td long, a long, b long")
     spans = settled.union(inside).union(across)
