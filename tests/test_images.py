@@ -182,6 +182,36 @@ def test_to_ras_moves_voxels(spark):
     assert got == {(1 - x, z, y): a[x, y, z] for x, y, z in np.ndindex(a.shape)}
 
 
+@pytest.mark.parametrize("codes", [(2, 4, 3), (6, 1, 5), (1, 2, 3), (4, 5, 6)])
+def test_each_file_is_turned_by_its_own_header(spark, tmp_path, codes):
+    from voxlake.operators.volume import from_orient_codes, reorient
+
+    values = np.arange(24.0).reshape(2, 3, 4)
+    rows = np.zeros((4, 4))
+    for k, code in enumerate(codes):
+        rows[(code - 1) % 3, k] = 1 if code < 4 else -1
+    (tmp_path / "a.nii").write_bytes(nifti(values, 16, sform_code=1, **{f"srow_{a}": list(rows[k]) for k, a in enumerate("xyz")}))
+    wide = images.read_volumes(spark, str(tmp_path), ras=True)
+    stored = model.to_long(images.read_volumes(spark, str(tmp_path)))
+    want = {(r.x, r.y, r.z): r.v for r in reorient(stored, from_orient_codes(codes), (2, 3, 4)).collect()}
+    assert {(r.x, r.y, r.z): r.v for r in model.to_long(wide).collect()} == want
+
+
+def test_matrix_files():
+    m = np.arange(16.0).reshape(4, 4)
+    body = m.tobytes(order="F")
+    four = struct.pack("<5i", 0, 4, 4, 0, 2) + b"M\0" + body
+    assert np.array_equal(images.read_matrix_file(four)["M"], m)
+    part = struct.pack("<2I", 6, 8) + struct.pack("<2I", 6, 0) + struct.pack("<2I2i", 5, 8, 4, 4) + struct.pack("<2H4s", 1, 1, b"M") + struct.pack("<2I", 9, 128) + body
+    matrix = struct.pack("<2I", 14, len(part)) + part
+    start = b"MATLAB 5.0".ljust(124, b" ") + struct.pack("<2H", 0x0100, 0x4D49)
+    import zlib
+
+    packed = zlib.compress(matrix)
+    for data in (start + matrix, start + struct.pack("<2I", 15, len(packed)) + packed):
+        assert np.array_equal(images.read_matrix_file(data)["M"], m)
+
+
 def test_default_types():
     assert [H.default_type(t) for t in ("u1", "i2", "f4", "f8", "c8")] == [2, 4, 16, 64, 32]
     with pytest.raises(ValueError):

@@ -35,6 +35,13 @@ def test_framewise_displacement(spark, runs, detrend):
         assert np.allclose([r.fd for r in got if r.run == run], by_hand(m, scale, detrend), atol=1e-10)
 
 
+@pytest.mark.parametrize("block", [1, 3, 1000])
+@pytest.mark.parametrize("detrend", [True, False])
+def test_long_runs_in_blocks(spark, runs, block, detrend):
+    a, b = (f(frame(spark, runs), ["run"], detrend=detrend, **how).orderBy("run", "t").toPandas() for f, how in ((M.framewise_displacement, {}), (M.long_run_displacement, {"block": block})))
+    assert list(a.columns) == list(b.columns) and np.allclose(a.fd, b.fd)
+
+
 def test_displacement_ignores_a_straight_line(spark, runs):
     moved = {k: m + 3.0 + 0.25 * np.arange(len(m))[:, None] for k, m in runs.items()}
     a, b = (M.framewise_displacement(frame(spark, r), ["run"]).orderBy("run", "t").toPandas().fd for r in (runs, moved))

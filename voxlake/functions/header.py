@@ -228,7 +228,7 @@ def with_matrix(header: dict, matrix) -> dict:
     """The header with a matrix that maps voxels from 1 put in as its affine (which maps voxels from 0)."""
     m = np.asarray(matrix, float).copy()
     m[:3, 3] += m[:3, :3].sum(1)
-    return header | {"hist": header["hist"] | {"sform_code": 1} | {f"srow_{a}": [float(v) for v in m[k]] for k, a in enumerate("xyz")}}
+    return header | {"hist": header["hist"] | {"qform_code": 0, "sform_code": 1, "magic": header["hist"]["magic"] or "ni1"} | {f"srow_{a}": [float(v) for v in m[k]] for k, a in enumerate("xyz")}}
 
 
 def scaling(header: dict) -> tuple[float, float, int] | None:

@@ -53,6 +53,29 @@ def framewise_displacement(df: DataFrame, by: Sequence[str], t: str = "t", chann
     return df.withColumn(name, F.when(F.row_number().over(order) == 1, F.lit(0.0)).otherwise(total))
 
 
+def long_run_displacement(df: DataFrame, by: Sequence[str], t: str = "t", channels: Sequence[str] = CHANNELS, scale: Sequence[float] | None = None, detrend: bool = True, name: str = "fd", block: int = 65_536) -> DataFrame:
+    """framewise_displacement for runs too long for one task; ``t`` counts a run's frames from 0 without gaps.
+
+    Frames are dealt by run and block of ``block`` frames, the last frame of a
+    block going to the next one too.  Slopes are partial aggregates, joined
+    back by run.
+    """
+    scale = scale if scale is not None else scales()
+    here = F.expr(f"`{t}` div {block}")
+    carried = F.when((F.col(t) + 1) % block == 0, F.array(F.struct(here.alias("b"), F.lit(True).alias("own")), F.struct((here + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(here.alias("b"), F.lit(True).alias("own"))))
+    rows = df.select("*", F.explode(carried).alias("__at")).select(*df.columns, F.col("__at.b").alias("__block"), F.col("__at.own").alias("__own"))
+    order = W.partitionBy(*by, "__block").orderBy(t)
+    changes = rows.withColumns({f"__d_{c}": F.col(c) - F.lag(c).over(order) for c in channels}).where("__own")
+    if detrend:
+        slopes = df.groupBy(*by).agg(*[F.coalesce(F.regr_slope(F.col(c), F.col(t)), F.lit(0.0)).alias(f"__s_{c}") for c in channels])
+        changes = changes.join(slopes, list(by))
+    total = None
+    for c, s in zip(channels, scale, strict=True):
+        part = F.abs(F.col(f"__d_{c}") - F.col(f"__s_{c}") if detrend else F.col(f"__d_{c}")) * F.lit(float(s))
+        total = part if total is None else total + part
+    return changes.select(*df.columns, F.when(F.col(t) == 0, F.lit(0.0)).otherwise(total).alias(name))
+
+
 def detrend_linear(df: DataFrame, by: Sequence[str], t: str = "t", channels: Sequence[str] = CHANNELS, keep_mean: bool = False) -> DataFrame:
     """Channels replaced by their residuals from a straight line over the run, with the mean added back if asked."""
     run = W.partitionBy(*by)

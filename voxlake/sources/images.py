@@ -16,6 +16,7 @@ import glob
 import gzip
 import os
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -96,6 +97,46 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return prepare(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(NAMES))
 
 
+def read_matrix_file(data: bytes) -> dict[str, np.ndarray]:
+    """Variables of a MATLAB file of level 4 or 5 that are matrices of doubles; other variables are left out."""
+    kinds = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8"}
+    out: dict[str, np.ndarray] = {}
+
+    def element(at: int) -> tuple[int, bytes, int]:
+        kind, size = np.frombuffer(data, "<u4", 2, at)
+        if kind >> 16:  # a short element holds its data in the second word
+            return int(kind & 0xFFFF), data[at + 4 : at + 4 + int(kind >> 16)], at + 8
+        return int(kind), data[at + 8 : at + 8 + int(size)], at + 8 + -(-int(size) // 8) * 8 if kind != 15 else at + 8 + int(size)
+
+    if data[:6] != b"MATLAB":
+        at = 0
+        while at + 20 <= len(data):
+            kind, rows, columns, imaginary, name = (int(v) for v in np.frombuffer(data, "<i4", 5, at))
+            at += 20
+            label, at = data[at : at + name].split(b"\0")[0].decode(), at + name
+            size = rows * columns * 8 * (2 if imaginary else 1)
+            if kind == 0 and not imaginary:
+                out[label] = np.frombuffer(data, "<f8", rows * columns, at).reshape((rows, columns), order="F")
+            at += size
+        return out
+    at = 128
+    while at + 8 <= len(data):
+        kind, body, at = element(at)
+        if kind == 15:
+            out |= read_matrix_file(data[:128] + zlib.decompress(body))
+        elif kind == 14:
+            outer, data = data, body
+            _, flags, inner = element(0)
+            _, dims, inner = element(inner)
+            _, label, inner = element(inner)
+            kind, values, _ = element(inner)
+            data = outer
+            if flags[0] == 6 and kind in kinds:
+                shape = np.frombuffer(dims, "<i4")
+                out[label.decode()] = np.frombuffer(values, "<" + kinds[kind]).astype(float).reshape(tuple(shape), order="F")
+    return out
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """A row a file: path, byte order, the header's three blocks and its extensions.  Image parts of header pairs are left out."""
 
@@ -112,8 +153,12 @@ def frame_and_tr(headers: DataFrame) -> DataFrame:
     return headers.select("path", F.col("dime.dim")[4].alias("n_frames"), F.col("dime.pixdim")[4].cast("double").alias("tr"))
 
 
-def read_volumes(spark: SparkSession, path: str, raw: bool = False, frames: Sequence[int] | None = None) -> DataFrame:
-    """A row a file and frame: path, t, dims, voxels.  Values are scaled as the header says unless ``raw``; axes stay as stored.
+def read_volumes(spark: SparkSession, path: str, raw: bool = False, frames: Sequence[int] | None = None, ras: bool = False, preferred: str = "s", tolerance: float = 0.1) -> DataFrame:
+    """A row a file and frame: path, t, dims, voxels.  Values are scaled as the header says unless ``raw``.
+
+    With ``ras`` each image's axes are turned to the right, front and top by
+    its own header, which ``preferred`` and ``tolerance`` are about; otherwise
+    they stay as stored.
 
     A header pair is one image under the path of its header.  Frames asked for
     must exist and be named once.
@@ -128,7 +173,8 @@ def read_volumes(spark: SparkSession, path: str, raw: bool = False, frames: Sequ
                 head = H.parse_header(data)
                 image = unpacked(row.image) if row.image is not None else data
                 start = int(head["dime"]["vox_offset"])
-                yield from _frames(row.path, head, image, start, frames, raw)
+                codes = H.orientation(head, preferred, tolerance).codes if ras else (1, 2, 3)
+                yield from _frames(row.path, head, image, start, frames, raw, codes)
 
     files = _files(spark, path).select("path", "content")
     stem = F.regexp_replace("path", r"\.(hdr|img)(\.gz)?$", "")
@@ -137,16 +183,31 @@ def read_volumes(spark: SparkSession, path: str, raw: bool = False, frames: Sequ
     return heads.join(images, "stem", "left").select("path", "content", "image").mapInPandas(decode, VOLUMES)
 
 
-def _frames(path: str, head: dict, data: bytes, start: int, frames: Sequence[int] | None, raw: bool) -> Iterator[pd.DataFrame]:
+def _frames(path: str, head: dict, data: bytes, start: int, frames: Sequence[int] | None, raw: bool, codes: Sequence[int]) -> Iterator[pd.DataFrame]:
     size, total = frame_bytes(head), frame_count(head)
-    nx, ny, nz = spatial(head)
     for t in range(total) if frames is None else frames:
         if not 0 <= t < total:
             raise ValueError(f"{path} has {total} frames; frame {t} was asked for")
         values = decode_frame(head, data[start + t * size : start + (t + 1) * size], raw)
+        values, (nx, ny, nz) = turned(values, spatial(head), codes)
         yield pd.DataFrame({"path": [path], "t": [t], "dims": [{"x": nx, "y": ny, "z": nz}], "voxels": [values.ravel()]})
 
 
+def turned(values: np.ndarray, dims: Sequence[int], codes: Sequence[int]) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """A frame's voxels, x fastest, with the axes that ``codes`` name turned to the right, front and top; and its new size."""
+    if tuple(codes) == (1, 2, 3):
+        return values, tuple(dims)
+    box = values.reshape(*dims[::-1], -1)  # z, y, x, parts
+    for k, code in enumerate(codes):
+        if code > 3:
+            box = np.flip(box, 2 - k)
+    order = [0, 0, 0]
+    for k, code in enumerate(codes):
+        order[2 - (code - 1) % 3] = 2 - k
+    box = box.transpose(*order, 3)
+    return box.reshape(-1) if values.ndim == 1 else box.reshape(-1, values.shape[1]), tuple(box.shape[2::-1])
+
+
 def to_ras(volumes: DataFrame, header: dict, preferred: str = "s", tolerance: float = 0.1) -> DataFrame:
     """Long volumes of one header with axes to the right, front and top."""
     from ..operators.volume import from_orient_codes, reorient
