@@ -165,6 +165,17 @@ def test_resampling_by_hand(spark, cube, size):
     assert np.allclose(array_of(R.nearest(df, grid, cube.shape, bg=-5.0), grid.dims).ravel(), want)
 
 
+@pytest.mark.parametrize("method,bg", [(1, None), (2, None), (1, -5.0), (2, -5.0)])
+def test_arrays_and_joins_agree(spark, cube, method, bg):
+    df, grid = long_of(spark, cube), R.output_grid(cube.shape, MATRIX, (0.7, 0.8, 0.9))
+    wide = R.on_arrays(model.to_wide(df), grid, cube.shape, method, bg)
+    a, b = array_of(model.to_long(wide), grid.dims), array_of(R.METHODS[method](df, grid, cube.shape, bg=bg), grid.dims)
+    assert np.allclose(a, b)
+    assert tuple(wide.first().dims) == grid.dims
+    with pytest.raises(ValueError):
+        R.on_arrays(wide, grid, cube.shape, 3)
+
+
 def line_by_steps(p1, p2):
     """The line by the step-by-step rule: an axis moves when its error reaches half a step of the longest one."""
     d = np.subtract(p2, p1)

@@ -19,16 +19,16 @@ def percent_change(df: DataFrame, by: Sequence[str] = ("run",), voxel: str = "vo
 
     Where the mean is low (negative means too), the largest absolute value
     takes its place and the course is shifted by it.  NaN, as of a voxel that
-    is always zero, becomes 0.  The voxel's numbers are aggregated partially
-    and joined back, so a long run isn't gathered.
+    is always zero, becomes 0.  One exchange, by voxel, which differences over
+    time then share.
     """
-    key = [*by, voxel]
-    stats = df.groupBy(*key).agg(F.avg(v).alias("__mean"), F.max(F.abs(F.col(v))).alias("__top"))
-    low = F.col("__mean") <= F.lit(LOW_MEAN)
-    base = F.when(low, F.col("__top")).otherwise(F.col("__mean"))
-    shifted = F.when(low, F.col(v) + F.col("__top")).otherwise(F.col(v))
+    course = W.partitionBy(*by, voxel)
+    mean, top = F.avg(v).over(course), F.max(F.abs(F.col(v))).over(course)
+    low = mean <= F.lit(LOW_MEAN)
+    base = F.when(low, top).otherwise(mean)
+    shifted = F.when(low, F.col(v) + top).otherwise(F.col(v))
     change = F.coalesce(F.try_divide(F.lit(100.0) * shifted, base) - F.lit(100.0), F.lit(0.0))
-    return df.join(stats, key).select(*df.columns, F.when(F.isnan(change), 0.0).otherwise(change).alias(name))
+    return df.withColumn(name, F.when(F.isnan(change), 0.0).otherwise(change))
 
 
 def dvars(df: DataFrame, by: Sequence[str] = ("run",), t: str = "t", voxel: str = "voxel", v: str = "psc") -> DataFrame:
@@ -42,6 +42,12 @@ def global_change(df: DataFrame, by: Sequence[str] = ("run",), t: str = "t", v:
     return df.groupBy(*by, t).agg(F.abs(F.avg(v)).alias("global_change"))
 
 
+def frame_signals(df: DataFrame, by: Sequence[str] = ("run",), t: str = "t", voxel: str = "voxel", v: str = "psc") -> DataFrame:
+    """dvars and global_change of each frame, in one pass."""
+    change = F.coalesce(F.col(v) - F.lag(v).over(W.partitionBy(*by, voxel).orderBy(t)), F.lit(0.0))
+    return df.withColumn("__d", change).groupBy(*by, t).agg(F.sqrt(F.avg(F.col("__d") * F.col("__d"))).alias("dvars"), F.abs(F.avg(v)).alias("global_change"))
+
+
 def z_scores(df: DataFrame, by: Sequence[str] = ("run",), t: str = "t", v: str = "dvars", name: str = "z") -> DataFrame:
     """``df`` plus the z-score among all frames but the first, which gets 0; 0 too where there is no spread."""
     run = W.partitionBy(*by)

@@ -160,20 +160,21 @@ def histogram(df: DataFrame, bins: int | None = 10, by: Sequence[str] = ("image_
     """
     if bins is None:
         return df.groupBy(*by, F.col("v").cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    ends = df.groupBy(*by).agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"))
-    place = F.when(F.col("__hi") == F.col("__lo"), 0).otherwise(F.least(F.floor((F.col("v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1)))
-    return df.join(ends, list(by)).groupBy(*by, place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return df.withColumn("bin", _bin(bins, by)).groupBy(*by, "bin").agg(F.count("*").alias("n"))
+
+
+def _bin(bins: int, by: Sequence[str]) -> Column:
+    """Number of a value's bin between the least and the largest of its volume, which share one exchange with what is done by volume."""
+    low, high = F.min("v").over(W.partitionBy(*by)), F.max("v").over(W.partitionBy(*by))
+    return F.when(high == low, 0).otherwise(F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1))).cast("long")
 
 
 def equalise(df: DataFrame, bins: int = 256, by: Sequence[str] = ("image_id",)) -> DataFrame:
     """Values replaced by the share of voxels in their bin or below: flattened histogram."""
-    ends = df.groupBy(*by).agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"))
-    spread = F.col("__hi") - F.col("__lo")
-    place = F.when(spread == 0, 0).otherwise(F.least(F.floor((F.col("v") - F.col("__lo")) / spread * bins), F.lit(bins - 1))).cast("long")
-    rows = df.join(ends, list(by)).withColumn("__bin", place)
-    share = F.sum("__n").over(W.partitionBy(*by).orderBy("__bin").rowsBetween(W.unboundedPreceding, 0)) / F.sum("__n").over(W.partitionBy(*by))
-    levels = rows.groupBy(*by, "__bin").agg(F.count("*").alias("__n")).select(*by, "__bin", share.alias("__share"))
-    return rows.join(levels, [*by, "__bin"]).select(*[F.col("__share").alias("v") if c == "v" else F.col(c) for c in df.columns])
+    rows = df.withColumn("__bin", _bin(bins, by))
+    below = F.count("*").over(W.partitionBy(*by).orderBy("__bin").rangeBetween(W.unboundedPreceding, 0))
+    share = below / F.count("*").over(W.partitionBy(*by))
+    return rows.select(*[share.alias("v") if c == "v" else F.col(c) for c in df.columns])
 
 
 def concatenate(parts: Sequence[tuple[DataFrame, int]], axis: str = "t") -> DataFrame:

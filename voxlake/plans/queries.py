@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as X
-from ..model import CHANNELS
+from ..model import CHANNELS, to_long
 from ..operators import atlas, catalog, events, motion as M, quality, resample as R, signal as S, template, volume as V
-from .tables import CUBE, MOTION_SQL, SERIES_SQL, SIGNAL_SQL, VOLUMES_SQL, motion, series, signal, table, volumes
+from .tables import CUBE, MOTION_SQL, SERIES_SQL, SIGNAL_SQL, VOLUMES_SQL, event_series, motion, series, signal, table, volumes, wide_volumes
 
 FD_THRESHOLD, CHANGE_THRESHOLD, RADIUS = 10.0, 20.0, 55.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,18 +104,13 @@ def motion_detrended_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVENTS_SQL = "e AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS v FROM events)"
 
 
-def _event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), t.alias("t"), F.col("value").alias("v"))
-
-
 @query(
     f"WITH {_EVENTS_SQL}, f AS (SELECT run, t, (coalesce(abs(v - lag(v) OVER (PARTITION BY run ORDER BY t) - regr_slope(v, t) OVER (PARTITION BY run)), 0) > 50)::INT AS lost FROM e), "
     "n AS (SELECT run, t, CASE WHEN lost = 1 THEN sum(lost) OVER (PARTITION BY run ORDER BY t) ELSE 0 END AS nth, sum(lost) OVER (PARTITION BY run) AS k FROM f) "
     "SELECT run, t, array_to_string(list_transform(range(1, greatest(k, 1)::BIGINT + 1), lambda i: CASE WHEN i = nth THEN 1 ELSE 0 END), ' ') AS spikes FROM n"
 )
 def spike_regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fd = M.framewise_displacement(_event_series(spark, sf_dir), ["run"], channels=["v"], scale=[1.0])
+    fd = M.framewise_displacement(event_series(spark, sf_dir), ["run"], channels=["v"], scale=[1.0])
     out = M.spike_regressors(fd.withColumn("lost", M.lost_mask("fd", 50.0)), ["run"])
     return out.select("run", "t", F.array_join(F.col("spikes").cast("array<string>"), " ").alias("spikes"))
 
@@ -140,9 +135,7 @@ def percent_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SERIES_SQL}, {_psc_sql('series')}, {_DVARS_SQL} SELECT run, t, {rs('dvars', 4)} AS dvars, {rs('global_change', 4)} AS global_change FROM g")
 def dvars_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    psc = S.percent_change(series(spark, sf_dir))
-    both = S.dvars(psc).join(S.global_change(psc), ["run", "t"])
-    return both.select("run", "t", r("dvars", 4).alias("dvars"), r("global_change", 4).alias("global_change"))
+    return S.frame_signals(S.percent_change(series(spark, sf_dir))).select("run", "t", r("dvars", 4).alias("dvars"), r("global_change", 4).alias("global_change"))
 
 
 @query(
@@ -330,17 +323,27 @@ def _trilinear_sql(grid: R.Grid, bg: str) -> str:
 
 @query(_nearest_sql(_GRID, _ENDS_SQL))
 def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(R.nearest(volumes(spark, sf_dir), _GRID, CUBE))
+    return _long(to_long(R.on_arrays(wide_volumes(spark, sf_dir), _GRID, CUBE, method=2)))
 
 
 @query(_trilinear_sql(_GRID, _ENDS_SQL))
 def resample_trilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(to_long(R.on_arrays(wide_volumes(spark, sf_dir), _GRID, CUBE)))
+
+
+@query(_trilinear_sql(_GRID, _ENDS_SQL))
+def resample_trilinear_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(R.trilinear(volumes(spark, sf_dir), _GRID, CUBE))
 
 
+@query(_nearest_sql(_GRID, _ENDS_SQL))
+def resample_nearest_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(R.nearest(volumes(spark, sf_dir), _GRID, CUBE))
+
+
 @query(_trilinear_sql(_TARGET, "0.0::DOUBLE"))
 def apply_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(R.trilinear(volumes(spark, sf_dir), _TARGET, CUBE, bg=0.0))
+    return _long(to_long(R.on_arrays(wide_volumes(spark, sf_dir), _TARGET, CUBE, bg=0.0)))
 
 
 def _lines_sql(grid: R.Grid, bg: str) -> str:
