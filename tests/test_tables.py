@@ -81,10 +81,10 @@ def test_sidecars(spark, tmp_path):
 
 
 def test_templates(spark, tmp_path):
-    (tmp_path / "t.fsf").write_text("# note\nset fmri(tr) 3.0\nset fmri(npts) 0\nset fmri(tr) and set fmri(npts)\nend")
+    (tmp_path / "t.fsf").write_text("# note\nset fmri(tr) 3.0\nset fmri(npts) 0\nset fmri(tr) and set fmri(npts)\nset feat_files(1) \"\"\nend")
     lines = tables.read_template(spark, str(tmp_path / "t.fsf"))
-    made = template.fill(lines, template.rules(spark, template.PREPROCESS, {"tr": 2.0, "volumes": 100}))
-    assert [r.line for r in made.orderBy("line_no").collect()] == ["# note", "set fmri(tr) 2.0", "set fmri(npts) 100", "set fmri(tr) 2.0", "end"]
+    made = template.fill(lines, template.rules(spark, template.PREPROCESS, {"TR": 2.0, "Volumes": 100, "Input": "a.nii"}))
+    assert [r.line for r in made.orderBy("line_no").collect()] == ["# note", "set fmri(tr) 2.0", "set fmri(npts) 100", "set fmri(tr) 2.0", 'set feat_files(1) "a.nii"', "end"]
     two = spark.createDataFrame([("a", 0, "k v"), ("b", 0, "k v")], "job string, line_no int, line string")
     rules = spark.createDataFrame([("b", 0, "x", "k", "k new")], "job string, priority int, label string, find string, replacement string")
     assert sorted((r.job, r.line) for r in template.fill(two, rules, ("job",)).collect()) == [("a", "k v"), ("b", "k new")]
@@ -94,7 +94,10 @@ def test_templates(spark, tmp_path):
 
 def test_catalog(spark):
     runs = catalog.run_grid(spark, [1, 2], ["01"], [1, 2]).withColumn("task", F.lit("a"))
-    need = catalog.expected_files(runs, "preprocess_run", folder=F.lit("/d"))
+    need = catalog.expected_files(runs, "preprocess_run", "d")
+    assert sorted(r.path for r in need.collect())[0] == "d/BIDS/sub-01/sub-01_ses-01_task-a_run-01_bold.json"
+    mean = catalog.expected_files(runs, "get_mean_fct", specie=F.lit("D"))
+    assert sorted(r.path for r in mean.collect())[0] == "preprocessing/D-sub-01/D-sub-01_ses-01_task-a_run-01_reoriented.nii.gz"
     assert need.count() == 8
     there = need.where("not (sub = 2 and run = 2 and path like '%json')").select("path")
     assert {(r.sub, r.run): r.available for r in catalog.available(need, there, ["sub", "run"]).collect()} == {(1, 1): True, (1, 2): True, (2, 1): True, (2, 2): False}
@@ -126,6 +129,7 @@ def test_events(spark):
 def test_atlas(spark, tmp_path):
     keys = atlas.roi_parts(spark.createDataFrame([(1, "F_A_B_L.nii.gz"), (2, "P_C_R.nii")], "index int, file string"))
     assert [(r.lobe, r.abbrev, r.side) for r in keys.orderBy("index").collect()] == [("F", "A_B", "L"), ("P", "C", "R")]
+    assert [r.lobe_name for r in atlas.lobe_of(spark.createDataFrame([("CN",), ("X",)], "lobe string")).collect()] == ["Cingulate", None]
     (tmp_path / "l.csv").write_text("Number,Region\n1,  left   cortex \n", encoding="utf-8-sig")
     assert atlas.clean_names(tables.read_labels_csv(spark, str(tmp_path / "l.csv")), "Region").first().Region == "left cortex"
     (tmp_path / "l.xml").write_text('<atlas><data><label index="3" x="1.5" y="2" z="-3">Gyrus L</label></data></atlas>')

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Names of lobes by the key in ROI file names.
-LOBES = {"F": "Frontal", "P": "Parietal", "T": "Temporal", "O": "Occipital", "C": "Cingulate", "S": "Subcortical"}
+#: Lobe by the key in ROI file names, in the spelling of the region table without its slip.
+LOBES = {"CN": "Cingulate", "FR": "Frontal", "OC": "Occipital", "PR": "Parietal", "PS": "Temporal", "SM": "Sensory-motor", "SUB": "Subcortical"}
 
 
 def clean_names(df: DataFrame, *columns: str) -> DataFrame:
@@ -19,6 +19,12 @@ def roi_parts(keys: DataFrame, file: str = "file") -> DataFrame:
     return keys.withColumns({name: F.regexp_extract(file, pattern, k) for k, name in enumerate(("lobe", "abbrev", "side"), 1)})
 
 
+def lobe_of(rois: DataFrame, key: str = "lobe") -> DataFrame:
+    """ROIs with ``lobe_name``; null for an unknown key."""
+    names = F.create_map(*[F.lit(x) for pair in LOBES.items() for x in pair])
+    return rois.withColumn("lobe_name", F.try_element_at(names, F.col(key)))
+
+
 def region_of(labels: DataFrame, regions: DataFrame, key: str, size_limit: int = 1_000_000) -> DataFrame:
     """Labels with their region's columns; the regions are broadcast only if there are fewer than ``size_limit``."""
     small = regions.limit(size_limit).count() < size_limit

@@ -6,18 +6,30 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.text import parse_run_path, run_path
+from ..functions.text import parse_run_path, run_path, zero_padded
 from ..model import JOB, schema
 
-#: What each process needs to exist, as suffixes of the run's file name.
+#: For each process its shown name and whether it is run for every run.
+PROCESSES = {
+    "preprocess_run": ("Preprocess", True),
+    "get_mean_fct": ("Mean fct", False),
+    "mean_to_STD": ("Mean to atlas", False),
+    "run_to_STD": ("Runs to atlas", True),
+    "process_motion": ("Motion", False),
+}
+#: For each process the folder in its dataset, whether names begin with the species, and the suffixes of the files it needs.
 NEEDS = {
-    "preprocess_run": ("_bold.nii.gz", "_bold.json"),
-    "get_mean_fct": ("_preprocessed.nii.gz",),
-    "run_to_STD": ("_preprocessed.nii.gz",),
-    "GLM": ("_STD.nii.gz", "_preprocessed.par"),
+    "preprocess_run": ("BIDS", False, ("_bold.nii.gz", "_bold.json")),
+    "get_mean_fct": ("preprocessing", True, ("_reoriented.nii.gz",)),
+    "run_to_STD": ("preprocessing", True, ("_mc.nii.gz",)),
+    "GLM": ("normalized", True, (".nii.gz",)),
 }
+#: The axis combinations that are offered.
+COMBINATIONS = (("x", "y", "z"), ("-x", "z", "y"), ("x", "z", "-y"), ("-x", "y", "z"))
 #: Shown name of each scheduled field.
-SHOWN = {"User": "User", "Dataset": "Dataset", "sub_N": "Participant", "session_and_run": "Sessions and runs", "Task": "Task", "Specie": "Specie", "Process": "Process", "Atlas_type": "Atlas", "Status": "Status"}
+SHOWN = {
+    "sub_N": "Participant", "run_N": "Run", "Process": "Process", "Status": "Status", "Atlas_type": "Atlas_type", "Dataset": "Dataset", "Full_prepro": "Full_prepro", "Combination": "Combination", "session_and_run": "session_and_run",
+}
 
 
 def run_grid(spark: SparkSession, participants: Sequence[int], sessions: Sequence[str], runs: Sequence[int]) -> DataFrame:
@@ -44,12 +56,19 @@ def search_ranges(spark: SparkSession, low: int = -180, high: int = 181, step: i
     return out
 
 
-def expected_files(runs: DataFrame, process: str, folder: Column | None = None, specie: Column | None = None, task: Column | None = None) -> DataFrame:
-    """A row a run and file that the process needs: the run's columns and ``path``."""
+def expected_files(runs: DataFrame, process: str, dataset: str = "", specie: Column | None = None) -> DataFrame:
+    """A row a run (sub, ses, task, run) and file that the process needs: the run's columns and ``path`` below the folder of ``dataset``.
+
+    A process without a rule, such as those that work on what others made, has
+    no files and is never available.
+    """
     if process not in NEEDS:
-        raise ValueError(f"no process {process}; there are {', '.join(NEEDS)}")
-    at = F.concat(folder, F.lit("/")) if folder is not None else F.lit("")
-    paths = [F.concat(at, run_path(specie if specie is not None else F.lit(""), F.col("sub"), F.col("ses"), task if task is not None else F.col("task"), F.col("run"), s)) for s in NEEDS[process]]
+        raise ValueError(f"no rule for {process}; there are rules for {', '.join(NEEDS)}")
+    folder, named, suffixes = NEEDS[process]
+    kind = specie if named and specie is not None else F.lit("")
+    person = F.concat(F.when(kind != "", F.concat(kind, F.lit("-"))).otherwise(""), F.lit("sub-"), zero_padded(F.col("sub")))
+    at = F.concat_ws("/", *([F.lit(dataset)] if dataset else []), F.lit(folder), person)
+    paths = [F.concat_ws("/", at, run_path(kind, F.col("sub"), F.col("ses"), F.col("task"), F.col("run"), s)) for s in suffixes]
     return runs.withColumn("path", F.explode(F.array(*paths)))
 
 

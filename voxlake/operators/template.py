@@ -6,17 +6,21 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: What identifies the lines of a preprocessing and of a model template.
+#: What identifies the lines of a preprocessing and of a model template, in the order in which rules are tried.
 PREPROCESS = {
-    "output": "set fmri(outputdir)", "tr": "set fmri(tr)", "volumes": "set fmri(npts)", "brain": "set fmri(bet_yn)",
-    "smoothing": "set fmri(smooth)", "timing": "set fmri(st_file)", "input": "set feat_files(1)",
+    "Outputdir": "set fmri(outputdir)", "TR": "set fmri(tr)", "Volumes": "set fmri(npts)", "BET": "set fmri(bet_yn)",
+    "Smooth": "set fmri(smooth)", "Input": "set feat_files(1)", "SliceTimming": "set fmri(st_file)",
+}
+MODEL = {
+    "outputdir": "set fmri(outputdir)", "TR": "set fmri(tr)", "volumes": "set fmri(npts)", "BET": "set fmri(bet_yn)", "smooth": "set fmri(smooth)",
+    "input": "set feat_files(1)", "atlas": "set fmri(regstandard)", "movement": "set confoundev_files(1)", "condition": "set fmri(custom1)",
 }
-MODEL = PREPROCESS | {"confounds": "set confoundev_files(1)", "standard": "set fmri(regstandard)"}
 
 
-def rules(spark: SparkSession, find: Mapping[str, str], values: Mapping[str, str]) -> DataFrame:
-    """(priority, label, find, replacement) in the order of ``find``; the replacement is the whole new line."""
-    rows = [(k, label, key, f"{key} {values[label]}") for k, (label, key) in enumerate(find.items()) if label in values]
+def rules(spark: SparkSession, find: Mapping[str, str], values: Mapping[str, object]) -> DataFrame:
+    """(priority, label, find, replacement) in the order of ``find``; the replacement is the whole new line, with quotes round a text."""
+    shown = lambda v: f'"{v}"' if isinstance(v, str) else str(v)
+    rows = [(k, label, key, f"{key} {shown(values[label])}") for k, (label, key) in enumerate(find.items()) if label in values]
     return spark.createDataFrame(rows, "priority int, label string, find string, replacement string")
 
 

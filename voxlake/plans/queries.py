@@ -424,7 +424,7 @@ def search_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Runs of a made-up project, a customer a participant; of its files every third is missing.
 _RUNS_SQL = "runs AS (SELECT c_custkey::INT AS sub, CASE WHEN c_nationkey % 2 = 0 THEN '' ELSE '01' END AS ses, 'faces' AS task, (c_nationkey % 4 + 1)::INT AS run FROM customer)"
-_PATH_SQL = "'D-sub-' || printf('%02d', sub) || CASE WHEN ses <> '' THEN '_ses-' || ses ELSE '' END || '_task-' || task || '_run-' || printf('%02d', run)"
+_PATH_SQL = "'BIDS/sub-' || printf('%02d', sub) || '/sub-' || printf('%02d', sub) || CASE WHEN ses <> '' THEN '_ses-' || ses ELSE '' END || '_task-' || task || '_run-' || printf('%02d', run)"
 _FILES_SQL = f"files AS (SELECT {_PATH_SQL} || s AS path FROM runs, (VALUES ('_bold.nii.gz', 0), ('_bold.json', 1)) f(s, k) WHERE (sub + k) % 3 <> 0)"
 _NEED_SQL = f"need AS (SELECT sub, ses, run, {_PATH_SQL} || s AS path FROM runs, (VALUES ('_bold.nii.gz'), ('_bold.json')) f(s))"
 
@@ -432,7 +432,7 @@ _NEED_SQL = f"need AS (SELECT sub, ses, run, {_PATH_SQL} || s AS path FROM runs,
 def _expected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     n = F.col("c_nationkey")
     runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("sub"), F.when(n % 2 == 0, "").otherwise("01").alias("ses"), F.lit("faces").alias("task"), (n % 4 + 1).alias("run"))
-    need = catalog.expected_files(runs, "preprocess_run", specie=F.lit("D"))
+    need = catalog.expected_files(runs, "preprocess_run")
     there = need.where((F.col("sub") + F.when(F.endswith("path", F.lit(".json")), 1).otherwise(0)) % 3 != 0).select("path")
     return need, there
 
@@ -452,7 +452,7 @@ def files_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.present(*_expected(spark, sf_dir)).select("sub", "run", "path")
 
 
-@query(f"WITH {_RUNS_SQL}, {_FILES_SQL}, {_NEED_SQL} SELECT path, 'D' AS specie, sub, CASE WHEN ses = '' THEN NULL ELSE ses END AS session, 'faces' AS task, run, regexp_replace(path, '^.*_run-[0-9]+', '') AS suffix FROM need")
+@query(f"WITH {_RUNS_SQL}, {_FILES_SQL}, {_NEED_SQL} SELECT path, NULL::VARCHAR AS specie, sub, CASE WHEN ses = '' THEN NULL ELSE ses END AS session, 'faces' AS task, run, regexp_replace(path, '^.*_run-[0-9]+', '') AS suffix FROM need")
 def file_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalogue(_expected(spark, sf_dir)[0].select("path"))
 
@@ -475,7 +475,7 @@ _LINES_SQL = "lines AS (SELECT doc_id, (i - 1)::INT AS line_no, parts[i] AS line
 _FIND = {"first": "the ", "second": " und ", "third": "@"}
 
 
-@query(f"WITH {_LINES_SQL} SELECT doc_id, line_no, CASE WHEN contains(line, 'the ') THEN 'the  one' WHEN contains(line, ' und ') THEN ' und  two' WHEN contains(line, '@') THEN '@ three' ELSE line END AS line FROM lines")
+@query(f"WITH {_LINES_SQL} SELECT doc_id, line_no, CASE WHEN contains(line, 'the ') THEN 'the  \"one\"' WHEN contains(line, ' und ') THEN ' und  \"two\"' WHEN contains(line, '@') THEN '@ \"three\"' ELSE line END AS line FROM lines")
 def template_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
