@@ -16,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEAD = 24
 #: Ranges per shuffle partition, and sampled keys per range.
 RANGES, SAMPLES = 6, 40
+#: Keys that the driver gets at most, about 100 bytes each.
+MOST_SAMPLES = 250_000
 RESULTS = {"keep_id", "group_size", "kept", "text_sha256"}
 
 
@@ -25,20 +27,22 @@ def normalised(text: Column) -> Column:
 
 
 def _head(text: Column) -> Column:
-    return normalised(F.substring(text, 1, HEAD))
+    """The first bytes of the normalised text in hexadecimal digits, which sort as they do."""
+    return F.hex(normalised(F.substring(text, 1, HEAD)))
 
 
 def _key(head: Column, digest: Column, ident: Column) -> Column:
-    """A string that sorts by content first and then by identifier."""
-    return F.concat(head, F.lit("\x01"), digest, F.coalesce(ident.cast("string"), F.lit("")))
+    """A string without spaces that sorts by content first and then by identifier."""
+    return F.concat_ws(".", head, digest, F.hex(F.coalesce(ident.cast("string"), F.lit(""))))
 
 
 def _splitters(rows: DataFrame, ranges: int) -> list[str]:
-    """At most ranges - 1 evenly spaced keys out of a hash sample of about ranges * SAMPLES keys."""
-    every = max(1, rows.count() // (ranges * SAMPLES))
+    """At most ranges - 1 evenly spaced keys out of a hash sample of about ranges * SAMPLES keys, MOST_SAMPLES at most."""
+    wanted = min(ranges * SAMPLES, MOST_SAMPLES)
+    every = max(1, rows.count() // wanted)
     sample = rows.where(F.pmod(F.xxhash64("__id", F.octet_length("__text")), F.lit(every)) == 0) if every > 1 else rows
-    keys = sample.limit(ranges * SAMPLES * 4).select(_key(_head(F.col("__text")), F.sha2(normalised(F.col("__text")), 256), F.col("__id")).alias("k"))
-    keys = sorted((r.k for r in keys.collect()), key=lambda k: k.encode("utf-8", "surrogatepass"))
+    keys = sample.limit(4 * wanted).select(_key(_head(F.col("__text")), F.sha2(normalised(F.col("__text")), 256), F.col("__id")).alias("k"))
+    keys = sorted(r.k for r in keys.collect())
     return list(dict.fromkeys(keys[len(keys) * i // ranges] for i in range(1, ranges))) if keys else []
 
 
@@ -47,11 +51,11 @@ def _range_of(key: Column, splitters: list[str]) -> Column:
     if not splitters:
         return F.lit(0)
     step = max(1, round(len(splitters) ** 0.5))
-    blocks = [splitters[i : i + step] for i in range(0, len(splitters), step)]
-    heads = F.array(*[F.lit(b[0]) for b in blocks])
-    block = F.size(F.filter(heads, lambda s: s <= key))
-    inner = F.element_at(F.array(*[F.array(*[F.lit(s) for s in b]) for b in blocks]), F.greatest(block, F.lit(1)))
-    return F.when(block == 0, 0).otherwise((block - 1) * step + F.size(F.filter(inner, lambda s: s <= key)))
+    constant = lambda keys: F.split(F.lit(" ".join(keys)), " ")  # noqa: E731  one literal, folded once
+    below = lambda keys: F.size(F.filter(keys, lambda s: s <= key))
+    block = below(constant(splitters[::step]))
+    inner = F.slice(constant(splitters), (F.greatest(block, F.lit(1)) - 1) * step + 1, F.lit(step))
+    return F.when(block == 0, 0).otherwise((block - 1) * step + below(inner))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -98,7 +102,7 @@ def _cut_groups(rows: DataFrame, splitters: list[str], best) -> DataFrame:
     Only a text whose digest stands in a splitter lies on both sides of it, so
     there are fewer groups here than ranges: a broadcast of bounded size.
     """
-    cut = sorted({(head, rest[:64]) for head, _, rest in (s.rpartition("\x01") for s in splitters)})
+    cut = [s.split(".")[:2] for s in splitters]
     here = F.col("__head").isin([c[0] for c in cut]) & F.col("text_sha256").isin([c[1] for c in cut]) if cut else F.lit(False)
     found = rows.where(here).groupBy("text_sha256", "__range").agg(best("__id").alias("__id"), F.count("*").alias("__n"))
     pick = F.min_by if best is F.min else F.max_by
