@@ -57,6 +57,23 @@ def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.link_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
 
 
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), r(id, root) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM r JOIN l ON r.root = l.a
+), c AS (
+  SELECT id, min(root) AS component_id FROM r GROUP BY id
+), n AS (
+  SELECT a, count(*) AS n FROM l GROUP BY a
+)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.component_id = v.vec_id AS kept
+FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
 #: The made-up fetch day of a page: the tables have none.
 FETCHED = "date_add(date'2024-01-01', cast(page_id % 366 as int))"
 
@@ -155,4 +172,4 @@ QUERIES = {
     for f in (op1_exact_dedup, op2_pii, op3_simhash, op4_embedding_links, op5_url_filter, op6_quality, op7_byte_bpe, op8_mix_sources, op9_token_counts, op10_suffix_dedup)
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op5_url_filter": OP5_SQL, "op8_mix_sources": OP8_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op4_embedding_links": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_mix_sources": OP8_SQL}
