@@ -36,13 +36,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the node's smallest neighbour or itself."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("m", "u")
     moved = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).repartition("m", "u")
     joined = edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
     return joined.distinct()
