@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions import text as X
 from ..model import CHANNELS, to_long
 from ..operators import atlas, catalog, events, motion as M, quality, resample as R, signal as S, template, volume as V
+from ..sources import images
 from .tables import CUBE, MOTION_SQL, SERIES_SQL, SIGNAL_SQL, VOLUMES_SQL, event_series, motion, series, signal, table, volumes, wide_volumes
 
 FD_THRESHOLD, CHANGE_THRESHOLD, RADIUS = 10.0, 20.0, 55.0
@@ -69,6 +70,11 @@ def fd_without_detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.framewise_displacement(motion(spark, sf_dir), ["run"], detrend=False).select("run", "t", r("fd", 9).alias("fd"))
 
 
+@query(f"WITH {MOTION_SQL}, f AS ({_fd_sql()}) SELECT run, t, {rs('fd')} AS fd FROM f")
+def fd_long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.long_run_displacement(motion(spark, sf_dir), ["run"], scale=M.scales(RADIUS), block=128).select("run", "t", r("fd").alias("fd"))
+
+
 @query(
     f"WITH {MOTION_SQL} SELECT run, t, "
     + ", ".join(rs(f"{c} - (regr_intercept({c}, t) OVER (PARTITION BY run) + t * regr_slope({c}, t) OVER (PARTITION BY run)) + avg({c}) OVER (PARTITION BY run)") + f" AS {c}" for c in CHANNELS)
@@ -376,6 +382,14 @@ def intensity_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.select("image_id", "x", "y", "z", r("v", 5).alias("v"))
 
 
+@query(_volume_sql(f"t, x, y, z, {rs('v')} AS v"))
+def images_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes as image files of doubles and back."""
+    files = images.encode_volumes(wide_volumes(spark, sf_dir), datatype=64, voxel_size=(2.0, 2.0, 3.0))
+    back = to_long(images.decode_volumes(files.select(F.col("name").alias("path"), "content")))
+    return back.select(F.col("path").cast("long").alias("image_id"), "t", "x", "y", "z", r("v").alias("v"))
+
+
 @query(f"WITH {SERIES_SQL} SELECT run, voxel, {rs('v')} AS v FROM series WHERE t = 0")
 def first_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.first_volume(series(spark, sf_dir)).select("run", F.col("voxel").cast("long").alias("voxel"), r("v").alias("v"))

@@ -166,6 +166,16 @@ def read_volumes(spark: SparkSession, path: str, raw: bool = False, frames: Sequ
     if frames is not None and len(set(frames)) != len(frames):
         raise ValueError("a frame is asked for twice")
 
+    files = _files(spark, path).select("path", "content")
+    stem = F.regexp_replace("path", r"\.(hdr|img)(\.gz)?$", "")
+    images = files.where(F.col("path").rlike(r"\.img(\.gz)?$")).select(stem.alias("stem"), F.col("content").alias("image"))
+    heads = files.where(~F.col("path").rlike(r"\.img(\.gz)?$")).withColumn("stem", stem)
+    return decode_volumes(heads.join(images, "stem", "left").select("path", "content", "image"), raw, frames, ras, preferred, tolerance)
+
+
+def decode_volumes(files: DataFrame, raw: bool = False, frames: Sequence[int] | None = None, ras: bool = False, preferred: str = "s", tolerance: float = 0.1) -> DataFrame:
+    """read_volumes for files that are in a table: path, content and, of header pairs, image (null for single files)."""
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
@@ -176,11 +186,8 @@ def read_volumes(spark: SparkSession, path: str, raw: bool = False, frames: Sequ
                 codes = H.orientation(head, preferred, tolerance).codes if ras else (1, 2, 3)
                 yield from _frames(row.path, head, image, start, frames, raw, codes)
 
-    files = _files(spark, path).select("path", "content")
-    stem = F.regexp_replace("path", r"\.(hdr|img)(\.gz)?$", "")
-    images = files.where(F.col("path").rlike(r"\.img(\.gz)?$")).select(stem.alias("stem"), F.col("content").alias("image"))
-    heads = files.where(~F.col("path").rlike(r"\.img(\.gz)?$")).withColumn("stem", stem)
-    return heads.join(images, "stem", "left").select("path", "content", "image").mapInPandas(decode, VOLUMES)
+    rows = files if "image" in files.columns else files.withColumn("image", F.lit(None).cast("binary"))
+    return prepare_frame(rows).select("path", "content", "image").mapInPandas(decode, VOLUMES)
 
 
 def _frames(path: str, head: dict, data: bytes, start: int, frames: Sequence[int] | None, raw: bool, codes: Sequence[int]) -> Iterator[pd.DataFrame]:
