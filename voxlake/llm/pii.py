@@ -26,8 +26,10 @@ EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++{MARK}[A-Za-z0-9{MARK}-]
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"(?<![0-9{MARK}])[0-9](?:{MARK}?[0-9]){{13,18}}(?![0-9{MARK}])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)"
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+#: Characters that must not stand next to a span of an added kind.
+BORDER = {"iban": "[A-Za-z0-9]", "ssn": "[0-9-]"}
 
 #: Words near a span that raise or lower its score, and how far they are looked for.
 RAISING = {"iban": "iban|account|bank|konto|cuenta|compte", "ssn": "ssn|social|security|tax"}
@@ -88,6 +90,12 @@ def _small_parts(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+(?=[0-9])", "")).between(1, 3) & (F.substring(F.regexp_replace(p, "^0+(?=[0-9])", ""), 1, 3).cast("int") <= 255))
 
 
+def _stands_alone(text: Column, kind: str, span: Column) -> Column:
+    """Whether the characters before and after the span aren't of the kind's own."""
+    before = F.when(span["start"] > 0, F.substring(text, span["start"], F.lit(1))).otherwise(F.lit(""))
+    return ~F.concat(before, F.substring(text, span["end"] + 1, F.lit(1))).rlike(BORDER[kind])
+
+
 def _score(text: Column, kind: str, span: Column) -> Column:
     """The kind's own score, raised or lowered by words within NEAR characters of the span."""
     start = F.greatest(span["start"] - NEAR, F.lit(0))
@@ -130,8 +138,8 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "ip": _if_any(text, r"[0-9]\.[0-9]", F.filter(_spans(text, IP, "ip"), lambda s: _small_parts(s["value"]))),
         "card": _if_any(text, r"[0-9]{2}|[0-9][\x20-][0-9]", F.filter(_spans(_marked(text, number), CARD, "card"), lambda s: luhn(s["value"]))),
         "phone": _if_any(text, r"\+[0-9]", F.filter(_spans(text, PHONE, "phone"), lambda s: F.size(_digits(s["value"])).between(10, 15))),
-        "iban": _if_any(text, "[A-Z]{2}[0-9]{2}", F.filter(_spans(text, IBAN, "iban"), lambda s: mod97(s["value"]))),
-        "ssn": _if_any(text, "[0-9]-[0-9]{2}-[0-9]", _spans(text, SSN, "ssn")),
+        "iban": _if_any(text, "[A-Z]{2}[0-9]{2}", F.filter(_spans(text, IBAN, "iban"), lambda s: mod97(s["value"]) & _stands_alone(text, "iban", s))),
+        "ssn": _if_any(text, "[0-9]-[0-9]{2}-[0-9]", F.filter(_spans(text, SSN, "ssn"), lambda s: _stands_alone(text, "ssn", s))),
     }
     scored = [_scored(text, order, kind) for order, kind in enumerate(KINDS)]
     found = docs.select(*kept, *[c.alias(f"__{kind}") for kind, c in raw.items()])

@@ -47,6 +47,54 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
+_PII_FINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ("iban", pii.IBAN),
+    ("ssn", pii.SSN),
+)
+OP2_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents), f AS ("
+    + " UNION ALL ".join(f"SELECT n, t, {k} AS ord, '{kind}' AS kind, regexp_extract_all(t, '(?s)(.*?)({p})', 1) AS gaps, regexp_extract_all(t, '(?s)(.*?)({p})', 2) AS hits FROM d" for k, (kind, p) in enumerate(_PII_FINDS))
+    + r"""
+), s AS (
+  SELECT n, t, ord, kind, hits[i] AS v, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS a
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM f)
+), p AS (
+  SELECT n, t, ord, kind, v, a::BIGINT AS a, (a + length(v))::BIGINT AS b, regexp_replace(v, '[^0-9]', '', 'g') AS digits, replace(v, ' ', '') AS plain FROM s
+), q AS (
+  SELECT *, lower((CASE WHEN a > 40 THEN substr(t, a - 39, 40) ELSE substr(t, 1, a) END) || ' ' || substr(t, b + 1, 40)) AS near,
+         (CASE WHEN a > 0 THEN substr(t, a, 1) ELSE '' END) || substr(t, b + 1, 1) AS beside,
+         substr(plain, 5) || substr(plain, 1, 4) AS moved
+  FROM p
+), c AS (
+  SELECT *, CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN substr(digits, length(digits) - i, 1)::INT
+      WHEN substr(digits, length(digits) - i, 1)::INT > 4 THEN 2 * substr(digits, length(digits) - i, 1)::INT - 9 ELSE 2 * substr(digits, length(digits) - i, 1)::INT END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+    WHEN 'iban' THEN NOT regexp_matches(beside, '[A-Za-z0-9]') AND list_reduce(list_concat([0], list_transform(range(1, length(moved) + 1), lambda i:
+      CASE WHEN substr(moved, i, 1) <= '9' THEN ascii(substr(moved, i, 1)) - 48 ELSE ascii(substr(moved, i, 1)) - 55 END)), lambda x, y: (x * CASE WHEN y > 9 THEN 100 ELSE 10 END + y) % 97) = 1
+      AND 0.7 + CASE WHEN regexp_matches(near, 'RAISE_IBAN') THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches(near, 'LOWER_IBAN') THEN 0.3 ELSE 0 END >= 0.5
+    ELSE NOT regexp_matches(beside, '[0-9-]')
+      AND 0.3 + CASE WHEN regexp_matches(near, 'RAISE_SSN') THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches(near, 'LOWER_SSN') THEN 0.3 ELSE 0 END >= 0.5 END AS ok
+  FROM q
+), g AS (
+  SELECT n, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) AS spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) FILTER (ord < 4) AS base,
+         count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone
+  FROM c WHERE ok GROUP BY n
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (n)
+"""
+)
+for _kind in pii.EXTRA_KINDS:
+    OP2_SQL = OP2_SQL.replace(f"RAISE_{_kind.upper()}", pii.RAISING[_kind]).replace(f"LOWER_{_kind.upper()}", pii.LOWERING[_kind])
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
@@ -172,4 +220,4 @@ QUERIES = {
     for f in (op1_exact_dedup, op2_pii, op3_simhash, op4_embedding_links, op5_url_filter, op6_quality, op7_byte_bpe, op8_mix_sources, op9_token_counts, op10_suffix_dedup)
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op4_embedding_links": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_mix_sources": OP8_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op2_pii": OP2_SQL, "op4_embedding_links": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_mix_sources": OP8_SQL}
