@@ -7,11 +7,11 @@ Neighbouring windows share an anchor and form one context.
 
 1. Anchors are found by sliding minima over the whole text.  A hash that
    occurs once in the corpus ends there.
-2. Equal contexts are counted; all windows of a context that occurs twice are
-   repeated.
-3. Contexts that occur once, with the others of their hash, go into shards of
-   bounded size.  There a suffix array is built by induced sorting, and windows
-   with a permuted common prefix of ``length`` bytes are repeated.
+2. Equal contexts become one with a multiplicity.
+3. The contexts of each hash go into shards of bounded size.  There a suffix
+   array is built by induced sorting; neighbouring windows whose permuted common
+   prefix has ``length`` bytes form a class, and a class is repeated if its
+   contexts' multiplicities add up to two or more.
 4. A hash with very many contexts is dealt over several shards; each then hands
    on one digest for every distinct window, and digests of two shards that agree
    are repeated too.
@@ -136,8 +136,8 @@ def _cut(length: int):
                 out = [texts[r][s : s + n + length - 1] for r, s, n in zip(rows.tolist(), fields["s"].to_pylist(), fields["n"].to_pylist(), strict=True)]
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [fields["h"], fields["shard"], fields["shards"], fields["w"], part.column(0).take(take), part.column(1).take(take), fields["s"], fields["n"], pa.array(out, pa.binary())],
-                    names=["h", "shard", "shards", "w", "id", "td", "s", "n", "c"],
+                    [fields["h"], fields["shard"], fields["shards"], fields["w"], part.column(0).take(take), part.column(1).take(take), fields["s"], fields["n"], fields["g"], pa.array(out, pa.binary())],
+                    names=["h", "shard", "shards", "w", "id", "td", "s", "n", "g", "c"],
                 )
 
     return run
@@ -189,17 +189,28 @@ def _sorted(batches: list[pa.RecordBatch], length: int) -> pa.RecordBatch:
     sa = suffix_array(text)
     phi, plcp = permuted_lcp(text, sa, length)
     again = (plcp >= length) & window & window[phi]
-    repeated = again.copy()
-    repeated[phi[again]] = True
-
-    hit, offset, once = repeated[place], place - begins[owner], (column["w"].to_numpy() == 1)[owner]
+    # windows in the array's order: those that go on from their predecessor belong to its class
+    ordered = sa[window[sa]]
+    classes = np.cumsum(~again[ordered]) - 1
+    weight = column["w"].to_numpy()
+    owner_of = np.zeros(len(text), np.int64)
+    owner_of[place] = owner
+    total = np.bincount(classes, weight[owner_of[ordered]])
+    repeated = np.zeros(len(text), bool)
+    repeated[ordered] = total[classes] >= 2
+
+    hit, offset, once = repeated[place], place - begins[owner], (weight == 1)[owner]
     start = column["s"].to_numpy()[owner] + offset
-    # runs of repeated windows of contexts that occur once; the others are settled already
+    # runs of repeated windows of contexts that occur once; of the others, the contexts, for all their occurrences
     take = np.flatnonzero(hit & once)
     new = np.r_[True, (owner[take][1:] != owner[take][:-1]) | (start[take][1:] != start[take][:-1] + 1)] if len(take) else np.zeros(0, bool)
     heads = np.flatnonzero(new)
     tails = np.r_[heads[1:], len(take)] - 1
-    found = (owner[take[heads]], start[take[heads]], start[take[tails]]) if len(take) else (np.zeros(0, int),) * 3
+    many = np.unique(owner[hit & ~once])
+    none = np.full(len(many), -1, np.int64)
+    found = (np.r_[owner[take[heads]], many], np.r_[start[take[heads]], none], np.r_[start[take[tails]], none]) if len(take) else (many, none, none)
+    h64, g64 = column["h"].to_numpy(), column["g"].to_numpy()
+    named = tuple(np.r_[np.zeros(len(found[0]) - len(many), np.int64), v[many]] for v in (h64, g64))
 
     # a row of runs, or the distinct windows of a split hash that fall to one part
     shards = column["shards"].to_numpy()
@@ -217,8 +228,8 @@ def _sorted(batches: list[pa.RecordBatch], length: int) -> pa.RecordBatch:
         "td": column["td"].take(who),
         "a": pa.array(np.r_[found[1], start[split][order]].astype(np.int64)),
         "b": pa.array(np.r_[found[2], start[split][order]].astype(np.int64)),
-        "x": pa.array(np.r_[np.zeros(len(found[0]), np.int64), digests[order, 0].view(np.int64)]),
-        "y": pa.array(np.r_[np.zeros(len(found[0]), np.int64), digests[order, 1].view(np.int64)]),
+        "x": pa.array(np.r_[named[0], digests[order, 0].view(np.int64)]),
+        "y": pa.array(np.r_[named[1], digests[order, 1].view(np.int64)]),
         "settled": pa.array(np.r_[np.ones(len(found[0]), bool), (hit | ~once)[split][order]]),
     }
     names = pa.array([None] * min(1, len(found[0])) + part[order][heads].tolist(), pa.int64())
@@ -306,20 +317,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(hashes)
 
     counted = materialize(shared.groupBy("h", "g").agg(F.sum("r").alias("w"), F.min(F.struct("id", "td", "s", "n")).alias("at")), "contexts")
-    settled = shared.join(counted.where("w > 1").select(F.col("h").alias("__h"), F.col("g").alias("__g")), (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g"))).select("id", "td", F.col("s").alias("a"), (F.col("s") + F.col("n") * F.col("r") - 1).alias("b"))
-
-    mixed = materialize(counted.groupBy(F.col("h").alias("__h")).agg(F.count("*").alias("k"), F.min("w").alias("least")).where("k > 1 and least = 1"), "mixed")
-    asked = counted.join(mixed, F.col("h") == F.col("__h")).withColumn("shards", F.ceil(F.col("k") / SHARD_CONTEXTS).cast("int"))
-    asked = asked.select("at.id", "at.td", F.struct("h", F.pmod("g", "shards").cast("int").alias("shard"), "shards", "w", "at.s", "at.n").alias("x"))
+    groups = materialize(counted.groupBy(F.col("h").alias("__h")).agg(F.count("*").alias("k")), "groups")
+    asked = counted.join(groups, F.col("h") == F.col("__h")).withColumn("shards", F.ceil(F.col("k") / SHARD_CONTEXTS).cast("int"))
+    asked = asked.select("at.id", "at.td", F.struct("h", F.pmod("g", "shards").cast("int").alias("shard"), "shards", "w", "at.s", "at.n", "g").alias("x"))
     asked = asked.groupBy(F.col("id").alias("__id"), F.col("td").alias("__td")).agg(F.collect_list("x").alias("asked"))
     cut = base.select("id", "td", "text").join(asked, F.col("id").eqNullSafe(F.col("__id")) & (F.col("td") == F.col("__td"))).select("id", "td", "text", "asked")
-    cut = cut.mapInArrow(_cut(length), f"h long, shard int, shards int, w long, id {id_type}, td long, s long, n int, c binary")
+    cut = cut.mapInArrow(_cut(length), f"h long, shard int, shards int, w long, id {id_type}, td long, s long, n int, g long, c binary")
     windows = f"part long, id array<{id_type}>, td array<long>, a array<long>, b array<long>, x array<long>, y array<long>, settled array<boolean>"
     found = materialize(cut.repartition("h", "shard").sortWithinPartitions("h", "shard").mapInArrow(_sort_shards(length), windows), "windows")
-    release(mixed)
-    inside = found.where("part is null").select(F.inline(F.arrays_zip("id", "td", "a", "b")))
+    release(groups)
+    inside = found.where("part is null").select(F.inline(F.arrays_zip("id", "td", "a", "b", "x", "y")))
+    many = inside.where("a < 0").select(F.col("x").alias("__h"), F.col("y").alias("__g"))
+    settled = shared.join(many, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g"))).select("id", "td", F.col("s").alias("a"), (F.col("s") + F.col("n") * F.col("r") - 1).alias("b"))
     across = found.where("part is not null").repartition("part").sortWithinPartitions("part").mapInArrow(_agree, f"id {id_type}, td long, a long, b long")
-    spans = settled.union(inside).union(across)
+    spans = settled.union(inside.where("a >= 0").select("id", "td", "a", "b")).union(across)
 
     spans = spans.groupBy(F.col("id").alias("__id"), F.col("td").alias("__td")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     rows = base.join(spans, F.col("id").eqNullSafe(F.col("__id")) & (F.col("td") == F.col("__td")), "left")
