@@ -8,13 +8,15 @@ on whole coordinates.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..model import AXES
+from ..session import prepare
 
 #: How far outside the volume a place may lie and still count as on its edge.
 EDGE = 5e-2
@@ -158,54 +160,59 @@ def along_lines(df: DataFrame, grid: Grid, dims: Sequence[int], by: Sequence[str
     return joined.select(*by, *AXES, F.coalesce("__v", "bg").alias("v"))
 
 
+def _reads(grid: Grid, dims: Sequence[int], method: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inside, indexes, weights): what each output voxel reads from a volume's array; one place for nearest, eight for trilinear."""
+    x, y, z = (g.ravel(order="F") for g in np.meshgrid(*[np.arange(n, dtype=float) for n in grid.dims], indexing="ij"))
+    places = np.stack([m[0] * x + m[1] * y + m[2] * z + (m[3] + 1.0) for m in grid.to_old[:3]])
+    size = np.array(dims)[:, None]
+    flat = lambda at: (at[0] - 1) + dims[0] * ((at[1] - 1) + dims[1] * (at[2] - 1))
+    if method == 2:
+        near = half_away(places).astype(np.int64)
+        inside = ((near >= 1) & (near <= size)).all(0)
+        return inside, np.where(inside, flat(near), 0)[None], np.ones((1, len(x)))
+    inside = ((places > 1 - EDGE) & (places < size + EDGE)).all(0)
+    whole = np.floor(places)
+    low = np.clip(whole, 1, size).astype(np.int64)
+    high = np.where((whole < 1) | (whole > size - 1), low, low + 1)
+    upper = places - whole
+    indexes, weights = [], []
+    for corner in range(8):
+        ups = [bool(corner >> k & 1) for k in range(3)]
+        indexes.append(np.where(inside, flat([high[k] if up else low[k] for k, up in enumerate(ups)]), 0))
+        weights.append(np.prod([upper[k] if up else 1 - upper[k] for k, up in enumerate(ups)], axis=0))
+    return inside, np.stack(indexes), np.stack(weights)
+
+
 def on_arrays(wide: DataFrame, grid: Grid, dims: Sequence[int], method: int = 1, bg: float | None = None) -> DataFrame:
-    """Trilinear (1) or nearest (2) resampling of wide volumes: each row's array is read in place, without any exchange.
+    """Trilinear (1) or nearest (2) resampling of wide volumes: each row's array is gathered in place, without any exchange.
 
-    The same results as on long volumes.  A volume must fit in a row, as it
-    does when it comes from a file; long volumes that were cut apart are what
-    the joins are for.
+    The same results as on long volumes.  What an output voxel reads is the
+    same for all volumes, so it is worked out once a task, and a volume is a
+    few vector steps over Arrow batches.  A volume must fit in a row, as it does
+    when it comes from a file; long volumes that were cut apart are what the
+    joins are for.  Null volumes stay null; one of another size is an error.
     """
     if method not in (1, 2):
         raise ValueError("arrays are read by method 1 or 2")
-    m, (nx, ny, nz), (ox, oy, _) = grid.to_old, grid.dims, dims
-    voxels = F.col("voxels")
-    outside = F.lit(float(bg)) if bg is not None else (F.element_at(voxels, 1) + F.element_at(voxels, -1)) / 2
-
-    def place(i: Column) -> Column:
-        at = (i % nx, F.floor(i / nx) % ny, F.floor(i / (nx * ny)))
-        return F.struct(*[(F.lit(float(m[k, 0])) * at[0] + F.lit(float(m[k, 1])) * at[1] + F.lit(float(m[k, 2])) * at[2] + F.lit(float(m[k, 3]) + 1.0)).alias(p) for k, p in enumerate(PLACE)])
-
-    def value_at(xyz: Sequence[Column]) -> Column:
-        """The voxel at 1-based coordinates."""
-        return F.get(voxels, ((xyz[0] - 1) + ox * ((xyz[1] - 1) + oy * (xyz[2] - 1))).cast("int"))
-
-    def nearest_value(p: Column) -> Column:
-        near = [F.round(p[c]).cast("int") for c in PLACE]
-        return F.when(_inside(dims, near), value_at(near)).otherwise(outside)
-
-    def corners(p: Column) -> Column:
-        """The lower and upper neighbour on each axis, and the share of the upper one."""
-        parts = []
-        for k, c in enumerate(PLACE):
-            whole = F.floor(p[c])
-            low = F.when(whole < 1, 1).when(whole > dims[k] - 1, dims[k]).otherwise(whole).cast("int")
-            parts += [low.alias(f"l{k}"), F.when((whole < 1) | (whole > dims[k] - 1), low).otherwise(low + 1).alias(f"u{k}"), (p[c] - whole).alias(f"d{k}")]
-        return F.struct(_inside(dims, [p[c] for c in PLACE], EDGE).alias("inside"), *parts)
-
-    def trilinear_value(c: Column) -> Column:
-        total = F.lit(0.0)
-        for corner in range(8):
-            ups = [corner >> k & 1 for k in range(3)]
-            weight = F.lit(1.0)
-            for k, up in enumerate(ups):
-                weight = weight * (c[f"d{k}"] if up else F.lit(1.0) - c[f"d{k}"])
-            total = total + weight * value_at([c[f"{'u' if up else 'l'}{k}"] for k, up in enumerate(ups)])
-        return F.when(c["inside"], total).otherwise(outside)
-
-    places = F.transform(F.sequence(F.lit(0), F.lit(nx * ny * nz - 1)), place)
-    values = F.transform(places, nearest_value) if method == 2 else F.transform(F.transform(places, corners), trilinear_value)
-    size = F.struct(*[F.lit(n).alias(a) for n, a in zip(grid.dims, AXES, strict=True)])
-    return wide.select(*[values.alias(c) if c == "voxels" else size.alias(c) if c == "dims" else F.col(c) for c in wide.columns])
+    names, expected = wide.columns, int(np.prod(dims))
+
+    def resampled(values: np.ndarray, reads: tuple) -> np.ndarray:
+        if len(values) != expected:
+            raise ValueError(f"a volume has {len(values)} voxels, not {expected}")
+        inside, indexes, weights = reads
+        out = sum(values[i] * w for i, w in zip(indexes, weights, strict=True))
+        return np.where(inside, out, bg if bg is not None else (values[0] + values[-1]) / 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reads = _reads(grid, dims, method)
+        for batch in batches:
+            volumes = [None if v.values is None else resampled(v.values.to_numpy(zero_copy_only=False), reads) for v in batch.column(names.index("voxels"))]
+            size = dict(zip(AXES, grid.dims, strict=True))
+            new = {"voxels": pa.array(volumes, pa.list_(pa.float64())), "dims": pa.array([size] * batch.num_rows, pa.struct([(a, pa.int32()) for a in AXES]))}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(k)) for k, c in enumerate(names)], names=names)
+
+    prepare(wide.sparkSession)
+    return wide.mapInArrow(run, wide.schema)
 
 
 METHODS = {1: trilinear, 2: nearest, 3: along_lines}
