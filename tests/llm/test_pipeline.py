@@ -1,11 +1,12 @@
 from collections import Counter
 
+import corpus_pipeline
 import pytest
 
 from ..oracle import DATA
 from . import plain
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
 
 
 @pytest.fixture(scope="module")
