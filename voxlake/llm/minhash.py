@@ -1,0 +1,183 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash buckets, exact verification.
+
+A text is the set of its shingles.  Bands of minimal hashes choose which texts
+meet; whether two of them link is decided by the similarity of their whole
+sets, so no pair below the limit links.  A pair at similarity s meets with
+probability 1 - (1 - s^ROWS)^BANDS: all but 1.3e-7 of the pairs at exactly 0.8.
+
+Equal sets are collapsed first.  All pairs of a small bucket are verified.  In
+a large one each set is first held against one chosen set of the bucket; what
+that links is one component and needs no more comparing.  Pairs of a large
+bucket that are in different components when this links no more are all
+verified in the end.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import count
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .components import connected_components
+from .storage import materialize, release
+
+ROWS, BANDS = 5, 40
+#: Buckets of so many sets are compared pair by pair at once.
+SMALL = 8
+#: Rounds against one chosen set of a large bucket; they save comparisons and decide nothing.
+STAR_ROUNDS = 4
+_random = np.random.default_rng(3)
+_FACTORS = _random.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MASKS = _random.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct XXH64 hashes of the shingles, sorted; a shorter text is one shingle, no words give none."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    ends = (np.cumsum([len(x) + 1 for x in parts]) - 1).tolist()
+    starts = [0, *(x + 1 for x in ends[:-1])]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=False)] or [digest(joined, 42)], np.uint64))
+
+
+def _node(grams: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(grams.tobytes())
+
+
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """One key a band; none for an empty set."""
+    if not len(grams):
+        return grams
+    least = np.full(ROWS * BANDS, 2**64 - 1, np.uint64)
+    for at in range(0, len(grams), 1024):
+        np.minimum(least, ((grams[at : at + 1024] ^ _MASKS[:, None]) * _FACTORS[:, None]).min(1), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
+    for column in least.reshape(BANDS, ROWS).T:
+        key = (key ^ column) * _MIX
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat))
+
+
+def _signatures(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, keys = [], [], []
+            for x in batch.column(2):
+                grams = shingle_set(x.as_py(), shingle)
+                nodes.append(_node(grams))
+                sizes.append(len(grams))
+                keys.append(band_keys(grams))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(keys)], names=["id", "td", "node", "n", "keys"]
+            )
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                grams = [shingle_set(x.as_py(), shingle) for x in batch.column(0).slice(at, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(g) for g in grams], np.uint64).view(np.int64)), _lists(grams)], names=["node", "grams"])
+
+    return run
+
+
+def _candidates(left: DataFrame, right: DataFrame, least: float, which: Column) -> DataFrame:
+    """Pairs (a, b) of left (key, node, n) and right (__key, b, m) that share a key, meet ``which`` and can be similar enough by their sizes."""
+    sizes = F.least("n", "m") / F.greatest("n", "m") >= F.lit(least)
+    met = left.join(right, F.col("key") == F.col("__key")).where(which & sizes)
+    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    one = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    similar = shared / (F.size("x") + F.size("y") - shared) >= F.lit(least)
+    return materialize(pairs.join(one, "a").join(two, "b").where(similar).select("a", "b"), "links")
+
+
+def _links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Verified links (a, b) that join what all verified pairs join; members: (key, size, node, n)."""
+    part = members.where(F.col("size") <= SMALL).select("key", "node", "n")
+    other = part.select(F.col("key").alias("__key"), F.col("node").alias("b"), F.col("n").alias("m"))
+    links = _verified(_candidates(part, other, least, F.col("node") < F.col("b")), sets, least)
+    large = members.where(F.col("size") > SMALL).select("key", "node", "n")
+    for turn in count():
+        roots = connected_components(links)
+        placed = large.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        chosen = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root")).alias("c")
+        # only buckets that hold sets of several components have anything left to compare
+        open_ = placed.groupBy("key").agg(chosen, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        open_ = materialize(open_.select(F.col("key").alias("__key"), F.col("c.node").alias("b"), F.col("c.n").alias("m"), F.col("c.root").alias("r")), "open")
+        if open_.isEmpty():
+            return links
+        if turn < STAR_ROUNDS:
+            pairs = _candidates(placed, open_, least, F.col("root") != F.col("r"))
+            found = _verified(pairs, sets, least)
+            links = links.union(found)
+            if not found.isEmpty():
+                continue
+        rest = materialize(placed.join(open_.select("__key"), F.col("key") == F.col("__key"), "left_semi"), "rest")
+        other = rest.select(F.col("key").alias("__key"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
+        return links.union(_verified(_candidates(rest, other, least, F.col("root") < F.col("r")), sets, least))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """One row per row of ``docs``: the identifier, __td (a digest of the text), component_id and kept.
+
+    Texts are lower-cased (A-Z) and split at space and U+0009-000D; a text is
+    the set of its shingles of ``shingle`` words, a shorter text is one shingle,
+    and texts without words (or null) are equal.  Texts link at a Jaccard
+    similarity of ``least`` or more; component_id is the smallest identifier
+    reachable and null only if no identifier is.  kept holds for the row of
+    that identifier; rows that repeat it with another text keep the one with
+    the least digest, and equal rows of it all stay.
+    """
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = docs.select(ident.alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("td"), text.alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    prints = materialize(rows.mapInArrow(_signatures(shingle), f"id {id_type}, td long, node long, n int, keys array<long>"), "signatures")
+    nodes = materialize(prints.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "td")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    entered = nodes.select("node", "n", F.explode("keys").alias("key"))
+    buckets = materialize(entered.groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("size")).where(F.col("size") > 1), "buckets")
+    members = materialize(entered.join(buckets, F.col("key") == F.col("__key")).select("key", "size", "node", "n"), "members")
+    # the sets of those alone that meet another, worked out anew from the text
+    met = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("least.id").alias("__id"), F.col("least.td").alias("__td"))
+    texts = rows.join(met, F.col("id").eqNullSafe(F.col("__id")) & (F.col("td") == F.col("__td")), "left_semi").select("text")
+    sets = materialize(texts.mapInArrow(_sets(shingle), "node long, grams array<long>").dropDuplicates(["node"]), "sets")
+
+    roots = connected_components(_links(members, sets, least))
+    groups = nodes.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    # a table of its own, so that the join may split what a large component gathers
+    best = materialize(groups.groupBy(F.col("root").alias("__root")).agg(F.min("least").alias("best")), "components")
+    groups = groups.join(best, F.col("root") == F.col("__root")).select(F.col("node").alias("__node"), "best")
+    found = prints.join(groups, F.col("node") == F.col("__node"))
+    release(sets)
+    release(members)
+    return found.select(
+        F.col("id").alias(id_col), F.col("td").alias("__td"), F.col("best.id").alias("component_id"),
+        (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("td") == F.col("best.td"))).alias("kept"),
+    )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that near_copies keeps, with all their columns."""
+    found = near_copies(docs, id_col, text_col, shingle, least).where("not kept").select(F.col(f"`{id_col}`").alias("__id"), "__td").distinct()
+    td = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (td == F.col("__td")), "left_anti")
