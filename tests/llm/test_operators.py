@@ -229,6 +229,15 @@ def test_lists_are_judged_as_of_the_fetch(spark):
         assert got[page] == (spam + play, ",".join(c for c, on in (("play", play), ("spam", spam)) if on), spam or play)
 
 
+def test_a_host_entry_covers_its_subdomains_at_any_depth(spark):
+    long = ".".join("abcdefghijklmnopqrst") + ".example.org"
+    rows = [("host", h, "spam", "2024-01-01", True) for h in ("b.c.d.e.f.example.org", long)]
+    hosts = {"b.c.d.e.f.example.org": 1, "a.b.c.d.e.f.example.org": 1, "z.y.a.b.c.d.e.f.example.org": 1, "xb.c.d.e.f.example.org": 0, "c.d.e.f.example.org": 0, long: 1, "www." + long: 1}
+    pages = spark.createDataFrame([(i, f"http://{h}/x", "2024-02-01") for i, h in enumerate(hosts)], "page_id long, url string, fetched string")
+    got = {r.page_id: r.n_hits for r in url_filter.filter_captures(pages, url_filter.entries(spark, rows)).collect()}
+    assert got == dict(enumerate(hosts.values()))
+
+
 def test_an_empty_list_blocks_nothing(spark):
     pages = spark.createDataFrame([(1, "http://a.b/", "2024-01-01")], "page_id long, url string, fetched string")
     assert not url_filter.filter_captures(pages, url_filter.entries(spark).limit(0)).first().blocked

@@ -14,8 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Labels of a host that are tried as a suffix of it, counted from the right; a longer host is also tried whole.
-SUFFIXES = 6
 ENTRY_SCHEMA = "kind string, pattern string, category string, day date, active boolean"
 
 #: The list that the query uses.
@@ -72,11 +70,11 @@ def path_of(url: Column) -> Column:
 def _keys(host: Column, path: Column) -> Column:
     """array<struct<kind, pattern>> of all patterns that can match."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(labels), F.lit(SUFFIXES)))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
     words = F.array_distinct(F.filter(F.split(path, r"[^a-z0-9]+"), lambda w: w != ""))
     first = F.regexp_extract(path, r"^/([^/]*)", 1)
     pairs = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("pattern")))
-    hosts = F.when(host != "", F.array_distinct(F.array_append(suffixes, host))).otherwise(F.array().cast("array<string>"))
+    hosts = F.when(host != "", suffixes).otherwise(F.array().cast("array<string>"))
     prefix = F.when((host != "") & (first != ""), F.array(F.concat_ws("/", host, first))).otherwise(F.array().cast("array<string>"))
     return F.concat(pairs("host", hosts), pairs("prefix", prefix), pairs("word", words))
 
