@@ -213,6 +213,18 @@ def test_pairs_at_the_limit_are_found(depth):
     assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() > 0.98
 
 
+def test_long_vectors_at_the_limit_are_linked(spark):
+    rng = np.random.default_rng(6)
+    u = rng.normal(size=(400, 512))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    v = rng.normal(size=u.shape)
+    v -= (v * u).sum(1, keepdims=True) * u
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([u, 0.9001 * u + np.sqrt(1 - 0.9001**2) * v]))]
+    got = embed_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).where("vec_id >= 400 and component_id = vec_id - 400").count()
+    assert got >= 0.995 * 400
+
+
 # URLs
 
 
