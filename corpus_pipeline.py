@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxlake.llm import bpe, exact_dedup, minhash, mixing, quality
+from voxlake.llm import bpe, exact_dedup, mixing, near_copies, quality
 from voxlake.llm.queries import tokenizer
 from voxlake.llm.storage import materialize
 from voxlake.session import prepare
@@ -28,7 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return minhash.drop_near_copies(docs, shingle=5, least=0.8)
+    return near_copies.drop_near_copies(docs, shingle=5, least=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

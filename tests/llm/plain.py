@@ -113,3 +113,19 @@ def groups(keys: list) -> dict:
     for i, k in enumerate(keys):
         out[k].append(i)
     return out
+
+
+def shingles(text: str | None, n: int = 5) -> frozenset:
+    w = words((text or "").translate(ASCII_LOWER))
+    return frozenset([tuple(w[i : i + n]) for i in range(len(w) - n + 1)] or ([tuple(w)] if w else []))
+
+
+def similar(x: frozenset, y: frozenset) -> bool:
+    """Whether two sets have a Jaccard similarity of 0.8 or more; empty ones are equal."""
+    return x == y or 5 * len(x & y) >= 4 * len(x | y)
+
+
+def near_groups(ids: list, texts: list) -> dict:
+    """Smallest identifier reachable of each, over all pairs."""
+    sets = dict(zip(ids, map(shingles, texts)))
+    return components(list(ids), lambda a, b: similar(sets[a], sets[b]))

@@ -1,23 +1,15 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from voxlake.llm import minhash
+from voxlake.llm import near_copies
 
 from ..oracle import DATA
 from . import plain
 
 
-def shingles(text) -> frozenset:
-    w = plain.words((text or "").translate(plain.ASCII_LOWER))
-    return frozenset([tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else []))
-
-
-def similar(x: frozenset, y: frozenset) -> bool:
-    return x == y or 5 * len(x & y) >= 4 * len(x | y)
-
-
 def made_texts() -> list:
     """Families of copies with words changed, some near the limit, beside odd texts and texts that share one long line."""
     rng = random.Random(5)
@@ -42,15 +34,14 @@ def stage(spark, texts):
 
 
 def wanted(ids, texts):
-    sets = dict(zip(ids, map(shingles, texts)))
-    return sorted(set(plain.components(list(ids), lambda a, b: similar(sets[a], sets[b])).values()))
+    return sorted(set(plain.near_groups(ids, texts).values()))
 
 
 @pytest.mark.parametrize("small", [1, 8])
 @pytest.mark.parametrize("stars", [0, 4])
 def test_near_copies_against_all_pairs(spark, small, stars, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash, "STAR_ROUNDS", stars)
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "STAR_ROUNDS", stars)
     texts = made_texts()
     left = stage(spark, texts)
     assert left.columns == ["doc_id", "text"]
@@ -77,6 +68,49 @@ def test_documents_against_all_pairs(spark):
 
 def test_repeated_and_null_identifiers(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "x y z w v"), (None, "A  b c d"), (None, None)], "doc_id long, text string")
-    got = minhash.near_copies(docs).collect()
+    got = near_copies.near_copies(docs).collect()
     assert len(got) == 4 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (None, 1), (None, None)}
-    assert minhash.drop_near_copies(docs.limit(0)).count() == 0
+    assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", [4, 16])
+def test_buckets_in_parts(spark, part, monkeypatch):
+    monkeypatch.setattr(near_copies, "PART", part)
+    monkeypatch.setattr(near_copies, "CHOSEN", 2)
+    monkeypatch.setattr(near_copies, "SMALL", 2)
+    monkeypatch.setattr(near_copies, "MANY", 0)
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(w if rng.random() > 0.01 else f"x{k}" for w in base) for k in range(90)]
+    assert sorted(r.doc_id for r in stage(spark, texts).collect()) == wanted(range(90), texts)
+
+
+def test_fingerprint_and_keys():
+    rng = np.random.default_rng(1)
+    grams = np.unique(rng.integers(0, 2**63, 40_000, dtype=np.uint64))
+    for n in (0, 1, 2, 255, 256, 17_000, len(grams)):
+        got = near_copies.fingerprint(grams[:n])
+        for w in range(near_copies.WORDS):
+            h = near_copies._scrambled(grams[:n] * near_copies._MIX[w + 1])
+            assert int(got[w]) == sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > n)
+    prints = rng.integers(0, 2**63, (50, near_copies.WORDS), dtype=np.uint64)
+    keys = near_copies.segment_keys(prints)
+    for key, (a, b) in zip(keys.T, ((0, 1), (3, 4)) * near_copies.RINGS * 8, strict=True):
+        where = int(key[0]) >> near_copies.WIDTH
+        mask = near_copies._MASKS[where // near_copies.SEGMENTS, where % near_copies.SEGMENTS]
+        assert (key[a] == key[b]) == (((prints[a] ^ prints[b]) & mask) == 0).all()
+
+
+def test_chain_ends_with_the_hamming_distance():
+    rng = np.random.default_rng(2)
+    x = np.zeros((400, near_copies.WORDS), np.uint64)
+    for row in x:
+        for bit in rng.choice(256, rng.integers(0, 110), replace=False):
+            row[bit // 64] |= np.uint64(1 << (int(bit) % 64))
+    key = (rng.integers(0, near_copies.RINGS * near_copies.SEGMENTS, 400) << near_copies.WIDTH).astype(np.int64)
+    within = np.bitwise_count(x).sum(1) <= near_copies.BUDGET
+    ok = near_copies.in_chain(x, key)
+    assert ok.any() and not (ok & ~within).any()
+    # whatever is within the budget has a start from which the chain holds
+    starts = np.arange(near_copies.SEGMENTS) << near_copies.WIDTH
+    assert all(near_copies.in_chain(np.repeat(r[None], near_copies.SEGMENTS, 0), starts).any() for r in x[within])

@@ -7,8 +7,6 @@ from ..oracle import DATA
 from . import plain
 
 
-
-
 @pytest.fixture(scope="module")
 def stages(spark):
     """What goes into each stage and comes out of the last."""
@@ -42,8 +40,7 @@ def test_dedup_stages_against_plain_versions(stages):
         first.setdefault((rows[i] or "").translate(plain.ASCII_LOWER), i)
     exact = sorted(first.values())
     assert sorted(r.doc_id for r in stages[2].collect()) == exact
-    prints = {i: plain.simhash(rows[i]) for i in exact}
-    roots = plain.components(exact, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    roots = plain.near_groups(exact, [rows[i] for i in exact])
     assert sorted(r.doc_id for r in stages[3].collect()) == sorted(set(roots.values()))
 
 
