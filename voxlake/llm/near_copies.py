@@ -39,6 +39,8 @@ WORDS, SEGMENTS, WIDTH, BUDGET, RINGS = 4, 16, 16, 64, 6
 SMALL = 8
 #: Rows of a bucket that are compared with one another at a time, and rows of its first part that all later parts are compared with.
 PART, CHOSEN = 1024, 64
+#: Buckets of so many rows are compared together with others.
+FEW = 64
 #: Rounds against one chosen text of a larger bucket, as long as more pairs than MANY a text are left; they save comparisons and decide nothing.
 STAR_ROUNDS, MANY = 4, 50
 _ORDERS = [np.random.default_rng(3 + r).permutation(64 * WORDS) for r in range(RINGS)]
@@ -192,25 +194,50 @@ class _Bucket:
         member = np.unique(np.r_[i, j])
         if alone and len(member) <= self.small:
             return [(node[i], node[j])], np.zeros(0, np.int64)
-        pairs = [self._few(node, node, np.r_[i, j], np.r_[j, i], np.r_[d, d])]
+        a, b = _few(node, node, np.r_[i, j], np.r_[j, i], np.r_[d, d])
+        pairs = [(node[a], node[b])]
         if self.first is not None:
-            a, b, d = _partners(prints, self.first[1], self.key)
-            pairs.append(self._few(node, self.first[0], a, b, d))
+            a, b = _few(node, self.first[0], *_partners(prints, self.first[1], self.key))
+            pairs.append((node[a], self.first[0][b]))
         else:
             self.first = (node[: self.chosen], prints[: self.chosen])
         # a bucket in several parts goes on whole, as a row's partners may be in another part
         return pairs, member if alone else np.arange(len(node))
 
-    @staticmethod
-    def _few(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each left row its nearest partner and the two with the least numbers."""
-        chosen = []
-        for by in (d, right[j]):
-            order = np.lexsort((right[j], by, i))
-            nth = np.arange(len(order)) - np.searchsorted(i[order], i[order])
-            chosen.append(order[nth < (1 if by is d else 2)])
-        pick = np.unique(np.concatenate(chosen))
-        return left[i[pick]], right[j[pick]]
+
+def _few(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of left, row of right): for each left row its nearest partner and the two with the least numbers."""
+    chosen = []
+    for by, most in ((d, 1), (right[j], 2)):
+        order = np.lexsort((right[j], by, i))
+        nth = np.arange(len(order)) - np.searchsorted(i[order], i[order])
+        chosen.append(order[nth < most])
+    pick = np.unique(np.concatenate(chosen))
+    return i[pick], j[pick]
+
+
+def _together(key: np.ndarray, node: np.ndarray, prints: np.ndarray, small: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Many whole buckets of a few rows each at once: ((key, a, b) of pairs to verify, rows that are members of larger ones)."""
+    head = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))
+    place, step, found = np.arange(len(key)), 1, []
+    while True:
+        place = place[place + step < len(key)]
+        place = place[key[place] == key[place + step]]
+        if not len(place):
+            break
+        x = prints[place] ^ prints[place + step]
+        d = np.bitwise_count(x).sum(1, dtype=np.int64)
+        near = np.flatnonzero(d <= BUDGET)
+        near = near[in_chain(x[near], key[place[near]].astype(np.int64))]
+        found.append((place[near], place[near] + step, d[near]))
+        step += 1
+    i, j, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+    member = np.unique(np.r_[i, j])
+    counts = np.bincount(head[member], minlength=len(key))
+    whole = counts[head[i]] <= small
+    a, b = _few(node, node, *(np.r_[x, y] for x, y in ((i[~whole], j[~whole]), (j[~whole], i[~whole]), (d[~whole], d[~whole]))))
+    a, b = np.r_[i[whole], a], np.r_[j[whole], b]
+    return (key[a], node[a], node[b]), member[counts[head[member]] > small]
 
 
 _MET = f"key int, a long, b long, {', '.join(f'{f} long' for f in _FP)}"
@@ -227,14 +254,21 @@ def _meet(small: int, part: int, chosen: int):
             key, node, prints = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
             out, at = _Out(), 0
             heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            sizes = np.diff(np.r_[heads, len(key)])
+            few = np.repeat((sizes <= FEW) & (np.arange(len(heads)) < len(heads) - 1) & (key[heads] != (bucket.key if bucket else -1)), sizes)
+            met, member = _together(key[few], node[few], prints[few], small)
+            out.pairs(*met)
+            out.members(key[few][member], node[few][member], prints[few][member])
             for h, e in zip(heads.tolist(), [*heads[1:].tolist(), None], strict=True):
                 closed, e = e is not None, len(key) if e is None else e
                 at = h
+                if few[h]:
+                    continue
                 while e - at > part or (closed and e > at):  # an open bucket keeps its last rows for the next batch
                     if bucket is None or bucket.key != key[h]:
                         bucket = _Bucket(int(key[h]), small, chosen)
                     to = min(at + part, e)
-                    out.add(bucket.key, node[at:to], prints[at:to], *bucket.add(node[at:to], prints[at:to], closed and to == e))
+                    out.part(bucket, node[at:to], prints[at:to], closed and to == e)
                     at = to
             held = (key[at:], node[at:], prints[at:])
             yield out.batch()
@@ -243,7 +277,7 @@ def _meet(small: int, part: int, chosen: int):
             if bucket is None or bucket.key != key:
                 bucket = _Bucket(key, small, chosen)
             out = _Out()
-            out.add(key, held[1], held[2], *bucket.add(held[1], held[2], True))
+            out.part(bucket, held[1], held[2], True)
             yield out.batch()
 
     return run
@@ -251,26 +285,29 @@ def _meet(small: int, part: int, chosen: int):
 
 class _Out:
     def __init__(self):
-        self.keys, self.a, self.b, self.prints = [], [], [], []
+        self.met, self.kept = [], []
+
+    def pairs(self, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        self.met.append((key, a, b))
+
+    def members(self, key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> None:
+        self.kept.append((key, node, prints))
 
-    def add(self, key: int, node: np.ndarray, prints: np.ndarray, pairs: list, member: np.ndarray) -> None:
-        """The results of one part of a bucket, whose rows ``member`` counts from."""
+    def part(self, bucket: _Bucket, node: np.ndarray, prints: np.ndarray, last: bool) -> None:
+        """The results of one part of a bucket."""
+        pairs, member = bucket.add(node, prints, last)
         for a, b in pairs:
-            if len(a):
-                self.keys.append(np.full(len(a), key, np.int32))
-                self.a.append(a)
-                self.b.append(b)
-        if len(member):
-            self.prints.append((key, node[member], prints[member]))
+            self.pairs(np.full(len(a), bucket.key, np.int32), a, b)
+        self.members(np.full(len(member), bucket.key, np.int32), node[member], prints[member])
 
     def batch(self) -> pa.RecordBatch:
-        met, members = sum(map(len, self.a)), sum(len(p[1]) for p in self.prints)
-        none = np.zeros(0, np.int64)
-        key = np.concatenate([*self.keys, *(np.full(len(n), k, np.int32) for k, n, _ in self.prints), np.zeros(0, np.int32)])
-        a = np.concatenate([*self.a, *(n for _, n, _ in self.prints), none])
-        b = pa.array(np.concatenate([*self.b, np.zeros(members, np.int64)]) if met + members else none, mask=np.arange(met + members) >= met)
-        prints = np.concatenate([np.zeros((met, WORDS), np.uint64), *(p for *_, p in self.prints)]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(a), b, *(pa.array(np.ascontiguousarray(prints[:, w])) for w in range(WORDS))], names=["key", "a", "b", *_FP])
+        none, met, members = np.zeros(0, np.int64), sum(len(x[0]) for x in self.met), sum(len(x[0]) for x in self.kept)
+        key = np.concatenate([*(x[0] for x in self.met), *(x[0] for x in self.kept), none]).astype(np.int32)
+        a = np.concatenate([*(x[1] for x in self.met), *(x[1] for x in self.kept), none])
+        b = np.concatenate([*(x[2] for x in self.met), np.zeros(members, np.int64), none])
+        prints = np.concatenate([np.zeros((met, WORDS), np.uint64), *(x[2] for x in self.kept)]).view(np.int64)
+        columns = [pa.array(key), pa.array(a), pa.array(b, mask=np.arange(met + members) >= met), *(pa.array(np.ascontiguousarray(prints[:, w])) for w in range(WORDS))]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", *_FP])
 
 
 def _near(right: str) -> Column:
