@@ -1,11 +1,11 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes, in NumPy.
 
 ``suffix_array`` classifies suffixes as S or L, sorts the leftmost-S (LMS)
-substrings by inducing, names them, orders the reduced string and induces the
-full array from it.  Inducing is linear: each bucket's entries go in as a few
-vector steps, in the order of the scan.  The reduced string has a large
-alphabet, for which buckets hold single entries; it is ordered by doubling the
-ranks of its symbols instead of another level of inducing.
+substrings by inducing, names them, orders the string of names by calling
+itself, and induces the full array from that order.  Inducing is linear.  Where
+buckets are large, as those of bytes, each bucket's entries go in as a few
+vector steps, in the order of the scan; where they hold few entries, as those
+of names, entries go in one by one.
 """
 
 from __future__ import annotations
@@ -38,8 +38,44 @@ def _append(into: np.ndarray, free: np.ndarray, symbols: np.ndarray, entries: np
     free[symbols[heads]] += step * counts
 
 
+#: Mean size of a bucket from which its entries are induced in vector steps.
+VECTOR = 64
+
+
 def _induce(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The array that LMS positions, in the order given, induce: first the L entries upwards, then the S entries downwards."""
+    """The array that LMS positions, in the order given, induce."""
+    by_bucket = len(text) >= VECTOR * np.count_nonzero(sizes)
+    return (_induce_buckets if by_bucket else _induce_entries)(text, s_type, seeds, sizes)
+
+
+def _induce_entries(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One entry at a time: the seeds at their buckets' ends, the L entries upwards, then the S entries downwards over the seeds."""
+    ends = np.cumsum(sizes)
+    symbol, is_s, sa = text.tolist(), s_type.tolist(), [-1] * len(text)
+    grouped = seeds[np.argsort(text[seeds], kind="stable")]
+    counts = np.bincount(text[seeds], minlength=len(sizes))
+    places = np.arange(len(seeds)) + np.repeat(ends - np.cumsum(counts), counts)
+    for place, entry in zip(places.tolist(), grouped.tolist(), strict=True):
+        sa[place] = entry
+    free = (ends - sizes).tolist()
+    for entry in sa:
+        if entry > 0 and not is_s[entry - 1]:
+            entry -= 1
+            c = symbol[entry]
+            sa[free[c]] = entry
+            free[c] += 1
+    free = ends.tolist()
+    for i in range(len(sa) - 1, -1, -1):
+        entry = sa[i] - 1
+        if entry >= 0 and is_s[entry]:
+            c = symbol[entry]
+            free[c] -= 1
+            sa[free[c]] = entry
+    return np.array(sa, np.int32)
+
+
+def _induce_buckets(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A bucket at a time: first the L entries upwards, then the S entries downwards."""
     n, symbols = len(text), np.flatnonzero(sizes)
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -98,36 +134,6 @@ def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.n
     return by_place[lms], int(name[-1]) + 1
 
 
-def _order_by_doubling(names: np.ndarray, count: int) -> np.ndarray:
-    """Order of the suffixes of a string of integers; only suffixes that still tie are sorted again."""
-    m = len(names)
-    rank, h = names.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        ranked = rank[order]
-        tied_next = np.r_[ranked[1:] == ranked[:-1], False]
-        tied = tied_next | np.r_[False, tied_next[:-1]]
-        places = np.flatnonzero(tied)
-        if not len(places):
-            return order
-        entries = order[places]
-        after = entries + h
-        second = np.where(after < m, rank[np.minimum(after, m - 1)] + 1, 0)
-        first = rank[entries]
-        again = np.lexsort((second, first))
-        entries, first, second = entries[again], first[again], second[again]
-        order[places] = entries
-        # a rank is the place of the first suffix that has it
-        new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
-        heads = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        if h == 1:  # dense names become places, so that later ranks compare with them
-            sizes = np.bincount(rank, minlength=count)
-            rank = (np.cumsum(sizes) - sizes)[rank]
-        rank = rank.copy()
-        rank[entries] = places[heads]
-        h *= 2
-
-
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Order of the suffixes of an array of small integers whose last symbol is its only least one."""
     n = len(text)
@@ -142,7 +148,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     ordered = sa[is_lms[sa]]
     names, count = _names(text, lms, ordered)
     if count < len(lms):
-        ordered = lms[_order_by_doubling(names, count)]
+        ordered = lms[suffix_array(names)]
     return _induce(text, s_type, ordered, sizes)
 
 
