@@ -215,9 +215,40 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs)
 
 
+#: Bytes as pairs of hexadecimal digits.  Windows are cut out of parts of 1000 starts, as cutting from a whole text takes time with its length.
+OP10_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents
+), p AS (
+  SELECT n, n_bytes, unnest(range(0, greatest(n_bytes - 399, 0), 1000)) AS z FROM d
+), q AS (
+  SELECT p.n, p.z, substr(d.x, 2 * p.z + 1, 2798) AS part, least(1000, p.n_bytes - 399 - p.z) AS k FROM p JOIN d ON d.n = p.n
+), i AS (
+  SELECT n, z, part, unnest(range(0, k)) AS i FROM q
+), w AS (
+  SELECT n, z + i AS s, md5_number(substr(part, 2 * i + 1, 800)) AS h FROM i
+), r AS (
+  SELECT n, s FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
+), l AS (
+  SELECT n, s, coalesce(s > lag(s) OVER (PARTITION BY n ORDER BY s) + 400, true) AS new FROM r
+), e AS (
+  SELECT n, s, sum(new::INT) OVER (PARTITION BY n ORDER BY s) AS run FROM l
+), g AS (
+  SELECT n, run, min(s) AS a, max(s) + 400 AS b FROM e GROUP BY n, run
+), o AS (
+  SELECT n, a, b, coalesce(lag(b) OVER (PARTITION BY n ORDER BY a), 0) AS since FROM g
+), k AS (
+  SELECT o.n, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS rest, string_agg(substr(d.x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept
+  FROM o JOIN d ON d.n = o.n GROUP BY o.n
+)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k ON k.n = d.n
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_exact_dedup, op2_pii, op3_simhash, op4_embedding_links, op5_url_filter, op6_quality, op7_byte_bpe, op8_mix_sources, op9_token_counts, op10_suffix_dedup)
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op2_pii": OP2_SQL, "op4_embedding_links": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_mix_sources": OP8_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op2_pii": OP2_SQL, "op4_embedding_links": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_mix_sources": OP8_SQL, "op10_suffix_dedup": OP10_SQL}
