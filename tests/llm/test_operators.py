@@ -179,6 +179,7 @@ def vectors_of(rng, dim=24):
 @pytest.mark.parametrize("block", [3, 1024])
 def test_vector_links(spark, block, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "SKETCH_BLOCK", 2 * block)
     rows = vectors_of(np.random.default_rng(5))
     unit = []
     for v in rows:
@@ -213,16 +214,19 @@ def test_pairs_at_the_limit_are_found(depth):
     assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() > 0.98
 
 
-def test_long_vectors_at_the_limit_are_linked(spark):
+@pytest.mark.parametrize("depth", [d[1:] for d in embed_dedup.DEPTHS])
+@pytest.mark.parametrize("dim", [64, 128, 512, 768])
+def test_vectors_at_the_limit_are_linked(spark, dim, depth, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "depth_for", lambda n: depth)
     rng = np.random.default_rng(6)
-    u = rng.normal(size=(400, 512))
+    u = rng.normal(size=(1000, dim))
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     v = rng.normal(size=u.shape)
     v -= (v * u).sum(1, keepdims=True) * u
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([u, 0.9001 * u + np.sqrt(1 - 0.9001**2) * v]))]
-    got = embed_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).where("vec_id >= 400 and component_id = vec_id - 400").count()
-    assert got >= 0.995 * 400
+    found = embed_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).where("vec_id >= 1000 and component_id = vec_id - 1000").count()
+    assert found >= 0.99 * 1000
 
 
 # URLs
