@@ -254,6 +254,36 @@ def test_a_host_entry_covers_its_subdomains_at_any_depth(spark):
     assert got == dict(enumerate(hosts.values()))
 
 
+def test_hosts_and_prefixes_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    label = lambda: str(rng.choice(["a", "b", "cc"]))
+    host = lambda n: ".".join(label() for _ in range(n))
+    path = lambda n: "".join("/" + str(rng.choice(["x", "y", "en", ""])) for _ in range(n))
+    listed = [("host", host(int(rng.integers(1, 21))), f"h{k}") for k in range(40)] + [("prefix", host(int(rng.integers(1, 4))) + path(int(rng.integers(0, 6))), f"p{k}") for k in range(150)]
+    listed += [("prefix", host(2) + path(10), f"q{k}") for k in range(5)]
+    hosts = [str(rng.choice(["", "a.", "b.a."])) + (p.split("/")[0] if rng.random() < 0.7 else host(int(rng.integers(3, 20)))) for _, p, _ in listed]
+    urls = [f"http://{h}{'/' + p.split('/', 1)[1] if '/' in p else ''}{path(int(rng.integers(0, 4)))}?q=/x" for h, (_, p, _) in zip(hosts, listed)]
+    urls += urls[:3] + ["http://a" + "/x" * 5000, "http://" + "a." * 3000 + "b/"]
+
+    def hits(url):
+        h, _, p = url.split("://")[1].partition("?")[0].partition("/")
+        h, whole = h.rstrip("."), (h + "/" + p if "/" in url.split("://")[1].partition("?")[0] else h)
+        out = []
+        for kind, pattern, category in listed:
+            pattern = pattern.rstrip("/")
+            if kind == "host" and (h == pattern or h.endswith("." + pattern)) or kind == "prefix" and (whole == pattern or whole.startswith(pattern + "/")):
+                out.append(category)
+        return sorted(out)
+
+    pages = spark.createDataFrame([(i, u, "2024-02-01", i % 3) for i, u in enumerate(urls)], "page_id long, url string, fetched string, k long").withColumn("blocked", F.lit("x"))
+    got = url_filter.filter_captures(pages, url_filter.entries(spark, [(*e, "2024-01-01", True) for e in listed]))
+    assert got.columns == ["page_id", "url", "k", "host", "fetched", "n_hits", "categories", "blocked"]
+    found = {r.page_id: r for r in got.collect()}
+    assert len(found) == len(urls) and sum(r.blocked for r in found.values()) > 50
+    for i, url in enumerate(urls):
+        assert (found[i].n_hits, found[i].categories, found[i].k) == (len(hits(url)), ",".join(hits(url)), i % 3), url
+
+
 def test_an_empty_list_blocks_nothing(spark):
     pages = spark.createDataFrame([(1, "http://a.b/", "2024-01-01")], "page_id long, url string, fetched string")
     assert not url_filter.filter_captures(pages, url_filter.entries(spark).limit(0)).first().blocked
@@ -329,6 +359,8 @@ def test_length_histogram(spark, texts):
     for k, r in rows.items():
         assert (r.docs_up_to, r.tokens_up_to, r.docs_beyond, r.tokens_beyond) == (sum(x <= k for x in n), sum(x for x in n if x <= k), sum(x > k for x in n), sum(x for x in n if x > k))
         assert r.truncated_total == sum(min(x, k) for x in n) and r.quantile == pytest.approx(sum(x <= k for x in n) / len(n))
+    assert token_counts.answer(hist, []).count() == 0
+    assert [tuple(r) for r in token_counts.answer(hist.limit(0), [7, 7]).collect()] == [(7, 0, 0)] * 2
     got = {r.limit_tokens: (r.docs_within, r.truncated_total) for r in token_counts.answer(hist, [0, 5, 100, 10**6]).collect()}
     assert got == {k: (sum(x <= k for x in n), sum(min(x, k) for x in n)) for k in (0, 5, 100, 10**6)}
 

@@ -147,7 +147,7 @@ WITH e(kind, pattern, category, day, active) AS (VALUES
 ), h AS (
   SELECT p.page_id, i.category FROM p JOIN i ON i.active AND i.since <= p.fetched AND (i.until IS NULL OR p.fetched < i.until) AND (
     (i.kind = 'host' AND (p.host = i.pattern OR ends_with(p.host, '.' || i.pattern)))
-    OR (i.kind = 'prefix' AND p.host || '/' || regexp_extract(p.path, '^/([^/]*)', 1) = i.pattern)
+    OR (i.kind = 'prefix' AND p.host <> '' AND (p.host || p.path = i.pattern OR starts_with(p.host || p.path, i.pattern || '/')))
     OR (i.kind = 'word' AND list_contains(string_split_regex(p.path, '[^a-z0-9]+'), i.pattern)))
 ), g AS (
   SELECT page_id, count(*) AS n_hits, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM h GROUP BY page_id

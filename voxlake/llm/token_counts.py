@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .bpe import encode, encoder, send_ranks
+from .storage import materialize
 
 #: Lengths per block of the two-level prefix sums.
 BLOCK = 256
@@ -38,9 +39,10 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     no longer.  Null lengths are left out; no documents give no rows.
 
     Sums run over blocks of lengths and then inside each block, so no task
-    reads the whole histogram row by row but for one row a block.
+    reads the whole histogram row by row but for one row a block.  The counts
+    are written once, as both levels read them: texts are encoded once.
     """
-    counts = lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
+    counts = materialize(lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.expr(f"n_tokens div {BLOCK}")), "lengths")
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     everything = W.orderBy("block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -56,9 +58,18 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def answer(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit (limit_tokens): docs_within and truncated_total, from the histogram."""
-    spark = histogram.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "limit_tokens long")
-    at = asked.join(histogram, F.col("n_tokens") <= F.col("limit_tokens"), "left").groupBy("limit_tokens").agg(F.max(F.struct("n_tokens", "docs_up_to", "tokens_up_to", "docs_beyond")).alias("h"))
-    total = histogram.agg(F.sum("n_docs").alias("all_docs"))
-    return at.join(F.broadcast(total)).select("limit_tokens", F.coalesce("h.docs_up_to", F.lit(0)).alias("docs_within"), (F.coalesce("h.tokens_up_to", F.lit(0)) + F.col("limit_tokens") * F.coalesce("h.docs_beyond", "all_docs", F.lit(0))).alias("truncated_total"))
+    """For each context limit (limit_tokens): docs_within and truncated_total, from the histogram.
+
+    One pass over the histogram, whatever the limits; below the shortest length
+    all documents are truncated to the limit.  An empty histogram gives 0 and 0
+    for each limit, repeated limits a row each, no limits no rows.
+    """
+    at = [F.max(F.when(F.col("n_tokens") <= int(x), F.struct("n_tokens", "docs_up_to", "tokens_up_to"))).alias(f"h{k}") for k, x in enumerate(limits)]
+    found = histogram.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), *at)
+
+    def row(k: int, limit: int):
+        docs, tokens = (F.coalesce(F.col(f"h{k}.{c}"), F.lit(0)) for c in ("docs_up_to", "tokens_up_to"))
+        return F.struct(F.lit(limit).cast("long").alias("limit_tokens"), docs.alias("docs_within"), (tokens + F.lit(limit) * (F.col("n") - docs)).alias("truncated_total"))
+
+    rows = F.array(*[row(k, int(x)) for k, x in enumerate(limits)]) if limits else F.array().cast("array<struct<limit_tokens:bigint,docs_within:bigint,truncated_total:bigint>>")
+    return found.select(F.inline(rows))
