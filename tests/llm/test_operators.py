@@ -99,8 +99,11 @@ def test_base_spans(spark, texts):
 
 def test_added_kinds_need_checksums_and_context(spark):
     rows = ["pay to GB82 WEST 1234 5698 7654 32", "GB83WEST12345698765432", "his social security number 123-45-6789", "order 123-45-6789", "sample iban DE89370400440532013000"]
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows += [f'token = "{key}"', f"commit {key}", f"API-key:{key.upper()}/x", key, f"token {'a' * 40}", f"token {'donaudampfschifffahrt'}", "card 4111111111111111", "part 4111111111111111"]
     got = pii.find_spans(docs_of(spark, rows)).orderBy("doc_id").collect()
-    assert [[s.kind for s in r.spans] for r in got] == [["iban"], [], ["ssn"], [], ["iban"]]
+    assert [[s.kind for s in r.spans] for r in got] == [["iban"], [], ["ssn"], [], ["iban"], ["secret"], [], ["secret"], [], [], [], ["card"], ["card"]]
+    assert got[11].spans[0].score > got[12].spans[0].score and [(s.start, s.end) for s in got[5].spans] == [(9, 49)]
     assert got[0].spans[0].score > got[4].spans[0].score - 1e-9
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 MARK, SPARE = "\ue000", "\ue001"
 BASE_KINDS = ("email", "ip", "card", "phone")
-EXTRA_KINDS = ("iban", "ssn")
+EXTRA_KINDS = ("iban", "ssn", "secret")
 KINDS = (*BASE_KINDS, *EXTRA_KINDS)
 
 _LOCAL = rf"[A-Za-z0-9._%+{MARK}-]"
@@ -28,13 +28,22 @@ CARD = rf"(?<![0-9{MARK}])[0-9](?:{MARK}?[0-9]){{13,18}}(?![0-9{MARK}])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+#: Keys and passwords: a long run of characters that must look random; only words nearby make it a secret.
+SECRET = r"[A-Za-z0-9_+/-]{20,}"
+SECRET_DIGITS, SECRET_LETTERS, SECRET_DISTINCT = 5, 4, 10
 #: Characters that must not stand next to a span of an added kind.
-BORDER = {"iban": "[A-Za-z0-9]", "ssn": "[0-9-]"}
+BORDER = {"iban": "[A-Za-z0-9]", "ssn": "[0-9-]", "secret": "[A-Za-z0-9_+/-]"}
 
 #: Words near a span that raise or lower its score, and how far they are looked for.
-RAISING = {"iban": "iban|account|bank|konto|cuenta|compte", "ssn": "ssn|social|security|tax"}
-LOWERING = {"iban": "sample|example|serial|part", "ssn": "sample|example|serial|part|order|invoice"}
-START_SCORE = {"iban": 0.7, "ssn": 0.3}
+RAISING = {
+    "email": "mail|contact|write", "ip": "address|server|host|login", "card": "card|visa|credit|pay", "phone": "phone|tel|call|mobile|fax",
+    "iban": "iban|account|bank|konto|cuenta|compte", "ssn": "ssn|social|security|tax", "secret": "token|secret|passw|api.?key|access.?key|private.?key|bearer|credential",
+}
+LOWERING = {
+    "email": "sample|example", "ip": "sample|example|version", "card": "sample|example|serial|part", "phone": "sample|example|serial|part",
+    "iban": "sample|example|serial|part", "ssn": "sample|example|serial|part|order|invoice", "secret": "sample|example|checksum|digest|commit|md5|sha1|sha256",
+}
+START_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.7, "ssn": 0.3, "secret": 0.3}
 NEAR, STEP, LEAST_SCORE = 40, 0.3, 0.5
 
 
@@ -85,6 +94,12 @@ def mod97(value: Column) -> Column:
     return F.aggregate(number, F.lit(0), lambda a, d: (a * F.when(d > 9, 100).otherwise(10) + d) % 97) == 1
 
 
+def looks_random(value: Column) -> Column:
+    """Whether a run of characters has digits, letters and different characters enough for a key."""
+    digits, letters = F.length(F.regexp_replace(value, "[^0-9]", "")), F.length(F.regexp_replace(value, "[^A-Za-z]", ""))
+    return (digits >= SECRET_DIGITS) & (letters >= SECRET_LETTERS) & (F.size(F.array_distinct(F.split(value, ""))) >= SECRET_DISTINCT)
+
+
 def _small_parts(value: Column) -> Column:
     """Whether all dotted parts are at most 255, however many digits they have."""
     return F.forall(F.split(value, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+(?=[0-9])", "")).between(1, 3) & (F.substring(F.regexp_replace(p, "^0+(?=[0-9])", ""), 1, 3).cast("int") <= 255))
@@ -100,7 +115,7 @@ def _score(text: Column, kind: str, span: Column) -> Column:
     """The kind's own score, raised or lowered by words within NEAR characters of the span."""
     start = F.greatest(span["start"] - NEAR, F.lit(0))
     near = F.lower(F.concat(F.substring(text, start + 1, span["start"] - start), F.lit(" "), F.substring(text, span["end"] + 1, F.lit(NEAR))))
-    return F.lit(START_SCORE[kind]) + F.when(near.rlike(RAISING[kind]), STEP).otherwise(0.0) - F.when(near.rlike(LOWERING[kind]), STEP).otherwise(0.0)
+    return F.least(F.lit(1.0), F.lit(START_SCORE[kind]) + F.when(near.rlike(RAISING[kind]), STEP).otherwise(0.0) - F.when(near.rlike(LOWERING[kind]), STEP).otherwise(0.0))
 
 
 def _if_any(text: Column, quick: str, spans: Column) -> Column:
@@ -109,11 +124,10 @@ def _if_any(text: Column, quick: str, spans: Column) -> Column:
 
 
 def _scored(text: Column, order: int, kind: str) -> Column:
-    """The kind's spans with their score, in a shape that sorts by start and then kind."""
+    """The kind's spans with their score, in a shape that sorts by start and then kind; of the added kinds those that reach LEAST_SCORE."""
 
     def row(s: Column) -> Column:
-        score = F.lit(1.0) if kind in BASE_KINDS else _score(text, kind, s)
-        return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
+        return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), _score(text, kind, s).alias("score"))
 
     rows = F.transform(F.col(f"__{kind}"), row)
     return rows if kind in BASE_KINDS else F.filter(rows, lambda s: s["score"] >= LEAST_SCORE)
@@ -124,8 +138,9 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Base kinds match the documented expressions leftmost and without overlap
     within a kind; matches that fail their check (parts up to 255; 14 to 19
-    digits that pass Luhn; 10 to 15 digits) are dropped, not retried.  Spans of
-    two kinds may overlap.  ``start`` counts code points from 0, ``end`` is
+    digits that pass Luhn; 10 to 15 digits) are dropped, not retried.  Words
+    near a span raise or lower its score: base spans stay whatever it is, others
+    where it reaches LEAST_SCORE.  Spans of two kinds may overlap.  ``start`` counts code points from 0, ``end`` is
     exclusive.  Null counts as empty and has no spans.  A column of the input
     named spans is replaced; an empty table gives an empty result.
     """
@@ -140,6 +155,7 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "phone": _if_any(text, r"\+[0-9]", F.filter(_spans(text, PHONE, "phone"), lambda s: F.size(_digits(s["value"])).between(10, 15))),
         "iban": _if_any(text, "[A-Z]{2}[0-9]{2}", F.filter(_spans(text, IBAN, "iban"), lambda s: mod97(s["value"]) & _stands_alone(text, "iban", s))),
         "ssn": _if_any(text, "[0-9]-[0-9]{2}-[0-9]", F.filter(_spans(text, SSN, "ssn"), lambda s: _stands_alone(text, "ssn", s))),
+        "secret": _if_any(text, SECRET, F.filter(_spans(text, SECRET, "secret"), lambda s: looks_random(s["value"]))),
     }
     scored = [_scored(text, order, kind) for order, kind in enumerate(KINDS)]
     found = docs.select(*kept, *[c.alias(f"__{kind}") for kind, c in raw.items()])

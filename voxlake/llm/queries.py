@@ -43,7 +43,8 @@ SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM k
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
-    counts = [pii.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    counts = [pii.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    counts.append(F.size("spans").cast("long").alias("n_spans"))
     return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
@@ -54,6 +55,7 @@ _PII_FINDS = (
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
     ("iban", pii.IBAN),
     ("ssn", pii.SSN),
+    ("secret", pii.SECRET),
 )
 OP2_SQL = (
     "WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents), f AS ("
@@ -79,15 +81,19 @@ OP2_SQL = (
     WHEN 'iban' THEN NOT regexp_matches(beside, '[A-Za-z0-9]') AND list_reduce(list_concat([0], list_transform(range(1, length(moved) + 1), lambda i:
       CASE WHEN substr(moved, i, 1) <= '9' THEN ascii(substr(moved, i, 1)) - 48 ELSE ascii(substr(moved, i, 1)) - 55 END)), lambda x, y: (x * CASE WHEN y > 9 THEN 100 ELSE 10 END + y) % 97) = 1
       AND 0.7 + CASE WHEN regexp_matches(near, 'RAISE_IBAN') THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches(near, 'LOWER_IBAN') THEN 0.3 ELSE 0 END >= 0.5
-    ELSE NOT regexp_matches(beside, '[0-9-]')
-      AND 0.3 + CASE WHEN regexp_matches(near, 'RAISE_SSN') THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches(near, 'LOWER_SSN') THEN 0.3 ELSE 0 END >= 0.5 END AS ok
+    WHEN 'ssn' THEN NOT regexp_matches(beside, '[0-9-]')
+      AND 0.3 + CASE WHEN regexp_matches(near, 'RAISE_SSN') THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches(near, 'LOWER_SSN') THEN 0.3 ELSE 0 END >= 0.5
+    ELSE length(digits) >= 5 AND length(regexp_replace(v, '[^A-Za-z]', '', 'g')) >= 4 AND len(list_distinct(string_split(v, ''))) >= 10
+      AND 0.3 + CASE WHEN regexp_matches(near, 'RAISE_SECRET') THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches(near, 'LOWER_SECRET') THEN 0.3 ELSE 0 END >= 0.5 END AS ok
   FROM q
 ), g AS (
   SELECT n, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) AS spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) FILTER (ord < 4) AS base,
-         count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone
+         count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+         count(*) FILTER (kind = 'iban') AS n_iban, count(*) FILTER (kind = 'ssn') AS n_ssn, count(*) FILTER (kind = 'secret') AS n_secret, count(*) AS n_spans
   FROM c WHERE ok GROUP BY n
 )
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       coalesce(n_iban, 0) AS n_iban, coalesce(n_ssn, 0) AS n_ssn, coalesce(n_secret, 0) AS n_secret, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (n)
 """
 )
