@@ -346,21 +346,23 @@ def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, least: float)
         placed = materialize(rooted, "placed")
         # only buckets that hold texts of several components have anything left to compare
         each = placed.groupBy("key", "root").agg(F.count("*").alias("k"))
-        open_ = each.groupBy("key").agg(F.count("*").alias("roots"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("left")).where("roots > 1")
-        open_ = materialize(open_.select(F.col("key").alias("_k"), "left"), "open")
+        open_ = each.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("left"))
+        open_ = materialize(open_.where("roots > 1").select(F.col("key").alias("_k"), "main", "left"), "open")
         left = open_.agg(F.sum("left").alias("x")).first().x
         if not left:
             release(placed)
             return links
-        rest = placed.join(open_, F.col("key") == F.col("_k"), "left_semi")
         found = None
         if turn < STAR_ROUNDS and left > MANY * placed.count():
-            chosen = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", *_FP, "root")).alias("c"))
-            chosen = underscored(chosen.select("key", "c.node", *[F.col(f"c.{f}").alias(f) for f in _FP], "c.root"))
-            found = _verified(_candidates(rest, chosen, F.col("root") != F.col("_root")), sets, least)
+            chosen = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", *_FP, "root")).alias("c"))
+            chosen = underscored(chosen.select("key", "c.node", *[F.col(f"c.{f}") for f in _FP], "c.root"))
+            found = _verified(_candidates(placed, chosen, F.col("root") != F.col("_root")), sets, least)
             links = links.union(found)
         if found is None or found.isEmpty():
-            return links.union(_verified(_candidates(rest, underscored(rest), F.col("root") < F.col("_root")), sets, least))
+            # of two texts of different components one at least is outside the bucket's largest one
+            outside = placed.join(open_, (F.col("key") == F.col("_k")) & (F.col("root") != F.col("main"))).drop("_k", "main", "left")
+            found = _verified(_candidates(outside, underscored(placed), F.col("root") != F.col("_root")), sets, least)
+            return links.union(found)
         release(placed)
 
 
