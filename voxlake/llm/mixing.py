@@ -8,10 +8,14 @@ its size is repeated for whole epochs first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Hex digits of the key that name its range: 16 ** 3 ranges a source.
-RANGE_DIGITS = 3
+from .storage import materialize
+
+#: Rows that a source of a third of all rows has in a range; the ranges, whatever their number, don't change the result.
+RANGE_ROWS = 100_000
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
@@ -46,7 +50,7 @@ def budgets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     return final.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", size_col: str | None = None) -> DataFrame:
     """All columns of ``docs`` plus size, source_size, target and taken.
 
     ``taken`` is the number of words of the document that the mix takes,
@@ -56,11 +60,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null sources form one source, the last; null texts have size 0.  Rows that
     repeat an identifier are ordered by their size and counted each.  Columns
     of the input that bear a result's name are replaced; an empty table gives
-    an empty result.
+    an empty result.  ``size_col`` names a column that holds the sizes, if there
+    is one; the text is not needed then.  Sizes are worked out once and written
+    with the rows.
     """
     taken = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken") and not c.startswith("__")]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
-    rows = docs.select(*taken, F.col(f"`{source_col}`").alias("__source"), words(F.col(f"`{text_col}`")).alias("size"), key.alias("__key")).withColumn("__range", F.substring("__key", 1, RANGE_DIGITS))
+    rows = docs.select(*taken, F.col(f"`{source_col}`").alias("__source"), (F.coalesce(F.col(f"`{size_col}`").cast("long"), F.lit(0).cast("long")) if size_col else words(F.col(f"`{text_col}`"))).alias("size"), key.alias("__key"))
+    rows = materialize(rows, "sized")
+    digits = max(3, math.ceil(math.log(max(1, rows.count() / 3 / RANGE_ROWS), 16)))
+    rows = rows.withColumn("__range", F.substring("__key", 1, digits))
 
     ranges = rows.groupBy("__source", "__range").agg(F.sum("size").alias("__words"))
     totals = budgets(ranges.groupBy(F.col("__source").alias("source")).agg(F.sum("__words").alias("source_size")), weights, share, most)
@@ -105,6 +114,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     text = F.when(part, _first_words(F.col(f"`{text_col}`"), rest)).otherwise(F.col(f"`{text_col}`"))
     out = []
     for c in docs.columns:
+        if c.startswith("__"):
+            continue
         if c == text_col:
             out.append(text.alias(c))
         elif c == "n_chars":
