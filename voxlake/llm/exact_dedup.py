@@ -3,8 +3,13 @@
 Sampled splitters range-partition the normalised texts, each range is sorted
 externally, and every row is compared in full with its neighbour.  Splitters
 end with the identifier, so a large group of equal texts is cut over several
-ranges; the runs that touch a border of their range are joined up from two
-rows a range.
+ranges; the parts of a cut group are compared in full and joined up from a row
+a range.
+
+Texts sort by their beginning and, where that agrees, by digest: equal texts
+are neighbours as they are when sorted by all their bytes, and splitters stay
+short.  Splitters of whole texts would make the driver's sample as large as
+MOST_SAMPLES texts.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes of a text that take part in a splitter; the digest and the identifier follow.
+#: Characters of a text that take part in a splitter; the digest and the identifier follow.
 HEAD = 24
 #: Ranges per shuffle partition, and sampled keys per range.
 RANGES, SAMPLES = 6, 40
@@ -27,7 +32,7 @@ def normalised(text: Column) -> Column:
 
 
 def _head(text: Column) -> Column:
-    """The first bytes of the normalised text in hexadecimal digits, which sort as they do."""
+    """The bytes of the normalised text's first HEAD characters in hexadecimal digits, which sort as they do."""
     return F.hex(normalised(F.substring(text, 1, HEAD)))
 
 
@@ -90,21 +95,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("__n", F.count("*").over(own))
         .withColumn("__nth", F.row_number().over(own.orderBy(order)))
     )
-    whole = runs.join(F.broadcast(_cut_groups(ranged, splitters, best)), "text_sha256", "left")
+    whole = runs.join(F.broadcast(_cut_groups(ranged, text, splitters, best)), "text_sha256", "left")
     keep_id = F.when(F.col("__all").isNull(), F.col("__best")).otherwise(F.col("__top"))
     stays = F.col("__id").eqNullSafe(keep_id) & (F.col("__nth") == 1) & (F.col("__at").isNull() | (F.col("__at") == F.col("__range")))
     return whole.select(*taken, keep_id.alias("keep_id"), F.coalesce("__all", "__n").cast("long").alias("group_size"), stays.alias("kept"), "text_sha256")
 
 
-def _cut_groups(rows: DataFrame, splitters: list[str], best) -> DataFrame:
+def _cut_groups(rows: DataFrame, text: Column, splitters: list[str], best) -> DataFrame:
     """For each group that a splitter cuts: its size, the identifier that stays and that one's range.
 
     Only a text whose digest stands in a splitter lies on both sides of it, so
-    there are fewer groups here than ranges: a broadcast of bounded size.
+    there are fewer groups here than ranges: a broadcast of bounded size.  Each
+    range's part gives one text, and these are compared in full: two texts of
+    one digest are an error.
     """
     cut = [s.split(".")[:2] for s in splitters]
     here = F.col("__head").isin([c[0] for c in cut]) & F.col("text_sha256").isin([c[1] for c in cut]) if cut else F.lit(False)
-    found = rows.where(here).groupBy("text_sha256", "__range").agg(best("__id").alias("__id"), F.count("*").alias("__n"))
+    parts = rows.where(here).select("text_sha256", "__range", "__id", normalised(text).alias("__t"))
+    found = parts.groupBy("text_sha256", "__range").agg(best("__id").alias("__id"), F.count("*").alias("__n"), F.min("__t").alias("__lo"), F.max("__t").alias("__hi"))
     pick = F.min_by if best is F.min else F.max_by
     known = F.col("__id").isNull() if best is F.min else F.col("__id").isNotNull()
-    return found.groupBy("text_sha256").agg(F.sum("__n").alias("__all"), best("__id").alias("__top"), pick("__range", F.struct(known, "__id")).alias("__at"))
+    size = F.when(F.min("__lo") == F.max("__hi"), F.sum("__n")).otherwise(F.raise_error(F.lit("two texts have one digest")).cast("long"))
+    return found.groupBy("text_sha256").agg(size.alias("__all"), best("__id").alias("__top"), pick("__range", F.struct(known, "__id")).alias("__at"))
