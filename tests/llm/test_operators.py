@@ -321,6 +321,34 @@ def test_labels_of_held_out_rows_are_never_read(spark):
     assert all(np.array_equal(x, y) for x, y in zip(a.tables, b.tables))
 
 
+def test_scores_are_sums_of_looked_up_bins(spark, texts):
+    rng = np.random.default_rng(9)
+    every = texts + [" ".join(rng.choice(["a", "bb", "Ccc!", "9", "|"], rng.integers(1, 60))) for _ in range(200)]
+    model = quality.train(docs_of(spark, every), spark.createDataFrame([(i, int(rng.integers(0, 2))) for i in range(len(every))], "doc_id long, quality int"))
+    assert model.pairs
+
+    def plain_score(text):
+        x, total = quality.features(text), model.intercept
+        bin_of = lambda cuts, v: sum(c <= v for c in cuts)
+        for k, v in enumerate(x):
+            total += model.tables[k][bin_of(model.cuts[k], v)]
+        for (a, b), table in model.pairs.items():
+            total += table[bin_of(model.coarse[a], x[a])][bin_of(model.coarse[b], x[b])]
+        return 1 / (1 + np.exp(-total))
+
+    docs = docs_of(spark, every)
+    for r in quality.score(docs.union(docs.limit(30)), model).collect():
+        assert abs(r.score - plain_score(every[r.doc_id])) < 1e-9 and r.predicted == (r.score >= 0.5)
+
+
+def test_labels_that_repeat_count_once(spark):
+    docs = docs_of(spark, [f"text {i} " * (i % 5 + 1) for i in range(60)])
+    labels = [(i, i % 2) for i in range(60)]
+    a, b, c = (quality.train(docs, spark.createDataFrame(x, "doc_id long, quality int")) for x in (labels, labels + labels[:20], labels + [(i, 1 - i % 2) for i in range(60)]))
+    assert all(np.array_equal(x, y) for x, y in zip(a.tables, b.tables))
+    assert quality.score(docs, c).where("abs(score - 0.5) > 1e-9").count() == 0
+
+
 def test_one_label_gives_a_constant():
     x = np.zeros((4, len(quality.FEATURES)))
     assert quality.fit(x, np.ones(4)).scores(x).min() > 0.5 > quality.fit(x, np.zeros(4)).scores(x).max()
@@ -344,7 +372,7 @@ def reference_encoder():
 def test_tokens_are_those_of_the_whole_text(spark, texts, piece, monkeypatch):
     monkeypatch.setattr(bpe, "PIECE", piece)
     enc = reference_encoder()
-    every = texts + ["it's  we'll\n\n  x\t  y 12 345!? ", "<|endoftext|> a" * 9, " " * 40 + "x" + " " * 40]
+    every = texts + ["it's  we'll\n\n  x\t  y 12 345!? ", "<|endoftext|> a" * 9, " " * 40 + "x" + " " * 40, "!\x1c?\x1d \x1e!a\x1f\x85b\u00a0c!\u2028d\u3000 e" * 5]
     for t in every:
         assert [i for p in bpe.pieces(t or "", piece) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(t or "")
     got = {r.doc_id: r for r in bpe.bpe_round_trip(docs_of(spark, every, True), *tokenizer()).collect()}

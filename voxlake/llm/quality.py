@@ -174,10 +174,12 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000) -> Model:
     """Fit on at most about ``max_rows`` labelled rows that aren't held out, sampled by a hash of the identifier.
 
-    Rows without identifier or label are left out; the sampled labels, bounded
-    by ``max_rows``, are what is broadcast.
+    Rows without identifier or label are left out, and labels that repeat an
+    identifier count once, as their mean; documents that repeat one count each.
+    The sampled labels, bounded by ``max_rows``, are what is broadcast.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("double").alias("y")).where("__id is not null and y is not null").where(~held_out(F.col("__id")))
+    known = known.groupBy("__id").agg(F.avg("y").alias("y"))
     every = -(-known.count() // max_rows) or 1
     sample = known.where(F.pmod(F.xxhash64("__id"), F.lit(every)) == 0).limit(2 * max_rows)
     rows = docs.select(F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("text", "y").mapInArrow(_feature_rows, "x array<double>, y double").collect()
@@ -211,4 +213,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, with their columns."""
-    return score(docs, model, id_col, text_col, keep_text=True).where("predicted = 1").select(*[f"`{c}`" for c in docs.columns])
+    return score(docs, model, id_col, text_col, keep_text=True).where("predicted = 1").select(*[f"`{c}`" for c in docs.columns if not c.startswith("__")])
