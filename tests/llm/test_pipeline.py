@@ -64,3 +64,32 @@ def test_tokens_decode_to_the_texts(stages):
 def test_run_gives_the_last_stage(spark, stages):
     key = lambda df: sorted((r.doc_id, r.ids_sha256) for r in df.select("doc_id", "ids_sha256").collect())
     assert key(corpus_pipeline.run(spark, str(DATA))) == key(stages[5])
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, score string, node string, least string, __id string, `a b` string"
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows_and_columns(spark, name, stage):
+    if not DATA.exists():
+        pytest.skip("the driver's tables aren't here")
+    texts = [*plain.odd_texts(), None, ""]
+    rows = [(i if i % 7 else None, t, None, None if i % 3 else "s", None, "x", "y", "z", "n", "l", "i", "ab") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[5:9], ODD)
+    got = stage(spark, docs, str(DATA))
+    left = [tuple(r) for r in got.select("doc_id", "`a b`").collect()]
+    assert {r[0] for r in left} <= {r[0] for r in rows} and all(r[1] == "ab" for r in left)
+    if name != "tokens":
+        assert got.columns == [c for c in docs.columns if c != "__id"]
+        assert {r.text for r in got.select("text").collect()} <= set(texts) or name == "mix"
+    else:
+        assert len(left) == len(rows) + 4
+    empty = stage(spark, docs.limit(0), str(DATA))
+    assert empty.columns == got.columns and empty.count() == 0
+
+
+def test_near_dedup_keeps_the_smallest_identifier_and_takes_nulls_last(spark):
+    texts = [(None, "a b c d e f"), (9, "a b c d e f"), (4, "A b c d e f"), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(DATA)).collect()) == [4, 7]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, str(DATA)).collect()) == [4, 7]

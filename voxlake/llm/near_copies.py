@@ -407,7 +407,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that near_copies keeps, with all their columns."""
+    """The rows of ``docs`` that near_copies keeps, with all their columns but internal ones."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")])
     found = near_copies(docs, id_col, text_col, shingle, least).where("not kept").select(F.col(f"`{id_col}`").alias("__id"), "__td").distinct()
     td = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (td == F.col("__td")), "left_anti")

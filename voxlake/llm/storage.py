@@ -3,7 +3,11 @@
 ``materialize`` cuts lineage: it writes a frame as Parquet below
 ``spark.checkpoint.dir`` and reads it back, so a lost executor costs a re-read
 and not a recomputation.  The folder is the cluster's own setting; only where
-it is unset (tests on one machine) a folder of this process is used.
+it is unset (tests on one machine) a folder of this process is used; a cluster
+without the setting is an error, as its workers would write elsewhere.
+
+Tables live until ``release``, or until ``release_since`` a point in time; what
+a frame that was handed on still reads lives until the driver's Python ends.
 """
 
 from __future__ import annotations
@@ -19,9 +23,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; set to a local one if unset."""
+    """The folder named in spark.checkpoint.dir; on one machine set to a local one if unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="voxlake-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -46,6 +53,19 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def point() -> int:
+    """A point in time, for ``release_since``."""
+    return len(_written)
+
+
+def release_since(start: int, keep: DataFrame) -> None:
+    """Delete the tables written since ``start`` but ``keep``, once nothing else reads them."""
+    kept = getattr(keep, "_voxlake_path", None)
+    for spark, path in _written[start:]:
+        if path != kept:
+            _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
