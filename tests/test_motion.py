@@ -61,21 +61,50 @@ def test_linear_detrend(spark, runs, keep):
     assert np.allclose(got[got.run == 1][list(CHANNELS)], want)
 
 
-def test_polynomial_detrend_leaves_no_parabola(spark):
-    t = np.arange(30.0)
-    m = np.stack([1 + 2 * t - 0.3 * t * t] * 6, axis=1)
-    m[4, 0] = np.nan
-    got = M.detrend_polynomial(frame(spark, {1: m}), ["run"]).orderBy("t").toPandas()
-    assert np.nanmax(np.abs(got[list(CHANNELS)].to_numpy())) < 1e-8
-    assert np.isnan(got.rx[4])
-
-
-def test_smooth_detrend(spark):
-    t = np.arange(200.0)
-    m = np.stack([0.001 * t**2 - 5 + np.sin(t)] * 6, axis=1)
-    got = M.detrend_smooth(frame(spark, {1: m, 2: m[:2]}), ["run"], tr=2.0).orderBy("run", "t").toPandas()
-    rest = got[got.run == 1].rx.to_numpy()
-    assert abs(rest.mean()) < 1e-8 and np.abs(rest[70:130] - np.sin(t[70:130])).max() < 0.1
+@pytest.mark.parametrize("degree", [0, 1, 2, 3])
+@pytest.mark.parametrize("keep", [True, False])
+def test_polynomial_detrend(spark, degree, keep):
+    rng = np.random.default_rng(3)
+    series = {1: rng.normal(size=(40, 6)).cumsum(0), 2: np.arange(60.0).reshape(10, 6) ** 2, 3: rng.normal(size=(1, 6)), 4: rng.normal(size=(2, 6)), 5: rng.normal(size=(3, 6)), 6: rng.normal(size=(300, 6)) + 1e4}
+    series[1][[0, 7, 39], 2] = np.nan
+    series[4][0, 1] = np.nan
+    series[5][:, 0] = np.nan
+    got = M.detrend_polynomial(frame(spark, series), ["run"], degree=degree, keep_mean=keep).orderBy("run", "t").toPandas()
+    for run, m in series.items():
+        mine = got[got.run == run][list(M.CHANNELS)].to_numpy()
+        for k in range(6):
+            y, known = m[:, k], ~np.isnan(m[:, k])
+            want = np.full(len(y), np.nan)
+            if known.any():
+                place = np.arange(len(y)) - len(y) / 2
+                fit = np.polynomial.Polynomial.fit(place[known], y[known], min(degree, known.sum() - 1))
+                want = y - fit(place) + (y[known].mean() if keep else 0)
+            assert np.allclose(mine[:, k], want, atol=1e-7, equal_nan=True)
+
+
+def test_smooth_detrend_against_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+    series = {1: rng.normal(size=(300, 6)).cumsum(0), 2: rng.normal(size=(60, 6)).cumsum(0), 3: rng.normal(size=(3, 6)), 4: rng.normal(size=(120, 6)).cumsum(0), 5: rng.normal(size=(8, 6))}
+    series[2][:, 1] = 7.0
+    got = M.detrend_smooth(frame(spark, series), ["run"], tr=2.0).orderBy("run", "t").toPandas()
+    assert [M.smooth_window(n, 2.0) for n in (300, 120, 119, 60, 3, 2)] == [119, 119, 119, 59, 3, 1]
+    for run, m in series.items():
+        n = len(m)
+        window = (120 if n >= 120 else n) - 1 if (120 if n >= 120 else n) % 2 == 0 else n
+        for k, c in enumerate(M.CHANNELS):
+            y, want = m[:, k], m[:, k]
+            if window > 3:
+                trend = np.zeros(n)
+                for t in range(n):
+                    start = min(max(0, t - window // 2), n - window)
+                    place = np.arange(start, start + window) - t
+                    trend[t] = np.polynomial.Polynomial.fit(place, y[start : start + window], 3)(0)
+                left = y
+                if np.ptp(trend) > 1e-9:
+                    slope = ((trend - trend.mean()) * (y - y.mean())).sum() / ((trend - trend.mean()) ** 2).sum()
+                    left = y - y.mean() - slope * (trend - trend.mean())
+                want = left + y.mean()
+            assert np.allclose(got[got.run == run][c], want, atol=1e-6)
 
 
 def test_rms_is_that_of_the_residuals(spark, runs):

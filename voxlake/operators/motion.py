@@ -86,22 +86,52 @@ def detrend_linear(df: DataFrame, by: Sequence[str], t: str = "t", channels: Seq
     return df.withColumns(out)
 
 
-def detrend_polynomial(df: DataFrame, by: Sequence[str], t: str = "t", channels: Sequence[str] = CHANNELS, degree: int = 2) -> DataFrame:
-    """Channels replaced by their residuals from a polynomial over the run; NaN and null are left out of the fit and come back as NaN.
+def detrend_polynomial(df: DataFrame, by: Sequence[str], t: str = "t", channels: Sequence[str] = CHANNELS, degree: int = 2, keep_mean: bool = False) -> DataFrame:
+    """Channels replaced by their residuals from a polynomial over the run, with the mean added back if asked; NaN and null are left out of the fit and come back as NaN.
 
-    Needs a run's frames together, one task a run.
+    Up to degree 2 the fit is a sum of polynomials that are orthogonal over the
+    run's known frames, whose weights are moments: all of it shares one
+    exchange by run.  Higher degrees need a run's frames together in one task.
     """
-
+    if degree > 2:
+        return _detrend_high(df, by, t, channels, degree, keep_mean)
+    run, out, mean, line, square = W.partitionBy(*by), df, {}, {}, {}
+    known = {c: F.when(~F.isnan(c), F.col(c)) for c in channels}
+    for c, y in known.items():
+        mean[f"__m_{c}"] = F.avg(y).over(run)
+        # places are centred over the known frames, which keeps the squares exact enough
+        line[f"__x_{c}"] = F.col(t) - F.avg(F.when(y.isNotNull(), F.col(t))).over(run)
+    out = out.withColumns(mean | line)
+    if degree > 1:
+        for c, y in known.items():
+            x = F.col(f"__x_{c}")
+            here = F.when(y.isNotNull(), x)
+            square[f"__q_{c}"] = x * x - F.avg(here * here).over(run) - F.coalesce(F.regr_slope(x * x, here).over(run), F.lit(0.0)) * x
+        out = out.withColumns(square)
+    rest = {}
+    for c, y in known.items():
+        trend = F.col(f"__m_{c}")
+        for part, least in ((f"__x_{c}", 2), (f"__q_{c}", 3))[:degree]:
+            basis = F.when(y.isNotNull(), F.col(part))
+            # a run of fewer known frames has a polynomial of lower degree
+            weight = F.sum(y * basis).over(run) / F.nullif(F.sum(basis * basis).over(run), F.lit(0.0))
+            trend = trend + F.when(F.count(y).over(run) >= least, F.coalesce(weight, F.lit(0.0)) * F.col(part)).otherwise(0.0)
+        kept = F.col(f"__m_{c}") if keep_mean else F.lit(0.0)
+        rest[c] = F.coalesce(y - trend + kept, F.lit(float("nan")))
+    return out.select(*[rest[c].alias(c) if c in rest else F.col(f"`{c}`") for c in df.columns])
+
+
+def _detrend_high(df: DataFrame, by: Sequence[str], t: str, channels: Sequence[str], degree: int, keep_mean: bool) -> DataFrame:
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(t)
         place = np.linspace(-1.0, 1.0, len(frame)) if len(frame) > 1 else np.zeros(1)
-        basis = np.vander(place, min(degree, max(0, len(frame) - 1)) + 1)
         for c in channels:
             y = frame[c].to_numpy(float)
             known = ~np.isnan(y)
             if known.any():
+                basis = np.vander(place, min(degree, int(known.sum()) - 1) + 1)
                 weights = np.linalg.lstsq(basis[known], y[known], rcond=None)[0]
-                frame[c] = y - basis @ weights
+                frame[c] = y - basis @ weights + (y[known].mean() if keep_mean else 0.0)
         return frame
 
     return df.groupBy(*by).applyInPandas(fit, df.schema)
@@ -114,18 +144,24 @@ def smooth_weights(window: int, degree: int) -> np.ndarray:
     return basis @ np.linalg.pinv(basis)
 
 
+def smooth_window(frames: int, tr: float, seconds: float = 240.0) -> int:
+    """Frames of the smoothing window: those of ``seconds``, or the whole run where it is shorter, made odd downwards."""
+    window = int(np.floor(seconds / tr + 0.5)) if frames * tr >= seconds else frames
+    return window - 1 + window % 2
+
+
 def detrend_smooth(df: DataFrame, by: Sequence[str], tr: float, t: str = "t", channels: Sequence[str] = CHANNELS, degree: int = 3, seconds: float = 240.0) -> DataFrame:
-    """Channels less what regressing them on their own moving polynomial trend (and a constant) explains.
+    """Channels less what regressing them on their own moving polynomial trend (and a constant) explains, plus their mean.
 
-    The window covers ``seconds`` of frames, made odd and no longer than the run.
+    A channel whose trend doesn't vary isn't regressed, yet its mean is added
+    to it as to the others.  A run whose window has ``degree`` frames or fewer
+    can't be smoothed and stays as it is.  Needs a run's frames together.
     """
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(t)
         n = len(frame)
-        window = int(round(seconds / tr))
-        window += 1 - window % 2
-        window = min(window, n if n % 2 else n - 1)
+        window = smooth_window(n, tr, seconds)
         if window <= degree:
             return frame
         weights, half = smooth_weights(window, degree), window // 2
@@ -133,8 +169,9 @@ def detrend_smooth(df: DataFrame, by: Sequence[str], tr: float, t: str = "t", ch
             y = frame[c].to_numpy(float)
             trend = np.convolve(y, weights[half][::-1], "valid")
             trend = np.r_[weights[:half] @ y[:window], trend, weights[half + 1 :] @ y[-window:]]
+            flat = np.ptp(trend) <= 1e-12 * max(1.0, float(np.abs(trend).max()))  # what rounding leaves of a constant
             basis = np.c_[trend, np.ones(n)]
-            frame[c] = y - basis @ np.linalg.lstsq(basis, y, rcond=None)[0]
+            frame[c] = (y if flat else y - basis @ np.linalg.lstsq(basis, y, rcond=None)[0]) + y.mean()
         return frame
 
     return df.groupBy(*by).applyInPandas(fit, df.schema)

@@ -95,13 +95,37 @@ def motion_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run", *[r(f"rms_{c}").alias(f"rms_{c}") for c in CHANNELS])
 
 
-@query()
+#: The square of time less its line over the run, and a channel's line; what is left of a channel is less its share of that square.
+_SQUARE_SQL = "t * t - regr_intercept(t * t, t) OVER (PARTITION BY run) - t * regr_slope(t * t, t) OVER (PARTITION BY run)"
+
+
+@query(
+    f"WITH {MOTION_SQL}, q AS (SELECT run, t, {_SQUARE_SQL} AS q, "
+    + ", ".join(f"{c} - regr_intercept({c}, t) OVER (PARTITION BY run) - t * regr_slope({c}, t) OVER (PARTITION BY run) AS {c}, avg({c}) OVER (PARTITION BY run) AS m_{c}" for c in CHANNELS)
+    + " FROM motion) SELECT run, t, "
+    + ", ".join(rs(f"{c} - q * sum(q * {c}) OVER (PARTITION BY run) / sum(q * q) OVER (PARTITION BY run) + m_{c}") + f" AS {c}" for c in CHANNELS)
+    + " FROM q"
+)
 def motion_detrended_polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = M.detrend_polynomial(motion(spark, sf_dir), ["run"])
+    out = M.detrend_polynomial(motion(spark, sf_dir), ["run"], keep_mean=True)
     return out.select("run", "t", *[r(c).alias(c) for c in CHANNELS])
 
 
-@query()
+def _smooth_sql(tr: float) -> str:
+    """Smoothing by the polynomials that are orthogonal over a window of 2 h + 1 frames, then the regression."""
+    powers = ("1.0::DOUBLE", "{j}", "({j} * {j} - h * (h + 1) / 3)", "({j} * {j} * {j} - {j} * (3 * h * h + 3 * h - 1) / 5)")
+    at, own = ([p.format(j=j) for p in powers] for j in ("(w.t - f.c)", "(f.t - f.c)"))
+    trend = lambda c: " + ".join(f"{o} * sum({p} * w.{c}) / sum({p} * {p})" for o, p in zip(own, at, strict=True))
+    left = lambda c: f"d.{c} - regr_intercept(d.{c}, s.{c}) OVER p - s.{c} * regr_slope(d.{c}, s.{c}) OVER p + avg(d.{c}) OVER p"
+    return (
+        f"WITH {MOTION_SQL}, n AS (SELECT run, count(*) AS n, CASE WHEN count(*) * {tr} >= 240 THEN floor(240 / {tr}::DOUBLE + 0.5)::BIGINT ELSE count(*) END AS k FROM motion GROUP BY run), "
+        "h AS (SELECT run, n, ((k - 1 + k % 2) // 2)::DOUBLE AS h FROM n), f AS (SELECT m.run, m.t, h.h, least(greatest(m.t, h.h), h.n - 1 - h.h) AS c FROM motion m JOIN h USING (run)), "
+        f"s AS (SELECT f.run, f.t, {', '.join(f'{trend(c)} AS {c}' for c in CHANNELS)} FROM f JOIN motion w ON w.run = f.run AND w.t BETWEEN f.c - f.h AND f.c + f.h GROUP BY f.run, f.t, f.c, f.h) "
+        f"SELECT d.run, d.t, {', '.join(rs(left(c)) + f' AS {c}' for c in CHANNELS)} FROM motion d JOIN s ON s.run = d.run AND s.t = d.t WINDOW p AS (PARTITION BY d.run)"
+    )
+
+
+@query(_smooth_sql(2.0))
 def motion_detrended_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = M.detrend_smooth(motion(spark, sf_dir), ["run"], tr=2.0)
     return out.select("run", "t", *[r(c).alias(c) for c in CHANNELS])
