@@ -436,6 +436,16 @@ def test_source_without_words(spark):
 # repeats
 
 
+@pytest.mark.parametrize("vector", [0, 10**9])
+def test_both_ways_of_inducing(vector, monkeypatch):
+    monkeypatch.setattr(suffix_array, "VECTOR", vector)
+    rng = np.random.default_rng(12)
+    for _ in range(150):
+        t = np.r_[rng.integers(1, rng.integers(2, 300), rng.integers(1, 150)), 0].astype(np.uint16)
+        for x in (t, np.r_[np.tile(t[:-1], 3), 0].astype(np.uint16)):
+            assert list(suffix_array.suffix_array(x)) == sorted(range(len(x)), key=lambda i: tuple(x[i:]))
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(9)
     for _ in range(200):

@@ -1,11 +1,11 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes, in NumPy.
 
-``suffix_array`` classifies suffixes as S or L, sorts the leftmost-S (LMS)
-substrings by inducing, names them, orders the string of names by calling
-itself, and induces the full array from that order.  Inducing is linear.  Where
-buckets are large, as those of bytes, each bucket's entries go in as a few
-vector steps, in the order of the scan; where they hold few entries, as those
-of names, entries go in one by one.
+``suffix_array`` classifies suffixes as S or L, sorts and names the leftmost-S
+(LMS) substrings by several symbols at a time, orders the string of names by
+calling itself, and induces the full array from that order.  Inducing is
+linear.  Where buckets are large, as those of bytes, each bucket's entries go in
+as a few vector steps, in the order of the scan; where they hold few entries, as
+those of names, entries go in one by one.
 """
 
 from __future__ import annotations
@@ -50,27 +50,30 @@ def _induce(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, sizes: np.n
 
 def _induce_entries(text: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """One entry at a time: the seeds at their buckets' ends, the L entries upwards, then the S entries downwards over the seeds."""
-    ends = np.cumsum(sizes)
-    symbol, is_s, sa = text.tolist(), s_type.tolist(), [-1] * len(text)
-    grouped = seeds[np.argsort(text[seeds], kind="stable")]
+    n, ends = len(text), np.cumsum(sizes)
     counts = np.bincount(text[seeds], minlength=len(sizes))
-    places = np.arange(len(seeds)) + np.repeat(ends - np.cumsum(counts), counts)
-    for place, entry in zip(places.tolist(), grouped.tolist(), strict=True):
-        sa[place] = entry
-    free = (ends - sizes).tolist()
+    sa = np.full(n, -1, np.int64)
+    sa[np.arange(len(seeds)) + np.repeat(ends - np.cumsum(counts), counts)] = seeds[np.argsort(text[seeds], kind="stable")]
+    sa = sa.tolist()
+    # the bucket that an entry's left neighbour goes into, -1 if it is of the other type; the last place is that of no entry (-1)
+    left = np.full((2, n + 1), -1, np.int64)
+    symbols = text[:-1].astype(np.int64)
+    left[0, 1:n] = np.where(s_type[:-1], -1, symbols)
+    left[1, 1:n] = np.where(s_type[:-1], symbols, -1)
+    into, free = left[0].tolist(), (ends - sizes).tolist()
     for entry in sa:
-        if entry > 0 and not is_s[entry - 1]:
-            entry -= 1
-            c = symbol[entry]
-            sa[free[c]] = entry
-            free[c] += 1
-    free = ends.tolist()
-    for i in range(len(sa) - 1, -1, -1):
-        entry = sa[i] - 1
-        if entry >= 0 and is_s[entry]:
-            c = symbol[entry]
-            free[c] -= 1
-            sa[free[c]] = entry
+        c = into[entry]
+        if c >= 0:
+            at = free[c]
+            sa[at] = entry - 1
+            free[c] = at + 1
+    into, free = left[1].tolist(), (ends - 1).tolist()
+    for entry in reversed(sa):
+        c = into[entry]
+        if c >= 0:
+            at = free[c]
+            sa[at] = entry - 1
+            free[c] = at - 1
     return np.array(sa, np.int32)
 
 
@@ -114,24 +117,35 @@ def _induce_from(sa, free, text, s_type, batch, want: bool, step: int) -> None:
         _append(sa, free, text[before], before, step)
 
 
-def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
-    """Names of the LMS substrings in text order, from their induced order; equal substrings share one."""
-    n, length = len(text), np.zeros(len(text), np.int32)
-    length[lms] = np.diff(np.r_[lms, n - 1]) + 1
-    a, b = ordered[:-1], ordered[1:]
-    live = np.flatnonzero(length[a] == length[b])
-    new = np.ones(len(ordered), bool)
-    reach, k = length[a], 0
+def _names(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
+    """Names of the LMS substrings in text order, which sort as the substrings do; equal substrings share one.
+
+    Symbols are compared with their types, so no substring is another's
+    beginning.  Each round compares as many symbols as fit a number, and goes on
+    with those substrings alone that still tie.
+    """
+    length = np.diff(np.r_[lms, len(text) - 1]) + 1
+    bits = (2 * int(text.max()) + 1).bit_length()
+    per = max(1, 63 // bits)
+    code = np.r_[2 * text.astype(np.int64) + s_type, np.zeros(per, np.int64)]
+    rank, live, at = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
     while len(live):
-        done = reach[live] <= k
-        new[live[done] + 1] = False
-        live = live[~done]
-        live = live[text[a[live] + k] == text[b[live] + k]]
-        k += 1
-    name = np.cumsum(new) - 1
-    by_place = np.zeros(n, np.int64)
-    by_place[ordered] = name
-    return by_place[lms], int(name[-1]) + 1
+        key = np.zeros(len(live), np.int64)
+        for k in range(at, at + per):
+            key = (key << bits) | np.where(length[live] > k, code[np.minimum(lms[live] + k, len(code) - 1)], 0)
+        order = np.lexsort((key, rank[live])) if at else np.argsort(key, kind="stable")
+        live, key = live[order], key[order]
+        held = rank[live]
+        group = np.r_[True, held[1:] != held[:-1]]
+        same = np.r_[True, group[1:] | (key[1:] != key[:-1])]
+        head = lambda starts: np.maximum.accumulate(np.where(starts, np.arange(len(live)), 0))  # noqa: E731, B023
+        # a rank is the number of substrings below
+        rank[live] = held + head(same) - head(group)
+        tied = ~(same & np.r_[same[1:], True])
+        at += per
+        live = live[tied & (length[live] > at)]
+    found, names = np.unique(rank, return_inverse=True)
+    return names, len(found)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -144,11 +158,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     is_lms[1:] = s_type[1:] & ~s_type[:-1]
     lms = np.flatnonzero(is_lms).astype(np.int32)
     sizes = np.bincount(text)
-    sa = _induce(text, s_type, lms, sizes)
-    ordered = sa[is_lms[sa]]
-    names, count = _names(text, lms, ordered)
-    if count < len(lms):
-        ordered = lms[suffix_array(names)]
+    names, count = _names(text, s_type, lms)
+    ordered = lms[suffix_array(names) if count < len(lms) else np.argsort(names)]
     return _induce(text, s_type, ordered, sizes)
 
 

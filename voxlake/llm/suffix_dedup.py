@@ -32,7 +32,7 @@ from .suffix_array import permuted_lcp, suffix_array
 
 GRAM = 32
 #: Bytes of text sorted at once, and contexts of one hash in a shard.
-SHARD_BYTES, SHARD_CONTEXTS = 1_500_000, 512
+SHARD_BYTES, SHARD_CONTEXTS = 1_500_000, 1024
 #: Parts that the distinct windows of a split hash are dealt to; more for more than 64 shards.
 PARTS = np.uint64(1024)
 #: Positions in a block of the anchor search.
