@@ -83,8 +83,10 @@ def test_header_pairs(spark, tmp_path):
 def test_frames_and_slices_are_pruned(spark, tmp_path):
     values = np.arange(48.0).reshape(2, 3, 4, 2)
     (tmp_path / "a.nii").write_bytes(nifti(values, 16))
-    df = images.load(spark, str(tmp_path))
-    assert df.rdd.getNumPartitions() == 2
+    assert images.load(spark, str(tmp_path)).rdd.getNumPartitions() == 1
+    df = images.load(spark, str(tmp_path), part_bytes=300)
+    assert df.rdd.getNumPartitions() == 2 and sorted(r.t for r in df.collect()) == [0, 1]
+    assert sorted(r.t for r in images.load(spark, str(tmp_path), part_bytes=10).collect()) == [0, 1]
     only = df.where("t = 1")
     assert only.rdd.getNumPartitions() == 1 and list(only.first().voxels) == list(values[..., 1].ravel(order="F"))
     assert df.where("t in (0, 1)").count() == 2
@@ -219,3 +221,36 @@ def test_default_types():
     with pytest.raises(ValueError):
         H.new_header((1,), 99)
     assert F is not None
+
+
+def test_slices_that_are_not_asked_for_are_not_read(spark, tmp_path):
+    values = np.arange(48.0).reshape(2, 3, 8)
+    whole = nifti(values, 16)
+    (tmp_path / "a.nii").write_bytes(whole[: 352 + 4 * 6 * 3])  # three slices of eight
+    got = images.load(spark, str(tmp_path), slices="0,2").first()
+    want = np.where(np.isin(np.arange(8), (0, 2)), values, 0.0)
+    assert list(got.voxels) == list(want.ravel(order="F"))
+
+
+def test_headers_are_rewritten_alone(spark):
+    values = np.arange(24.0).reshape(2, 3, 4)
+    data = nifti(values, 4)
+    files = spark.createDataFrame([("a", data), ("b", gzip.compress(data))], "path string, content binary")
+    out = {r.path: bytes(r.content) for r in images.rewrite_headers(files, H.flip_left_right).collect()}
+    assert out["b"][:2] == b"\x1f\x8b" and gzip.decompress(out["b"]) == out["a"]
+    assert out["a"][H.SIZE :] == data[H.SIZE :]
+    before, after = H.affine_of(H.parse_header(data)), H.affine_of(H.parse_header(out["a"]))
+    old = before[1] if before else np.diag([*H.parse_header(data)["dime"]["pixdim"][1:4], 1.0])
+    assert np.allclose(after[1], np.diag([-1, 1, 1, 1]) @ old)
+    with pytest.raises(Exception, match="can't move the voxels"):
+        images.rewrite_headers(files, lambda h: h | {"dime": h["dime"] | {"vox_offset": 400.0}}).collect()
+
+
+def test_scaled_values_come_back(spark):
+    rows = [(str(k), 0, {"x": 2, "y": 1, "z": 1}, [1.25 * k, 3.0]) for k in range(3)]
+    wide = spark.createDataFrame(rows, "image_id string, t int, dims struct<x:int,y:int,z:int>, voxels array<double>")
+    files = images.encode_volumes(wide, datatype=4, scale=(0.25, 3.0), fields={"hist": {"descrip": "scaled"}}).withColumnRenamed("name", "path")
+    head = images.decode_headers(files).first()
+    assert (head.dime.scl_slope, head.dime.scl_inter, head.hist.descrip) == (0.25, 3.0, "scaled")
+    assert {r.path: list(r.voxels) for r in images.decode_volumes(files).collect()} == {str(k): [1.25 * k, 3.0] for k in range(3)}
+    assert {r.path: list(r.voxels) for r in images.decode_volumes(files, raw=True).collect()} == {str(k): [5.0 * k - 12, 0.0] for k in range(3)}

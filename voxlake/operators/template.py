@@ -17,10 +17,20 @@ MODEL = {
 }
 
 
+#: The same for a model whose repetition time and volumes are kept.  The first key, with two brackets, is in no line.
+MODEL_SHORT = {
+    "atlas": "set fmri(regstandard))", "Smooth": "set fmri(smooth)", "Input": "set feat_files(1)", "movement": "set confoundev_files(1)", "cond": "set fmri(custom1) ",
+}
+#: What variants of the preprocessing template set: slice timing from a file, regular from below, or none, and motion correction.
+VARIANT = {"slice_timing": "set fmri(st)", "motion_correction": "set fmri(mc)"}
+SLICE_TIMING = {"file": 4, "regular": 1, "none": 0}
+
+
 def rules(spark: SparkSession, find: Mapping[str, str], values: Mapping[str, object]) -> DataFrame:
-    """(priority, label, find, replacement) in the order of ``find``; the replacement is the whole new line, with quotes round a text."""
+    """(priority, label, find, replacement) in the order of ``find``; the replacement is the whole new line: the key without what stands after its first bracket, and the value, with quotes round a text."""
     shown = lambda v: f'"{v}"' if isinstance(v, str) else str(v)
-    rows = [(k, label, key, f"{key} {shown(values[label])}") for k, (label, key) in enumerate(find.items()) if label in values]
+    line = lambda key, v: f"{key[: key.index(')') + 1] if ')' in key else key} {shown(v)}"
+    rows = [(k, label, key, line(key, values[label])) for k, (label, key) in enumerate(find.items()) if label in values]
     return spark.createDataFrame(rows, "priority int, label string, find string, replacement string")
 
 

@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as X
 from ..model import CHANNELS, to_long
 from ..operators import atlas, catalog, events, motion as M, quality, resample as R, signal as S, template, volume as V
-from ..sources import images
+from . import file_queries  # noqa: F401  registers its queries
+from .registry import QUERIES, SQL, query, r, rs  # noqa: F401
 from .tables import CUBE, MOTION_SQL, SERIES_SQL, SIGNAL_SQL, VOLUMES_SQL, event_series, motion, series, signal, table, volumes, wide_volumes
 
 FD_THRESHOLD, CHANGE_THRESHOLD, RADIUS = 10.0, 20.0, 55.0
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL if it has one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r(c: Column | str, digits: int = 6) -> Column:
-    """Rounded for comparison, without a negative zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
-
-
-def rs(c: str, digits: int = 6) -> str:
-    return f"(round({c}, {digits}) + 0.0::DOUBLE)"
 
 
 def _fd_sql(channels: str = "motion", radius: float = RADIUS, detrend: bool = True) -> str:
@@ -339,15 +315,20 @@ def _nearest_sql(grid: R.Grid, bg: str, value: str = rs("coalesce(v.v, g.bg)"))
 
 
 def _trilinear_sql(grid: R.Grid, bg: str) -> str:
+    """Eight looked-up voxels for each place; no joins but that of volumes and grid."""
+    axes = ", ".join(f"range(0, {n}) {a}_({a})" for a, n in zip("xyz", grid.dims, strict=True))
+    places = ", ".join(f"{float(m[0])!r}::DOUBLE * x + {float(m[1])!r}::DOUBLE * y + {float(m[2])!r}::DOUBLE * z + {float(m[3]) + 1.0!r}::DOUBLE AS p{a}" for a, m in zip("xyz", grid.to_old[:3], strict=True))
     inside = " AND ".join(f"p{a} > 0.95::DOUBLE AND p{a} < 4.05::DOUBLE" for a in "xyz")
-    at = ", ".join(f"CASE WHEN floor(p{a}) < 1 THEN 1 WHEN floor(p{a}) > 3 THEN 4 ELSE floor(p{a}) + u{a} END - 1 AS c{a}" for a in "xyz")
-    weight = " * ".join(f"(CASE WHEN u{a} = 1 THEN p{a} - floor(p{a}) ELSE 1 - (p{a} - floor(p{a})) END)" for a in "xyz")
-    ups = ", ".join(f"range(0, 2) {a}u(u{a})" for a in "xyz")
-    same = " AND ".join(f"v.{a} = c.c{a}" for a in "xyz")
+
+    def corner(ups: tuple[int, int, int]) -> str:
+        at = [f"(CASE WHEN floor(p{a}) < 1 THEN 1 WHEN floor(p{a}) > 3 THEN 4 ELSE floor(p{a})::INT + {u} END - 1)" for a, u in zip("xyz", ups, strict=True)]
+        weight = [f"(p{a} - floor(p{a}))" if u else f"(1 - (p{a} - floor(p{a})))" for a, u in zip("xyz", ups, strict=True)]
+        return f"{' * '.join(weight)} * e[{at[0]} + 4 * {at[1]} + 16 * {at[2]} + 1]"
+
+    value = " + ".join(corner((k & 1, k >> 1 & 1, k >> 2 & 1)) for k in range(8))
     return (
-        f"WITH {VOLUMES_SQL}, {_grid_sql(grid, bg)}, c AS (SELECT image_id, x, y, z, {at}, {weight} AS w FROM g, {ups} WHERE {inside}) "
-        f"SELECT c.image_id, c.x, c.y, c.z, {rs('sum(c.w * v.v)')} AS v FROM c JOIN volumes v ON v.image_id = c.image_id AND {same} GROUP BY ALL "
-        f"UNION ALL SELECT image_id, x, y, z, {rs('bg')} FROM g WHERE NOT ({inside})"
+        f"WITH g AS (SELECT vec_id AS image_id, embedding::DOUBLE[] AS e, x::INT AS x, y::INT AS y, z::INT AS z, {places} FROM embeddings, {axes}) "
+        f"SELECT image_id, x, y, z, {rs(f'CASE WHEN {inside} THEN {value} ELSE {bg} END')} AS v FROM g"
     )
 
 
@@ -356,12 +337,12 @@ def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(to_long(R.on_arrays(wide_volumes(spark, sf_dir), _GRID, CUBE, method=2)))
 
 
-@query(_trilinear_sql(_GRID, _ENDS_SQL))
+@query(_trilinear_sql(_GRID, "(e[1] + e[64]) / 2"))
 def resample_trilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(to_long(R.on_arrays(wide_volumes(spark, sf_dir), _GRID, CUBE)))
 
 
-@query(_trilinear_sql(_GRID, _ENDS_SQL))
+@query(_trilinear_sql(_GRID, "(e[1] + e[64]) / 2"))
 def resample_trilinear_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(R.trilinear(volumes(spark, sf_dir), _GRID, CUBE))
 
@@ -400,20 +381,6 @@ def reslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", "x", "y", "z", r(F.col("v").cast("double"), 5).alias("v"))
 
 
-@query(_volume_sql(f"x, y, z, {rs('((0.25::DOUBLE * v + 3)::FLOAT)::DOUBLE', 5)} AS v"))
-def intensity_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scaled = volumes(spark, sf_dir).withColumn("v", (F.col("v") * 0.25 + 3.0).cast("float").cast("double"))
-    return scaled.select("image_id", "x", "y", "z", r("v", 5).alias("v"))
-
-
-@query(_volume_sql(f"t, x, y, z, {rs('v')} AS v"))
-def images_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volumes as image files of doubles and back."""
-    files = images.encode_volumes(wide_volumes(spark, sf_dir), datatype=64, voxel_size=(2.0, 2.0, 3.0))
-    back = to_long(images.decode_volumes(files.select(F.col("name").alias("path"), "content")))
-    return back.select(F.col("path").cast("long").alias("image_id"), "t", "x", "y", "z", r("v").alias("v"))
-
-
 @query(f"WITH {SERIES_SQL} SELECT run, voxel, {rs('v')} AS v FROM series WHERE t = 0")
 def first_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.first_volume(series(spark, sf_dir)).select("run", F.col("voxel").cast("long").alias("voxel"), r("v").alias("v"))

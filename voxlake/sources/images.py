@@ -17,10 +17,11 @@ import gzip
 import os
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
@@ -139,13 +140,40 @@ def read_matrix_file(data: bytes) -> dict[str, np.ndarray]:
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """A row a file: path, byte order, the header's three blocks and its extensions.  Image parts of header pairs are left out."""
+    return decode_headers(_files(spark, path).where(~F.col("path").rlike(r"\.img(\.gz)?$")))
+
+
+def decode_headers(files: DataFrame) -> DataFrame:
+    """read_headers for files that are in a table: path and content."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame([_header_row(p, unpacked(c)) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=["path", "byte_order", "hk", "dime", "hist", "ext"])
 
-    files = _files(spark, path).where(~F.col("path").rlike(r"\.img(\.gz)?$"))
-    return files.select("path", "content").mapInPandas(parse, HEADER)
+    return prepare_frame(files).select("path", "content").mapInPandas(parse, HEADER)
+
+
+def rewrite_headers(files: DataFrame, change: Callable[[dict], dict]) -> DataFrame:
+    """Files of a table (path, content) with their headers changed and everything behind them as it was: extensions and voxels are never decoded.
+
+    Packed files stay packed.  The header's byte order stays; a change must not
+    move the voxels.
+    """
+
+    def rewrite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for content in frame["content"]:
+                data = unpacked(content)
+                old = H.parse_header(data)
+                new = change(old)
+                if new["dime"]["vox_offset"] != old["dime"]["vox_offset"]:
+                    raise ValueError("a header can't move the voxels behind it")
+                whole = H.build_header(new) + data[H.SIZE :]
+                out.append(gzip.compress(whole, mtime=0) if data is not content else whole)
+            yield pd.DataFrame({"path": frame["path"], "content": out})
+
+    return prepare_frame(files).select("path", "content").mapInPandas(rewrite, "path string, content binary")
 
 
 def frame_and_tr(headers: DataFrame) -> DataFrame:
@@ -227,8 +255,16 @@ def folder_as_series(volumes: DataFrame, digits: int = 5) -> DataFrame:
     return volumes.withColumn("t", F.regexp_extract("path", rf"(\d{{{digits}}})\.(nii|img|hdr)(\.gz)?$", 1).cast("int"))
 
 
-def encode_volumes(wide: DataFrame, datatype: int = 16, voxel_size=(1.0, 1.0, 1.0), origin=(0, 0, 0), description: str = "", split: bool = False, sections: list[dict] | None = None) -> DataFrame:
-    """(name, content) of one file an image, or a file a frame with ``split`` (named <image>_0000 and so on), from wide volumes."""
+def encode_volumes(
+    wide: DataFrame, datatype: int = 16, voxel_size=(1.0, 1.0, 1.0), origin=(0, 0, 0), description: str = "", split: bool = False, sections: list[dict] | None = None,
+    scale: tuple[float, float] | None = None, fields: dict[str, dict] | None = None,
+) -> DataFrame:
+    """(name, content) of one file an image, or a file a frame with ``split`` (named <image>_0000 and so on), from wide volumes.
+
+    With ``scale`` (slope, intercept) what is stored is the value less the
+    intercept, divided by the slope, as a reader multiplies and adds them.
+    ``fields`` are header fields by block (``dime``, ``hist``) to be set.
+    """
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t")
@@ -237,6 +273,11 @@ def encode_volumes(wide: DataFrame, datatype: int = 16, voxel_size=(1.0, 1.0, 1.
         low, high = min(v.min() for v in values), max(v.max() for v in values)
         many = len(values) > 1
         head = H.new_header([*dims, len(values)] if many else dims, datatype, voxel_size, origin, description, limits=(int(round_half_away(low)), int(round_half_away(high))))
+        for block, given in (fields or {}).items():
+            head[block] |= given
+        if scale:
+            head["dime"] |= {"scl_slope": scale[0], "scl_inter": scale[1]}
+            values = [(v - scale[1]) / scale[0] for v in values]
         ext = H.build_extensions(sections or [])
         head["dime"]["vox_offset"] = float(-(-(H.SIZE + len(ext)) // 16) * 16)
         content = (H.build_header(head) + ext).ljust(int(head["dime"]["vox_offset"]), b"\0") + b"".join(encode_frame(v, datatype) for v in values)
@@ -306,12 +347,14 @@ class FileWriter(DataSourceWriter):
 
 
 class Part(InputPartition):
-    def __init__(self, path: str, frames: tuple[int, ...]):
-        self.path, self.frames = path, frames
+    """Some frames of a file: those named or, as nobody has opened it yet, the ``share``-th of ``shares`` parts of what it has."""
+
+    def __init__(self, path: str, frames: tuple[int, ...] | None, share: int = 0, shares: int = 1):
+        self.path, self.frames, self.share, self.shares = path, frames, share, shares
 
 
 class ImageSource(DataSource):
-    """Source ``voximage``: option path (a file, folder or pattern), raw, frames ("0,3"), slices ("2,5": other slices read as 0)."""
+    """Source ``voximage``: option path (a file, folder or pattern), raw, frames ("0,3"), slices ("2,5": other slices aren't read and are 0), part_bytes (of a file that make a task)."""
 
     @classmethod
     def name(cls) -> str:
@@ -328,13 +371,21 @@ def _numbers(text: str | None) -> tuple[int, ...] | None:
     return tuple(int(x) for x in text.split(",")) if text else None
 
 
+#: Bytes of an uncompressed file that make a task, a frame at least.
+PART_BYTES = 32_000_000
+_VOXELS = pa.schema([("path", pa.string()), ("t", pa.int32()), ("dims", pa.struct([(a, pa.int32()) for a in "xyz"])), ("voxels", pa.list_(pa.float64()))])
+
+
 class ImageReader(DataSourceReader):
+    """Planning looks at names and sizes only; headers are read by the tasks."""
+
     def __init__(self, options):
         path = options["path"].removeprefix("file:")
         found = sorted(os.path.join(path, n) for n in os.listdir(path)) if os.path.isdir(path) else sorted(glob.glob(path))
         self.files = [p for p in found if p.endswith((".nii", ".nii.gz", ".hdr", ".hdr.gz"))]
         self.raw = str(options.get("raw", "false")).lower() == "true"
         self.frames, self.slices = _numbers(options.get("frames")), _numbers(options.get("slices"))
+        self.part_bytes = int(options.get("part_bytes", PART_BYTES))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -347,26 +398,46 @@ class ImageReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         out = []
         for path in self.files:
-            with _open(path) as f:
-                total = frame_count(H.parse_header(f.read(H.SIZE)))
-            frames = tuple(t for t in (range(total) if self.frames is None else self.frames) if t < total)
-            # a packed file is decoded from its start, so its frames stay together
-            out += [Part(path, frames)] if path.endswith(".gz") else [Part(path, (t,)) for t in frames]
+            if path.endswith(".gz"):  # decoded from its start, so its frames stay together
+                out.append(Part(path, self.frames))
+            elif self.frames is not None:
+                out += [Part(path, (t,)) for t in self.frames]
+            else:
+                shares = max(1, -(-os.path.getsize(_image_of(path)) // self.part_bytes))
+                out += [Part(path, None, k, shares) for k in range(shares)]
         return out
 
-    def read(self, part: Part) -> Iterator[tuple]:
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         with _open(part.path) as f:
             head = H.parse_header(f.read(H.SIZE))
-        image = part.path.replace(".hdr", ".img") if ".hdr" in os.path.basename(part.path) else part.path
-        size, (nx, ny, nz) = frame_bytes(head), spatial(head)
-        with _open(image) as f:
-            for t in part.frames:
-                f.seek(int(head["dime"]["vox_offset"]) + t * size)
-                values = decode_frame(head, f.read(size), self.raw)
+        total, size = frame_count(head), frame_bytes(head)
+        nx, ny, nz = spatial(head)
+        frames = range(total * part.share // part.shares, total * (part.share + 1) // part.shares) if part.frames is None else [t for t in part.frames if t < total]
+        by_slice = self.slices is not None and H.TYPES[head["dime"]["datatype"]][0] > 1
+        with _open(_image_of(part.path)) as f:
+            for t in frames:
+                start = int(head["dime"]["vox_offset"]) + t * size
+                if by_slice:
+                    data, each = bytearray(size), size // nz
+                    for z in self.slices:
+                        if 0 <= z < nz:
+                            f.seek(start + z * each)
+                            data[z * each : (z + 1) * each] = f.read(each)
+                else:
+                    f.seek(start)
+                    data = f.read(size)
+                values = decode_frame(head, bytes(data), self.raw)
                 if self.slices is not None:
                     keep = np.isin(np.arange(len(values)) // (nx * ny), self.slices)
                     values = np.where(keep if values.ndim == 1 else keep[:, None], values, 0.0)
-                yield part.path, t, (nx, ny, nz), values.ravel().tolist()
+                flat = pa.array(np.ascontiguousarray(values, np.float64).ravel())
+                voxels = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([t], pa.int32()), pa.array([{"x": nx, "y": ny, "z": nz}], _VOXELS.field("dims").type), voxels], schema=_VOXELS)
+
+
+def _image_of(path: str) -> str:
+    """Where the voxels of a header's file are."""
+    return path[: path.rindex(".hdr")] + path[path.rindex(".hdr") :].replace(".hdr", ".img") if ".hdr" in os.path.basename(path) else path
 
 
 def _open(path: str):

@@ -8,14 +8,24 @@ from ..functions.text import params, parse_run_path, short_decimal
 from ..model import CHANNELS
 
 
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) of whole text files."""
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+
+
 def read_motion(spark: SparkSession, path: str, rotations_first: bool = True) -> DataFrame:
     """A row a frame of white-space separated six-column files: path, the parts of its name, t, channels.
 
     t is the line's place in its file.  A line with another number of columns is
     an error.
     """
+    return motion_rows(_texts(spark, path), rotations_first)
+
+
+def motion_rows(files: DataFrame, rotations_first: bool = True) -> DataFrame:
+    """read_motion for files that are in a table: path and value."""
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")
-    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(lines).alias("t", "line"))
+    rows = files.select("path", F.posexplode(lines).alias("t", "line"))
     cells = F.split(F.trim("line"), r"\s+")
     checked = F.when(F.size(cells) == 6, cells).otherwise(F.raise_error(F.lit("a motion file has six columns")).cast("array<string>"))
     names = CHANNELS if rotations_first else CHANNELS[3:] + CHANNELS[:3]
@@ -25,13 +35,17 @@ def read_motion(spark: SparkSession, path: str, rotations_first: bool = True) ->
 
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
     """(path, slice_timing array<double>) of JSON sidecars; without a list of numbers under SliceTiming an error."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return sidecar_rows(_texts(spark, path))
+
+
+def sidecar_rows(files: DataFrame) -> DataFrame:
+    """read_sidecar for files that are in a table: path and value."""
     found = F.get_json_object("value", "$.SliceTiming")
     fail = lambda text: F.raise_error(F.lit(text)).cast("array<double>")
     # true and false count as 1 and 0
     numbers = F.from_json(F.regexp_replace(F.regexp_replace(found, "true", "1"), "false", "0"), "array<double>")
     sound = F.when(found.isNull(), fail("no SliceTiming")).when(~found.startswith("["), fail("SliceTiming isn't a list")).when(found.contains('"'), fail("SliceTiming holds a string"))
-    return rows.select("path", sound.otherwise(numbers).alias("slice_timing"))
+    return files.select("path", sound.otherwise(numbers).alias("slice_timing"))
 
 
 def timing_lines(sidecars: DataFrame) -> DataFrame:
@@ -41,7 +55,7 @@ def timing_lines(sidecars: DataFrame) -> DataFrame:
 
 def read_params(spark: SparkSession, path: str) -> DataFrame:
     """(path, params map<string, string>) of key=value files."""
-    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"), params(F.col("value")).alias("params"))
+    return _texts(spark, path).select("path", params(F.col("value")).alias("params"))
 
 
 def read_template(spark: SparkSession, path: str) -> DataFrame:
