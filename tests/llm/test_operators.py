@@ -158,6 +158,23 @@ def test_no_link_within_four_bits_is_lost(spark, strip, monkeypatch):
     assert label == want
 
 
+@pytest.mark.parametrize("block", [2, 8])
+def test_large_buckets_in_blocks(spark, block, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64).tolist()
+    prints = sorted({b ^ int(np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(1, 5)).astype(np.uint64))) for b in base for _ in range(30)} | set(base))
+    df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp long")
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    dealt = simhash._in_buckets(df)
+    assert dealt.where("b > 0").count() > 0
+    links = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(simhash._bucket_links, "a long, b long")
+    got = {p: p for p in prints}
+    got |= {int(np.int64(r.node).view(np.uint64)): int(np.int64(r.root).view(np.uint64)) for r in components.connected_components(links).collect()}
+    want = plain.components(prints, lambda x, y: (x ^ y).bit_count() <= 4)
+    same = lambda label: sorted(sorted(g) for g in plain.groups([label[p] for p in prints]).values())
+    assert same(got) == same(want)
+
+
 def test_repeated_and_null_identifiers(spark):
     got = simhash.near_duplicates(docs_of(spark, ["a b c d", "x y z w v", "a b c d", None], ids=[1, 1, None, None])).collect()
     assert len(got) == 4 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (None, 1), (None, None)}

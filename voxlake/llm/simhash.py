@@ -10,6 +10,9 @@ links prune what meets there, then comes the full Hamming distance.
 
 Equal fingerprints are collapsed first, and a bucket hands on one link a
 fingerprint (to the least one it reaches in the bucket), never its pairs.
+Large buckets are cut into blocks, and the pairs of blocks are dealt over tasks.
+Which are large is told by cells, a segment and the next with all their bits, of
+which a fingerprint has five; a bucket is made of two cells.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from .storage import materialize
 WIDTHS = (13, 13, 13, 13, 12)
 OFFSETS = tuple(int(x) for x in np.cumsum((0, *WIDTHS[:-1])))
 BITS = 4
-#: Rows of a large bucket that are compared with the whole bucket at once.
-STRIP = 256
+#: Rows of a bucket that are compared with the whole bucket at once, and rows of a block.
+STRIP, BLOCK = 256, 8192
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -69,6 +72,28 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(fp, len(keys)).view(np.int64))], names=["key", "fp"])
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fp = batch.column(0).to_numpy().view(np.uint64)
+        segments = [(fp >> np.uint64(o)) & np.uint64((1 << w) - 1) for o, w in zip(OFFSETS, WIDTHS, strict=True)]
+        cells = [(np.uint64(i) << np.uint64(30)) | (segments[i] << np.uint64(13)) | segments[(i + 1) % 5] for i in range(5)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64))], names=["cell"])
+
+
+def _keys_of_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys that a cell's fingerprints have, each with the cell's size."""
+    for batch in batches:
+        cell, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        first, rest = cell >> 30, cell & ((1 << 26) - 1)
+        keys, sizes = [], []
+        for i in range(5):
+            here = first == i
+            for bit in range(WIDTHS[(i + 1) % 5]):
+                keys.append((((i << 4) | bit) << 26) | (rest[here] & ~(1 << bit)))
+                sizes.append(n[here])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["__key", "n"])
+
+
 def _in_chain(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Whether the differing bits x stay within the budgets along the ring from segment ``first``."""
     diff = np.stack([np.bitwise_count((x >> np.uint64(o)) & np.uint64((1 << w) - 1)) for o, w in zip(OFFSETS, WIDTHS, strict=True)]).astype(np.int64)
@@ -80,9 +105,10 @@ def _in_chain(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return ok & (np.bitwise_count(x) <= BITS)
 
 
-def _linked(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, least fingerprint it reaches in its buckets), for rows grouped by key; only moves are returned."""
-    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+def _linked(key: np.ndarray, fp: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, least fingerprint it reaches in its buckets), for rows that lie together by key, or by group; only moves are returned."""
+    group = key if group is None else group
+    heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[heads, len(key)])
     pairs = []
     end_of = np.repeat(heads + sizes, sizes)
@@ -131,23 +157,40 @@ def _spread(label: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> No
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    """Rows sorted by bucket and blocks (key, a, b, fp) in; links out.  A pair of blocks has 2 * BLOCK rows or so."""
+    held = None
     for batch in batches:
-        key = np.r_[held[0], batch.column(0).to_numpy()]
-        fp = np.r_[held[1], batch.column(1).to_numpy().view(np.uint64)]
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        held = (key[cut:], fp[cut:])
+        rows = [batch.column(k).to_numpy() for k in range(4)]
+        if held is not None:
+            rows = [np.r_[x, y] for x, y in zip(held, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        new = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])]
+        cut = int(np.flatnonzero(new)[-1])
+        held = [x[cut:] for x in rows]
         if cut:
-            yield _links(key[:cut], fp[:cut])
-    if len(held[0]):
-        yield _links(*held)
+            yield _links(rows[0][:cut], rows[3][:cut], np.cumsum(new[:cut]))
+    if held is not None and len(held[0]):
+        yield _links(held[0], held[3], np.zeros(len(held[0]), np.int64))
 
 
-def _links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-    a, b = _linked(key, fp)
+def _links(key: np.ndarray, fp: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+    a, b = _linked(key, fp.view(np.uint64), group)
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
+def _in_buckets(prints: DataFrame) -> DataFrame:
+    """(key, a, b, fp): each fingerprint once for every key, and in large buckets for every pair of blocks that its own takes part in."""
+    cells = prints.mapInArrow(_cells, "cell long").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // 2)
+    # of a bucket's two cells the smaller may not be counted
+    large = cells.mapInArrow(_keys_of_cells, "__key long, n long").groupBy("__key").agg(F.ceil((F.sum("n") + BLOCK // 2) / BLOCK).cast("int").alias("blocks"))
+    large = materialize(large, "large")
+    entered = prints.mapInArrow(_keys, "key long, fp long").join(large, F.col("key") == F.col("__key"), "left")
+    one, block = F.array(F.lit(0)), F.pmod(F.xxhash64("fp"), "blocks").cast("int")
+    dealt = entered.select("key", "fp", block.alias("block"), F.explode(F.when(F.col("blocks").isNull(), one).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("o"))
+    return dealt.select("key", F.coalesce(F.least("block", "o"), F.lit(0)).alias("a"), F.coalesce(F.greatest("block", "o"), F.lit(0)).alias("b"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """One row per row of ``docs``: the identifier, __td (a digest of the text), fingerprint, component_id and kept.
 
@@ -164,7 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = rows.schema["id"].dataType.simpleString()
     prints = materialize(rows.mapInArrow(_fingerprints(shingle), f"id {id_type}, td long, fp long"), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "td")).alias("least"))
-    links = distinct.select("fp").mapInArrow(_keys, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long")
+    group = ["key", "a", "b"]
+    links = _in_buckets(distinct.select("fp")).repartition(*group).sortWithinPartitions(*group).mapInArrow(_bucket_links, "a long, b long")
     roots = connected_components(links)
     groups = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     # a table of its own, so that the join may split what a large component gathers
