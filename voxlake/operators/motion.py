@@ -202,7 +202,11 @@ def lost_mask(value: str, threshold: float) -> Column:
 
 
 def spike_regressors(df: DataFrame, by: Sequence[str], t: str = "t", lost: str = "lost", name: str = "spikes") -> DataFrame:
-    """``df`` plus an array with a place for each lost frame of the run, 1 at the frame's own place; [0] where none is lost."""
+    """``df`` plus an array with a place for each lost frame of the run, 1 at the frame's own place; [0] where none is lost.
+
+    A run of T frames of which K are lost gets T x K numbers, as a model that
+    takes each spike as a regressor of its own needs them.
+    """
     order, run = W.partitionBy(*by).orderBy(t), W.partitionBy(*by)
     flag = F.coalesce(F.col(lost).cast("int"), F.lit(0))
     nth = F.sum(flag).over(order.rowsBetween(W.unboundedPreceding, 0))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import header as H, text as X
 from ..model import CHANNELS, to_long
-from ..operators import atlas, events, signal as S, template, volume as V
+from ..operators import atlas, catalog, events, signal as S, template, volume as V
 from ..sources import images, tables as files
 from .registry import query, r, rs
-from .tables import MOTION_SQL, VOLUMES_SQL, motion, series, table, volumes, wide_volumes
+from .tables import MOTION_SQL, SERIES_SQL, VOLUMES_SQL, motion, series, table, volumes, wide_volumes
 
 
 def _back(rows: DataFrame) -> DataFrame:
@@ -75,15 +75,66 @@ def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT label::VARCHAR AS path, count(*)::INT AS n_frames, 1.5::DOUBLE AS tr FROM embeddings GROUP BY label")
-def frames_and_tr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series of volumes as one file each; the fourth dimension of their headers."""
+def _series_files(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """Series of volumes, a file each, or a file a frame with ``split``."""
     rows = series(spark, sf_dir).groupBy(F.col("run").cast("string").alias("image_id"), F.col("t").cast("int").alias("t")).agg(F.transform(F.array_sort(F.collect_list(F.struct("voxel", "v"))), lambda s: s["v"]).alias("voxels"))
     wide = rows.withColumn("dims", F.struct(*[F.lit(4).alias(a) for a in "xyz"]))
-    made = images.encode_volumes(wide, fields={"dime": {"pixdim": [1.0, 1.0, 1.0, 1.0, 1.5, 1.0, 1.0, 1.0]}}).select(F.col("name").alias("path"), "content")
+    return images.encode_volumes(wide, datatype=64, **how).select(F.col("name").alias("path"), "content")
+
+
+@query("SELECT label::VARCHAR AS path, count(*)::INT AS n_frames, 1.5::DOUBLE AS tr FROM embeddings GROUP BY label")
+def frames_and_tr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourth dimension of series' headers."""
+    made = _series_files(spark, sf_dir, fields={"dime": {"pixdim": [1.0, 1.0, 1.0, 1.0, 1.5, 1.0, 1.0, 1.0]}})
     return images.frame_and_tr(images.decode_headers(made))
 
 
+def _frames_sql(where: str) -> str:
+    return f"WITH {SERIES_SQL} SELECT run, t::INT AS t, voxel::INT AS voxel, {rs('v')} AS v FROM series WHERE {where}"
+
+
+@query(_frames_sql("t IN (0, 2)"))
+def frames_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two frames of each series' file."""
+    rows = images.decode_volumes(_series_files(spark, sf_dir), frames=[0, 2])
+    return rows.select(F.col("path").cast("int").alias("run"), "t", F.posexplode("voxels").alias("voxel", "v")).select("run", "t", "voxel", r("v").alias("v"))
+
+
+@query(_frames_sql("true"))
+def frames_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series split into a file a frame, and put together by the numbers in their names."""
+    rows = images.folder_as_series(images.decode_volumes(_series_files(spark, sf_dir, split=True)).withColumn("path", F.concat("path", F.lit(".nii"))), digits=4)
+    return rows.select(F.substring_index("path", "_", 1).cast("int").alias("run"), "t", F.posexplode("voxels").alias("voxel", "v")).select("run", "t", "voxel", r("v").alias("v"))
+
+
+@query(_voxels_sql("v::FLOAT::DOUBLE"))
+def images_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files packed by gzip."""
+    return _back(images.decode_volumes(images.packed(_encoded(spark, sf_dir, datatype=16))))
+
+
+@query("SELECT vec_id::VARCHAR AS path, 0 AS qform_code, 1 AS sform_code, '2.0 0.0 0.0 9.0' AS x, '0.0 3.0 0.5 1.5' AS y FROM embeddings")
+def affines_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix that maps voxels from 1 put into headers, which map them from 0."""
+    matrix = [[2.0, 0.0, 0.0, 7.0], [0.0, 3.0, 0.5, -2.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]]
+    heads = images.decode_headers(images.rewrite_headers(_encoded(spark, sf_dir), lambda h: H.with_matrix(h, matrix)))
+    return heads.select("path", "hist.qform_code", "hist.sform_code", *[F.array_join(F.col(f"hist.srow_{a}").cast("array<string>"), " ").alias(a) for a in "xy"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey || ' ' || l_linenumber || ' ' || l_partkey AS line FROM lineitem")
+def matrix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = ["l_orderkey", "l_linenumber", "l_partkey"]
+    return table(spark, sf_dir, "lineitem").select(*cells, files.matrix_line(cells).alias("line"))
+
+
+@query("SELECT r_name AS name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def process_dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The process of a job's name, out of a table of processes."""
+    regions, nations = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    counted = lambda: nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("name")).agg(F.count("*").alias("n"))
+    return catalog.dispatch("count", {"list": lambda: regions, "count": counted})
+
+
 @query(f"WITH {VOLUMES_SQL} SELECT image_id, -2.0::DOUBLE AS x0, 4.0::DOUBLE AS x3, 2.0::DOUBLE AS y1, 1 AS sform_code, {rs('sum(v)', 5)} AS total FROM volumes GROUP BY image_id")
 def headers_flipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left and right exchanged by rewriting headers alone."""

@@ -176,6 +176,16 @@ def rewrite_headers(files: DataFrame, change: Callable[[dict], dict]) -> DataFra
     return prepare_frame(files).select("path", "content").mapInPandas(rewrite, "path string, content binary")
 
 
+def packed(files: DataFrame) -> DataFrame:
+    """Files of a table (path, content) packed by gzip, as those with the suffix ``.gz`` are."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"], "content": [gzip.compress(c, mtime=0) for c in frame["content"]]})
+
+    return prepare_frame(files).select("path", "content").mapInPandas(pack, "path string, content binary")
+
+
 def frame_and_tr(headers: DataFrame) -> DataFrame:
     """path, number of frames and repetition time, as a scan's fourth dimension has them."""
     return headers.select("path", F.col("dime.dim")[4].alias("n_frames"), F.col("dime.pixdim")[4].cast("double").alias("tr"))

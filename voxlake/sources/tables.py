@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import params, parse_run_path, short_decimal
 from ..model import CHANNELS
@@ -78,9 +78,14 @@ def write_lines(df: DataFrame, path: str, line: str = "line", order: str = "line
     df.coalesce(1).sortWithinPartitions(order).select(line).write.mode("overwrite").text(path)
 
 
+def matrix_line(columns: list[str]) -> Column:
+    """A row of a text matrix: columns with single spaces between."""
+    return F.concat_ws(" ", *columns)
+
+
 def write_matrix(df: DataFrame, path: str, columns: list[str], header: bool = False, order: str = "t") -> None:
     """Columns as text with single spaces, one file."""
-    rows = df.coalesce(1).sortWithinPartitions(order).select(F.concat_ws(" ", *columns).alias("line"))
+    rows = df.coalesce(1).sortWithinPartitions(order).select(matrix_line(columns).alias("line"))
     if header:
         rows = df.sparkSession.createDataFrame([(" ".join(columns),)], "line string").coalesce(1).union(rows).coalesce(1)
     rows.write.mode("overwrite").text(path)
