@@ -1,10 +1,12 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import text as X
 from voxlake.operators import atlas, catalog, events, template
+from voxlake.operators.order import place_in_order
 from voxlake.sources import tables
 
 
@@ -168,3 +170,13 @@ def test_streaming_displacement(spark, tmp_path):
     got = {(r.run, r.t): r.fd for r in spark.table("moved").collect()}
     want = {(r.run, r.t): r.fd for r in framewise_displacement(batch, ["run"], detrend=False).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("range_rows", [3, 40, 100_000])
+def test_places_in_a_long_list(spark, range_rows):
+    rng = np.random.default_rng(0)
+    names = ["".join(rng.choice(list("abc"), rng.integers(1, 7))) for _ in range(500)] + [None]
+    df = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "name string, k int").repartition(5)
+    got = sorted((r.place, r.name) for r in place_in_order(df, "name", "place", 1, range_rows).collect())
+    assert [p for p, _ in got] == list(range(1, 502)) and [n for _, n in got] == [None, *sorted(n for n in names if n)]
+    assert place_in_order(df.limit(0), "name", "place").count() == 0

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import parse_run_path, run_path, zero_padded
 from ..model import JOB, schema
+from .order import place_in_order
 
 #: For each process its shown name and whether it is run for every run.
 PROCESSES = {
@@ -117,4 +118,4 @@ def dispatch(process: str, table: Mapping[str, Callable[[], DataFrame]]) -> Data
 
 def numbered(names: DataFrame, name: str = "name", order: str | None = None) -> DataFrame:
     """Names with their number by place in the list, from 1."""
-    return names.withColumn("number", F.row_number().over(W.orderBy(order or name)))
+    return place_in_order(names, order or name, "number", 1)

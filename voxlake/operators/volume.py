@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..model import AXES
+from .order import place_in_order
 from .resample import half_away
 
 SIDES = {"L": ("x", 0), "R": ("x", 1), "P": ("y", 0), "A": ("y", 1), "I": ("z", 0), "S": ("z", 1)}
@@ -187,9 +188,8 @@ def concatenate(parts: Sequence[tuple[DataFrame, int]], axis: str = "t") -> Data
 
 
 def frames_by_name(df: DataFrame, name: str = "path", t: str = "t") -> DataFrame:
-    """Single volumes numbered in the order of their file names.  Only the names are sorted together."""
-    order = df.select(name).distinct().select(name, (F.row_number().over(W.orderBy(name)) - 1).cast("int").alias(t))
-    return df.drop(t).join(order, name)
+    """Single volumes numbered in the order of their file names.  Only the names are sorted, in ranges."""
+    return df.drop(t).join(place_in_order(df.select(name).distinct(), name, t), name)
 
 
 def replace_slices(df: DataFrame, patch: DataFrame, by: Sequence[str] = ("image_id",), on: Sequence[str] = ("t", "z")) -> DataFrame:
