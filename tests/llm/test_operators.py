@@ -41,6 +41,29 @@ def test_query_returns_a_row_for_each_row(spark, name):
     assert got == rows if name != "op9_token_counts" else 0 < got <= rows
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from voxlake.llm import storage
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master="spark://somewhere:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(cluster)
+
+
+def test_tables_written_since_a_point_go(spark):
+    from voxlake.llm import storage
+
+    before = storage.materialize(spark.range(3), "kept")
+    start = storage.point()
+    one, two = (storage.materialize(spark.range(5), "t") for _ in range(2))
+    storage.release_since(start, two)
+    assert (before.count(), two.count()) == (3, 5)
+    with pytest.raises(Exception):  # noqa: B017
+        one.count()
+
+
 def test_empty_tables_give_empty_results(spark):
     docs = docs_of(spark, ["x"]).where("doc_id < 0")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
