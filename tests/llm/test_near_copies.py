@@ -76,7 +76,6 @@ def test_repeated_and_null_identifiers(spark):
 @pytest.mark.parametrize("part", [4, 16])
 def test_buckets_in_parts(spark, part, monkeypatch):
     monkeypatch.setattr(near_copies, "PART", part)
-    monkeypatch.setattr(near_copies, "CHOSEN", 2)
     monkeypatch.setattr(near_copies, "SMALL", 2)
     monkeypatch.setattr(near_copies, "MANY", 0)
     rng = random.Random(2)

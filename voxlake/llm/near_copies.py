@@ -14,7 +14,8 @@ distance.  Two texts at a similarity of exactly 0.8 meet with a probability of
 about 0.99, at 0.85 with 0.999; copies of one text mostly reach each other by
 more than one link.
 
-Equal sets are collapsed first.  All pairs of a small bucket are verified.  In
+Equal sets are collapsed first.  Within a bucket rows lie by the size of their
+sets, and only those are compared whose sizes allow the similarity.  All pairs of a small bucket are verified.  In
 a larger one each text is first held against its nearest partner and a few
 chosen ones; what that links is one component and needs no more comparing.
 Pairs of a larger bucket that are still in different components are all
@@ -37,8 +38,8 @@ from .storage import materialize, release
 WORDS, SEGMENTS, WIDTH, BUDGET, RINGS = 4, 16, 16, 64, 6
 #: Buckets of so many texts are compared pair by pair at once.
 SMALL = 8
-#: Rows of a bucket that are compared with one another at a time, and rows of its first part that all later parts are compared with.
-PART, CHOSEN = 1024, 64
+#: Rows of a bucket that are compared with one another, and with as many before them, at a time.
+PART = 1024
 #: Buckets of so many rows are compared together with others.
 FEW = 64
 #: Rounds against one chosen text of a larger bucket, as long as more pairs than MANY a text are left; they save comparisons and decide nothing.
@@ -142,13 +143,14 @@ def segment_keys(prints: np.ndarray) -> np.ndarray:
 
 
 def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, size, fingerprint) in; for each segment of each ring a row (bucket, node, fingerprint) out, the bucket's number above 32 bits and the size below."""
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
-            prints = np.stack([part.column(1 + w).to_numpy().view(np.uint64) for w in range(WORDS)], axis=1)
-            keys = segment_keys(prints)
+            prints = np.stack([part.column(2 + w).to_numpy().view(np.uint64) for w in range(WORDS)], axis=1)
+            keys = (segment_keys(prints) << 32) | part.column(1).to_numpy().astype(np.int64)[:, None]
             who = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int32)), *(part.column(k).take(who) for k in range(1 + WORDS))], names=["key", "node", *_FP])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), part.column(0).take(who), *(part.column(2 + w).take(who) for w in range(WORDS))], names=["bucket", "node", *_FP])
 
 
 def in_chain(x: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -164,31 +166,32 @@ def in_chain(x: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def _partners(a: np.ndarray, b: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of a, row of b, bits) of the pairs of fingerprints that pass the chain."""
+def _partners(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], key: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, bits) of the pairs of rows (node, size, fingerprint), sorted by size, that pass the chain."""
     found = []
-    for at in range(0, len(a), 128):
-        x = a[at : at + 128, None] ^ b[None]
+    for at in range(0, len(a[0]), 128):
+        size = a[1][at : at + 128]
+        low, high = np.searchsorted(b[1], size[0] * least - 1e-6), np.searchsorted(b[1], size[-1] / least + 1e-6, side="right")
+        x = a[2][at : at + 128, None] ^ b[2][None, low:high]
         d = np.bitwise_count(x).sum(2, dtype=np.int64)
         i, j = np.nonzero(d <= BUDGET)
         keep = in_chain(x[i, j], np.full(len(i), key, np.int64))
-        found.append((i[keep] + at, j[keep], d[i[keep], j[keep]]))
+        found.append((i[keep] + at, j[keep] + low, d[i[keep], j[keep]]))
     return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
 class _Bucket:
-    """One bucket's rows in parts: pairs to verify, and members whose further pairs are looked at later."""
+    """One bucket's rows (node, size, fingerprint) in parts: pairs to verify, and members whose further pairs are looked at later."""
 
-    def __init__(self, key: int, small: int, chosen: int):
-        self.key, self.small, self.chosen, self.first, self.parts = key, small, chosen, None, 0
+    def __init__(self, key: int, small: int, least: float):
+        self.key, self.small, self.least, self.before = key, small, least, None
 
-    def add(self, node: np.ndarray, prints: np.ndarray, last: bool) -> tuple[list, np.ndarray]:
+    def add(self, rows: tuple[np.ndarray, ...], last: bool) -> tuple[list, np.ndarray]:
         """(pairs, members among these rows) of one more part of the bucket."""
-        alone = last and not self.parts
-        self.parts += 1
+        node, alone = rows[0], last and self.before is None
         if len(node) < 2 and alone:
             return [], np.zeros(0, np.int64)
-        i, j, d = _partners(prints, prints, self.key)
+        i, j, d = _partners(rows, rows, self.key, self.least)
         keep = i < j
         i, j, d = i[keep], j[keep], d[keep]
         member = np.unique(np.r_[i, j])
@@ -196,11 +199,10 @@ class _Bucket:
             return [(node[i], node[j])], np.zeros(0, np.int64)
         a, b = _few(node, node, np.r_[i, j], np.r_[j, i], np.r_[d, d])
         pairs = [(node[a], node[b])]
-        if self.first is not None:
-            a, b = _few(node, self.first[0], *_partners(prints, self.first[1], self.key))
-            pairs.append((node[a], self.first[0][b]))
-        else:
-            self.first = (node[: self.chosen], prints[: self.chosen])
+        if self.before is not None:
+            a, b = _few(node, self.before[0], *_partners(rows, self.before, self.key, self.least))
+            pairs.append((node[a], self.before[0][b]))
+        self.before = rows
         # a bucket in several parts goes on whole, as a row's partners may be in another part
         return pairs, member if alone else np.arange(len(node))
 
@@ -216,13 +218,13 @@ def _few(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, d: n
     return i[pick], j[pick]
 
 
-def _together(key: np.ndarray, node: np.ndarray, prints: np.ndarray, small: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+def _together(key: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, small: int, least: float) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
     """Many whole buckets of a few rows each at once: ((key, a, b) of pairs to verify, rows that are members of larger ones)."""
     head = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))
     place, step, found = np.arange(len(key)), 1, []
     while True:
         place = place[place + step < len(key)]
-        place = place[key[place] == key[place + step]]
+        place = place[(key[place] == key[place + step]) & (size[place] >= size[place + step] * least - 1e-6)]
         if not len(place):
             break
         x = prints[place] ^ prints[place + step]
@@ -243,20 +245,21 @@ def _together(key: np.ndarray, node: np.ndarray, prints: np.ndarray, small: int)
 _MET = f"key int, a long, b long, {', '.join(f'{f} long' for f in _FP)}"
 
 
-def _meet(small: int, part: int, chosen: int):
-    """Rows sorted by key in; pairs to verify (b is set) and members of larger buckets (b is null) out."""
+def _meet(small: int, part: int, least: float):
+    """Rows sorted by bucket and size in; pairs to verify (b is set) and members of larger buckets (b is null) out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
         bucket = None
         for batch in batches:
             rows = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.stack([batch.column(2 + w).to_numpy().view(np.uint64) for w in range(WORDS)], axis=1))
-            key, node, prints = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+            rows = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+            key, size, node, prints = rows[0] >> 32, rows[0] & 0xFFFFFFFF, rows[1], rows[2]
             out, at = _Out(), 0
             heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
             sizes = np.diff(np.r_[heads, len(key)])
             few = np.repeat((sizes <= FEW) & (np.arange(len(heads)) < len(heads) - 1) & (key[heads] != (bucket.key if bucket else -1)), sizes)
-            met, member = _together(key[few], node[few], prints[few], small)
+            met, member = _together(key[few], node[few], size[few], prints[few], small, least)
             out.pairs(*met)
             out.members(key[few][member], node[few][member], prints[few][member])
             for h, e in zip(heads.tolist(), [*heads[1:].tolist(), None], strict=True):
@@ -266,18 +269,18 @@ def _meet(small: int, part: int, chosen: int):
                     continue
                 while e - at > part or (closed and e > at):  # an open bucket keeps its last rows for the next batch
                     if bucket is None or bucket.key != key[h]:
-                        bucket = _Bucket(int(key[h]), small, chosen)
+                        bucket = _Bucket(int(key[h]), small, least)
                     to = min(at + part, e)
-                    out.part(bucket, node[at:to], prints[at:to], closed and to == e)
+                    out.part(bucket, (node[at:to], size[at:to], prints[at:to]), closed and to == e)
                     at = to
-            held = (key[at:], node[at:], prints[at:])
+            held = tuple(x[at:] for x in rows)
             yield out.batch()
         if held is not None and len(held[0]):
-            key = int(held[0][0])
+            key = int(held[0][0] >> 32)
             if bucket is None or bucket.key != key:
-                bucket = _Bucket(key, small, chosen)
+                bucket = _Bucket(key, small, least)
             out = _Out()
-            out.part(bucket, held[1], held[2], True)
+            out.part(bucket, (held[1], held[0] & 0xFFFFFFFF, held[2]), True)
             yield out.batch()
 
     return run
@@ -293,12 +296,12 @@ class _Out:
     def members(self, key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> None:
         self.kept.append((key, node, prints))
 
-    def part(self, bucket: _Bucket, node: np.ndarray, prints: np.ndarray, last: bool) -> None:
+    def part(self, bucket: _Bucket, rows: tuple[np.ndarray, ...], last: bool) -> None:
         """The results of one part of a bucket."""
-        pairs, member = bucket.add(node, prints, last)
+        pairs, member = bucket.add(rows, last)
         for a, b in pairs:
             self.pairs(np.full(len(a), bucket.key, np.int32), a, b)
-        self.members(np.full(len(member), bucket.key, np.int32), node[member], prints[member])
+        self.members(np.full(len(member), bucket.key, np.int32), rows[0][member], rows[2][member])
 
     def batch(self) -> pa.RecordBatch:
         none, met, members = np.zeros(0, np.int64), sum(len(x[0]) for x in self.met), sum(len(x[0]) for x in self.kept)
@@ -383,8 +386,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = rows.schema["id"].dataType.simpleString()
     prints = materialize(rows.mapInArrow(_signatures(shingle), f"id {id_type}, td long, node long, n int, {', '.join(f'{f} long' for f in _FP)}"), "signatures")
     nodes = materialize(prints.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "td")).alias("least"), F.max("n").alias("n"), *[F.max(f).alias(f) for f in _FP]), "nodes")
-    entered = nodes.where("n > 0").select("node", *_FP).mapInArrow(_enter, f"key int, node long, {', '.join(f'{f} long' for f in _FP)}")
-    met = materialize(entered.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(SMALL, PART, CHOSEN), _MET), "met")
+    entered = nodes.where("n > 0").select("node", "n", *_FP).mapInArrow(_enter, f"bucket long, node long, {', '.join(f'{f} long' for f in _FP)}")
+    met = materialize(entered.repartition(F.shiftright("bucket", 32)).sortWithinPartitions("bucket").mapInArrow(_meet(SMALL, PART, least), _MET), "met")
     pairs, members = met.where("b is not null").select("a", "b"), met.where("b is null").select("key", F.col("a").alias("node"), *_FP)
     # the sets of those alone that meet another, worked out anew from the text
     those = met.select(F.col("a").alias("node")).union(met.where("b is not null").select("b")).distinct()
