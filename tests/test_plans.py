@@ -10,8 +10,8 @@ from .oracle import DATA
 
 #: Most exchanges of each query; joins count theirs.
 EXCHANGES = {
-    "fd_quality": 1, "fd_frames": 1, "motion_rms": 1, "motion_detrended": 1, "spike_regressors": 1, "percent_change": 2, "dvars_frames": 3, "value_histogram": 1, "histogram_equalised": 1,
-    "volume_slice": 0, "volume_crop": 0, "volume_clip": 0, "volume_reorient": 0, "volume_threshold": 0, "resample_nearest": 0, "resample_trilinear": 0, "apply_matrix": 0, "first_volume": 1, "temporal_mean": 2,
+    "fd_quality": 1, "fd_frames": 1, "motion_rms": 1, "motion_detrended": 1, "spike_regressors": 1, "percent_change": 1, "dvars_frames": 1, "motion_detrended_polynomial": 1, "mean_of_run_means": 2, "value_histogram": 1, "histogram_equalised": 1,
+    "volume_slice": 0, "volume_crop": 0, "volume_clip": 0, "volume_reorient": 0, "volume_threshold": 0, "resample_nearest": 0, "resample_trilinear": 0, "apply_matrix": 0, "first_volume": 1, "temporal_mean": 1,
 }
 
 
