@@ -16,8 +16,8 @@ more than one link.
 
 Equal sets are collapsed first.  Within a bucket rows lie by the size of their
 sets, and only those are compared whose sizes allow the similarity.  All pairs of a small bucket are verified.  In
-a larger one each text is first held against its nearest partner and a few
-chosen ones; what that links is one component and needs no more comparing.
+a larger one each text is first held against its nearest partner and a chosen
+one; what that links is one component and needs no more comparing.
 Pairs of a larger bucket that are still in different components are all
 verified in the end, so that nothing is left out and no group emits its pairs.
 """
@@ -208,12 +208,11 @@ class _Bucket:
 
 
 def _few(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of left, row of right): for each left row its nearest partner and the two with the least numbers."""
+    """(row of left, row of right): for each left row its nearest partner and the one with the least number."""
     chosen = []
-    for by, most in ((d, 1), (right[j], 2)):
+    for by in (d, right[j]):
         order = np.lexsort((right[j], by, i))
-        nth = np.arange(len(order)) - np.searchsorted(i[order], i[order])
-        chosen.append(order[nth < most])
+        chosen.append(order[np.r_[True, i[order][1:] != i[order][:-1]]] if len(order) else order)
     pick = np.unique(np.concatenate(chosen))
     return i[pick], j[pick]
 
@@ -337,14 +336,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return materialize(pairs.join(one, "a").join(two, "b").where(alike & similar).select("a", "b"), "links")
 
 
-def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Verified links (a, b) that join what all verified pairs join; pairs: (a, b), members: (key, node, fingerprint)."""
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links (a, b): components of the old roots, so that only new links are looked at."""
+    old = lambda name: roots.select(F.col("node").alias(f"_{name}"), F.col("root").alias(f"_root_{name}"))
+    ends = links.join(old("a"), F.col("a") == F.col("_a"), "left").join(old("b"), F.col("b") == F.col("_b"), "left")
+    merged = materialize(connected_components(ends.select(F.coalesce("_root_a", "a").alias("a"), F.coalesce("_root_b", "b").alias("b"))), "merged")
+    new = merged.select(F.col("node").alias("_node"), F.col("root").alias("_new"))
+    known = roots.join(new, F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_new", "root").alias("root"))
+    return materialize(known.union(merged.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
+
+
+def _roots(pairs: DataFrame, members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(node, root) of the components that all verified pairs make; pairs: (a, b), members: (key, node, fingerprint)."""
     links = _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, least)
+    roots = materialize(connected_components(links), "roots")
     if members.isEmpty():
-        return links
+        return roots
     underscored = lambda rows: rows.select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
     for turn in count():
-        roots = connected_components(links)
         rooted = members.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("key", "node", *_FP, F.coalesce("root", "node").alias("root"))
         placed = materialize(rooted, "placed")
         # only buckets that hold texts of several components have anything left to compare
@@ -354,19 +363,21 @@ def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, least: float)
         left = open_.agg(F.sum("left").alias("x")).first().x
         if not left:
             release(placed)
-            return links
+            return roots
         found = None
         if turn < STAR_ROUNDS and left > MANY * placed.count():
             chosen = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", *_FP, "root")).alias("c"))
             chosen = underscored(chosen.select("key", "c.node", *[F.col(f"c.{f}") for f in _FP], "c.root"))
             found = _verified(_candidates(placed, chosen, F.col("root") != F.col("_root")), sets, least)
-            links = links.union(found)
-        if found is None or found.isEmpty():
-            # of two texts of different components one at least is outside the bucket's largest one
-            outside = placed.join(open_, (F.col("key") == F.col("_k")) & (F.col("root") != F.col("main"))).drop("_k", "main", "left")
-            found = _verified(_candidates(outside, underscored(placed), F.col("root") != F.col("_root")), sets, least)
-            return links.union(found)
+            if not found.isEmpty():
+                roots = _joined(roots, found)
+                release(placed)
+                continue
+        # of two texts of different components one at least is outside the bucket's largest one
+        outside = placed.join(open_, (F.col("key") == F.col("_k")) & (F.col("root") != F.col("main"))).drop("_k", "main", "left")
+        found = _verified(_candidates(outside, underscored(placed), F.col("root") != F.col("_root")), sets, least)
         release(placed)
+        return _joined(roots, found)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -395,7 +406,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = rows.join(asked, F.col("id").eqNullSafe(F.col("__id")) & (F.col("td") == F.col("__td")), "left_semi").select("text")
     sets = materialize(texts.mapInArrow(_sets(shingle), "node long, grams array<long>").dropDuplicates(["node"]), "sets")
 
-    roots = connected_components(_links(pairs, members, sets, least))
+    roots = _roots(pairs, members, sets, least)
     groups = nodes.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     # a table of its own, so that the join may split what a large component gathers
     best = materialize(groups.groupBy(F.col("root").alias("__root")).agg(F.min("least").alias("best")), "components")
