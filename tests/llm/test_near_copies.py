@@ -37,11 +37,9 @@ def wanted(ids, texts):
     return sorted(set(plain.near_groups(ids, texts).values()))
 
 
-@pytest.mark.parametrize("small", [1, 8])
-@pytest.mark.parametrize("stars", [0, 4])
-def test_near_copies_against_all_pairs(spark, small, stars, monkeypatch):
-    monkeypatch.setattr(near_copies, "SMALL", small)
-    monkeypatch.setattr(near_copies, "STAR_ROUNDS", stars)
+@pytest.mark.parametrize("block", [5, 512])
+def test_near_copies_against_all_pairs(spark, block, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     texts = made_texts()
     left = stage(spark, texts)
     assert left.columns == ["doc_id", "text"]
@@ -76,8 +74,6 @@ def test_repeated_and_null_identifiers(spark):
 @pytest.mark.parametrize("part", [4, 16])
 def test_buckets_in_parts(spark, part, monkeypatch):
     monkeypatch.setattr(near_copies, "PART", part)
-    monkeypatch.setattr(near_copies, "SMALL", 2)
-    monkeypatch.setattr(near_copies, "MANY", 0)
     rng = random.Random(2)
     base = [f"w{k}" for k in range(150)]
     texts = [" ".join(w if rng.random() > 0.01 else f"x{k}" for w in base) for k in range(90)]

@@ -15,35 +15,36 @@ about 0.99, at 0.85 with 0.999; copies of one text mostly reach each other by
 more than one link.
 
 Equal sets are collapsed first.  Within a bucket rows lie by the size of their
-sets, and only those are compared whose sizes allow the similarity.  All pairs of a small bucket are verified.  In
-a larger one each text is first held against its nearest partner and a chosen
-one; what that links is one component and needs no more comparing.
-Pairs of a larger bucket that are still in different components are all
-verified in the end, so that nothing is left out and no group emits its pairs.
+sets, and only those are compared whose sizes allow the similarity.  A bucket
+hands on, for each text, its nearest partner and a chosen one, to be verified,
+and one link that says which texts hang together by partners at all.  What the
+verified pairs link is one component.  Where texts that hang together are still
+in several components, all pairs of these within BUDGET bits are verified in
+blocks of texts, each text with its set: nothing is left out, and no pairs are
+handed on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
+from .embed_dedup import _groups
+from .simhash import _spread
 from .storage import materialize, release
 
 WORDS, SEGMENTS, WIDTH, BUDGET, RINGS = 4, 16, 16, 64, 6
-#: Buckets of so many texts are compared pair by pair at once.
-SMALL = 8
 #: Rows of a bucket that are compared with one another, and with as many before them, at a time.
 PART = 1024
 #: Buckets of so many rows are compared together with others.
 FEW = 64
-#: Rounds against one chosen text of a larger bucket, as long as more pairs than MANY a text are left; they save comparisons and decide nothing.
-STAR_ROUNDS, MANY = 4, 50
+#: Texts of a block whose sets are compared with those of another.
+BLOCK = 512
 _ORDERS = [np.random.default_rng(3 + r).permutation(64 * WORDS) for r in range(RINGS)]
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _FP = tuple(f"f{k}" for k in range(WORDS))
@@ -181,30 +182,38 @@ def _partners(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], key: int, le
 
 
 class _Bucket:
-    """One bucket's rows (node, size, fingerprint) in parts: pairs to verify, and members whose further pairs are looked at later."""
+    """One bucket's rows (node, size, fingerprint) in parts: pairs to verify, and links between texts that hang together."""
 
-    def __init__(self, key: int, small: int, least: float):
-        self.key, self.small, self.least, self.before = key, small, least, None
+    def __init__(self, key: int, least: float):
+        self.key, self.least, self.before, self.first = key, least, None, None
 
-    def add(self, rows: tuple[np.ndarray, ...], last: bool) -> tuple[list, np.ndarray]:
-        """(pairs, members among these rows) of one more part of the bucket."""
+    def add(self, rows: tuple[np.ndarray, ...], last: bool) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(pairs, links) of one more part of the bucket."""
         node, alone = rows[0], last and self.before is None
-        if len(node) < 2 and alone:
-            return [], np.zeros(0, np.int64)
         i, j, d = _partners(rows, rows, self.key, self.least)
-        keep = i < j
-        i, j, d = i[keep], j[keep], d[keep]
-        member = np.unique(np.r_[i, j])
-        if alone and len(member) <= self.small:
-            return [(node[i], node[j])], np.zeros(0, np.int64)
+        i, j, d = i[i < j], j[i < j], d[i < j]
         a, b = _few(node, node, np.r_[i, j], np.r_[j, i], np.r_[d, d])
-        pairs = [(node[a], node[b])]
+        a, b = node[a], node[b]
+        if alone:
+            links = _hanging(node, i, j)
+        else:
+            # the rows of a bucket in several parts hang together, as a row's partners may be in any other part
+            self.first = node.min() if self.first is None else self.first
+            links = (node, np.full(len(node), self.first))
         if self.before is not None:
-            a, b = _few(node, self.before[0], *_partners(rows, self.before, self.key, self.least))
-            pairs.append((node[a], self.before[0][b]))
+            x, y = _few(node, self.before[0], *_partners(rows, self.before, self.key, self.least))
+            a, b = np.r_[a, node[x]], np.r_[b, self.before[0][y]]
         self.before = rows
-        # a bucket in several parts goes on whole, as a row's partners may be in another part
-        return pairs, member if alone else np.arange(len(node))
+        return (a, b), links
+
+
+def _hanging(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A link from each row that has partners to the least number that it reaches through them: much the same one in all buckets of a group."""
+    order = np.argsort(node, kind="stable")
+    rank, label = np.argsort(order, kind="stable"), np.arange(len(node))
+    _spread(label, [(rank[i], rank[j])])
+    moved = np.flatnonzero(label != np.arange(len(node)))
+    return node[order[moved]], node[order[label[moved]]]
 
 
 def _few(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,9 +226,8 @@ def _few(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, d: n
     return i[pick], j[pick]
 
 
-def _together(key: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, small: int, least: float) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """Many whole buckets of a few rows each at once: ((key, a, b) of pairs to verify, rows that are members of larger ones)."""
-    head = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))
+def _together(key: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, least: float) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(pairs, links) of many whole buckets of a few rows each at once."""
     place, step, found = np.arange(len(key)), 1, []
     while True:
         place = place[place + step < len(key)]
@@ -233,19 +241,26 @@ def _together(key: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.nd
         found.append((place[near], place[near] + step, d[near]))
         step += 1
     i, j, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-    member = np.unique(np.r_[i, j])
-    counts = np.bincount(head[member], minlength=len(key))
-    whole = counts[head[i]] <= small
-    a, b = _few(node, node, *(np.r_[x, y] for x, y in ((i[~whole], j[~whole]), (j[~whole], i[~whole]), (d[~whole], d[~whole]))))
-    a, b = np.r_[i[whole], a], np.r_[j[whole], b]
-    return (key[a], node[a], node[b]), member[counts[head[member]] > small]
+    a, b = _few(node, node, np.r_[i, j], np.r_[j, i], np.r_[d, d])
+    return (node[a], node[b]), _hanging(node, i, j)
+
+
+_MET = "a long, b long, verify boolean"
 
 
-_MET = f"key int, a long, b long, {', '.join(f'{f} long' for f in _FP)}"
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    """Pairs to verify and links, each (a, b) with the lesser first and once."""
+    parts = []
+    for verify, k in ((True, 0), (False, 1)):
+        a, b = (np.concatenate([*(o[k][e] for o in out), np.zeros(0, np.int64)]) for e in (0, 1))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+        parts.append((both, np.full(len(both), verify)))
+    ends = np.concatenate([p[0] for p in parts])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1])), pa.array(np.concatenate([p[1] for p in parts]))], names=["a", "b", "verify"])
 
 
-def _meet(small: int, part: int, least: float):
-    """Rows sorted by bucket and size in; pairs to verify (b is set) and members of larger buckets (b is null) out."""
+def _meet(part: int, least: float):
+    """Rows sorted by bucket and size in; pairs to verify and links between texts that hang together out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
@@ -254,13 +269,10 @@ def _meet(small: int, part: int, least: float):
             rows = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.stack([batch.column(2 + w).to_numpy().view(np.uint64) for w in range(WORDS)], axis=1))
             rows = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
             key, size, node, prints = rows[0] >> 32, rows[0] & 0xFFFFFFFF, rows[1], rows[2]
-            out, at = _Out(), 0
-            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            heads, at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64), 0
             sizes = np.diff(np.r_[heads, len(key)])
             few = np.repeat((sizes <= FEW) & (np.arange(len(heads)) < len(heads) - 1) & (key[heads] != (bucket.key if bucket else -1)), sizes)
-            met, member = _together(key[few], node[few], size[few], prints[few], small, least)
-            out.pairs(*met)
-            out.members(key[few][member], node[few][member], prints[few][member])
+            out = [_together(key[few], node[few], size[few], prints[few], least)]
             for h, e in zip(heads.tolist(), [*heads[1:].tolist(), None], strict=True):
                 closed, e = e is not None, len(key) if e is None else e
                 at = h
@@ -268,63 +280,47 @@ def _meet(small: int, part: int, least: float):
                     continue
                 while e - at > part or (closed and e > at):  # an open bucket keeps its last rows for the next batch
                     if bucket is None or bucket.key != key[h]:
-                        bucket = _Bucket(int(key[h]), small, least)
+                        bucket = _Bucket(int(key[h]), least)
                     to = min(at + part, e)
-                    out.part(bucket, (node[at:to], size[at:to], prints[at:to]), closed and to == e)
+                    out.append(bucket.add((node[at:to], size[at:to], prints[at:to]), closed and to == e))
                     at = to
             held = tuple(x[at:] for x in rows)
-            yield out.batch()
+            yield _batch(out)
         if held is not None and len(held[0]):
             key = int(held[0][0] >> 32)
             if bucket is None or bucket.key != key:
-                bucket = _Bucket(key, small, least)
-            out = _Out()
-            out.part(bucket, (held[1], held[0] & 0xFFFFFFFF, held[2]), True)
-            yield out.batch()
+                bucket = _Bucket(key, least)
+            yield _batch([bucket.add((held[1], held[0] & 0xFFFFFFFF, held[2]), True)])
 
     return run
 
 
-class _Out:
-    def __init__(self):
-        self.met, self.kept = [], []
-
-    def pairs(self, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-        self.met.append((key, a, b))
-
-    def members(self, key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> None:
-        self.kept.append((key, node, prints))
-
-    def part(self, bucket: _Bucket, rows: tuple[np.ndarray, ...], last: bool) -> None:
-        """The results of one part of a bucket."""
-        pairs, member = bucket.add(rows, last)
-        for a, b in pairs:
-            self.pairs(np.full(len(a), bucket.key, np.int32), a, b)
-        self.members(np.full(len(member), bucket.key, np.int32), rows[0][member], rows[2][member])
-
-    def batch(self) -> pa.RecordBatch:
-        none, met, members = np.zeros(0, np.int64), sum(len(x[0]) for x in self.met), sum(len(x[0]) for x in self.kept)
-        key = np.concatenate([*(x[0] for x in self.met), *(x[0] for x in self.kept), none]).astype(np.int32)
-        a = np.concatenate([*(x[1] for x in self.met), *(x[1] for x in self.kept), none])
-        b = np.concatenate([*(x[2] for x in self.met), np.zeros(members, np.int64), none])
-        prints = np.concatenate([np.zeros((met, WORDS), np.uint64), *(x[2] for x in self.kept)]).view(np.int64)
-        columns = [pa.array(key), pa.array(a), pa.array(b, mask=np.arange(met + members) >= met), *(pa.array(np.ascontiguousarray(prints[:, w])) for w in range(WORDS))]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", *_FP])
-
-
-def _near(right: str) -> Column:
-    """Whether two rows' fingerprints differ in BUDGET bits or fewer."""
-    bits = None
-    for f in _FP:
-        here = F.bit_count(F.col(f).bitwiseXOR(F.col(right + f)))
-        bits = here if bits is None else bits + here
-    return bits <= BUDGET
+def _verify_blocks(least: float):
+    """Rows sorted by group and blocks (c, x, y, block, node, root, fingerprint, grams) in; verified links between different roots out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3):
+            x, y, block = rows.column(1)[0].as_py(), rows.column(2)[0].as_py(), rows.column(3).to_numpy()
+            node, root = rows.column(4).to_numpy(), rows.column(5).to_numpy()
+            prints = np.stack([rows.column(6 + w).to_numpy().view(np.uint64) for w in range(WORDS)], axis=1)
+            ends, flat = rows.column(6 + WORDS).offsets.to_numpy(), rows.column(6 + WORDS).values.to_numpy()
+            sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            size = np.diff(ends)
+            left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+            found = []
+            for at in range(0, len(left), 128):
+                i = left[at : at + 128]
+                d = np.bitwise_count(prints[i, None] ^ prints[None, right]).sum(2, dtype=np.int64)
+                like = np.minimum(size[i, None], size[None, right]) >= least * np.maximum(size[i, None], size[None, right]) - 1e-6
+                p, q = np.nonzero((d <= BUDGET) & like & (root[i, None] != root[None, right]))
+                for p, q in zip(i[p].tolist(), right[q].tolist(), strict=True):  # noqa: B020
+                    shared = np.intersect1d(sets[p], sets[q], assume_unique=True).size
+                    if shared / (len(sets[p]) + len(sets[q]) - shared) >= least:
+                        found.append((node[p], node[q]))
+            links = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[:, k])) for k in (0, 1)], names=["a", "b"])
 
-def _candidates(left: DataFrame, right: DataFrame, which: Column) -> DataFrame:
-    """Pairs (a, b) of left (key, node, fingerprint) and right (the same, named with an underscore) that share a key, meet ``which`` and are near."""
-    met = left.join(right, F.col("key") == F.col("_key")).where(which & _near("_"))
-    return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+    return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -346,38 +342,22 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(known.union(merged.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
 
 
-def _roots(pairs: DataFrame, members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(node, root) of the components that all verified pairs make; pairs: (a, b), members: (key, node, fingerprint)."""
-    links = _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, least)
+def _roots(met: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(node, root) of the components that all verified pairs make; met: (a, b, verify), nodes: (node, fingerprint)."""
+    links = _verified(met.where("verify").select("a", "b").distinct(), sets, least)
     roots = materialize(connected_components(links), "roots")
-    if members.isEmpty():
-        return roots
-    underscored = lambda rows: rows.select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
-    for turn in count():
-        rooted = members.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("key", "node", *_FP, F.coalesce("root", "node").alias("root"))
-        placed = materialize(rooted, "placed")
-        # only buckets that hold texts of several components have anything left to compare
-        each = placed.groupBy("key", "root").agg(F.count("*").alias("k"))
-        open_ = each.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("left"))
-        open_ = materialize(open_.where("roots > 1").select(F.col("key").alias("_k"), "main", "left"), "open")
-        left = open_.agg(F.sum("left").alias("x")).first().x
-        if not left:
-            release(placed)
-            return roots
-        found = None
-        if turn < STAR_ROUNDS and left > MANY * placed.count():
-            chosen = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", *_FP, "root")).alias("c"))
-            chosen = underscored(chosen.select("key", "c.node", *[F.col(f"c.{f}") for f in _FP], "c.root"))
-            found = _verified(_candidates(placed, chosen, F.col("root") != F.col("_root")), sets, least)
-            if not found.isEmpty():
-                roots = _joined(roots, found)
-                release(placed)
-                continue
-        # of two texts of different components one at least is outside the bucket's largest one
-        outside = placed.join(open_, (F.col("key") == F.col("_k")) & (F.col("root") != F.col("main"))).drop("_k", "main", "left")
-        found = _verified(_candidates(outside, underscored(placed), F.col("root") != F.col("_root")), sets, least)
-        release(placed)
-        return _joined(roots, found)
+    # components that hang together by partners, and their texts
+    old = lambda name: roots.select(F.col("node").alias(f"_{name}"), F.col("root").alias(f"_root_{name}"))
+    hang = met.where("not verify").select("a", "b").distinct().join(old("a"), F.col("a") == F.col("_a"), "left").join(old("b"), F.col("b") == F.col("_b"), "left")
+    groups = connected_components(hang.select(F.coalesce("_root_a", "a").alias("a"), F.coalesce("_root_b", "b").alias("b")))
+    groups = groups.select(F.col("node").alias("_r"), F.col("root").alias("c"))
+    placed = materialize(groups.join(roots, F.col("_r") == F.col("root"), "left").select(F.coalesce("node", "_r").alias("node"), "c", F.col("_r").alias("root")), "placed")
+    open_ = placed.groupBy(F.col("c").alias("_c")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rest = placed.join(open_, F.col("c") == F.col("_c")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("c", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "node", "root")
+    group = ["c", "x", "y"]
+    dealt = rest.join(nodes.select("node", *_FP), "node").join(sets, "node").select(*group, "block", "node", "root", *_FP, "grams").repartition(*group).sortWithinPartitions(*group)
+    return _joined(roots, materialize(dealt.mapInArrow(_verify_blocks(least), "a long, b long"), "links"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -398,15 +378,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = materialize(rows.mapInArrow(_signatures(shingle), f"id {id_type}, td long, node long, n int, {', '.join(f'{f} long' for f in _FP)}"), "signatures")
     nodes = materialize(prints.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "td")).alias("least"), F.max("n").alias("n"), *[F.max(f).alias(f) for f in _FP]), "nodes")
     entered = nodes.where("n > 0").select("node", "n", *_FP).mapInArrow(_enter, f"bucket long, node long, {', '.join(f'{f} long' for f in _FP)}")
-    met = materialize(entered.repartition(F.shiftright("bucket", 32)).sortWithinPartitions("bucket").mapInArrow(_meet(SMALL, PART, least), _MET), "met")
-    pairs, members = met.where("b is not null").select("a", "b"), met.where("b is null").select("key", F.col("a").alias("node"), *_FP)
+    met = materialize(entered.repartition(F.shiftright("bucket", 32)).sortWithinPartitions("bucket").mapInArrow(_meet(PART, least), _MET), "met")
     # the sets of those alone that meet another, worked out anew from the text
-    those = met.select(F.col("a").alias("node")).union(met.where("b is not null").select("b")).distinct()
+    those = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
     asked = nodes.join(those, "node", "left_semi").select(F.col("least.id").alias("__id"), F.col("least.td").alias("__td"))
     texts = rows.join(asked, F.col("id").eqNullSafe(F.col("__id")) & (F.col("td") == F.col("__td")), "left_semi").select("text")
     sets = materialize(texts.mapInArrow(_sets(shingle), "node long, grams array<long>").dropDuplicates(["node"]), "sets")
 
-    roots = _roots(pairs, members, sets, least)
+    roots = _roots(met, nodes, sets, least)
     groups = nodes.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     # a table of its own, so that the join may split what a large component gathers
     best = materialize(groups.groupBy(F.col("root").alias("__root")).agg(F.min("least").alias("best")), "components")
