@@ -44,7 +44,7 @@ PART = 1024
 #: Buckets of so many rows are compared together with others.
 FEW = 64
 #: Texts of a block whose sets are compared with those of another.
-BLOCK = 512
+BLOCK = 256
 _ORDERS = [np.random.default_rng(3 + r).permutation(64 * WORDS) for r in range(RINGS)]
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _FP = tuple(f"f{k}" for k in range(WORDS))
