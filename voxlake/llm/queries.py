@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import bpe, embed_dedup, exact_dedup, mixing, pii, quality, simhash, suffix_dedup, token_counts, url_filter
+from . import bpe, embed_dedup, exact_dedup, mixing, periodic_runs, pii, quality, simhash, source_audit, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -252,9 +252,111 @@ FROM d LEFT JOIN k ON k.n = d.n
 """
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("lang", "source", "text")
+    return source_audit.divergence(docs, least=3, most=200)
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), w AS (
+  SELECT id, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), vocabulary AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce((SELECT sum(n) FROM counts c WHERE c.lang = g.lang AND c.source = g.source), 0)::HUGEINT AS total,
+         coalesce((SELECT sum(n) FROM counts c WHERE c.lang = g.lang), 0)::HUGEINT AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN vocabulary USING (lang)
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + g.v) AS p,
+         1 + (1000000000::HUGEINT * (sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, k.term) + 1)) // (g.lang_total + g.v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), every AS (
+  SELECT * FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+#: The words of op13: what its contract plants in every tenth text by the identifier's CRC-32.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)"
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    parts = docs.withColumns({"h": h, "g": F.expr("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) div 10")}).withColumn("w", F.when(F.col("h") % 10 == 0, F.expr(_WORDS)))
+    parts = parts.withColumn("n", F.size("w").cast("long")).withColumn("a", F.expr("g % n")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.expr("concat_ws(' ', transform(w, (x, i) -> if(i < a, x, w[int(a + (i - a) % p)])))")
+    found = periodic_runs.periodic_runs(parts.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text")))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))")
+    lines = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+#: Runs as islands of equal five-word windows a fixed distance apart: a run has five matching words or more.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))))::BIGINT AS h
+  FROM documents
+), m AS (
+  SELECT id, doc_id, w, h, h // 10 AS g, len(w)::BIGINT AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d
+), x AS (
+  SELECT id, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE w END AS w
+  FROM m
+), t AS (
+  SELECT id, n, unnest(range(0, n)) AS i, unnest(w) AS v FROM x
+), f AS (
+  SELECT id, n, i, md5_number(concat_ws(' ', v, lead(v, 1) OVER p, lead(v, 2) OVER p, lead(v, 3) OVER p, lead(v, 4) OVER p)) AS k FROM t WINDOW p AS (PARTITION BY id ORDER BY i)
+), e AS (
+  SELECT a.id, a.i, b.i - a.i AS q FROM f a JOIN f b ON a.id = b.id AND a.k = b.k AND b.i > a.i AND 4 * (b.i - a.i) <= a.n WHERE a.i + 5 <= a.n AND b.i + 5 <= b.n
+), o AS (
+  SELECT id, q, i, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island FROM e
+), s AS (
+  SELECT id, q, min(i) AS start, count(*) + 4 + q AS length FROM o GROUP BY id, q, island HAVING count(*) + 4 + q >= greatest(6, 4 * q)
+), r AS (
+  SELECT id, start, length, min(q) AS period FROM s GROUP BY id, start, length
+), gone AS (
+  SELECT DISTINCT id, unnest(range(start + period, start + length)) AS i FROM r
+), c AS (
+  SELECT t.id, string_agg(v, ' ' ORDER BY i) AS collapsed FROM t ANTI JOIN gone USING (id, i) GROUP BY t.id
+), b AS (
+  SELECT id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+         arg_min({'start': start, 'length': length, 'period': period}, {'l': -length, 's': start, 'p': period}) AS best
+  FROM r GROUP BY id
+)
+SELECT x.doc_id, coalesce(b.n_runs, 0)::BIGINT AS n_runs, b.best.start::BIGINT AS start, b.best.length::BIGINT AS length, b.best.period::BIGINT AS period,
+       (1000 * b.best.length // b.best.period)::BIGINT AS exponent_milli, sha256(coalesce(b.lines, '')) AS runs_sha256, sha256(coalesce(c.collapsed, '')) AS collapsed_sha256
+FROM x LEFT JOIN b USING (id) LEFT JOIN c USING (id)
+"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_pii, op3_simhash, op4_embedding_links, op5_url_filter, op6_quality, op7_byte_bpe, op8_mix_sources, op9_token_counts, op10_suffix_dedup)
+    for f in (op1_exact_dedup, op2_pii, op3_simhash, op4_embedding_links, op5_url_filter, op6_quality, op7_byte_bpe, op8_mix_sources, op9_token_counts, op10_suffix_dedup, op12_source_audit, op13_periodic_runs)
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op2_pii": OP2_SQL, "op4_embedding_links": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_mix_sources": OP8_SQL, "op10_suffix_dedup": OP10_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op2_pii": OP2_SQL, "op4_embedding_links": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_mix_sources": OP8_SQL, "op10_suffix_dedup": OP10_SQL, "op12_source_audit": OP12_SQL, "op13_periodic_runs": OP13_SQL}
