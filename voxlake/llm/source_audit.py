@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -57,11 +58,11 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new = 0
 
     def rows() -> pa.RecordBatch:
-        at = [(g, t) for g, c in docs.items() for t in c]
-        out = [
-            pa.array([g[0] for g, _ in at], pa.string()), pa.array([g[1] for g, _ in at], pa.string()), pa.array([t for _, t in at], pa.binary()).view(pa.string()),
-            pa.array([counts[g][t] for g, t in at], pa.int64()), pa.array([docs[g][t] for g, t in at], pa.int64()),
-        ]
+        sizes = [len(d) for d in docs.values()]
+        names = pa.array(np.repeat(np.arange(len(docs)), sizes))
+        terms = pa.array([t for d in docs.values() for t in d], pa.binary()).view(pa.string())
+        n = pa.array([x for g, d in docs.items() for x in map(counts[g].__getitem__, d)], pa.int64())
+        out = [*(pa.array([g[k] for g in docs], pa.string()).take(names) for k in (0, 1)), terms, n, pa.array([x for d in docs.values() for x in d.values()], pa.int64())]
         counts.clear()
         docs.clear()
         return pa.RecordBatch.from_arrays(out, names=["lang", "source", "term", "n", "d"])
@@ -114,7 +115,7 @@ def index(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     counts = folded.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     term = W.partitionBy("lang", "term")
     found = materialize(
-        counts.select("lang", "source", "term", "n", F.sum("n").over(term).alias("lang_n"), F.sum("d").over(term).alias("in_docs"), (F.row_number().over(term.orderBy("source")) == 1).alias("first")).where(f"term = '' or in_docs >= {int(least)}"),
+        counts.select("lang", "source", "term", "n", F.sum("n").over(term).alias("lang_n"), F.sum("d").over(term).alias("in_docs"), (F.min("source").over(term) == F.col("source")).alias("first")).where(f"term = '' or in_docs >= {int(least)}"),
         "postings",
     )
     own = found.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("first") & (F.col("term") != ""), 1).otherwise(0)).alias("t"))
@@ -163,13 +164,13 @@ def _pairs(postings: DataFrame, groups: DataFrame) -> DataFrame:
     k, f0 = F.col("k"), distance(F.col("pa"), F.col("pb"))
     of_a = counted.withColumnRenamed("source", "a").join(pairs, ["lang", "a"]).select("lang", "a", "b", (k * (distance(share(F.col("n"), F.col("a_total"), F.col("terms")), F.col("pb")) - f0)).alias("v"))
     of_b = counted.withColumnRenamed("source", "b").join(pairs, ["lang", "b"]).select("lang", "a", "b", (k * (distance(F.col("pa"), share(F.col("n"), F.col("b_total"), F.col("terms"))) - f0)).alias("v"))
-    # terms that both have: what is left when each is taken against the other's zero share; pairs of counts are folded first
-    one = postings.where("n > 0").select("lang", "term", F.col("source").alias("a"), F.col("n").alias("na"))
-    two = postings.where("n > 0").select("lang", "term", F.col("source").alias("b"), F.col("n").alias("nb"))
-    both = one.join(two, ["lang", "term"]).where("a < b").groupBy("lang", "a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    both = both.unionByName(both.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"), "k"))
-    x, y = share(F.col("na"), F.col("a_total"), F.col("terms")), share(F.col("nb"), F.col("b_total"), F.col("terms"))
-    met = both.join(pairs, ["lang", "a", "b"]).select("lang", "a", "b", x.alias("x"), y.alias("y"), "pa", "pb", "k")
-    of_both = met.select("lang", "a", "b", (F.col("k") * (distance(F.col("x"), F.col("y")) - distance(F.col("x"), F.col("pb")) - distance(F.col("pa"), F.col("y")) + distance(F.col("pa"), F.col("pb")))).alias("v"))
+    # terms that both have: what is left when each is taken against the other's zero share; the shares are worked out once a posting
+    shares = postings.where("n > 0").join(sides, ["lang", "source"]).select("lang", "term", "source", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"), "p0")
+    one, two = (shares.select("lang", "term", F.col("source").alias(k), F.col("p").alias(f"p{k}"), F.col("p0").alias(f"z{k}")) for k in "ab")
+    pa, za, pb, zb = (F.col(k) for k in ("pa", "za", "pb", "zb"))
+    forth = distance(pa, pb) - distance(pa, zb) - distance(za, pb) + distance(za, zb)
+    back = distance(pb, pa) - distance(pb, za) - distance(zb, pa) + distance(zb, za)
+    both = one.join(two, ["lang", "term"]).where("a < b").groupBy("lang", "a", "b").agg(F.sum(forth).alias("v"), F.sum(back).alias("u"))
+    of_both = both.select("lang", F.inline(F.array(F.struct(F.col("a"), F.col("b"), F.col("v")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("u").alias("v")))))
     summed = pairs.select("lang", "a", "b", start.alias("v")).unionByName(of_a).unionByName(of_b).unionByName(of_both).groupBy("lang", "a", "b").agg(F.sum("v").alias("value"))
     return _ranked(summed.select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value"))
