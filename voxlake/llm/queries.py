@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import bpe, embed_dedup, exact_dedup, mixing, periodic_runs, pii, quality, simhash, source_audit, suffix_dedup, token_counts, url_filter
+from . import bpe, embed_dedup, exact_dedup, mixing, periodic_runs, pii, quality, simhash, source_audit, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -252,6 +252,11 @@ FROM d LEFT JOIN k ON k.n = d.n
 """
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("lang", "source", "text")
     return source_audit.divergence(docs, least=3, most=200)
@@ -356,7 +361,7 @@ FROM x LEFT JOIN b USING (id) LEFT JOIN c USING (id)
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_pii, op3_simhash, op4_embedding_links, op5_url_filter, op6_quality, op7_byte_bpe, op8_mix_sources, op9_token_counts, op10_suffix_dedup, op12_source_audit, op13_periodic_runs)
+    for f in (op1_exact_dedup, op2_pii, op3_simhash, op4_embedding_links, op5_url_filter, op6_quality, op7_byte_bpe, op8_mix_sources, op9_token_counts, op10_suffix_dedup, op11_toxicity, op12_source_audit, op13_periodic_runs)
 }
 
 SQL = {"op1_exact_dedup": OP1_SQL, "op2_pii": OP2_SQL, "op4_embedding_links": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_mix_sources": OP8_SQL, "op10_suffix_dedup": OP10_SQL, "op12_source_audit": OP12_SQL, "op13_periodic_runs": OP13_SQL}
