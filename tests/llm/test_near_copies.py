@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxlake.llm import near_copies
@@ -71,13 +72,63 @@ def test_repeated_and_null_identifiers(spark):
     assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("part", [4, 16])
-def test_buckets_in_parts(spark, part, monkeypatch):
+@pytest.mark.parametrize("part, block", [(4, 7), (16, 256)])
+def test_large_buckets_in_blocks(spark, part, block, monkeypatch):
+    """Every pair of blocks of every bucket is compared, wherever a row's only partner lies."""
     monkeypatch.setattr(near_copies, "PART", part)
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     rng = random.Random(2)
     base = [f"w{k}" for k in range(150)]
-    texts = [" ".join(w if rng.random() > 0.01 else f"x{k}" for w in base) for k in range(90)]
-    assert sorted(r.doc_id for r in stage(spark, texts).collect()) == wanted(range(90), texts)
+    texts = [" ".join(w if rng.random() > 0.01 else f"x{k}" for w in base) for k in range(90)] + made_texts()
+    assert sorted(r.doc_id for r in stage(spark, texts).collect()) == wanted(range(len(texts)), texts)
+
+
+def meet(prints: np.ndarray, key: int, part: int = 1 << 40):
+    """What one bucket of these fingerprints hands on, dealt in blocks of ``part`` rows."""
+    n, w = len(prints), near_copies.WORDS
+    blocks = -(-n // part)
+    rows = []
+    for i in range(n):
+        own = i % blocks
+        rows += [(min(own, o), max(own, o), own, i) for o in range(blocks)] if blocks > 1 else [(0, 0, 0, i)]
+    rows = sorted(rows)
+    deal = np.array([a << 40 | b << 20 | own for a, b, own, _ in rows], np.int64)
+    who = np.array([r[3] for r in rows])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), key << 32 | 100, np.int64)), pa.array(deal), pa.array(who.astype(np.int64)), *(pa.array(prints[who, k].view(np.int64)) for k in range(w))], names=["bucket", "deal", "node", *near_copies._FP])
+    out = pa.Table.from_batches(list(near_copies._meet(0.8)([batch.slice(at, 700) for at in range(0, len(rows), 700)])))
+    verify = out.column(2).to_numpy()
+    pairs = list(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+    return [p for p, v in zip(pairs, verify, strict=True) if v], [p for p, v in zip(pairs, verify, strict=True) if not v]
+
+
+@pytest.mark.parametrize("part", [512, 1 << 40])
+def test_unlike_texts_of_a_bucket_do_not_hang_together(part):
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 2**63, (3000, near_copies.WORDS), dtype=np.uint64)
+    mask = near_copies._MASKS[0, 0]
+    prints = (prints & ~mask) | (prints[0] & mask)
+    assert meet(prints, 0, part) == ([], [])
+    # a text and its near copy among them are the only two that are handed on
+    prints[2900] = prints[17] ^ np.uint64(1 << int(near_copies._ORDERS[0][40] % 64)) * (np.arange(near_copies.WORDS) == near_copies._ORDERS[0][40] // 64).astype(np.uint64)
+    assert meet(prints, 0, part) == ([(17, 2900)], [(17, 2900)])
+
+
+@pytest.mark.parametrize("n", [18, 90, 500])
+def test_pairs_at_the_similarity_meet(n):
+    """Of 1000 pairs of sets at a similarity of exactly 0.8, 99 in 100 or more meet and pass the chain."""
+    rng = np.random.default_rng(n)
+    both = []
+    for _ in range(1000):
+        a = rng.integers(0, 2**63, 10 * (n // 9), dtype=np.uint64)
+        both.append((np.unique(a[: n // 9 * 9]), np.unique(np.r_[a[: n // 9 * 8], a[n // 9 * 9 :]])))
+    one, two = (np.array([near_copies.fingerprint(p[k]) for p in both]) for k in (0, 1))
+    equal, met = near_copies.segment_keys(one) == near_copies.segment_keys(two), np.zeros(1000, bool)
+    for c in range(equal.shape[1]):
+        at = np.flatnonzero(equal[:, c] & ~met)
+        if len(at):
+            met[at] = near_copies.in_chain(one[at] ^ two[at], near_copies.segment_keys(one[at])[:, c])
+    assert met.mean() >= 0.99
 
 
 def test_fingerprint_and_keys():

@@ -11,12 +11,13 @@ fingerprints meet if a segment of some ring is equal in both.  From there the
 differences along the ring must stay within the proportional budgets
 (pigeonring filtering); the last link of that chain is the full Hamming
 distance.  Two texts at a similarity of exactly 0.8 meet with a probability of
-about 0.99, at 0.85 with 0.999; copies of one text mostly reach each other by
+0.995 or so, at 0.85 with 0.999; copies of one text mostly reach each other by
 more than one link.
 
 Equal sets are collapsed first.  Within a bucket rows lie by the size of their
-sets, and only those are compared whose sizes allow the similarity.  A bucket
-hands on, for each text, its nearest partner and a chosen one, to be verified,
+sets, and only those are compared whose sizes allow the similarity; a large
+bucket is cut into blocks, whose pairs are dealt over tasks.  A bucket hands on,
+for each text that has partners, the nearest and a chosen one, to be verified,
 and one link that says which texts hang together by partners at all.  What the
 verified pairs link is one component.  Where texts that hang together are still
 in several components, all pairs of these within BUDGET bits are verified in
@@ -33,18 +34,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import prepare
 from .components import connected_components
 from .embed_dedup import _groups
 from .simhash import _spread
 from .storage import materialize, release
 
-WORDS, SEGMENTS, WIDTH, BUDGET, RINGS = 4, 16, 16, 64, 6
-#: Rows of a bucket that are compared with one another, and with as many before them, at a time.
-PART = 1024
+WORDS, SEGMENTS, WIDTH, BUDGET, RINGS = 4, 16, 16, 64, 7
+#: Rows of a block of a large bucket; pairs of blocks are dealt over tasks.
+PART = 512
+#: One of so many texts is counted to find the large buckets.
+SAMPLE = 16
 #: Buckets of so many rows are compared together with others.
 FEW = 64
-#: Texts of a block whose sets are compared with those of another.
-BLOCK = 256
+#: Texts of a block whose sets are compared with those of another, and their shingles (8 bytes each).
+BLOCK, GRAMS = 256, 500_000
+#: A pair of blocks and a row's own block in one number.
+_BLOCK_BITS, _BLOCK_MASK = 20, (1 << 20) - 1
 _ORDERS = [np.random.default_rng(3 + r).permutation(64 * WORDS) for r in range(RINGS)]
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _FP = tuple(f"f{k}" for k in range(WORDS))
@@ -143,17 +149,26 @@ def segment_keys(prints: np.ndarray) -> np.ndarray:
     return np.hstack(rings).astype(np.int64) | (np.arange(RINGS * SEGMENTS, dtype=np.int64) << WIDTH)
 
 
+def _prints_of(batch: pa.RecordBatch, at: int) -> np.ndarray:
+    return np.stack([batch.column(at + w).to_numpy().view(np.uint64) for w in range(WORDS)], axis=1)
+
+
 def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, size, fingerprint) in; for each segment of each ring a row (bucket, node, fingerprint) out, the bucket's number above 32 bits and the size below."""
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
-            prints = np.stack([part.column(2 + w).to_numpy().view(np.uint64) for w in range(WORDS)], axis=1)
-            keys = (segment_keys(prints) << 32) | part.column(1).to_numpy().astype(np.int64)[:, None]
+            keys = (segment_keys(_prints_of(part, 2)) << 32) | part.column(1).to_numpy().astype(np.int64)[:, None]
             who = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), part.column(0).take(who), *(part.column(2 + w).take(who) for w in range(WORDS))], names=["bucket", "node", *_FP])
 
 
+def _enter_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fingerprint) in; the numbers of its buckets out."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(segment_keys(_prints_of(batch, 0)).reshape(-1))], names=["key"])
+
+
 def in_chain(x: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether the differing bits x (pairs by words) stay within the budgets along the key's ring from its segment."""
     where = key >> WIDTH
@@ -168,12 +183,13 @@ def in_chain(x: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _partners(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], key: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of a, row of b, bits) of the pairs of rows (node, size, fingerprint), sorted by size, that pass the chain."""
+    """(row of a, row of b, bits) of the pairs of rows (size, fingerprint), sorted by size, that pass the chain."""
     found = []
-    for at in range(0, len(a[0]), 128):
-        size = a[1][at : at + 128]
-        low, high = np.searchsorted(b[1], size[0] * least - 1e-6), np.searchsorted(b[1], size[-1] / least + 1e-6, side="right")
-        x = a[2][at : at + 128, None] ^ b[2][None, low:high]
+    step = max(1, min(128, (1 << 18) // max(1, len(b[0]))))
+    for at in range(0, len(a[0]), step):
+        size = a[0][at : at + step]
+        low, high = np.searchsorted(b[0], size[0] * least - 1e-6), np.searchsorted(b[0], size[-1] / least + 1e-6, side="right")
+        x = a[1][at : at + step, None] ^ b[1][None, low:high]
         d = np.bitwise_count(x).sum(2, dtype=np.int64)
         i, j = np.nonzero(d <= BUDGET)
         keep = in_chain(x[i, j], np.full(len(i), key, np.int64))
@@ -181,30 +197,17 @@ def _partners(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], key: int, le
     return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
-class _Bucket:
-    """One bucket's rows (node, size, fingerprint) in parts: pairs to verify, and links between texts that hang together."""
-
-    def __init__(self, key: int, least: float):
-        self.key, self.least, self.before, self.first = key, least, None, None
-
-    def add(self, rows: tuple[np.ndarray, ...], last: bool) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """(pairs, links) of one more part of the bucket."""
-        node, alone = rows[0], last and self.before is None
-        i, j, d = _partners(rows, rows, self.key, self.least)
+def _in_group(key: int, a: int, b: int, block: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, least: float) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(pairs to verify, links) of a bucket's blocks a and b, or of the whole bucket where both are 0: only rows that have a partner are linked."""
+    left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
+    if not len(left) or not len(right):
+        return (node[:0], node[:0]), (node[:0], node[:0])
+    i, j, d = _partners((size[left], prints[left]), (size[right], prints[right]), key, least)
+    i, j = left[i], right[j]
+    if a == b:
         i, j, d = i[i < j], j[i < j], d[i < j]
-        a, b = _few(node, node, np.r_[i, j], np.r_[j, i], np.r_[d, d])
-        a, b = node[a], node[b]
-        if alone:
-            links = _hanging(node, i, j)
-        else:
-            # the rows of a bucket in several parts hang together, as a row's partners may be in any other part
-            self.first = node.min() if self.first is None else self.first
-            links = (node, np.full(len(node), self.first))
-        if self.before is not None:
-            x, y = _few(node, self.before[0], *_partners(rows, self.before, self.key, self.least))
-            a, b = np.r_[a, node[x]], np.r_[b, self.before[0][y]]
-        self.before = rows
-        return (a, b), links
+    p, q = _few(node, node, np.r_[i, j], np.r_[j, i], np.r_[d, d])
+    return (node[p], node[q]), _hanging(node, i, j)
 
 
 def _hanging(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,12 +229,12 @@ def _few(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, d: n
     return i[pick], j[pick]
 
 
-def _together(key: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, least: float) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(pairs, links) of many whole buckets of a few rows each at once."""
-    place, step, found = np.arange(len(key)), 1, []
+def _together(group: np.ndarray, key: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, least: float) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(pairs, links) of many whole groups of a few rows each at once."""
+    place, step, found = np.arange(len(group)), 1, []
     while True:
-        place = place[place + step < len(key)]
-        place = place[(key[place] == key[place + step]) & (size[place] >= size[place + step] * least - 1e-6)]
+        place = place[place + step < len(group)]
+        place = place[(group[place] == group[place + step]) & (size[place] >= size[place + step] * least - 1e-6)]
         if not len(place):
             break
         x = prints[place] ^ prints[place + step]
@@ -259,38 +262,41 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1])), pa.array(np.concatenate([p[1] for p in parts]))], names=["a", "b", "verify"])
 
 
-def _meet(part: int, least: float):
-    """Rows sorted by bucket and size in; pairs to verify and links between texts that hang together out."""
+def _meet(least: float):
+    """Rows (bucket, deal, node, fingerprint) sorted by bucket, pair of blocks and size in; pairs to verify and links between texts that hang together out."""
+
+    def met(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        bucket, deal, node, prints = (np.concatenate(x) for x in zip(*rows, strict=True))
+        key, size = bucket >> 32, bucket & 0xFFFFFFFF
+        heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (deal[1:] >> _BLOCK_BITS != deal[:-1] >> _BLOCK_BITS)])
+        sizes = np.diff(np.r_[heads, len(key)])
+        few = np.repeat(sizes <= FEW, sizes)
+        group = np.repeat(np.arange(len(heads)), sizes)
+        out = [_together(group[few], key[few], node[few], size[few], prints[few], least)]
+        for h, n in zip(heads[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+            here = slice(h, h + n)
+            a, b = int(deal[h]) >> 2 * _BLOCK_BITS, int(deal[h]) >> _BLOCK_BITS & _BLOCK_MASK
+            out.append(_in_group(int(key[h]), a, b, deal[here] & _BLOCK_MASK, node[here], size[here], prints[here], least))
+        return _batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
-        bucket = None
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            rows = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.stack([batch.column(2 + w).to_numpy().view(np.uint64) for w in range(WORDS)], axis=1))
-            rows = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
-            key, size, node, prints = rows[0] >> 32, rows[0] & 0xFFFFFFFF, rows[1], rows[2]
-            heads, at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64), 0
-            sizes = np.diff(np.r_[heads, len(key)])
-            few = np.repeat((sizes <= FEW) & (np.arange(len(heads)) < len(heads) - 1) & (key[heads] != (bucket.key if bucket else -1)), sizes)
-            out = [_together(key[few], node[few], size[few], prints[few], least)]
-            for h, e in zip(heads.tolist(), [*heads[1:].tolist(), None], strict=True):
-                closed, e = e is not None, len(key) if e is None else e
-                at = h
-                if few[h]:
-                    continue
-                while e - at > part or (closed and e > at):  # an open bucket keeps its last rows for the next batch
-                    if bucket is None or bucket.key != key[h]:
-                        bucket = _Bucket(int(key[h]), least)
-                    to = min(at + part, e)
-                    out.append(bucket.add((node[at:to], size[at:to], prints[at:to]), closed and to == e))
-                    at = to
-            held = tuple(x[at:] for x in rows)
-            yield _batch(out)
-        if held is not None and len(held[0]):
-            key = int(held[0][0] >> 32)
-            if bucket is None or bucket.key != key:
-                bucket = _Bucket(key, least)
-            yield _batch([bucket.add((held[1], held[0] & 0xFFFFFFFF, held[2]), True)])
+            if not batch.num_rows:
+                continue
+            rows = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _prints_of(batch, 3))
+            at = lambda k, r=rows: (r[0][k] >> 32, r[1][k] >> _BLOCK_BITS)
+            new = (rows[0][1:] >> 32 != rows[0][:-1] >> 32) | (rows[1][1:] >> _BLOCK_BITS != rows[1][:-1] >> _BLOCK_BITS)
+            cut = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
+            if held and not cut and at(0) == at(0, held[0]):
+                held.append(rows)  # one group still
+                continue
+            whole = [*held, tuple(x[:cut] for x in rows)]
+            if held or cut:
+                yield met(whole)
+            held = [tuple(x[cut:] for x in rows)]
+        if held:
+            yield met(held)
 
     return run
 
@@ -351,13 +357,47 @@ def _roots(met: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> D
     hang = met.where("not verify").select("a", "b").distinct().join(old("a"), F.col("a") == F.col("_a"), "left").join(old("b"), F.col("b") == F.col("_b"), "left")
     groups = connected_components(hang.select(F.coalesce("_root_a", "a").alias("a"), F.coalesce("_root_b", "b").alias("b")))
     groups = groups.select(F.col("node").alias("_r"), F.col("root").alias("c"))
-    placed = materialize(groups.join(roots, F.col("_r") == F.col("root"), "left").select(F.coalesce("node", "_r").alias("node"), "c", F.col("_r").alias("root")), "placed")
-    open_ = placed.groupBy(F.col("c").alias("_c")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rest = placed.join(open_, F.col("c") == F.col("_c")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("c", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "node", "root")
+    placed = groups.join(roots, F.col("_r") == F.col("root"), "left").select(F.coalesce("node", "_r").alias("node"), "c", F.col("_r").alias("root"))
+    placed = materialize(placed.join(nodes.select(F.col("node").alias("_n"), "n"), F.col("node") == F.col("_n")).drop("_n"), "placed")
+    return _joined(roots, materialize(_dealt(placed, nodes, sets).mapInArrow(_verify_blocks(least), "a long, b long"), "links"))
+
+
+def _dealt(placed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Texts (node, c, root, n) of each group c with their sets, once for each pair of blocks that they take part in.
+
+    The texts of a group's largest root make blocks of their own, numbered
+    after the others: pairs of these blocks are left out, as their texts are
+    joined already.
+    """
+    each = placed.groupBy("c", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
+    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("grams") / GRAMS)).cast("int")
+    main = each.groupBy("c").agg(F.max_by(F.struct("root", blocks.alias("blocks")), F.struct("rows", "root")).alias("m"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams"), F.max_by(F.struct("rows", "grams"), F.struct("rows", "root")).alias("of"))
+    minor = F.ceil(F.greatest((F.col("rows") - F.col("of.rows")) / BLOCK, (F.col("grams") - F.col("of.grams")) / GRAMS)).cast("int")
+    main = materialize(main.select(F.col("c").alias("_c"), F.col("m.root").alias("_main"), F.col("m.blocks").alias("_big"), minor.alias("_few")), "groups")
+    own = F.col("root") == F.col("_main")
+    rows = placed.join(main.where("_few > 0"), F.col("c") == F.col("_c"))
+    rows = rows.withColumn("block", F.when(own, F.col("_few") + F.pmod(F.xxhash64("node"), "_big")).otherwise(F.pmod(F.xxhash64("node"), "_few")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(own, F.col("_few")).otherwise(F.col("_few") + F.col("_big")) - 1)))
+    rows = rows.select("c", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "node", "root")
     group = ["c", "x", "y"]
-    dealt = rest.join(nodes.select("node", *_FP), "node").join(sets, "node").select(*group, "block", "node", "root", *_FP, "grams").repartition(*group).sortWithinPartitions(*group)
-    return _joined(roots, materialize(dealt.mapInArrow(_verify_blocks(least), "a long, b long"), "links"))
+    return rows.join(nodes.select("node", *_FP), "node").join(sets, "node").select(*group, "block", "node", "root", *_FP, "grams").repartition(*group).sortWithinPartitions(*group)
+
+
+def _in_blocks(entered: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of buckets with ``deal``: a pair of blocks and the row's own, 0 in buckets that aren't large.
+
+    Rows of a large bucket go to every pair of blocks that their own takes part
+    in.  Large buckets are told by a count over one of SAMPLE texts; it only
+    decides how the work is dealt, never what is compared.
+    """
+    seen = nodes.where("n > 0").where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select(*_FP).mapInArrow(_enter_keys, "key long")
+    blocks = F.least(F.ceil(F.col("k") * SAMPLE / PART), F.lit(_BLOCK_MASK)).cast("int")
+    large = materialize(seen.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") * SAMPLE > 2 * PART).select("key", blocks.alias("blocks")), "large")
+    rows = entered.join(large, F.shiftright("bucket", 32) == F.col("key"), "left")
+    own = F.pmod(F.xxhash64("node"), "blocks")
+    pair = lambda o: F.shiftleft(F.least(own, o), 2 * _BLOCK_BITS).bitwiseOR(F.shiftleft(F.greatest(own, o), _BLOCK_BITS)).bitwiseOR(own)
+    deals = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), pair))
+    return rows.select("bucket", F.explode(deals).alias("deal"), "node", *_FP)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -372,13 +412,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     it with another text keep the one with the least digest, and equal rows of
     it all stay.  An empty table gives an empty one.
     """
+    prepare(docs.sparkSession)
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = docs.select(ident.alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("td"), text.alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     prints = materialize(rows.mapInArrow(_signatures(shingle), f"id {id_type}, td long, node long, n int, {', '.join(f'{f} long' for f in _FP)}"), "signatures")
     nodes = materialize(prints.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "td")).alias("least"), F.max("n").alias("n"), *[F.max(f).alias(f) for f in _FP]), "nodes")
     entered = nodes.where("n > 0").select("node", "n", *_FP).mapInArrow(_enter, f"bucket long, node long, {', '.join(f'{f} long' for f in _FP)}")
-    met = materialize(entered.repartition(F.shiftright("bucket", 32)).sortWithinPartitions("bucket").mapInArrow(_meet(PART, least), _MET), "met")
+    group = [F.shiftright("bucket", 32), F.shiftright("deal", _BLOCK_BITS)]
+    met = materialize(_in_blocks(entered, nodes).repartition(*group).sortWithinPartitions(*group, "bucket").mapInArrow(_meet(least), _MET), "met")
     # the sets of those alone that meet another, worked out anew from the text
     those = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
     asked = nodes.join(those, "node", "left_semi").select(F.col("least.id").alias("__id"), F.col("least.td").alias("__td"))
