@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.batches import map_groups
 from ..model import AXES
 
 
@@ -81,18 +82,18 @@ def smooth(df: DataFrame, sigma: Sequence[float], by: Sequence[str] = ("image_id
     inside = F.col(v).isNotNull() & ~F.isnan(v)
     rows = df.where(inside & F.col(mask) if mask else inside).select(*by, *[F.col(a).cast("int").alias(a) for a in AXES], F.col(v).cast("double").alias("v"))
     for a in AXES:
-        rows = rows.withColumn(f"b{a}", F.explode(F.sequence(F.floor((F.col(a) - rim[a]) / block).cast("int"), F.floor((F.col(a) + rim[a]) / block).cast("int"))))
-    out = rows.select(*by, *AXES, "v")
-    size = [block + 2 * rim[a] for a in AXES]
-
-    def of_block(table: pa.Table) -> pa.Table:
-        at = [table.column(a).to_numpy().astype(np.int64) for a in AXES]
-        first = [table.column(f"b{a}")[0].as_py() * block - rim[a] for a in AXES]
-        place = tuple(p - f for p, f in zip(at, first, strict=True))
+        rows = rows.withColumn(f"b{a}", F.explode(F.sequence(F.greatest(F.floor((F.col(a) - rim[a]) / block), F.lit(0)).cast("int"), F.floor((F.col(a) + rim[a]) / block).cast("int"))))
+    size, group = [block + 2 * rim[a] for a in AXES], [*by, *[f"b{a}" for a in AXES]]
+    names = rows.columns
+    kept = [names.index(c) for c in (*by, *AXES)]
+
+    def of_block(batch: pa.RecordBatch) -> list[pa.Array]:
+        at = [batch.column(names.index(a)).to_numpy().astype(np.int64) for a in AXES]
+        place = tuple(p - batch.column(names.index(f"b{a}"))[0].as_py() * block + rim[a] for p, a in zip(at, AXES, strict=True))
         values, seen = np.zeros(size), np.zeros(size, bool)
-        values[place], seen[place] = table.column("v").to_numpy(), True
+        values[place], seen[place] = batch.column(names.index("v")).to_numpy(), True
         new = smoothed(values, seen, kernels)[place]
-        own = np.all([(p >= rim[a]) & (p < rim[a] + block) for p, a in zip(place, AXES, strict=True)], axis=0)
-        return table.set_column(table.column_names.index("v"), "v", pa.array(new)).filter(pa.array(own)).select([*by, *AXES, "v"])
+        own = pa.array(np.all([(p >= rim[a]) & (p < rim[a] + block) for p, a in zip(place, AXES, strict=True)], axis=0))
+        return [*(batch.column(k).filter(own) for k in kept), pa.array(new).filter(own)]
 
-    return rows.groupBy(*by, *[f"b{a}" for a in AXES]).applyInArrow(of_block, out.schema)
+    return map_groups(rows, group, of_block, rows.select(*by, *AXES, "v").schema)

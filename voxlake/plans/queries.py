@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import text as X
 from ..model import CHANNELS, to_long
 from ..operators import atlas, catalog, events, motion as M, quality, resample as R, signal as S, template, volume as V
-from . import file_queries, filter_queries, model_queries  # noqa: F401  they register their queries
+from . import file_queries, filter_queries, model_queries, registration_queries  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, query, r, rs  # noqa: F401
 from .tables import CUBE, MOTION_SQL, SERIES_SQL, SIGNAL_SQL, VOLUMES_SQL, event_series, motion, series, signal, table, volumes, wide_volumes
 
