@@ -64,6 +64,8 @@ def align_frames(frames: DataFrame, base: DataFrame, size: Sequence[float] = (1.
     base, or shows nothing, keeps the best numbers met, at first zeros.
     """
     rows = frames.select(*by, t, "dims", "voxels").join(base.select(*by, F.col("dims").alias("__dims"), F.col("voxels").alias("__base")), list(by))
+    # little data, much work: as many tasks as shuffles have, and the frames of a long run over all of them
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, t)
     kept, spacing = [*by, t], np.asarray(size, float)
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} double" for c in CHANNELS] + ["error double"])
 
