@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxlake.functions import text as X
 from voxlake.operators import atlas, catalog, events, template
 from voxlake.operators.order import place_in_order
-from voxlake.sources import tables
+from voxlake.sources import images, tables
 
 
 def one(spark, column, **values):
@@ -180,3 +180,42 @@ def test_places_in_a_long_list(spark, range_rows):
     got = sorted((r.place, r.name) for r in place_in_order(df, "name", "place", 1, range_rows).collect())
     assert [p for p, _ in got] == list(range(1, 502)) and [n for _, n in got] == [None, *sorted(n for n in names if n)]
     assert place_in_order(df.limit(0), "name", "place").count() == 0
+
+
+def test_templates_keep_repeated_lines_and_take_the_first_rule(spark):
+    lines = spark.createDataFrame([(1, "set a"), (1, "set a"), (2, None), (3, "set b"), (4, "other")], "line_no int, line string")
+    rules = spark.createDataFrame([(2, "x", "set", "second"), (1, "y", "set a", "first")], "priority int, label string, find string, replacement string")
+    want = [(1, "first"), (1, "first"), (2, None), (3, "second"), (4, "other")]
+    assert sorted(map(tuple, template.fill(lines, rules).collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, template.fill(lines, rules.limit(0)).collect()), key=repr) == sorted(map(tuple, lines.collect()), key=repr)
+    two = lines.withColumn("job", F.lit("a")).union(lines.withColumn("job", F.lit("b")))
+    got = template.fill(two, rules.withColumn("job", F.lit("b")), ("job",)).collect()
+    assert sorted([(r.line_no, r.line) for r in got if r.job == "b"], key=repr) == sorted(want, key=repr)
+    assert sorted([(r.line_no, r.line) for r in got if r.job == "a"], key=repr) == sorted(map(tuple, lines.collect()), key=repr)
+
+
+def test_places_of_ties_are_the_same_each_time(spark):
+    names = ["x"] * 500 + [f"n{k % 7}" for k in range(200)]
+    rows = [(n, k) for k, n in enumerate(names)]
+    got = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "name string, k int").repartition(parts)
+        placed = place_in_order(df, "name", "place", range_rows=50)
+        assert placed.schema["place"].dataType.simpleString() == "bigint"
+        got.append(sorted((r.place, r.name, r.k) for r in placed.collect()))
+    assert got[0] == got[1] and [r[0] for r in got[0]] == list(range(700)) and [r[1] for r in got[0]] == sorted(names)
+
+
+def test_grids_and_ranges_of_tables(spark):
+    projects = spark.createDataFrame([("p", [1, 2], ["01", "02"], [1]), ("q", [3], [], [1]), ("r", [4], None, [1])], "project string, participants array<int>, sessions array<string>, runs array<int>")
+    assert sorted(map(tuple, catalog.run_grid_of(projects).collect())) == [("p", 1, "01", 1), ("p", 1, "02", 1), ("p", 2, "01", 1), ("p", 2, "02", 1)]
+    searches = spark.createDataFrame([(1, [3, 1, 2, 1], [5, 6]), (2, [1], [5, 6])], "id int, x array<int>, y array<int>")
+    assert sorted(map(tuple, catalog.search_ranges_of(searches, ("x", "y")).collect())) == [(1, 1, 2, 5, 6), (1, 1, 3, 5, 6), (1, 2, 3, 5, 6)]
+
+
+def test_label_tables_and_matrix_files_in_tables(spark):
+    made = spark.createDataFrame([("a", "\ufeffN,R\r\n1,\"x, y\"\r\n\r\n2,z\r\n"), ("b", ""), ("c", "N,R")], "path string, value string")
+    assert sorted(map(tuple, tables.labels_csv_rows(made, "n int, r string").collect())) == [("a", 1, "x, y"), ("a", 2, "z")]
+    xml = spark.createDataFrame([("a", '<d><label index="3" x="1" y="2.5" z="-1"> left  </label></d>'), ("b", "<d></d>")], "path string, value string")
+    assert list(map(tuple, tables.labels_xml_rows(xml).collect())) == [("a", 3, 1.0, 2.5, -1.0, "left")]
+    assert images.matrix_rows(spark.createDataFrame([("a", None)], "path string, content binary")).count() == 0

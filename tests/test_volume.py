@@ -221,3 +221,13 @@ def test_reslice_defaults(spark, cube):
 def test_scaled_map_takes_new_voxels_to_old():
     m = R.scaled_map(np.eye(4), (2, 2, 2), (1, 1, 1))
     assert np.allclose(m @ [4, 2, 0, 1], [2, 1, 0, 1])
+
+
+def test_padding_generates_each_border_voxel_once(spark):
+    cube = np.arange(336.0).reshape(6, 7, 8)
+    df, origin = long_of(spark, cube), [3.0, 4.0, 4.0]
+    padded, _ = V.pad(df, {"L": 2, "R": 1, "P": 0, "A": 3, "I": 1, "S": 2}, cube.shape, origin, background=-1.0)
+    rows = padded.collect()
+    assert len(rows) == len({(r.x, r.y, r.z) for r in rows}) == (6 + 3) * (7 + 3) * (8 + 3)
+    assert sum(r.v == -1.0 for r in rows) == len(rows) - 336
+    assert V.pad(df, {}, cube.shape, origin)[0].count() == 336

@@ -39,6 +39,13 @@ def run_grid(spark: SparkSession, participants: Sequence[int], sessions: Sequenc
     return one.select(F.explode("p").alias("sub"), "s", "r").select("sub", F.explode("s").alias("ses"), "r").select("sub", "ses", F.explode("r").alias("run"))
 
 
+def run_grid_of(projects: DataFrame, participants: str = "participants", sessions: str = "sessions", runs: str = "runs") -> DataFrame:
+    """All combinations of participant, session and run of each project: other columns, sub, ses, run.  An empty or null list gives none."""
+    rest = [c for c in projects.columns if c not in (participants, sessions, runs)]
+    rows = projects.select(*rest, F.explode(participants).alias("sub"), sessions, runs)
+    return rows.select(*rest, "sub", F.explode(sessions).alias("ses"), runs).select(*rest, "sub", "ses", F.explode(runs).alias("run"))
+
+
 def paired(df: DataFrame, left: str, right: str, names: tuple[str, str]) -> DataFrame:
     """Elements of two arrays side by side, as far as the shorter goes."""
     n = F.least(F.size(left), F.size(right))
@@ -57,6 +64,23 @@ def search_ranges(spark: SparkSession, low: int = -180, high: int = 181, step: i
     return out
 
 
+def search_ranges_of(searches: DataFrame, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """All settings of each search, whose columns ``axes`` have the values of an axis: other columns, <axis>_min, <axis>_max.
+
+    A setting is, for each axis, a range between two of its values, the first
+    below the second; repeated values count once.  Ranges of one axis are
+    worked out inside the row, before any is multiplied with the others.
+    """
+    rest = [c for c in searches.columns if c not in axes]
+    for a in axes:
+        values = F.array_sort(F.array_distinct(F.col(a)))
+        pairs = F.flatten(F.transform(values, lambda lo: F.transform(F.filter(values, lambda hi: hi > lo), lambda hi: F.struct(lo.alias("a"), hi.alias("b")))))  # noqa: B023
+        searches = searches.withColumn(a, pairs)
+    for a in axes:
+        searches = searches.withColumn(a, F.explode(a)).withColumns({f"{a}_min": F.col(f"{a}.a"), f"{a}_max": F.col(f"{a}.b")}).drop(a)
+    return searches.select(*rest, *[f"{a}_{end}" for a in axes for end in ("min", "max")])
+
+
 def expected_files(runs: DataFrame, process: str, dataset: str = "", specie: Column | None = None) -> DataFrame:
     """A row a run (sub, ses, task, run) and file that the process needs: the run's columns and ``path`` below the folder of ``dataset``.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: What identifies the lines of a preprocessing and of a model template, in the order in which rules are tried.
 PREPROCESS = {
@@ -34,15 +34,30 @@ def rules(spark: SparkSession, find: Mapping[str, str], values: Mapping[str, obj
     return spark.createDataFrame(rows, "priority int, label string, find string, replacement string")
 
 
+#: Rules that a template may have.
+MOST_RULES = 10_000
+
+
+def _first(line: Column, found: Column) -> Column:
+    """The replacement of the first rule in an array of (find, replacement) that the line contains, or the line."""
+    hits = F.filter(found, lambda rule: F.contains(line, rule["find"]))
+    return F.coalesce(F.get(hits, F.lit(0))["replacement"], line)
+
+
 def fill(lines: DataFrame, rules: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Lines (line_no, line) with those that contain a rule's key replaced; of several rules the first counts.
 
     With ``by`` both frames have these columns and rules apply to their own
-    template.  Rules are few: the join takes the rules' side as the small one.
+    template: its rules are one array, joined by template.  Without, the rules
+    (MOST_RULES at most, an error beyond) are a literal, and filling is a
+    projection.  Repeated lines stay; a null line contains nothing.
     """
-    hit = F.contains(F.col("line"), F.col("find"))
-    for c in by:
-        hit = hit & (F.col(c) == F.col(f"__{c}"))
-    right = F.broadcast(rules.select("priority", "find", "replacement", *[F.col(c).alias(f"__{c}") for c in by])) if not by else rules.select("priority", "find", "replacement", *[F.col(c).alias(f"__{c}") for c in by])
-    joined = lines.join(right, hit, "left")
-    return joined.groupBy(*by, "line_no", "line").agg(F.min_by("replacement", "priority").alias("__new")).select(*by, "line_no", F.coalesce("__new", "line").alias("line"))
+    rule = F.struct("find", "replacement")
+    if not by:
+        rows = rules.select("priority", "find", "replacement").limit(MOST_RULES + 1).collect()
+        if len(rows) > MOST_RULES:
+            raise ValueError(f"a template has {MOST_RULES} rules at most")
+        known = [F.struct(F.lit(r.find).alias("find"), F.lit(r.replacement).alias("replacement")) for r in sorted(rows)]
+        return lines.select("line_no", (_first(F.col("line"), F.array(*known)) if known else F.col("line")).alias("line"))
+    each = rules.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("priority", rule.alias("rule")))), lambda x: x["rule"]).alias("__rules"))
+    return lines.join(each, list(by), "left").select(*by, "line_no", F.coalesce(_first(F.col("line"), F.col("__rules")), F.col("line")).alias("line"))

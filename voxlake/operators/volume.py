@@ -63,19 +63,23 @@ def clip(df: DataFrame, cut: Mapping[str, float], dims: Sequence[int], origin: S
 def pad(df: DataFrame, add: Mapping[str, float], dims: Sequence[int], origin: Sequence[float] | None = None, background: float = 0.0, by: Sequence[str] = ("image_id", "t")) -> tuple[DataFrame, list[float]]:
     """Background voxels on the sides L, R, P, A, I and S; the volume and its new origin.  A count beyond the origin is refused, as it always was.
 
-    Only the border is generated, from one row a volume; the voxels that are
-    there are moved without a join.
+    Only the border is generated, as six slabs from one row a volume; the voxels
+    that are there are moved without a join.
     """
     sides, origin = _per_side(add, dims, origin, "padding")
     moved = df.select(*by, *[(F.col(a) + sides[a][0]).cast("int").alias(a) for a in AXES], F.col("v").cast("double").alias("v"))
-    size = [d + sum(sides[a]) for d, a in zip(dims, AXES, strict=True)]
-    grid = df.select(*by).distinct()
-    for a, n in zip(AXES, size, strict=True):
-        grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    inside = F.lit(True)
+    slabs, ranges = [], {a: (0, d + sum(sides[a]) - 1) for a, d in zip(AXES, dims, strict=True)}
     for a, d in zip(AXES, dims, strict=True):
-        inside = inside & F.col(a).between(sides[a][0], sides[a][0] + d - 1)
-    border = grid.where(~inside).select(*by, *AXES, F.lit(float(background)).alias("v"))
+        low, high = sides[a]
+        slabs += [ranges | {a: r} for r in ((0, low - 1), (low + d, low + d + high - 1)) if r[0] <= r[1]]
+        ranges = ranges | {a: (low, low + d - 1)}  # the slabs of later axes lie between those of this one
+    if not slabs:
+        return moved, [o + sides[a][0] for o, a in zip(origin, AXES, strict=True)]
+    each = F.array(*[F.struct(*[F.struct(F.lit(r[0]).alias("a"), F.lit(r[1]).alias("b")).alias(a) for a, r in slab.items()]) for slab in slabs])
+    border = df.select(*by).distinct().select(*by, F.explode(each).alias("__s"))
+    for a in AXES:
+        border = border.withColumn(a, F.explode(F.sequence(F.col(f"__s.{a}.a"), F.col(f"__s.{a}.b"))))
+    border = border.select(*by, *AXES, F.lit(float(background)).alias("v"))
     return moved.unionByName(border), [o + sides[a][0] for o, a in zip(origin, AXES, strict=True)]
 
 
@@ -189,7 +193,7 @@ def concatenate(parts: Sequence[tuple[DataFrame, int]], axis: str = "t") -> Data
 
 def frames_by_name(df: DataFrame, name: str = "path", t: str = "t") -> DataFrame:
     """Single volumes numbered in the order of their file names.  Only the names are sorted, in ranges."""
-    return df.drop(t).join(place_in_order(df.select(name).distinct(), name, t), name)
+    return df.drop(t).join(place_in_order(df.select(name).distinct(), name, t).withColumn(t, F.col(t).cast("int")), name)
 
 
 def replace_slices(df: DataFrame, patch: DataFrame, by: Sequence[str] = ("image_id",), on: Sequence[str] = ("t", "z")) -> DataFrame:

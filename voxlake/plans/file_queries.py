@@ -271,3 +271,46 @@ def rows_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_linenumber", F.round("l_quantity", 2).alias("onset"))
     one, two = (lines.where(F.col("l_linenumber") == k).select("onset") for k in (1, 2))
     return events.concatenate([one, two, one]).groupBy("file", "onset").agg(F.count("*").alias("n"))
+
+
+_RESULTS_SQL = "SELECT s_suppkey AS participant, s_nationkey AS run_N, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey % 7 END AS lost FROM supplier"
+
+
+@query(f"WITH q AS ({_RESULTS_SQL}), n AS (SELECT *, row_number() OVER (ORDER BY run_N, participant) - 1 AS line_no FROM q) SELECT line_no, line_no || ',' || participant || ',' || run_N || ',' || coalesce(lost::VARCHAR, '') AS line FROM n")
+def quality_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lost = F.when(F.col("s_suppkey") % 5 != 0, F.col("s_suppkey") % 7)
+    return files.quality_lines(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("participant"), F.col("s_nationkey").alias("run_N"), lost.alias("lost")), ["run_N", "participant"])
+
+
+@query("SELECT n_regionkey::VARCHAR AS path, n_nationkey AS number, n_name || ', \"left\"' AS region FROM nation")
+def atlas_labels_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label tables with a byte-order mark, a header line and quoted names, a file a region."""
+    quoted = F.concat(F.lit('"'), "n_name", F.lit(', ""left"""'))
+    line = F.concat(F.col("n_nationkey").cast("string"), F.lit(","), quoted)
+    made = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("string").alias("path")).agg(F.concat(F.lit("\ufeffNumber,Region\r\n"), F.array_join(F.collect_list(line), "\r\n"), F.lit("\r\n")).alias("value"))
+    return files.labels_csv_rows(made, "number int, region string")
+
+
+@query("SELECT n_regionkey::VARCHAR AS path, n_nationkey AS index, n_nationkey * 0.5::DOUBLE AS x, -1.25::DOUBLE AS y, n_regionkey::DOUBLE AS z, n_name AS name FROM nation")
+def atlas_labels_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, rk = F.col("n_nationkey"), F.col("n_regionkey")
+    element = F.concat(F.lit('<label index="'), n.cast("string"), F.lit('" x="'), (n * 0.5).cast("string"), F.lit('" y="-1.25" z="'), rk.cast("string"), F.lit('"> '), "n_name", F.lit(" </label>"))
+    made = table(spark, sf_dir, "nation").groupBy(rk.cast("string").alias("path")).agg(F.concat(F.lit("<atlas><data>"), F.array_join(F.collect_list(element), "\n"), F.lit("</data></atlas>")).alias("value"))
+    return files.labels_xml_rows(made)
+
+
+def _matrix_file(rows, columns, values):
+    """Content of a level-4 matrix file that holds one matrix M."""
+    import struct
+
+    body = b"".join(struct.pack("<d", values[i * columns + j]) for j in range(columns) for i in range(rows))
+    return struct.pack("<5i", 0, rows, columns, 0, 2) + b"M\0" + body
+
+
+@query("SELECT vec_id::VARCHAR AS path, 'M' AS name, 8 AS n_rows, 8 AS n_columns, round(list_sum(list_transform(range(0, 64), lambda i: embedding[i + 1]::DOUBLE * (i + 1))), 5) + 0.0::DOUBLE AS weighted FROM embeddings")
+def matrix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as 8 x 8 matrices in files, read back; the weighted sum tells the order of what was read."""
+    content = F.pandas_udf(lambda v: v.map(lambda x: _matrix_file(8, 8, [float(y) for y in x])), "binary")
+    made = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), content("embedding").alias("content"))
+    weighted = F.aggregate(F.transform("values", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return images.matrix_rows(made).select("path", "name", "n_rows", "n_columns", r(weighted, 5).alias("weighted"))

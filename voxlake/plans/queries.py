@@ -181,6 +181,16 @@ def motion_with_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("run", "t", M.motion_lines(rows).alias("line"))
 
 
+_FD_LOST, _CHANGE_LOST = f"fd > {FD_THRESHOLD}", f"c > {CHANGE_THRESHOLD}"
+
+
+@query(_BOTH_SQL + f"SELECT run, t, {_FD_LOST} AS fwd, {_CHANGE_LOST} AS dvars, {_FD_LOST} OR {_CHANGE_LOST} AS either, {_FD_LOST} AND {_CHANGE_LOST} AS both FROM b")
+def masks_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lost = (M.lost_mask("fd", FD_THRESHOLD), M.lost_mask("global_change", CHANGE_THRESHOLD))
+    shown = {"fwd": "fwd", "dvars": "dvars", "or": "either", "and": "both"}
+    return _both(spark, sf_dir).select("run", "t", *[quality.choose_mask(k, *lost).alias(v) for k, v in shown.items()])
+
+
 @query(f"WITH {SERIES_SQL} SELECT run, voxel, {rs('avg(v)')} AS v FROM series GROUP BY run, voxel")
 def temporal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.temporal_mean(series(spark, sf_dir), ["run"], ["voxel"]).select("run", F.col("voxel").cast("long").alias("voxel"), r("v").alias("v"))
@@ -314,7 +324,7 @@ def _nearest_sql(grid: R.Grid, bg: str, value: str = rs("coalesce(v.v, g.bg)"))
     return f"WITH {VOLUMES_SQL}, {_grid_sql(grid, bg)} SELECT g.image_id, g.x, g.y, g.z, {value} AS v FROM g LEFT JOIN volumes v ON v.image_id = g.image_id AND {same}"
 
 
-def _trilinear_sql(grid: R.Grid, bg: str) -> str:
+def _trilinear_sql(grid: R.Grid, bg: str, shown: str = rs("{v}")) -> str:
     """Eight looked-up voxels for each place; no joins but that of volumes and grid."""
     axes = ", ".join(f"range(0, {n}) {a}_({a})" for a, n in zip("xyz", grid.dims, strict=True))
     places = ", ".join(f"{float(m[0])!r}::DOUBLE * x + {float(m[1])!r}::DOUBLE * y + {float(m[2])!r}::DOUBLE * z + {float(m[3]) + 1.0!r}::DOUBLE AS p{a}" for a, m in zip("xyz", grid.to_old[:3], strict=True))
@@ -328,7 +338,7 @@ def _trilinear_sql(grid: R.Grid, bg: str) -> str:
     value = " + ".join(corner((k & 1, k >> 1 & 1, k >> 2 & 1)) for k in range(8))
     return (
         f"WITH g AS (SELECT vec_id AS image_id, embedding::DOUBLE[] AS e, x::INT AS x, y::INT AS y, z::INT AS z, {places} FROM embeddings, {axes}) "
-        f"SELECT image_id, x, y, z, {rs(f'CASE WHEN {inside} THEN {value} ELSE {bg} END')} AS v FROM g"
+        f"SELECT image_id, x, y, z, {shown.replace('{v}', f'CASE WHEN {inside} THEN {value} ELSE {bg} END')} AS v FROM g"
     )
 
 
@@ -357,7 +367,7 @@ def apply_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(to_long(R.on_arrays(wide_volumes(spark, sf_dir), _TARGET, CUBE, bg=0.0)))
 
 
-def _lines_sql(grid: R.Grid, bg: str) -> str:
+def _lines_sql(grid: R.Grid, bg: str, shown: str = rs("{v}")) -> str:
     m, nx = grid.to_old, grid.dims[0]
     place = lambda k, x: f"round({float(m[k, 0] * x)!r}::DOUBLE + {float(m[k, 1])!r}::DOUBLE * y + {float(m[k, 2])!r}::DOUBLE * z + {float(m[k, 3]) + 1.0!r}::DOUBLE)::BIGINT"
     ends = ", ".join(f"{place(k, -1.0)} AS s{a}, {place(k, nx - 1.0)} AS e{a}" for k, a in enumerate("xyz"))
@@ -366,7 +376,7 @@ def _lines_sql(grid: R.Grid, bg: str) -> str:
     return (
         f"WITH {VOLUMES_SQL}, {_grid_sql(grid, bg)}, l AS (SELECT image_id, bg, x, y, z, {ends} FROM g), n AS (SELECT *, greatest(abs(ex - sx), abs(ey - sy), abs(ez - sz)) AS n FROM l), "
         f"k AS (SELECT *, least(greatest(round((x + 1) * (n + 1) / {nx}::DOUBLE)::BIGINT, 1), n + 1) - 1 AS k FROM n), q AS (SELECT image_id, bg, x, y, z, {at} FROM k) "
-        f"SELECT q.image_id, q.x, q.y, q.z, {rs('coalesce(v.v, q.bg)')} AS v FROM q LEFT JOIN volumes v ON v.image_id = q.image_id AND {same}"
+        f"SELECT q.image_id, q.x, q.y, q.z, {shown.replace('{v}', 'coalesce(v.v, q.bg)')} AS v FROM q LEFT JOIN volumes v ON v.image_id = q.image_id AND {same}"
     )
 
 
@@ -381,6 +391,24 @@ def reslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", "x", "y", "z", r(F.col("v").cast("double"), 5).alias("v"))
 
 
+_FLOATS = rs("({v})::FLOAT::DOUBLE", 5)
+
+
+def _resliced(spark: SparkSession, sf_dir: str, method: int) -> DataFrame:
+    out, _ = R.reslice(volumes(spark, sf_dir), CUBE, _TURN, (1.0, 0.8, 1.5), method=method)
+    return out.select("image_id", "x", "y", "z", r(F.col("v").cast("double"), 5).alias("v"))
+
+
+@query(_trilinear_sql(R.output_grid(CUBE, _TURN, (0.8, 0.8, 0.8)), "(e[1] + e[64]) / 2", _FLOATS))
+def reslice_trilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resliced(spark, sf_dir, 1)
+
+
+@query(_lines_sql(R.output_grid(CUBE, _TURN, (0.8, 0.8, 0.8)), _ENDS_SQL, _FLOATS))
+def reslice_along_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resliced(spark, sf_dir, 3)
+
+
 @query(f"WITH {SERIES_SQL} SELECT run, voxel, {rs('v')} AS v FROM series WHERE t = 0")
 def first_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.first_volume(series(spark, sf_dir)).select("run", F.col("voxel").cast("long").alias("voxel"), r("v").alias("v"))
@@ -414,17 +442,25 @@ def runs_with_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.paired(rows, "runs", "sessions", ("run", "session")).select("c_custkey", "run", "session")
 
 
-@query("SELECT sub::INT AS sub, lpad(s::VARCHAR, 2, '0') AS ses, run::INT AS run FROM range(1, 20) a(sub), range(1, 4) b(s), range(1, 5) c(run)")
+#: A project a nation, with so many participants, sessions and runs.
+@query("SELECT n_nationkey, sub::INT AS sub, lpad(s::VARCHAR, 2, '0') AS ses, run::INT AS run FROM nation, range(1, 20) a(sub), range(1, 4) b(s), range(1, 5) c(run) WHERE sub <= n_nationkey % 19 + 1 AND s <= n_regionkey % 3 + 1 AND run <= n_nationkey % 4 + 1")
 def run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.run_grid(spark, list(range(1, 20)), ["01", "02", "03"], [1, 2, 3, 4])
+    upto = lambda n: F.sequence(F.lit(1), n)
+    sessions = F.transform(upto((F.col("n_regionkey") % 3 + 1).cast("int")), lambda s: F.lpad(s.cast("string"), 2, "0"))
+    projects = table(spark, sf_dir, "nation").select("n_nationkey", upto((F.col("n_nationkey") % 19 + 1).cast("int")).alias("participants"), sessions.alias("sessions"), upto((F.col("n_nationkey") % 4 + 1).cast("int")).alias("runs"))
+    return catalog.run_grid_of(projects)
 
 
+#: A search a supplier: values from -180 in steps, as far as its part goes.
 @query(
-    "WITH v AS (SELECT v::INT AS v FROM range(-180, 181, 40) r(v)), p AS (SELECT a.v AS lo, b.v AS hi FROM v a JOIN v b ON a.v < b.v) "
-    "SELECT x.lo AS x_min, x.hi AS x_max, y.lo AS y_min, y.hi AS y_max, z.lo AS z_min, z.hi AS z_max FROM p x, p y, p z"
+    "WITH v AS (SELECT s_suppkey, v::INT AS v FROM supplier, range(-180, 181, 40) r(v) WHERE v <= -180 + 40 * (s_suppkey % 5)), w AS (SELECT s_suppkey, v::INT AS v FROM supplier, range(-180, 181, 90) r(v)), "
+    "p AS (SELECT a.s_suppkey, a.v AS lo, b.v AS hi FROM v a JOIN v b ON a.s_suppkey = b.s_suppkey AND a.v < b.v), q AS (SELECT a.s_suppkey, a.v AS lo, b.v AS hi FROM w a JOIN w b ON a.s_suppkey = b.s_suppkey AND a.v < b.v) "
+    "SELECT x.s_suppkey, x.lo AS x_min, x.hi AS x_max, y.lo AS y_min, y.hi AS y_max, z.lo AS z_min, z.hi AS z_max FROM p x JOIN p y ON x.s_suppkey = y.s_suppkey JOIN q z ON x.s_suppkey = z.s_suppkey"
 )
 def search_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.search_ranges(spark)
+    some = F.sequence(F.lit(-180), (F.lit(-180) + 40 * (F.col("s_suppkey") % 5)).cast("int"), F.lit(40))
+    searches = table(spark, sf_dir, "supplier").select("s_suppkey", some.alias("x"), some.alias("y"), F.sequence(F.lit(-180), F.lit(180), F.lit(90)).alias("z"))
+    return catalog.search_ranges_of(searches)
 
 
 #: Runs of a made-up project, a customer a participant; of its files every third is missing.
@@ -457,6 +493,26 @@ def files_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.present(*_expected(spark, sf_dir)).select("sub", "run", "path")
 
 
+#: What the other processes need, a dog's run for odd participants; every fourth file is missing.
+_OTHERS = {"get_mean_fct": ("preprocessing", "_reoriented.nii.gz"), "run_to_STD": ("preprocessing", "_mc.nii.gz"), "GLM": ("normalized", ".nii.gz")}
+_OTHERS_SQL = (
+    f"{_RUNS_SQL}, p(process, folder, suffix, k) AS (VALUES " + ", ".join(f"('{n}', '{f}', '{x}', {k})" for k, (n, (f, x)) in enumerate(_OTHERS.items())) + "), "
+    "need AS (SELECT process, k, sub, run, 'emo/' || folder || '/' || kind || '-sub-' || printf('%02d', sub) || '/' || kind || '-sub-' || printf('%02d', sub) || CASE WHEN ses <> '' THEN '_ses-' || ses ELSE '' END || '_task-' || task || '_run-' || printf('%02d', run) || suffix AS path "
+    "FROM (SELECT *, CASE WHEN sub % 2 = 0 THEN 'H' ELSE 'D' END AS kind FROM runs), p)"
+)
+
+
+@query(f"WITH {_OTHERS_SQL} SELECT process, sub, run, path, (sub + k) % 4 <> 0 AS available FROM need")
+def processes_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, out = F.col("c_nationkey"), None
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("sub"), F.when(n % 2 == 0, "").otherwise("01").alias("ses"), F.lit("faces").alias("task"), (n % 4 + 1).alias("run"))
+    for k, process in enumerate(_OTHERS):
+        need = catalog.expected_files(runs, process, "emo", F.when(F.col("sub") % 2 == 0, "H").otherwise("D"))
+        found = catalog.available(need, need.where((F.col("sub") + k) % 4 != 0).select("path"), ["sub", "run", "path"]).withColumn("process", F.lit(process))
+        out = found if out is None else out.unionByName(found)
+    return out.select("process", "sub", "run", "path", "available")
+
+
 @query(f"WITH {_RUNS_SQL}, {_FILES_SQL}, {_NEED_SQL} SELECT path, NULL::VARCHAR AS specie, sub, CASE WHEN ses = '' THEN NULL ELSE ses END AS session, 'faces' AS task, run, regexp_replace(path, '^.*_run-[0-9]+', '') AS suffix FROM need")
 def file_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalogue(_expected(spark, sf_dir)[0].select("path"))
@@ -513,7 +569,7 @@ def event_files_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.concatenate([one, one.where("value > 10")]).groupBy("event_type", "file").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_name AS name, row_number() OVER (ORDER BY n_name)::INT AS number FROM nation")
+@query("SELECT n_name AS name, row_number() OVER (ORDER BY n_name) AS number FROM nation")
 def names_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.numbered(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
 

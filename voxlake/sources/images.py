@@ -98,6 +98,19 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return prepare(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(NAMES))
 
 
+def matrix_rows(files: DataFrame) -> DataFrame:
+    """Matrices of MATLAB files that are in a table (path, content): path, name, n_rows, n_columns, values (rows one after the other); a null content has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(path, name, m) for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if data for name, m in read_matrix_file(data).items()]
+            columns = [pa.array([f[k] for f in found], pa.string()) for k in (0, 1)] + [pa.array([f[2].shape[k] for f in found], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[2].reshape(-1).tolist() for f in found], pa.list_(pa.float64()))], names=["path", "name", "n_rows", "n_columns", "values"])
+
+    prepare(files.sparkSession)
+    return files.select("path", "content").mapInArrow(run, "path string, name string, n_rows int, n_columns int, values array<double>")
+
+
 def read_matrix_file(data: bytes) -> dict[str, np.ndarray]:
     """Variables of a MATLAB file of level 4 or 5 that are matrices of doubles; other variables are left out."""
     kinds = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8"}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import params, parse_run_path, short_decimal
 from ..model import CHANNELS
+from ..operators.order import place_in_order
 
 
 def _texts(spark: SparkSession, path: str) -> DataFrame:
@@ -91,11 +92,35 @@ def write_matrix(df: DataFrame, path: str, columns: list[str], header: bool = Fa
     rows.write.mode("overwrite").text(path)
 
 
+def quality_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """(line_no long, line) of the quality table as CSV below its header: a leading row number from 0, then all columns, nulls empty.
+
+    Rows are numbered in the order of whole-number columns that aren't negative.
+    """
+    key = F.concat_ws("/", *[F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 20, "0") for c in order])
+    placed = place_in_order(df.withColumn("__key", key), "__key", "line_no")
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+    return placed.select("line_no", F.concat_ws(",", F.col("line_no").cast("string"), *cells).alias("line"))
+
+
 def write_quality_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """The quality table as CSV with a leading row number without a name, from 0."""
-    from pyspark.sql import Window as W
+    """The quality table as one CSV file with a header and a leading row number without a name, from 0: a row a run, for a person to read."""
+    head = df.sparkSession.createDataFrame([(-1, ",".join(['""', *df.columns]))], "line_no long, line string")
+    head.unionByName(quality_lines(df, order)).coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
+
+
+def labels_csv_rows(files: DataFrame, schema: str) -> DataFrame:
+    """Rows of label tables that are in a table (path, value): path and the columns of ``schema``; a mark at the start and the header line are left out."""
+    lines = F.filter(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n"), lambda s: F.trim(s) != "")
+    rows = files.select("path", F.explode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line"))
+    return rows.select("path", F.from_csv("line", schema, {"escape": '"'}).alias("r")).select("path", "r.*")
+
 
-    df.withColumn("", F.row_number().over(W.orderBy(*order)) - 1).select("", *df.columns).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+def labels_xml_rows(files: DataFrame) -> DataFrame:
+    """(path, index, x, y, z, name) of the label elements of XML files that are in a table (path, value)."""
+    parts = {c: F.xpath("value", F.lit(f"//label/@{c}")) for c in ("index", "x", "y", "z")} | {"name": F.xpath("value", F.lit("//label/text()"))}
+    rows = files.select("path", F.inline(F.arrays_zip(*[v.alias(k) for k, v in parts.items()]))).toDF("path", *parts)
+    return rows.select("path", F.col("index").cast("int").alias("index"), *[F.col(c).cast("double").alias(c) for c in "xyz"], F.trim("name").alias("name"))
 
 
 def read_affine(text: str) -> list[list[float]]:
