@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -19,3 +19,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
     return spark
+
+
+#: Bytes up to which a table is dealt anew before heavy work on its rows.
+SMALL_TABLE = 32_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small table dealt to all cores; a larger table as it is.
+
+    A file of one row group is one task, however many cores there are, and a
+    task that works on each row for long would keep them waiting.  The size is
+    the plan's own estimate; what comes out doesn't depend on it.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_TABLE else df
