@@ -30,6 +30,8 @@ IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 #: Keys and passwords: a long run of characters that must look random; only words nearby make it a secret.
 SECRET = r"[A-Za-z0-9_+/-]{20,}"
+#: The same runs without those that have no digit, tried only where a run begins: no character is looked at once for each start within a word.
+_SECRET_RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{20,}+"
 SECRET_DIGITS, SECRET_LETTERS, SECRET_DISTINCT = 5, 4, 10
 #: Characters that must not stand next to a span of an added kind.
 BORDER = {"iban": "[A-Za-z0-9]", "ssn": "[0-9-]", "secret": "[A-Za-z0-9_+/-]"}
@@ -155,7 +157,7 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "phone": _if_any(text, r"\+[0-9]", F.filter(_spans(text, PHONE, "phone"), lambda s: F.size(_digits(s["value"])).between(10, 15))),
         "iban": _if_any(text, "[A-Z]{2}[0-9]{2}", F.filter(_spans(text, IBAN, "iban"), lambda s: mod97(s["value"]) & _stands_alone(text, "iban", s))),
         "ssn": _if_any(text, "[0-9]-[0-9]{2}-[0-9]", F.filter(_spans(text, SSN, "ssn"), lambda s: _stands_alone(text, "ssn", s))),
-        "secret": _if_any(text, SECRET, F.filter(_spans(text, SECRET, "secret"), lambda s: looks_random(s["value"]))),
+        "secret": _if_any(text, _SECRET_RUN, F.filter(_spans(text, _SECRET_RUN, "secret"), lambda s: looks_random(s["value"]))),
     }
     scored = [_scored(text, order, kind) for order, kind in enumerate(KINDS)]
     found = docs.select(*kept, *[c.alias(f"__{kind}") for kind, c in raw.items()])
