@@ -10,8 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from voxlake.llm import periodic_runs, source_audit, toxicity
-from voxlake.llm.queries import op13_periodic_runs
+from voxlake.llm import bpe, mixing, periodic_runs, pii, quality, source_audit, token_counts, toxicity
+from voxlake.llm.queries import op13_periodic_runs, tokenizer
 
 from ..oracle import DATA
 from . import plain
@@ -286,3 +286,40 @@ def test_folded_rows_are_record_batches():
     batch = pa.RecordBatch.from_arrays([pa.array(["en", "en"]), pa.array(["s", "s"]), pa.array(["A a b", None])], names=["lang", "source", "text"])
     out = pa.Table.from_batches(list(source_audit._fold(iter([batch])))).to_pylist()
     assert {(r["term"], r["n"], r["d"]) for r in out} == {("", 0, 2), ("a", 2, 1), ("b", 1, 1)}
+
+
+# edges of earlier operators
+
+
+def test_internal_columns_of_encoders_are_not_returned(spark):
+    docs = frame(spark, [(1, "a b", "en", "s"), (1, "a b", "en", "s"), (None, None, None, None)]).withColumn("__x", F.lit(1))
+    got = bpe.bpe_round_trip(docs, *tokenizer())
+    assert "__x" not in got.columns and got.count() == 3
+    lengths = token_counts.token_lengths(docs.withColumns({"n_tokens": F.lit("x"), "n_docs": F.lit(9), "block": F.lit(1)}), *tokenizer())
+    assert {(r.n_tokens, r.n_docs) for r in token_counts.length_histogram(lengths).collect()} == {(0, 1), (2, 2)}
+
+
+def test_personal_data_in_repeated_rows(spark):
+    text = "key token: " + "a1B2c3D4e5F6g7H8i9J0" + " and x@y.org " + "q" * 30 + " +1 (487) 555-7209"
+    rows = pii.find_spans(frame(spark, [(1, text, "en", "s")] * 3 + [(2, None, None, None)])).collect()
+    assert sorted(len(r.spans) for r in rows) == [0, 3, 3, 3] and {s.kind for r in rows for s in r.spans} == {"email", "phone", "secret"}
+    # a run of letters alone, or one with too few digits, is no key
+    assert pii.find_spans(frame(spark, [(1, "token " + "abcdefghijklmnopqrstuvwxyz " + "abcdefghijklmnopqrst1", "en", "s")])).first().spans == []
+
+
+def test_mix_of_repeated_rows_and_null_identifiers(spark):
+    rows = [(5, "a b c", "en", "s")] * 4 + [(None, "a b", "en", "s")] * 2 + [(7, "", "en", None), (8, "x", "en", None)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and sum(r.taken for r in got if r.source == "s") == pytest.approx(sum(3 for _ in range(4)) * 1.5 + 4 * 1.5, abs=2.0)
+    again = mixing.mix(frame(spark, rows[::-1])).collect()
+    key = lambda x: sorted((str(r.doc_id), r.size, r.taken) for r in x)
+    assert key(got) == key(again) and all(r.taken <= 2 * r.size for r in got)
+
+
+def test_quality_of_a_very_long_text_and_of_repeated_documents(spark):
+    words = "one two three four five six seven eight nine ten".split()
+    rows = [(k, " ".join(words * (1 + k % 3)) if k % 2 else "!! " * 40, "en", "s") for k in range(60)] + [(1, "another text", "en", "s")] * 5 + [(100, "word " * 300_000, "en", "s")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    docs = frame(spark, rows)
+    found = quality.score(docs, quality.train(docs, labels)).collect()
+    assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)

@@ -175,14 +175,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most about ``max_rows`` labelled rows that aren't held out, sampled by a hash of the identifier.
 
     Rows without identifier or label are left out, and labels that repeat an
-    identifier count once, as their mean; documents that repeat one count each.
-    The sampled labels, bounded by ``max_rows``, are what is broadcast.
+    identifier count once, as their mean; of documents that repeat one the
+    least text counts.  The sampled labels, bounded by ``max_rows``, are what is
+    broadcast, and as many rows of features come to the driver at most.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("double").alias("y")).where("__id is not null and y is not null").where(~held_out(F.col("__id")))
     known = known.groupBy("__id").agg(F.avg("y").alias("y"))
     every = -(-known.count() // max_rows) or 1
     sample = known.where(F.pmod(F.xxhash64("__id"), F.lit(every)) == 0).limit(2 * max_rows)
-    rows = docs.select(F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("text", "y").mapInArrow(_feature_rows, "x array<double>, y double").collect()
+    texts = docs.select(F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
+    texts = texts.groupBy("__id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("y").alias("y"))
+    rows = texts.select("text", "y").mapInArrow(_feature_rows, "x array<double>, y double").collect()
     # the rows come in any order; sorted, they give the same model each time
     rows = sorted((tuple(r.x), r.y) for r in rows)
     return fit(np.array([r[0] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r[1] for r in rows]))

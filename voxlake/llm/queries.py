@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import prepare
+from ..session import prepare, spread
 from . import bpe, embed_dedup, exact_dedup, mixing, periodic_runs, pii, quality, simhash, source_audit, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:

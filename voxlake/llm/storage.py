@@ -77,5 +77,5 @@ def _delete_all() -> None:
     for spark, path in _written:
         try:
             _delete(spark, path)
-        except Exception:  # the session may have ended already; the files are then the cluster's to remove
-            return
+        except Exception:  # the session may have ended already; its files are then the cluster's to remove
+            continue
