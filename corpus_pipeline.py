@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voxlake.llm import bpe, exact_dedup, mixing, near_copies, quality
 from voxlake.llm.queries import tokenizer
 from voxlake.llm.storage import materialize, point, release, release_since
-from voxlake.session import prepare
+from voxlake.session import prepare, spread
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents, each written to the shared folder and read again; a stage's own tables go when it is written."""
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(prepare(spark).read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         start = point()
         kept = materialize(stage(spark, docs, sf_dir), name)
