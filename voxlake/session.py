@@ -32,5 +32,5 @@ def spread(df: DataFrame) -> DataFrame:
     task that works on each row for long would keep them waiting.  The size is
     the plan's own estimate; what comes out doesn't depend on it.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_TABLE else df
