@@ -26,11 +26,13 @@ SMALL_TABLE = 32_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows of a small table dealt to all cores; a larger table as it is.
+    """The rows of a small table dealt to all cores; a larger table, or one that is read by enough tasks, as it is.
 
     A file of one row group is one task, however many cores there are, and a
     task that works on each row for long would keep them waiting.  The size is
     the plan's own estimate; what comes out doesn't depend on it.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_TABLE else df
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > SMALL_TABLE or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
