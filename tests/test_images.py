@@ -254,3 +254,50 @@ def test_scaled_values_come_back(spark):
     assert (head.dime.scl_slope, head.dime.scl_inter, head.hist.descrip) == (0.25, 3.0, "scaled")
     assert {r.path: list(r.voxels) for r in images.decode_volumes(files).collect()} == {str(k): [1.25 * k, 3.0] for k in range(3)}
     assert {r.path: list(r.voxels) for r in images.decode_volumes(files, raw=True).collect()} == {str(k): [5.0 * k - 12, 0.0] for k in range(3)}
+
+
+def test_frames_and_slices_by_ranges_and_by_paths_that_only_spark_opens(spark, tmp_path):
+    values = np.arange(240.0).reshape(2, 3, 4, 10)
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.nii").write_bytes(nifti(values, 16))
+    (tmp_path / "in" / "deep" / "b.nii.gz").write_bytes(gzip.compress(nifti(values + 1000, 64)))
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.test.link./in", f"file://{tmp_path}/in")
+    assert images.seekable(str(tmp_path)) and images.seekable(f"file:{tmp_path}") and not images.seekable("viewfs://test/in")
+    frame = lambda t, base=0.0: list((values[..., t] + base).ravel(order="F"))
+    for path in (f"{tmp_path}/in", f"file://{tmp_path}/in", "viewfs://test/in"):
+        rows = images.read_ranges(spark, path, part_bytes=300).collect()
+        assert len(rows) == 20 and sorted(r.t for r in rows) == sorted([*range(10)] * 2)
+        assert all(list(r.voxels) == frame(r.t, 1000.0 if r.path.endswith(".gz") else 0.0) for r in rows)
+        chosen = images.read_ranges(spark, path, frames=[7, 2, 99], slices=[1, 9]).collect()
+        assert sorted((r.path[-5:], r.t) for r in chosen) == [("a.nii", 2), ("a.nii", 7), ("ii.gz", 2), ("ii.gz", 7)]
+        kept = np.zeros((2, 3, 4))
+        kept[:, :, 1] = values[:, :, 1, 7]
+        assert next(list(r.voxels) for r in chosen if r.t == 7 and r.path.endswith("a.nii")) == list(kept.ravel(order="F"))
+
+
+def test_ranges_read_no_more_than_they_need(tmp_path, monkeypatch):
+    values = np.arange(240.0).reshape(2, 3, 4, 10)
+    (tmp_path / "a.nii").write_bytes(nifti(values, 16))
+    read: list[int] = []
+
+    class Counting:
+        def __init__(self, path):
+            self.f = open(path, "rb")
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            read.append(n)
+            return self.f.read(n)
+
+    assert len(list(images._frames_of(f"{tmp_path}/a.nii", Counting, (3,), False, (0, 2), False))) == 1
+    assert read == [348, 24, 24]
+    read.clear()
+    assert len(list(images._frames_of(f"{tmp_path}/a.nii", Counting, (1, 5), True, None, False))) == 2 and read == [348, 96, 96]

@@ -4,7 +4,8 @@
 any file system that Spark knows will do; a file is decoded by one task, as
 gzip can't be split.  The data source ``voximage`` reads single frames of
 uncompressed files by seeking, where workers can open the path: frames asked
-for by option or by a filter on ``t`` are the only ones read.
+for by option or by a filter on ``t`` are the only ones read.  ``read_ranges`` does
+so on any file system that Arrow opens, over files that Spark lists.
 
 ``encode_volumes`` turns wide volumes into file bytes, and ``write_files`` puts
 them in a folder.
@@ -14,7 +15,9 @@ from __future__ import annotations
 
 import glob
 import gzip
+import io
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -431,31 +434,37 @@ class ImageReader(DataSourceReader):
         return out
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        with _open(part.path) as f:
-            head = H.parse_header(f.read(H.SIZE))
-        total, size = frame_count(head), frame_bytes(head)
-        nx, ny, nz = spatial(head)
-        frames = range(total * part.share // part.shares, total * (part.share + 1) // part.shares) if part.frames is None else [t for t in part.frames if t < total]
-        by_slice = self.slices is not None and H.TYPES[head["dime"]["datatype"]][0] > 1
-        with _open(_image_of(part.path)) as f:
-            for t in frames:
-                start = int(head["dime"]["vox_offset"]) + t * size
-                if by_slice:
-                    data, each = bytearray(size), size // nz
-                    for z in self.slices:
-                        if 0 <= z < nz:
-                            f.seek(start + z * each)
-                            data[z * each : (z + 1) * each] = f.read(each)
-                else:
-                    f.seek(start)
-                    data = f.read(size)
-                values = decode_frame(head, bytes(data), self.raw)
-                if self.slices is not None:
-                    keep = np.isin(np.arange(len(values)) // (nx * ny), self.slices)
-                    values = np.where(keep if values.ndim == 1 else keep[:, None], values, 0.0)
-                flat = pa.array(np.ascontiguousarray(values, np.float64).ravel())
-                voxels = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([t], pa.int32()), pa.array([{"x": nx, "y": ny, "z": nz}], _VOXELS.field("dims").type), voxels], schema=_VOXELS)
+        frames = part.frames if part.frames is not None else (part.share, part.shares)
+        return _frames_of(part.path, _open, frames, part.frames is None, self.slices, self.raw)
+
+
+def _frames_of(path: str, opened: Callable, frames: tuple[int, ...], share: bool, slices: tuple[int, ...] | None, raw: bool) -> Iterator[pa.RecordBatch]:
+    """Frames of a file by seeking: those named or, as a ``share``, the k-th of n parts of what it has; ``opened`` opens a path."""
+    with opened(path) as f:
+        head = H.parse_header(f.read(H.SIZE))
+    total, size = frame_count(head), frame_bytes(head)
+    nx, ny, nz = spatial(head)
+    wanted = range(total * frames[0] // frames[1], total * (frames[0] + 1) // frames[1]) if share else [t for t in frames if t < total]
+    by_slice = slices is not None and H.TYPES[head["dime"]["datatype"]][0] > 1
+    with opened(_image_of(path)) as f:
+        for t in wanted:
+            start = int(head["dime"]["vox_offset"]) + t * size
+            if by_slice:
+                data, each = bytearray(size), size // nz
+                for z in slices:
+                    if 0 <= z < nz:
+                        f.seek(start + z * each)
+                        data[z * each : (z + 1) * each] = f.read(each)
+            else:
+                f.seek(start)
+                data = f.read(size)
+            values = decode_frame(head, bytes(data), raw)
+            if slices is not None:
+                keep = np.isin(np.arange(len(values)) // (nx * ny), slices)
+                values = np.where(keep if values.ndim == 1 else keep[:, None], values, 0.0)
+            flat = pa.array(np.ascontiguousarray(values, np.float64).ravel())
+            voxels = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([t], pa.int32()), pa.array([{"x": nx, "y": ny, "z": nz}], _VOXELS.field("dims").type), voxels], schema=_VOXELS)
 
 
 def _image_of(path: str) -> str:
@@ -467,6 +476,67 @@ def _open(path: str):
     return gzip.open(path, "rb") if path.endswith(".gz") else open(path, "rb")
 
 
+def _file_system(path: str):
+    """(file system, path in it) by Arrow's file-system layer; an error if that doesn't know the scheme."""
+    from pyarrow import fs
+
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.LocalFileSystem(), path
+
+
+def _open_anywhere(path: str):
+    where, inside = _file_system(path)
+    found = where.open_input_file(inside)
+    return gzip.GzipFile(fileobj=found) if path.endswith(".gz") else found
+
+
+def seekable(path: str) -> bool:
+    """Whether workers can open byte ranges below a path; paths of a scheme that only Spark knows they can't."""
+    try:
+        _file_system(path)
+        return True
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ImportError):
+        return False
+
+
+def read_ranges(spark: SparkSession, path: str, frames: Sequence[int] | None = None, slices: Sequence[int] | None = None, raw: bool = False, part_bytes: int = PART_BYTES, seek: bool | None = None) -> DataFrame:
+    """Frames (and slices of them; others are 0) of image files below any path that Spark lists: path, t, dims, voxels.
+
+    Spark lists the files; each named frame, or each share of ``part_bytes`` of
+    a file, is a row that is dealt to the tasks, which read the header and the
+    bytes they need through Arrow's file-system layer (local, object stores,
+    HDFS).  A packed file is one share.  Where workers can't open the path
+    (``seek``, found out from its scheme), Spark hands them whole files and they
+    decode what is asked for.
+    """
+    some, cut = (tuple(int(x) for x in v) if v is not None else None for v in (frames, slices))
+    files = _files(spark, path).where(~F.col("path").rlike(r"\.img(\.gz)?$"))
+    seek = seekable(path) if seek is None else seek
+    shown = "path string, t int, dims struct<x:int,y:int,z:int>, voxels array<double>"
+    if not seek:
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    content = unpacked(data)
+                    yield from _frames_of(name, lambda _, c=content: io.BytesIO(c), some if some is not None else (0, 1), some is None, cut, raw)
+
+        return files.where(~F.col("path").rlike(r"\.hdr(\.gz)?$")).select("path", "content").mapInArrow(whole, shown)
+    packed = F.col("path").endswith(".gz")
+    # a header's own size says nothing of its image's: it is one share
+    shares = F.when(packed | F.col("path").rlike(r"\.hdr$"), 1).otherwise(F.greatest(F.ceil(F.col("length") / part_bytes), F.lit(1))).cast("int")
+    rows = files.select("path", shares.alias("n"), F.explode(F.array(*map(F.lit, some)) if some is not None else F.sequence(F.lit(0), shares - 1)).alias("k"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "k")
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, n, k in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                yield from _frames_of(name, _open_anywhere, (k,) if some is not None else (k, n), some is None, cut, raw)
+
+    return rows.mapInArrow(ranges, shown)
+
+
 def load(spark: SparkSession, path: str, **options) -> DataFrame:
     """Frames by the data source."""
     prepare(spark).dataSource.register(ImageSource)
