@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import header as H, text as X
 from ..model import CHANNELS, to_long
 from ..operators import atlas, catalog, events, signal as S, template, volume as V
 from ..sources import images, tables as files
+from ..storage import shared_folder
 from .registry import query, r, rs
 from .tables import MOTION_SQL, SERIES_SQL, VOLUMES_SQL, motion, series, table, volumes, wide_volumes
 
@@ -100,6 +105,17 @@ def frames_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("path").cast("int").alias("run"), "t", F.posexplode("voxels").alias("voxel", "v")).select("run", "t", "voxel", r("v").alias("v"))
 
 
+@query(f"WITH {SERIES_SQL} SELECT run, t::INT AS t, voxel::INT AS voxel, CASE WHEN voxel // 16 IN (1, 3) THEN {rs('v')} ELSE 0.0::DOUBLE END AS v FROM series WHERE t IN (0, 2)")
+def frames_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two slices of two frames, sought in files of the shared folder that hold whole series."""
+    folder = f"{shared_folder(spark)}/series-{uuid.uuid4().hex}"
+    images.write_files(_series_files(spark, sf_dir).select(F.col("path").alias("name"), "content"), folder)
+    atexit.register(shutil.rmtree, folder.removeprefix("file:"), ignore_errors=True)
+    rows = images.read_ranges(spark, folder, frames=[0, 2], slices=[1, 3])
+    run = F.regexp_extract("path", r"([0-9]+)\.nii$", 1).cast("int")
+    return rows.select(run.alias("run"), "t", F.posexplode("voxels").alias("voxel", "v")).select("run", "t", "voxel", r("v").alias("v"))
+
+
 @query(_frames_sql("true"))
 def frames_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series split into a file a frame, and put together by the numbers in their names."""

@@ -6,22 +6,26 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there, so that its lineage starts anew.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; on one machine, where none is set, a folder of this process; on a cluster without one an error."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="voxlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
 
-    The folder is the one named in spark.checkpoint.dir; on one machine, where
-    none is set, a folder of this process; on a cluster without one it is an error.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a checkpoint and read from there, so that its lineage starts anew."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if context.master != "local" and not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="voxlake-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
