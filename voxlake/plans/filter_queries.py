@@ -64,7 +64,7 @@ def _voxels(df: DataFrame) -> DataFrame:
 @query(_smooth_sql("x + y + z > 1"))
 def volume_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = volumes(spark, sf_dir).withColumn("inside", F.col("x") + F.col("y") + F.col("z") > 1)
-    return _voxels(G.smooth(masked, _WIDTHS, mask="inside", block=2, reach=_WIDE_REACH))
+    return _voxels(G.smooth(masked, _WIDTHS, mask="inside", reach=_WIDE_REACH))
 
 
 @query(_smooth_sql("true"))
