@@ -180,3 +180,20 @@ def test_pieces_of_a_block():
         assert (got > 0).sum() == len(left) and (got[~seen] == 0).all()
         for p in list(left):
             assert {q for q in left if got[q] == got[p]} == flood(left, p)
+
+
+def test_volumes_are_never_broadcast(spark, tmp_path):
+    """Spark takes an array for a few bytes: frames of 8 kB each passed for a small table."""
+    at, old = str(tmp_path / "frames"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.range(40).selectExpr("id div 2 as run", "cast(id % 2 as int) as t", "named_struct('x', 10, 'y', 10, 'z', 10) as dims", "transform(sequence(1, 1000), i -> cast(i + id as double)) as voxels").write.parquet(at)
+    frames = spark.read.parquet(at)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        for df in (A.align_frames(frames, A.base_volumes(frames, "first")), R.volume_pairs(frames.where("t = 0"), frames.where("t = 1"), ["run"])):
+            lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+            depth = [len(line) - len(line.lstrip(" :+-*")) for line in lines]
+            for k in [k for k, line in enumerate(lines) if "BroadcastExchange" in line]:
+                below = itertools.takewhile(lambda j, k=k: depth[j] > depth[k], range(k + 1, len(lines)))
+                assert not [lines[j] for j in below if "voxels" in lines[j]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

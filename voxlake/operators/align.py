@@ -20,11 +20,15 @@ from ..model import CHANNELS
 
 
 def base_volumes(frames: DataFrame, at: str = "middle", by: Sequence[str] = ("run",), t: str = "t") -> DataFrame:
-    """A row a run: dims and voxels of its ``first`` or ``middle`` frame, by an aggregate over frame numbers and a join."""
+    """A row a run: dims and voxels of its ``first`` or ``middle`` frame, by an aggregate over frame numbers and a join.
+
+    Volumes are far larger than the sizes that Spark estimates for arrays, so
+    joins with them are never broadcast.
+    """
     place = F.min(t) if at == "first" else F.floor((F.min(t) + F.max(t)) / 2)
     wanted = frames.groupBy(*by).agg(place.cast("long").alias("__at"))
     near = frames.select(*by, F.col(t).alias("__t")).join(wanted, list(by)).groupBy(*by).agg(F.min(F.struct(F.abs(F.col("__t") - F.col("__at")).alias("d"), "__t"))["__t"].alias("__t"))
-    return frames.join(near, list(by)).where(F.col(t) == F.col("__t")).select(*by, "dims", "voxels")
+    return frames.join(near.hint("merge"), list(by)).where(F.col(t) == F.col("__t")).select(*by, "dims", "voxels")
 
 
 def _slopes(base: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -63,7 +67,7 @@ def align_frames(frames: DataFrame, base: DataFrame, size: Sequence[float] = (1.
     error); null and NaN voxels count as 0.  A frame that doesn't overlap its
     base, or shows nothing, keeps the best numbers met, at first zeros.
     """
-    rows = frames.select(*by, t, "dims", "voxels").join(base.select(*by, F.col("dims").alias("__dims"), F.col("voxels").alias("__base")), list(by))
+    rows = frames.select(*by, t, "dims", "voxels").join(base.select(*by, F.col("dims").alias("__dims"), F.col("voxels").alias("__base")).hint("merge"), list(by))
     # little data, much work: as many tasks as shuffles have, and the frames of a long run over all of them
     rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, t)
     kept, spacing = [*by, t], np.asarray(size, float)

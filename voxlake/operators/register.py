@@ -66,8 +66,8 @@ def _pairs_of(batch: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.n
 
 
 def volume_pairs(fixed: DataFrame, moving: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Wide volumes side by side: on, dims, fixed, moving_dims, moving."""
-    return fixed.select(*on, "dims", F.col("voxels").alias("fixed")).join(moving.select(*on, F.col("dims").alias("moving_dims"), F.col("voxels").alias("moving")), list(on))
+    """Wide volumes side by side: on, dims, fixed, moving_dims, moving.  Neither side is broadcast: Spark's estimate of an array's size is far below a volume's."""
+    return fixed.select(*on, "dims", F.col("voxels").alias("fixed")).join(moving.select(*on, F.col("dims").alias("moving_dims"), F.col("voxels").alias("moving")).hint("merge"), list(on))
 
 
 def _spread(rows: DataFrame, by: Sequence[str]) -> DataFrame:
