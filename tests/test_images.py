@@ -119,6 +119,14 @@ def test_folder_as_series(spark):
     assert sorted(r.t for r in images.folder_as_series(df).collect()) == [3, 12]
 
 
+def test_frames_beyond_four_digits(spark):
+    """A series split into files has names of five digits from frame 10,000 on."""
+    wide = spark.createDataFrame([("7", t, (1, 1, 1), [float(t)]) for t in (3, 9999, 10_000, 123_456)], "image_id string, t int, dims struct<x:int,y:int,z:int>, voxels array<double>")
+    files = images.encode_volumes(wide, datatype=64, split=True).select(F.concat("name", F.lit(".nii")).alias("path"), "content")
+    rows = images.folder_as_series(images.decode_volumes(files), digits=None).collect()
+    assert sorted((r.t, r.voxels[0]) for r in rows) == [(t, float(t)) for t in (3, 9999, 10_000, 123_456)]
+
+
 def test_whole_numbers_round_and_stop_at_the_limits():
     assert np.frombuffer(images.encode_frame(np.array([0.5, -1.5, 300.0, -300.0]), 256), np.int8).tolist() == [1, -2, 127, -128]
 

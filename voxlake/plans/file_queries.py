@@ -119,7 +119,7 @@ def frames_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_frames_sql("true"))
 def frames_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series split into a file a frame, and put together by the numbers in their names."""
-    rows = images.folder_as_series(images.decode_volumes(_series_files(spark, sf_dir, split=True)).withColumn("path", F.concat("path", F.lit(".nii"))), digits=4)
+    rows = images.folder_as_series(images.decode_volumes(_series_files(spark, sf_dir, split=True)).withColumn("path", F.concat("path", F.lit(".nii"))), digits=None)
     return rows.select(F.substring_index("path", "_", 1).cast("int").alias("run"), "t", F.posexplode("voxels").alias("voxel", "v")).select("run", "t", "voxel", r("v").alias("v"))
 
 

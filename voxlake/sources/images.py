@@ -276,9 +276,14 @@ def to_ras(volumes: DataFrame, header: dict, preferred: str = "s", tolerance: fl
     return reorient(volumes, from_orient_codes(H.orientation(header, preferred, tolerance).codes), spatial(header))
 
 
-def folder_as_series(volumes: DataFrame, digits: int = 5) -> DataFrame:
-    """Single volumes of a folder as one series; t is the number of ``digits`` digits before the file's suffix."""
-    return volumes.withColumn("t", F.regexp_extract("path", rf"(\d{{{digits}}})\.(nii|img|hdr)(\.gz)?$", 1).cast("int"))
+def folder_as_series(volumes: DataFrame, digits: int | None = 5) -> DataFrame:
+    """Single volumes of a folder as one series; t is the number of ``digits`` digits before the file's suffix, of all digits there if None.
+
+    Names that ``encode_volumes`` splits a series into have four digits, and
+    more from frame 10,000 on: they are read by all digits.
+    """
+    some = r"\d+" if digits is None else rf"\d{{{digits}}}"
+    return volumes.withColumn("t", F.regexp_extract("path", rf"({some})\.(nii|img|hdr)(\.gz)?$", 1).cast("int"))
 
 
 def encode_volumes(
