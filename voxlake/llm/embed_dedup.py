@@ -1,8 +1,8 @@
 """Embedding near-dedup: cross-polytope hashing with verified pairs.
 
 A hash rotates the vector by three rounds of random signs and a fast Hadamard
-transform and takes the nearest signed axis; two hashes or three, by the number
-of vectors, make a bucket of a table.  Every vector enters its most likely
+transform and takes the nearest signed axis; two hashes, or three where the
+caller asks for it, make a bucket of a table.  Every vector enters its most likely
 bucket of each table and some next ones (multiprobe).  What goes to the buckets
 is the identifier and a sketch of SKETCH sign bits, not the vector: only
 vectors that meet one whose sketch is as near as linked vectors' sketches are go
@@ -28,8 +28,8 @@ from .simhash import _spread
 from .storage import materialize, release
 
 ROUNDS = 3
-#: (most vectors, hashes a bucket, tables, probes a table).  Deeper buckets keep their size as the vectors grow; tables and probes keep the share of pairs at the limit of 0.9 that are found above 0.99 at either depth.
-DEPTHS = ((20_000_000, 2, 6, 3), (2**63, 3, 8, 8))
+#: (name, hashes a bucket, tables, probes a table).  Deeper buckets are smaller, at more rows a vector; tables and probes keep the share of pairs at the limit of 0.9 that are found above 0.99 at either depth.
+DEPTHS = (("plain", 2, 6, 3), ("deep", 3, 8, 8))
 #: (hashes, dimension from which it holds, tables, probes): longer vectors need more to be found as often.
 WIDE = ((2, 513, 10, 6), (2, 65, 8, 4), (3, 513, 10, 12))
 #: Sign bits of a sketch, and standard deviations that linked vectors' sketches may lie above their mean distance.
@@ -39,9 +39,9 @@ SKETCH_BLOCK, BLOCK = 32_768, 512
 SEED = 4
 
 
-def depth_for(vectors: int) -> tuple[int, int, int]:
-    """(hashes, tables, probes) for so many vectors."""
-    return next(d[1:] for d in DEPTHS if vectors <= d[0])
+def depth_for(name: str) -> tuple[int, int, int]:
+    """(hashes, tables, probes) of a named depth."""
+    return next(d[1:] for d in DEPTHS if d[0] == name)
 
 
 def depth_at(depth: tuple[int, int, int], dim: int) -> tuple[int, int, int]:
@@ -274,10 +274,11 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     own one included; kept says that it is the own one.  Columns of the input
     that bear a result's name are replaced; an empty table gives an empty one.
 
-    ``depth`` is (hashes a bucket, tables, probes a table); if it isn't given,
-    the number of different vectors chooses it from DEPTHS.  It decides in how
-    many buckets vectors meet: each depth there finds 0.99 or more of the pairs
-    at a cosine of 0.9, and other pairs more often the nearer they are.
+    ``depth`` is (hashes a bucket, tables, probes a table) and by itself the
+    plain one of DEPTHS, however many vectors there are: which pairs are found
+    never depends on the number of vectors.  It decides in how many buckets
+    vectors meet: each depth there finds 0.99 or more of the pairs at a cosine
+    of 0.9, and other pairs more often the nearer they are.
     """
     names = {"n_links", "component_id", "kept"}
     kept = [F.col(f"`{c}`") for c in vectors.columns if c.lower() not in names and not c.startswith("__")]
@@ -287,7 +288,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # adding zero makes -0.0 and 0.0 one
     rows = vectors.select(*kept, ident.alias("__id"), F.when(sound, F.transform(number, lambda v: v + F.lit(0.0))).alias("__v"))
     same = rows.where("__v is not null").groupBy("__v").agg(F.min("__id").alias("id"), F.count("*").alias("w"))
-    depth = depth or depth_for(same.count())
+    depth = depth or depth_for("plain")
     coded = materialize(same.select("id", "w", "__v").mapInArrow(_coded(depth), "id long, w long, dim int, s0 long, s1 long, vector binary, buckets array<long>"), "coded")
     entered = coded.select(F.explode("buckets").alias("bucket"), "id", "s0", "s1")
     group = ["bucket", "a", "b"]
