@@ -102,6 +102,19 @@ def meet(prints: np.ndarray, key: int, part: int = 1 << 40):
     return [p for p, v in zip(pairs, verify, strict=True) if v], [p for p, v in zip(pairs, verify, strict=True) if not v]
 
 
+def test_a_large_group_hands_on_rows_by_its_size_not_by_its_pairs_of_blocks():
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 2**63, near_copies.WORDS, dtype=np.uint64)
+    prints = np.tile(one, (600, 1))
+    prints[:, 1] ^= np.uint64(1) << rng.integers(0, 63, 600).astype(np.uint64)
+    verify, hang = meet(prints, 0, 50)
+    blocks = 12 * 11 // 2
+    assert len(verify) <= 2 * 600 + blocks and len(hang) <= 600 + blocks
+    label = np.arange(600)
+    near_copies._spread(label, [tuple(np.array(hang, np.int64).T)])
+    assert not label.any()
+
+
 @pytest.mark.parametrize("part", [512, 1 << 40])
 def test_unlike_texts_of_a_bucket_do_not_hang_together(part):
     rng = np.random.default_rng(3)

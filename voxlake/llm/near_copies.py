@@ -198,35 +198,60 @@ def _partners(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], key: int, le
 
 
 def _in_group(key: int, a: int, b: int, block: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, least: float) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(pairs to verify, links) of a bucket's blocks a and b, or of the whole bucket where both are 0: only rows that have a partner are linked."""
+    """(pairs to verify, links) of a bucket's blocks a and b, or of the whole bucket where both are 0: only rows that have a partner are linked.
+
+    A pair of different blocks hands on what joins the pieces that hang
+    together within each block, not a pair a row: what a bucket hands on grows
+    with its rows, not with its pairs of blocks.
+    """
+
+    def met(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, d = _partners((size[left], prints[left]), (size[right], prints[right]), key, least)
+        i, j = left[i], right[j]
+        return (i, j, d) if left is not right else (i[i < j], j[i < j], d[i < j])
+
     left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
     if not len(left) or not len(right):
         return (node[:0], node[:0]), (node[:0], node[:0])
-    i, j, d = _partners((size[left], prints[left]), (size[right], prints[right]), key, least)
-    i, j = left[i], right[j]
     if a == b:
-        i, j, d = i[i < j], j[i < j], d[i < j]
-    p, q = _few(node, node, np.r_[i, j], np.r_[j, i], np.r_[d, d])
-    return (node[p], node[q]), _hanging(node, i, j)
+        i, j, d = met(left, left)
+        pick = _few(node, np.r_[i, j], np.r_[j, i], np.r_[d, d])
+        return (node[np.r_[i, j][pick]], node[np.r_[j, i][pick]]), _hanging(node, i, j)
+    i, j, d = met(left, right)
+    if not len(i):
+        return (node[:0], node[:0]), (node[:0], node[:0])
+    own = [met(x, x) for x in (left, right)]
+    piece = _reached(node, np.r_[own[0][0], own[1][0]], np.r_[own[0][1], own[1][1]])
+    # the nearest pair of each two pieces
+    order = np.lexsort((node[j], node[i], d))
+    nearest = order[np.unique(np.stack([piece[i], piece[j]], axis=1)[order], axis=0, return_index=True)[1]]
+    i, j, d = i[nearest], j[nearest], d[nearest]
+    pick = _few(node, np.r_[piece[i], piece[j]], np.r_[piece[j], piece[i]], np.r_[d, d]) % len(i)
+    return (node[i[pick]], node[j[pick]]), _hanging(node, piece[i], piece[j])
+
+
+def _reached(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each row the row of the least number that it reaches through pairs (i, j)."""
+    order = np.argsort(node, kind="stable")
+    rank, label = np.argsort(order, kind="stable"), np.arange(len(node))
+    _spread(label, [(rank[i], rank[j])])
+    return order[label[rank]]
 
 
 def _hanging(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A link from each row that has partners to the least number that it reaches through them: much the same one in all buckets of a group."""
-    order = np.argsort(node, kind="stable")
-    rank, label = np.argsort(order, kind="stable"), np.arange(len(node))
-    _spread(label, [(rank[i], rank[j])])
-    moved = np.flatnonzero(label != np.arange(len(node)))
-    return node[order[moved]], node[order[label[moved]]]
+    to = _reached(node, i, j)
+    moved = np.flatnonzero(to != np.arange(len(node)))
+    return node[moved], node[to[moved]]
 
 
-def _few(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of left, row of right): for each left row its nearest partner and the one with the least number."""
+def _few(node: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places among the pairs (i, j): for each row i its nearest partner and the one with the least number."""
     chosen = []
-    for by in (d, right[j]):
-        order = np.lexsort((right[j], by, i))
+    for by in (d, node[j]):
+        order = np.lexsort((node[j], by, i))
         chosen.append(order[np.r_[True, i[order][1:] != i[order][:-1]]] if len(order) else order)
-    pick = np.unique(np.concatenate(chosen))
-    return i[pick], j[pick]
+    return np.unique(np.concatenate(chosen))
 
 
 def _together(group: np.ndarray, key: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, least: float) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -244,8 +269,9 @@ def _together(group: np.ndarray, key: np.ndarray, node: np.ndarray, size: np.nda
         found.append((place[near], place[near] + step, d[near]))
         step += 1
     i, j, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-    a, b = _few(node, node, np.r_[i, j], np.r_[j, i], np.r_[d, d])
-    return (node[a], node[b]), _hanging(node, i, j)
+    a, b = np.r_[i, j], np.r_[j, i]
+    pick = _few(node, a, b, np.r_[d, d])
+    return (node[a[pick]], node[b[pick]]), _hanging(node, i, j)
 
 
 _MET = "a long, b long, verify boolean"
