@@ -3,7 +3,8 @@
 The output grid, the voxel-to-voxel map and its twelve coefficients are worked
 out on the driver from two 4x4 matrices.  Output voxels are then a generated
 grid, their places in the input a projection, and the input values equi-joins
-on whole coordinates.
+on whole coordinates; for the eight voxels that trilinear resampling reads, input
+voxels meet a table of reads that all volumes share.
 """
 
 from __future__ import annotations
@@ -113,21 +114,29 @@ def trilinear(df: DataFrame, grid: Grid, dims: Sequence[int], by: Sequence[str]
     Places up to EDGE outside count as inside; beyond the first or last voxel
     the edge's own value stands for both neighbours.
     """
-    rows = _places(df, grid, dims, by, bg)
-    inside = _inside(dims, [F.col(A) for A in PLACE], EDGE)
-    corners = []
-    for corner in range(8):
-        weight, at = F.lit(1.0), {}
-        for k, (a, A) in enumerate(zip(AXES, PLACE, strict=True)):
-            up, whole = corner >> k & 1, F.floor(A)
-            part = F.col(A) - whole
-            weight = weight * (part if up else F.lit(1.0) - part)
-            at[a] = F.when(whole < 1, 1).when(whole > dims[k] - 1, dims[k]).otherwise(whole + up)
-        corners.append(F.struct(weight.alias("w"), *[(at[a] - 1).cast("int").alias(f"c{a}") for a in AXES]))
-    used = F.filter(F.array(*corners), lambda c: inside & (c["w"] != 0))
-    reads = rows.select(*by, *AXES, "bg", F.explode_outer(used).alias("c")).select(*by, *AXES, "bg", "c.*")
-    joined = reads.join(_old(df, by), _same(by, [F.col(f"c{a}") for a in AXES]), "left")
-    return joined.groupBy(*by, *AXES).agg(F.coalesce(F.sum(F.col("w") * F.col("__v")), F.max("bg")).alias("v"))
+    volumes = df.select(*by).distinct().withColumn("bg", F.lit(float(bg))) if bg is not None else background(df, dims, by)
+    spark, n = df.sparkSession, int(np.prod(grid.dims))
+    # what an output voxel reads is the same for all volumes: a table of reads that meets each input voxel by its place, so that no volume is sent to its reads
+    k, m = F.col("__k"), grid.to_old
+    cell = lambda i: [(i % grid.dims[0]).cast("int"), (F.floor(i / grid.dims[0]) % grid.dims[1]).cast("int"), F.floor(i / (grid.dims[0] * grid.dims[1])).cast("int")]
+    rows = spark.range(8 * n).select((F.col("id") % 8).alias("__k"), F.floor(F.col("id") / 8).alias("__i"))
+    rows = rows.select("__k", *[c.alias(a) for a, c in zip(AXES, cell(F.col("__i")), strict=True)])
+    rows = rows.withColumns({A: F.lit(float(m[j, 0])) * F.col("x") + F.lit(float(m[j, 1])) * F.col("y") + F.lit(float(m[j, 2])) * F.col("z") + F.lit(float(m[j, 3]) + 1.0) for j, A in enumerate(PLACE)})
+    weight, at = F.lit(1.0), {}
+    for j, (a, A) in enumerate(zip(AXES, PLACE, strict=True)):
+        up, whole = F.shiftrightunsigned(k, j).bitwiseAND(1), F.floor(A)
+        part = F.col(A) - whole
+        weight = weight * F.when(up == 1, part).otherwise(F.lit(1.0) - part)
+        at[a] = F.when(whole < 1, 1).when(whole > dims[j] - 1, dims[j]).otherwise(whole + up)
+    reads = rows.where(_inside(dims, [F.col(A) for A in PLACE], EDGE)).select(*AXES, weight.alias("w"), *[(at[a] - 1).cast("int").alias(f"c{a}") for a in AXES]).where("w <> 0")
+    met = _old(df, by).join(reads, [F.col(f"__{a}") == F.col(f"c{a}") for a in AXES])
+    parts = met.select(*[F.col(f"__{c}").alias(c) for c in by], *AXES, (F.col("w") * F.col("__v")).alias("v"))
+    every = volumes
+    for a, count in zip(AXES, grid.dims, strict=True):
+        every = every.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    none = F.lit(None).cast("double")
+    both = parts.withColumn("bg", none).unionByName(every.withColumn("v", none))
+    return both.groupBy(*by, *AXES).agg(F.coalesce(F.sum("v"), F.max("bg")).alias("v"))
 
 
 def line_place(k: Column, start: Column, end: Column, steps: Column) -> Column:
