@@ -197,3 +197,11 @@ def test_volumes_are_never_broadcast(spark, tmp_path):
                 assert not [lines[j] for j in below if "voxels" in lines[j]]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_sweep_costs_each_candidate_once(spark):
+    volumes = [(k, np.random.default_rng(k).normal(size=(3, 3, 3))) for k in range(2)]
+    both = wide(spark, volumes, "run int")
+    costs = R.candidate_costs(R.volume_pairs(both, both, ["run"]), [(0.0, 0.0, 0.0, float(x)) for x in (-1, 0, 1)], ["run"]).withColumn("shift", F.col("params")[3])
+    plan = R.best_in_ranges(costs, ["shift"], ["run"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan

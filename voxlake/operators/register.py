@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import spatial as S
+from ..storage import cut
 
 BINS = 32
 #: Numbers of a map, in the order of ``spatial.affine``.
@@ -115,7 +116,11 @@ def best_in_ranges(costs: DataFrame, axes: Sequence[str], by: Sequence[str]) ->
     pair's candidates have there, the first below the second.  Minima are taken
     one axis after the other, so that ranges of one axis are shared by all
     ranges of those that follow.
+
+    The costs are read several times for each axis, so they are kept in the
+    shared folder: a candidate is costed once.
     """
+    costs = cut(costs.select(*by, *axes, "cost", "candidate"))
     rows, done = costs.select(*by, *axes, F.struct("cost", "candidate").alias("b")), []
     for a in axes:
         values = costs.select(*by, a).distinct()
