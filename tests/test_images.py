@@ -309,3 +309,12 @@ def test_ranges_read_no_more_than_they_need(tmp_path, monkeypatch):
     assert read == [348, 24, 24]
     read.clear()
     assert len(list(images._frames_of(f"{tmp_path}/a.nii", Counting, (1, 5), True, None, False))) == 2 and read == [348, 96, 96]
+
+
+def test_files_are_made_and_read_without_a_frame_a_volume(spark):
+    wide = spark.createDataFrame([(k, 0, (1, 1, 2), [float(k), 1.0]) for k in range(5)], "image_id long, t int, dims struct<x:int,y:int,z:int>, voxels array<double>")
+    files = images.packed(images.encode_volumes(wide, datatype=64).withColumnRenamed("name", "path"))
+    rows = images.decode_volumes(files)
+    assert "InPandas" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {r.path: r.voxels for r in rows.collect()}
+    assert got == {str(k): [float(k), 1.0] for k in range(5)}

@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from ..functions import header as H
-from ..model import HEADER
+from ..functions.batches import map_groups
+from ..model import HEADER, schema
 from ..session import prepare
 
 VOLUMES = "path string, t int, dims struct<x:int,y:int,z:int>, voxels array<double>"
+#: Voxels of volumes that are handed on together.
+BATCH_VOXELS = 1 << 20
 NAMES = r"\.(nii|img|hdr)(\.gz)?$"
 
 
@@ -176,10 +179,10 @@ def rewrite_headers(files: DataFrame, change: Callable[[dict], dict]) -> DataFra
     move the voxels.
     """
 
-    def rewrite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for content in frame["content"]:
+            for content in batch.column(1).to_pylist():
                 data = unpacked(content)
                 old = H.parse_header(data)
                 new = change(old)
@@ -187,19 +190,20 @@ def rewrite_headers(files: DataFrame, change: Callable[[dict], dict]) -> DataFra
                     raise ValueError("a header can't move the voxels behind it")
                 whole = H.build_header(new) + data[H.SIZE :]
                 out.append(gzip.compress(whole, mtime=0) if data is not content else whole)
-            yield pd.DataFrame({"path": frame["path"], "content": out})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["path", "content"])
 
-    return prepare_frame(files).select("path", "content").mapInPandas(rewrite, "path string, content binary")
+    return prepare_frame(files).select("path", "content").mapInArrow(rewrite, "path string, content binary")
 
 
 def packed(files: DataFrame) -> DataFrame:
     """Files of a table (path, content) packed by gzip, as those with the suffix ``.gz`` are."""
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"path": frame["path"], "content": [gzip.compress(c, mtime=0) for c in frame["content"]]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [gzip.compress(c.as_py(), mtime=0) for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["path", "content"])
 
-    return prepare_frame(files).select("path", "content").mapInPandas(pack, "path string, content binary")
+    return prepare_frame(files).select("path", "content").mapInArrow(pack, "path string, content binary")
 
 
 def frame_and_tr(headers: DataFrame) -> DataFrame:
@@ -230,28 +234,46 @@ def read_volumes(spark: SparkSession, path: str, raw: bool = False, frames: Sequ
 def decode_volumes(files: DataFrame, raw: bool = False, frames: Sequence[int] | None = None, ras: bool = False, preferred: str = "s", tolerance: float = 0.1) -> DataFrame:
     """read_volumes for files that are in a table: path, content and, of header pairs, image (null for single files)."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for row in batch.itertuples():
-                data = unpacked(row.content)
+            for path, content, second in zip(*(batch.column(k) for k in range(3)), strict=True):
+                data = unpacked(content.as_py())
                 head = H.parse_header(data)
-                image = unpacked(row.image) if row.image is not None else data
+                image = unpacked(second.as_py()) if second.is_valid else data
                 start = int(head["dime"]["vox_offset"])
                 codes = H.orientation(head, preferred, tolerance).codes if ras else (1, 2, 3)
-                yield from _frames(row.path, head, image, start, frames, raw, codes)
+                yield from _frames(path.as_py(), head, image, start, frames, raw, codes)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in decoded(batches):
+            held.append(row)
+            size += len(row[3])
+            if size >= BATCH_VOXELS:
+                yield _volumes(held)
+                held, size = [], 0
+        if held:
+            yield _volumes(held)
 
     rows = files if "image" in files.columns else files.withColumn("image", F.lit(None).cast("binary"))
-    return prepare_frame(rows).select("path", "content", "image").mapInPandas(decode, VOLUMES)
+    return prepare_frame(rows).select("path", "content", "image").mapInArrow(decode, VOLUMES)
+
+
+def _volumes(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (path, t, dims, voxels) as one batch."""
+    path, t, dims, voxels = zip(*rows, strict=True)
+    ends = pa.array(np.cumsum([0, *map(len, voxels)]), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(t, pa.int32()), pa.array(dims, _VOXELS.field("dims").type), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(voxels)))], schema=_VOXELS)
 
 
-def _frames(path: str, head: dict, data: bytes, start: int, frames: Sequence[int] | None, raw: bool, codes: Sequence[int]) -> Iterator[pd.DataFrame]:
+def _frames(path: str, head: dict, data: bytes, start: int, frames: Sequence[int] | None, raw: bool, codes: Sequence[int]) -> Iterator[tuple]:
     size, total = frame_bytes(head), frame_count(head)
     for t in range(total) if frames is None else frames:
         if not 0 <= t < total:
             raise ValueError(f"{path} has {total} frames; frame {t} was asked for")
         values = decode_frame(head, data[start + t * size : start + (t + 1) * size], raw)
         values, (nx, ny, nz) = turned(values, spatial(head), codes)
-        yield pd.DataFrame({"path": [path], "t": [t], "dims": [{"x": nx, "y": ny, "z": nz}], "voxels": [values.ravel()]})
+        yield path, t, {"x": nx, "y": ny, "z": nz}, values.astype(float).ravel()
 
 
 def turned(values: np.ndarray, dims: Sequence[int], codes: Sequence[int]) -> tuple[np.ndarray, tuple[int, int, int]]:
@@ -297,10 +319,11 @@ def encode_volumes(
     ``fields`` are header fields by block (``dime``, ``hist``) to be set.
     """
 
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("t")
-        dims = [frame["dims"].iloc[0][a] for a in "xyz"]
-        values = [np.asarray(v, float) for v in frame["voxels"]]
+    def build(group: pa.RecordBatch) -> list[pa.Array]:
+        order = group.column(1).to_numpy(zero_copy_only=False).argsort(kind="stable").tolist()
+        first = group.column(2)[order[0]].as_py()
+        dims = [first[a] for a in "xyz"]
+        values = [group.column(3)[k].values.to_numpy(zero_copy_only=False).astype(float) for k in order]
         low, high = min(v.min() for v in values), max(v.max() for v in values)
         many = len(values) > 1
         head = H.new_header([*dims, len(values)] if many else dims, datatype, voxel_size, origin, description, limits=(int(round_half_away(low)), int(round_half_away(high))))
@@ -312,10 +335,11 @@ def encode_volumes(
         ext = H.build_extensions(sections or [])
         head["dime"]["vox_offset"] = float(-(-(H.SIZE + len(ext)) // 16) * 16)
         content = (H.build_header(head) + ext).ljust(int(head["dime"]["vox_offset"]), b"\0") + b"".join(encode_frame(v, datatype) for v in values)
-        return pd.DataFrame({"name": [frame["name"].iloc[0]], "content": [content]})
+        return [group.column(0).slice(0, 1), pa.array([content], pa.binary())]
 
     name = F.format_string("%s_%04d", "image_id", "t") if split else F.col("image_id").cast("string")
-    return prepare_frame(wide).withColumn("name", name).groupBy("name").applyInPandas(build, "name string, content binary")
+    rows = prepare_frame(wide).withColumn("name", name).select("name", "t", "dims", "voxels")
+    return map_groups(rows, ["name"], build, schema("name string, content binary"))
 
 
 def prepare_frame(df: DataFrame) -> DataFrame:
