@@ -205,3 +205,33 @@ def test_a_sweep_costs_each_candidate_once(spark):
     costs = R.candidate_costs(R.volume_pairs(both, both, ["run"]), [(0.0, 0.0, 0.0, float(x)) for x in (-1, 0, 1)], ["run"]).withColumn("shift", F.col("params")[3])
     plan = R.best_in_ranges(costs, ["shift"], ["run"])._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_cells_read_what_linear_reads():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(4, 6, 5))
+    at = rng.uniform(0, 1, (3, 500)) * np.array([[4.0], [5.0], [3.0]])
+    at = np.concatenate([at, S.grid(v.shape), S.grid(v.shape) * (1 + 1e-7), -1e-7 * np.ones((3, 1))], axis=1)
+    at = at[:, S.inside(v.shape, at)]
+    assert at.shape[1] > 600 and np.allclose(S.in_cells(S.cells(v), v.shape, at), S.linear(v, at), atol=1e-12)
+
+
+def test_no_step_is_taken_back():
+    seen = []
+
+    def cost(p):
+        seen.append(float(p[0]))
+        return (p[0] - 3.0) ** 2
+
+    p, _ = R._descend(np.zeros(12), np.ones(12), np.ones(12), cost, 1)
+    # forth to 3 and one too far, then nothing helps on either side
+    assert p[0] == 3.0 and seen == [0.0, 1.0, 2.0, 3.0, 4.0, 4.0, 2.0]
+
+
+def test_register_tells_the_cost_of_not_moving(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(6, 6, 6))
+    rows = [(0, 0, {"x": 6, "y": 6, "z": 6}, v.reshape(-1).tolist())]
+    wide = spark.createDataFrame(rows, "image_id long, t int, dims struct<x:int,y:int,z:int>, voxels array<double>")
+    found = R.register(R.volume_pairs(wide, wide, ["image_id"]), ["image_id"], dof=3, degrees=0.0, levels=0, bins=6).first()
+    assert found.still == pytest.approx(R.cost_of(np.eye(4), R.binned(v, 6), S.grid(v.shape), v)) and found.cost <= found.still

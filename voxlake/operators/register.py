@@ -45,15 +45,20 @@ def correlation_ratio(bins: np.ndarray, values: np.ndarray) -> float:
     return 1.0 if total <= 1e-12 else max(0.0, 1 - float((s[n > 0] ** 2 / n[n > 0]).sum()) / total)
 
 
-def cost_of(matrix: np.ndarray, bins: np.ndarray, places: np.ndarray, moving: np.ndarray, nearest: bool = False, overlap: float = 0.2) -> float:
-    """Cost of the map of the fixed volume's places into the moving volume; 1 if less than ``overlap`` of them lies inside."""
+def cost_of(matrix: np.ndarray, bins: np.ndarray, places: np.ndarray, moving: np.ndarray, nearest: bool = False, overlap: float = 0.2, corners: np.ndarray | None = None) -> float:
+    """Cost of the map of the fixed volume's places into the moving volume; 1 if less than ``overlap`` of them lies inside.
+
+    ``corners`` are the moving volume's ``spatial.cells``, for many maps of one volume.
+    """
     at = S.at(matrix, places)
-    ok = S.inside(moving.shape, at)
-    if ok.sum() < overlap * len(ok):
+    ok = np.flatnonzero(S.inside(moving.shape, at))
+    if len(ok) < overlap * at.shape[1]:
         return 1.0
     if nearest:
         x, y, z = np.floor(at[:, ok] + 0.5).astype(np.int64)
         values = moving[np.clip(z, 0, moving.shape[0] - 1), np.clip(y, 0, moving.shape[1] - 1), np.clip(x, 0, moving.shape[2] - 1)]
+    elif corners is not None:
+        values = S.in_cells(corners, moving.shape, at.take(ok, axis=1))
     else:
         values = S.linear(moving, at[:, ok])
     return correlation_ratio(bins[ok], values)
@@ -139,6 +144,9 @@ def _descend(p: np.ndarray, steps: np.ndarray, least: np.ndarray, cost, dof: int
         before = p.copy()
         for k in range(dof):
             for turn in (1, -1):
+                if turn < 0 and p[k] != start:
+                    break  # a step back leads to where the last one forth came from
+                start = p[k]
                 while True:
                     new = p.copy()
                     new[k] += turn * steps[k]
@@ -166,7 +174,7 @@ def search(fixed: np.ndarray, moving: np.ndarray, size: np.ndarray, dof: int = 1
     for level in reversed(range(len(pyramid))):
         f, m, s = pyramid[level]
         labels, places, middle = binned(f, max(4, min(bins, f.size // 32))), S.grid(f.shape), S.centre(f.shape)
-        cost = lambda p, a=(labels, places, m), c=middle, s=s: cost_of(S.affine(p, c, s), *a)
+        cost = lambda p, a=(labels, places, m), b=S.cells(m), c=middle, s=s: cost_of(S.affine(p, c, s), *a, corners=b)
         if not starts:
             turns = np.arange(-degrees, degrees + 1e-9, grid_step) if degrees else np.zeros(1)
             every = [np.r_[np.radians(t), np.zeros(9)] for t in itertools.product(turns, repeat=3)]
@@ -180,7 +188,7 @@ def search(fixed: np.ndarray, moving: np.ndarray, size: np.ndarray, dof: int = 1
 
 
 def register(pairs: DataFrame, by: Sequence[str], size: Sequence[float] = (1.0, 1.0, 1.0), dof: int = 12, degrees: float = 30.0, grid_step: float = 15.0, levels: int = 2, bins: int = BINS) -> DataFrame:
-    """by, params (twelve numbers), matrix (16 numbers, rows of the map of the fixed volume's voxels into the moving one's) and cost.
+    """by, params (twelve numbers), matrix (16 numbers, rows of the map of the fixed volume's voxels into the moving one's), cost, and ``still``, the cost of not moving.
 
     ``dof`` is 3 for turns, 6 for rigid maps, 9 with scales, 12 with shears;
     ``degrees`` bounds the turns that the search starts from.  A pair is one
@@ -188,14 +196,15 @@ def register(pairs: DataFrame, by: Sequence[str], size: Sequence[float] = (1.0,
     """
     n, spacing = len(by), np.asarray(size, float)
     rows = _spread(pairs.select(*by, "dims", "fixed", "moving_dims", "moving"), by)
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by] + ["params array<double>, matrix array<double>, cost double"])
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by] + ["params array<double>, matrix array<double>, cost double, still double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, (fixed, moving) in enumerate(_pairs_of(batch, n)):
                 p, cost = search(fixed, moving, spacing, dof, degrees, grid_step, levels, bins)
                 matrix = S.affine(p, S.centre(fixed.shape), spacing).reshape(-1)
+                still = cost_of(S.affine([], S.centre(fixed.shape), spacing), binned(fixed, max(4, min(bins, fixed.size // 32))), S.grid(fixed.shape), moving)
                 one = pa.array([k])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(one) for c in range(n)), pa.array([list(p)], pa.list_(pa.float64())), pa.array([list(matrix)], pa.list_(pa.float64())), pa.array([cost])], names=[*by, "params", "matrix", "cost"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(one) for c in range(n)), pa.array([list(p)], pa.list_(pa.float64())), pa.array([list(matrix)], pa.list_(pa.float64())), pa.array([cost]), pa.array([still])], names=[*by, "params", "matrix", "cost", "still"])
 
     return rows.mapInArrow(run, schema)
