@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +236,24 @@ def test_register_tells_the_cost_of_not_moving(spark):
     wide = spark.createDataFrame(rows, "image_id long, t int, dims struct<x:int,y:int,z:int>, voxels array<double>")
     found = R.register(R.volume_pairs(wide, wide, ["image_id"]), ["image_id"], dof=3, degrees=0.0, levels=0, bins=6).first()
     assert found.still == pytest.approx(R.cost_of(np.eye(4), R.binned(v, 6), S.grid(v.shape), v)) and found.cost <= found.still
+
+
+def test_pieces_of_many_blocks_at_once():
+    seen = np.random.default_rng(8).random((40, 3, 4, 2)) < 0.5
+    assert (G.pieces(seen) == np.stack([G.pieces(one) for one in seen])).all()
+
+
+def test_small_blocks_are_numbered_together(spark, monkeypatch):
+    at = list(itertools.product(range(4), repeat=4))
+    df = spark.createDataFrame([p for p in at if sum(p) % 3], "image_id int, x int, y int, z int")
+    few, calls = G.label_regions(df.repartition(1), block=2).collect(), []
+    monkeypatch.setattr(G, "VOXELS_AT_ONCE", 24)
+    assert sorted(few) == sorted(G.label_regions(df, block=2).collect())
+    number = G.pieces
+    monkeypatch.setattr(G, "map_whole_groups", lambda rows, by, change, schema: calls.append(change) or rows.withColumn("piece", F.lit(1).cast("long")))
+    monkeypatch.setattr(G, "VOXELS_AT_ONCE", 65_536)
+    G.label_regions(df, block=2)
+    rows = pa.RecordBatch.from_pydict({"image_id": [0] * 4, "x": [0, 1, 2, 3], "y": [0] * 4, "z": [0] * 4, "bx": [0, 0, 1, 1], "by_": [0] * 4, "bz": [0] * 4})
+    counted = []
+    monkeypatch.setattr(G, "pieces", lambda seen: counted.append(len(seen)) or number(seen))
+    assert calls[0](rows, np.array([0, 0, 1, 1]))[-1].to_pylist() == [1, 1, 1, 1] and counted == [2]

@@ -59,3 +59,34 @@ def map_groups(df: DataFrame, by: Sequence[str], change: Callable[[pa.RecordBatc
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def map_whole_groups(df: DataFrame, by: Sequence[str], change: Callable[[pa.RecordBatch, np.ndarray], list[pa.Array]], schema: StructType) -> DataFrame:
+    """``change`` applied to the rows of many groups at once, with the number of each row's group, from 0; it returns the columns of ``schema``.  No group is cut."""
+    names, keys = schema.names, [df.columns.index(c) for c in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def made() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays(change(whole, np.r_[0, np.cumsum(_changes(whole, keys))]), names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.flatnonzero(_changes(batch, keys)) + 1
+            if held and any(batch.column(k)[0].as_py() != held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in keys):
+                new = np.r_[0, new]
+            if not len(new):  # one group still
+                held.append(batch)
+                continue
+            last = int(new[-1])
+            if last:
+                held.append(batch.slice(0, last))
+            yield made()
+            held = [batch.slice(last)]
+        if held:
+            yield made()
+
+    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)

@@ -16,27 +16,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.batches import map_groups
+from ..functions.batches import map_whole_groups
 from ..model import AXES
 from ..storage import cut
 
 
+#: Voxels of the blocks that are numbered together.
+VOXELS_AT_ONCE = 65_536
+
+
 def pieces(seen: np.ndarray) -> np.ndarray:
-    """Number of each voxel's piece in a block, from 1; 0 where ``seen`` is false.  Pieces hang together by faces."""
-    out = np.where(seen, np.arange(1, seen.size + 1).reshape(seen.shape), 0)
+    """Number of each voxel's piece in a block, from 1; 0 where ``seen`` is false.  Pieces hang together by faces.
+
+    The last three axes are a block's; an axis before them numbers blocks.
+    """
+    size = int(np.prod(seen.shape[-3:]))
+    out = np.ascontiguousarray(np.where(seen, np.arange(1, size + 1).reshape(seen.shape[-3:]), 0))
+    flat = out.reshape(-1, size)
     while True:
         old = out.copy()
-        for axis in range(3):
+        for axis in range(-3, 0):
             for turned in (False, True):
                 v = np.flip(out, axis) if turned else out
                 a, b = (np.take(v, range(*r), axis) for r in ((0, v.shape[axis] - 1), (1, v.shape[axis])))
                 low = np.where((a > 0) & (b > 0), np.minimum(a, b), b)
-                to = [slice(None)] * 3
+                to = [slice(None)] * v.ndim
                 to[axis] = slice(1, None)
                 v[tuple(to)] = low
-        flat = out.reshape(-1)
         while True:  # a number is a place: look up what that place has by now
-            next_ = np.where(flat > 0, flat[np.maximum(flat, 1) - 1], 0)
+            next_ = np.where(flat > 0, np.take_along_axis(flat, np.maximum(flat, 1) - 1, axis=1), 0)
             if (next_ == flat).all():
                 break
             flat[:] = next_
@@ -82,14 +90,19 @@ def label_regions(df: DataFrame, by: Sequence[str] = ("image_id",), block: int =
     rows = rows.toDF(*names)
 
     place_of = [names.index(a) for a in AXES]
-
-    def number(batch: pa.RecordBatch) -> list[pa.Array]:
-        place = tuple(batch.column(k).to_numpy() % block for k in place_of)
-        seen = np.zeros((block,) * 3, bool)
-        seen[place] = True
-        return [*(batch.column(k) for k in range(batch.num_columns)), pa.array(pieces(seen)[place].astype(np.int64))]
-
-    numbered = map_groups(rows, [*by, "bx", "by_", "bz"], number, StructType([*rows.schema, StructField("piece", LongType())]))
+    at_once = max(1, VOXELS_AT_ONCE // block**3)
+
+    def number(batch: pa.RecordBatch, group: np.ndarray) -> list[pa.Array]:
+        place, piece = [batch.column(k).to_numpy() % block for k in place_of], np.zeros(batch.num_rows, np.int64)
+        ends = np.searchsorted(group, np.arange(0, group[-1] + 1 + at_once, at_once))
+        for h, e in zip(ends[:-1], ends[1:], strict=True):
+            here = (group[h:e] - group[h], *(p[h:e] for p in place))
+            seen = np.zeros((group[e - 1] - group[h] + 1, *(block,) * 3), bool)
+            seen[here] = True
+            piece[h:e] = pieces(seen)[here]
+        return [*batch.columns, pa.array(piece)]
+
+    numbered = map_whole_groups(rows, [*by, "bx", "by_", "bz"], number, StructType([*rows.schema, StructField("piece", LongType())]))
     told = cut(numbered.select(*by, *AXES, F.struct(*by, "bx", "by_", "bz", "piece").alias("piece")))
     links = None
     for a in AXES:
