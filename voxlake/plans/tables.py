@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..session import prepare
+from ..session import deal, prepare
 
 FRAME_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
 #: Columns and divisors that make the channels rx ... tz.
@@ -23,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _framed(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Rows with a run, numbered by ``order``: the run is renamed before, so that what follows by run needs no exchange of its own."""
-    return rows.withColumn("t", F.row_number().over(W.partitionBy("run").orderBy(*order)).cast("long") - 1)
+    """Rows with a run, numbered by ``order``: the run is renamed and dealt before, so that what follows by run needs no exchange of its own."""
+    return deal(rows, "run").withColumn("t", F.row_number().over(W.partitionBy("run").orderBy(*order)).cast("long") - 1)
 
 
 def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
