@@ -115,6 +115,34 @@ def test_a_large_group_hands_on_rows_by_its_size_not_by_its_pairs_of_blocks():
     assert not label.any()
 
 
+@pytest.mark.parametrize("n, part", [(150, 1 << 40), (360, 80)])
+def test_buckets_hand_on_a_pair_once_and_lose_no_connection(n, part):
+    """Over all buckets groups of near copies hand on some pairs a text, each once, and these join all texts that meet anywhere."""
+    rng = np.random.default_rng(n)
+    prints = np.tile(rng.integers(0, 2**63, (2, near_copies.WORDS), dtype=np.uint64), (n // 2, 1))
+    for row in prints[: n - 30]:
+        for bit in rng.choice(256, rng.integers(0, 24), replace=False):
+            row[bit // 64] ^= np.uint64(1 << int(bit) % 64)
+    prints[n - 30 :] = rng.integers(0, 2**63, (30, near_copies.WORDS), dtype=np.uint64)
+    handed, all_met = [], []
+    for column in near_copies.segment_keys(prints).T:
+        keys, rows_of = np.unique(column, return_counts=True)
+        for key in keys[rows_of > 1]:
+            rows = np.flatnonzero(column == key)
+            verify, hang = meet(prints[rows], int(key), part)
+            assert verify == hang
+            handed += [(int(rows[a]), int(rows[b])) for a, b in verify]
+            i, j = (rows[x] for x in np.triu_indices(len(rows), 1))
+            ok = near_copies.in_chain(prints[i] ^ prints[j], np.full(len(i), key))
+            all_met.append((i[ok], j[ok]))
+    assert len(handed) == len(set(handed)) < 25 * n
+    assert set(handed) <= {p for i, j in all_met for p in zip(i.tolist(), j.tolist(), strict=True)}
+    got, want = np.arange(n), np.arange(n)
+    near_copies._spread(got, [tuple(np.array(handed).T)])
+    near_copies._spread(want, all_met)
+    assert (got == want).all() and len(set(want.tolist())) < n - 60
+
+
 @pytest.mark.parametrize("part", [512, 1 << 40])
 def test_unlike_texts_of_a_bucket_do_not_hang_together(part):
     rng = np.random.default_rng(3)

@@ -16,13 +16,17 @@ more than one link.
 
 Equal sets are collapsed first.  Within a bucket rows lie by the size of their
 sets, and only those are compared whose sizes allow the similarity; a large
-bucket is cut into blocks, whose pairs are dealt over tasks.  A bucket hands on,
-for each text that has partners, the nearest and a chosen one, to be verified,
-and one link that says which texts hang together by partners at all.  What the
-verified pairs link is one component.  Where texts that hang together are still
-in several components, all pairs of these within BUDGET bits are verified in
-blocks of texts, each text with its set: nothing is left out, and no pairs are
-handed on.
+bucket is cut into blocks, whose pairs are dealt over tasks.  A bucket hands on
+a spanning forest of the pairs that meet in it, each text's nearest partner
+among them, less the pairs that meet in an earlier bucket too.  No connection is
+lost by that: what an earlier bucket leaves of a pair joins its ends there, by
+pairs that are handed on themselves or meet earlier still.  So a pair is handed
+on once, and what a group hands on grows with its texts, whatever the number of
+buckets that they share.  Each pair is verified, and tells besides which texts
+hang together by partners at all.  What the verified pairs link is one
+component.  Where texts that hang together are still in several components, all
+pairs of these within BUDGET bits are verified in blocks of texts, each text
+with its set: nothing is left out, and no pairs are handed on.
 """
 
 from __future__ import annotations
@@ -191,18 +195,18 @@ def _partners(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], key: int, le
         low, high = np.searchsorted(b[0], size[0] * least - 1e-6), np.searchsorted(b[0], size[-1] / least + 1e-6, side="right")
         x = a[1][at : at + step, None] ^ b[1][None, low:high]
         d = np.bitwise_count(x).sum(2, dtype=np.int64)
-        i, j = np.nonzero(d <= BUDGET)
+        one, two = a[0][at : at + step, None], b[0][None, low:high]
+        i, j = np.nonzero((d <= BUDGET) & (np.minimum(one, two) >= np.maximum(one, two) * least - 1e-6))
         keep = in_chain(x[i, j], np.full(len(i), key, np.int64))
         found.append((i[keep] + at, j[keep] + low, d[i[keep], j[keep]]))
     return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
-def _in_group(key: int, a: int, b: int, block: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, least: float) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(pairs to verify, links) of a bucket's blocks a and b, or of the whole bucket where both are 0: only rows that have a partner are linked.
+def _in_group(key: int, a: int, b: int, block: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that hold together what meets in a bucket's blocks a and b, or in the whole bucket where both are 0.
 
-    A pair of different blocks hands on what joins the pieces that hang
-    together within each block, not a pair a row: what a bucket hands on grows
-    with its rows, not with its pairs of blocks.
+    A pair of different blocks has those alone that join the pieces which hang
+    together within each block.
     """
 
     def met(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,52 +214,56 @@ def _in_group(key: int, a: int, b: int, block: np.ndarray, node: np.ndarray, siz
         i, j = left[i], right[j]
         return (i, j, d) if left is not right else (i[i < j], j[i < j], d[i < j])
 
-    left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-    if not len(left) or not len(right):
-        return (node[:0], node[:0]), (node[:0], node[:0])
+    left, right, label = np.flatnonzero(block == a), np.flatnonzero(block == b), np.arange(len(node))
     if a == b:
-        i, j, d = met(left, left)
-        pick = _few(node, np.r_[i, j], np.r_[j, i], np.r_[d, d])
-        return (node[np.r_[i, j][pick]], node[np.r_[j, i][pick]]), _hanging(node, i, j)
-    i, j, d = met(left, right)
-    if not len(i):
-        return (node[:0], node[:0]), (node[:0], node[:0])
-    own = [met(x, x) for x in (left, right)]
-    piece = _reached(node, np.r_[own[0][0], own[1][0]], np.r_[own[0][1], own[1][1]])
-    # the nearest pair of each two pieces
-    order = np.lexsort((node[j], node[i], d))
-    nearest = order[np.unique(np.stack([piece[i], piece[j]], axis=1)[order], axis=0, return_index=True)[1]]
-    i, j, d = i[nearest], j[nearest], d[nearest]
-    pick = _few(node, np.r_[piece[i], piece[j]], np.r_[piece[j], piece[i]], np.r_[d, d]) % len(i)
-    return (node[i[pick]], node[j[pick]]), _hanging(node, piece[i], piece[j])
-
-
-def _reached(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each row the row of the least number that it reaches through pairs (i, j)."""
-    order = np.argsort(node, kind="stable")
-    rank, label = np.argsort(order, kind="stable"), np.arange(len(node))
-    _spread(label, [(rank[i], rank[j])])
-    return order[label[rank]]
-
-
-def _hanging(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A link from each row that has partners to the least number that it reaches through them: much the same one in all buckets of a group."""
-    to = _reached(node, i, j)
-    moved = np.flatnonzero(to != np.arange(len(node)))
-    return node[moved], node[to[moved]]
-
-
-def _few(node: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Places among the pairs (i, j): for each row i its nearest partner and the one with the least number."""
-    chosen = []
-    for by in (d, node[j]):
-        order = np.lexsort((node[j], by, i))
-        chosen.append(order[np.r_[True, i[order][1:] != i[order][:-1]]] if len(order) else order)
-    return np.unique(np.concatenate(chosen))
-
-
-def _together(group: np.ndarray, key: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, least: float) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(pairs, links) of many whole groups of a few rows each at once."""
+        return _forest(label, node, *met(left, left))
+    i, j, d = met(left, right) if len(left) and len(right) else (label[:0],) * 3
+    if len(i):
+        _spread(label, [met(x, x)[:2] for x in (left, right)])
+    return _forest(label, node, i, j, d)
+
+
+def _forest(label: np.ndarray, node: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) of rows that make a spanning forest of the least distances d, each row's nearest partner among them.
+
+    label: for each row the least row that it hangs together with already; it
+    is changed.  Ties go by the numbers of the nodes, so that buckets choose alike.
+    """
+    left, chosen = np.lexsort((np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), d)), [np.zeros(0, np.int64)]
+    while True:
+        left = left[label[i[left]] != label[j[left]]]
+        if not len(left):
+            break
+        place, best = np.arange(len(left)), np.full((2, len(label)), len(left))
+        for k, end in enumerate((i, j)):
+            best[k, label[end[left]][::-1]] = place[::-1]  # of repeated places the last one stays: the nearest pair
+        pick = np.unique(best.min(0))
+        pick = left[pick[pick < len(left)]]
+        chosen.append(pick)
+        _spread(label, [(i[pick], j[pick])])
+    pick = np.concatenate(chosen)
+    return i[pick], j[pick]
+
+
+def _first(x: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether pairs of differing bits x, which meet in the bucket of key, meet in no bucket before it."""
+    out = np.ones(len(x), bool)
+    for at in range(0, len(x), 4096):
+        part, where = x[at : at + 4096], key[at : at + 4096] >> WIDTH
+        same = (segment_keys(part) & ((1 << WIDTH) - 1) == 0) & (np.arange(RINGS * SEGMENTS) < where[:, None])
+        ask = np.flatnonzero(same.any(1))
+        while len(ask):
+            before = same[ask].argmax(1)
+            same[ask, before] = False
+            met = in_chain(part[ask], before << WIDTH)
+            out[at + ask[met]] = False
+            ask = ask[~met]
+            ask = ask[same[ask].any(1)]
+    return out
+
+
+def _together(group: np.ndarray, key: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that hold together what meets in many whole groups of a few rows each."""
     place, step, found = np.arange(len(group)), 1, []
     while True:
         place = place[place + step < len(group)]
@@ -269,23 +277,17 @@ def _together(group: np.ndarray, key: np.ndarray, node: np.ndarray, size: np.nda
         found.append((place[near], place[near] + step, d[near]))
         step += 1
     i, j, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-    a, b = np.r_[i, j], np.r_[j, i]
-    pick = _few(node, a, b, np.r_[d, d])
-    return (node[a[pick]], node[b[pick]]), _hanging(node, i, j)
+    return _forest(np.arange(len(group)), node, i, j, d)
 
 
 _MET = "a long, b long, verify boolean"
 
 
-def _batch(out: list[tuple]) -> pa.RecordBatch:
-    """Pairs to verify and links, each (a, b) with the lesser first and once."""
-    parts = []
-    for verify, k in ((True, 0), (False, 1)):
-        a, b = (np.concatenate([*(o[k][e] for o in out), np.zeros(0, np.int64)]) for e in (0, 1))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-        parts.append((both, np.full(len(both), verify)))
-    ends = np.concatenate([p[0] for p in parts])
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1])), pa.array(np.concatenate([p[1] for p in parts]))], names=["a", "b", "verify"])
+def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Each pair of nodes with the lesser first and once: to verify, and as a link."""
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+    ends = np.concatenate([both, both])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1])), pa.array(np.arange(len(ends)) < len(both))], names=["a", "b", "verify"])
 
 
 def _meet(least: float):
@@ -296,14 +298,16 @@ def _meet(least: float):
         key, size = bucket >> 32, bucket & 0xFFFFFFFF
         heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (deal[1:] >> _BLOCK_BITS != deal[:-1] >> _BLOCK_BITS)])
         sizes = np.diff(np.r_[heads, len(key)])
-        few = np.repeat(sizes <= FEW, sizes)
+        few = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
         group = np.repeat(np.arange(len(heads)), sizes)
-        out = [_together(group[few], key[few], node[few], size[few], prints[few], least)]
+        found = [tuple(few[x] for x in _together(group[few], key[few], node[few], size[few], prints[few], least))]
         for h, n in zip(heads[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
             here = slice(h, h + n)
             a, b = int(deal[h]) >> 2 * _BLOCK_BITS, int(deal[h]) >> _BLOCK_BITS & _BLOCK_MASK
-            out.append(_in_group(int(key[h]), a, b, deal[here] & _BLOCK_MASK, node[here], size[here], prints[here], least))
-        return _batch(out)
+            found.append(tuple(h + x for x in _in_group(int(key[h]), a, b, deal[here] & _BLOCK_MASK, node[here], size[here], prints[here], least)))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        new = _first(prints[i] ^ prints[j], key[i])
+        return _batch(node[i[new]], node[j[new]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
