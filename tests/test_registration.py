@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from voxlake.functions import spatial as S
 from voxlake.model import CHANNELS
 from voxlake.operators import align as A, motion as M, region as G, register as R
+from voxlake.plans.queries import QUERIES
+
+from .oracle import DATA
 
 
 def field(places, centres, heights, width):
@@ -257,3 +260,70 @@ def test_small_blocks_are_numbered_together(spark, monkeypatch):
     counted = []
     monkeypatch.setattr(G, "pieces", lambda seen: counted.append(len(seen)) or number(seen))
     assert calls[0](rows, np.array([0, 0, 1, 1]))[-1].to_pylist() == [1, 1, 1, 1] and counted == [2]
+
+
+@pytest.mark.parametrize("dof", [3, 6, 9, 12])
+def test_slopes_of_maps_and_of_reads(dof):
+    rng = np.random.default_rng(dof)
+    p, size, middle, e = rng.normal(0, 0.1, 12), np.array([1.0, 2.0, 0.5]), np.array([2.0, 3.0, 1.0]), 1e-6
+    p[dof:] = 0
+    off, slopes = rng.normal(size=(3, 20)), S.affine_slopes(p, dof, size)
+    assert slopes.shape == (dof, 3, 4)
+    for k in range(dof):
+        step = np.eye(12)[k] * e
+        change = (S.at(S.affine(p + step, middle, size), off + middle[:, None]) - S.at(S.affine(p - step, middle, size), off + middle[:, None])) / (2 * e)
+        assert np.allclose(slopes[k, :, :3] @ off + slopes[k, :, 3:], change, atol=1e-7)
+    v = rng.normal(size=(4, 6, 5))
+    at = rng.uniform(0.01, 0.99, (3, 50)) + rng.integers(0, 3, (3, 50))
+    values, along = S.slopes_in_cells(S.cells(v), v.shape, at)
+    assert np.allclose(values, S.linear(v, at))
+    for a in range(3):
+        step = np.eye(3)[:, a : a + 1] * e
+        assert np.allclose(along[a], (S.linear(v, at + step) - S.linear(v, at - step)) / (2 * e), atol=1e-6)
+
+
+def test_slopes_of_the_cost():
+    n, (centres, heights) = 10, hills(10)
+    places, size, e = S.grid((n,) * 3), np.ones(3), 1e-6
+    v = field(places, centres, heights, 2.0).reshape((n,) * 3)
+    bins, moving = R.binned(v, 8), np.exp(-v)
+    order, corners, p = np.argsort(bins, kind="stable"), S.cells(moving), np.r_[0.011, -0.007, 0.013, 0.21, -0.13, 0.17, 0.012, -0.014, 0.009, 0.006, 0.004, -0.008]
+    cost = lambda p: R.cost_of(S.affine(p, S.centre(v.shape), size), bins, places, moving)
+    now, gradient, curve = R._slopes(p, 12, size, bins[order], places[:, order], (v.shape, moving.shape), corners)
+    values = S.linear(moving, (at := S.at(S.affine(p, S.centre(v.shape), size), places))[:, S.inside(moving.shape, at)])
+    total = ((values - values.mean()) ** 2).sum()
+    assert now == pytest.approx(cost(p)) and curve.shape == (12, 12)
+    assert [2 * g / total for g in gradient] == pytest.approx([(cost(p + s) - cost(p - s)) / (2 * e) for s in np.eye(12) * e], rel=1e-4, abs=1e-6)
+    # nothing overlaps, or nothing varies
+    assert R._slopes(np.r_[np.zeros(3), 50.0, np.zeros(8)], 6, size, bins[order], places[:, order], (v.shape, v.shape), corners) == (1.0, None, None)
+    assert R._slopes(np.zeros(12), 6, size, bins[order], places[:, order], (v.shape, v.shape), np.ones_like(corners)) == (1.0, None, None)
+
+
+def test_a_search_reads_the_volume_few_times(monkeypatch):
+    n, (centres, heights) = 10, hills(10)
+    places, true = S.grid((n,) * 3), np.r_[np.zeros(3), 0.6, -0.4, np.zeros(7)]
+    fixed, moving = (field(S.at(np.linalg.inv(S.affine(p, S.centre((n,) * 3))), places), centres, heights, 2.0).reshape((n,) * 3) for p in (np.zeros(12), true))
+    reads, read = [], S._in_cells
+    monkeypatch.setattr(S, "_in_cells", lambda *a: reads.append(1) or read(*a))
+    size, bins = np.ones(3), 31
+    p, cost = R.search(fixed, np.exp(-moving), size, 6, 0.0, 15.0, 0, bins)
+    n_reads = len(reads)
+    assert n_reads <= 100 and np.abs(p[:3]).max() < 0.03 and np.abs(p - true)[3:6].max() < 0.1
+    # neither a wide step nor a small one in any number helps
+    for least in (np.r_[np.full(3, 0.01), np.full(3, 0.05)] / 4, np.r_[np.full(3, np.radians(3.75)), np.full(3, 0.5)]):
+        for k, sign in itertools.product(range(6), (1, -1)):
+            q = p + np.eye(12)[k] * sign * least[k]
+            assert R.cost_of(S.affine(q, S.centre(fixed.shape), size), R.binned(fixed, bins), places, np.exp(-moving)) >= cost - 1e-9
+
+
+def _lines(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+@pytest.mark.parametrize("name", ["registration_found"])
+def test_volumes_of_stand_ins_are_made_after_all_exchanges(spark, name):
+    if not DATA.exists():
+        pytest.skip("the driver's tables aren't here")
+    lines = _lines(QUERIES[name](spark, str(DATA)))
+    made, exchanged = ([k for k, line in enumerate(lines) if word in line] for word in ("MapInArrow", "Exchange"))
+    assert len(made) == 2 and exchanged and max(made) < min(exchanged)

@@ -39,10 +39,10 @@ def correlation_ratio(bins: np.ndarray, values: np.ndarray) -> float:
     """Share of the variance of ``values`` that is left within bins; 1 if they don't vary."""
     if len(values) < 2:
         return 1.0
-    values = values - values.mean()
+    values = values - values.sum() / len(values)
     n, s = np.bincount(bins), np.bincount(bins, values)
     total = float(values @ values)
-    return 1.0 if total <= 1e-12 else max(0.0, 1 - float((s[n > 0] ** 2 / n[n > 0]).sum()) / total)
+    return 1.0 if total <= 1e-12 else max(0.0, 1 - float((s * s / np.maximum(n, 1)).sum()) / total)
 
 
 def cost_of(matrix: np.ndarray, bins: np.ndarray, places: np.ndarray, moving: np.ndarray, nearest: bool = False, overlap: float = 0.2, corners: np.ndarray | None = None) -> float:
@@ -76,7 +76,7 @@ def volume_pairs(fixed: DataFrame, moving: DataFrame, on: Sequence[str]) -> Data
     return fixed.select(*on, "dims", F.col("voxels").alias("fixed")).join(moving.select(*on, F.col("dims").alias("moving_dims"), F.col("voxels").alias("moving")).hint("merge"), list(on))
 
 
-def _spread(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+def dealt(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows dealt to as many tasks as shuffles have: little data, much work, so that partitions aren't to be put together by their size."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
@@ -90,7 +90,7 @@ def candidate_costs(pairs: DataFrame, candidates: Sequence[Sequence[float]], by:
     chunks = math.ceil(len(every) / chunk)
     rows = pairs.select(*by, "dims", "fixed", "moving_dims", "moving")
     if chunks > 1:
-        rows = _spread(rows.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))), [*by, "__chunk"])
+        rows = dealt(rows.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))), [*by, "__chunk"])
     else:
         rows = rows.withColumn("__chunk", F.lit(0))
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by] + ["candidate int, params array<double>, cost double"])
@@ -137,9 +137,9 @@ def best_in_ranges(costs: DataFrame, axes: Sequence[str], by: Sequence[str]) ->
     return rows.select(*by, *done, "b.candidate", "b.cost")
 
 
-def _descend(p: np.ndarray, steps: np.ndarray, least: np.ndarray, cost, dof: int) -> tuple[np.ndarray, float]:
-    """Steps in each number, of the size that helps, until none of ``least`` does."""
-    now = cost(p)
+def _descend(p: np.ndarray, steps: np.ndarray, least: np.ndarray, cost, dof: int, now: float | None = None) -> tuple[np.ndarray, float]:
+    """Steps in each number, of the size that helps, until none of ``least`` does; ``now`` is the cost at ``p`` where it is known."""
+    now = cost(p) if now is None else now
     while True:
         before = p.copy()
         for k in range(dof):
@@ -164,6 +164,64 @@ def _descend(p: np.ndarray, steps: np.ndarray, least: np.ndarray, cost, dof: int
             steps = np.maximum(steps / 2, least)
 
 
+def _newton(p: np.ndarray, steps: np.ndarray, least: np.ndarray, slopes, dof: int, rounds: int = 30) -> np.ndarray:
+    """Gauss-Newton steps, at most twice ``steps`` each, as long as they help and aren't below ``least``.
+
+    ``slopes`` gives a map's cost with the gradient and the curvature of what is left within bins.
+    """
+    now, gradient, curve = slopes(p)
+    for _ in range(rounds):
+        if gradient is None:
+            break
+        step = np.zeros(len(p))
+        step[:dof] = np.linalg.lstsq(curve, gradient, rcond=1e-9)[0]
+        step /= max(1.0, float((np.abs(step) / steps).max()) / 2)
+        for _ in range(3):
+            then = slopes(p - step)
+            if then[0] < now - 1e-12:
+                break
+            step /= 2
+        else:
+            break
+        p, (now, gradient, curve) = p - step, then
+        if (np.abs(step) < least / 4).all():
+            break
+    return p
+
+
+def _slopes(p: np.ndarray, dof: int, size: np.ndarray, bins: np.ndarray, places: np.ndarray, shape: tuple[int, int, int], corners: np.ndarray, overlap: float = 0.2) -> tuple[float, np.ndarray | None, np.ndarray | None]:
+    """(``cost_of`` the map, gradient of its numerator and denominator together, curvature); voxels come in order of their bins, whose number is ``bins``."""
+    middle = S.centre(shape[0])
+    at = S.at(S.affine(p, middle, size), places)
+    ok = np.flatnonzero(S.inside(shape[1], at))
+    if len(ok) < max(2, overlap * at.shape[1]):
+        return 1.0, None, None
+    values, along = S.slopes_in_cells(corners, shape[1], at.take(ok, axis=1))
+    bins = bins[ok]
+    heads = np.r_[0, np.flatnonzero(np.diff(bins)) + 1]
+    n = np.diff(np.r_[heads, len(bins)])
+    values = values - values.mean()
+    total = float(values @ values)
+    if total <= 1e-12:
+        return 1.0, None, None
+    rest = values - np.repeat(np.add.reduceat(values, heads) / n, n)
+    cost = float(rest @ rest) / total
+    off, change = places.take(ok, axis=1) - middle[:, None], S.affine_slopes(p, dof, size)
+    # the change of a value is the volume's slope along the way its place goes
+    j = change[:, :, :3].reshape(dof, 9) @ (along[:, None] * off).reshape(9, -1) + change[:, :, 3] @ along
+    sums = np.add.reduceat(j, heads, axis=1)
+    return cost, j @ (rest - cost * values), j @ j.T - (sums / n) @ sums.T
+
+
+def _settle(p: np.ndarray, steps: np.ndarray, least: np.ndarray, cost, slopes, dof: int) -> tuple[np.ndarray, float]:
+    """Down to where neither a wide step (``steps``) nor a small one (``least``) in any number helps: most of the way by Gauss-Newton steps, which take few reads of the volume."""
+    while True:
+        near = _newton(p, steps, least, slopes, dof)
+        p, now = _descend(near, steps, steps, cost, dof)
+        if (p == near).all():
+            return _descend(p, least, least, cost, dof, now)
+
+
 def search(fixed: np.ndarray, moving: np.ndarray, size: np.ndarray, dof: int = 12, degrees: float = 30.0, grid_step: float = 15.0, levels: int = 2, bins: int = BINS, keep: int = 3) -> tuple[np.ndarray, float]:
     """(twelve numbers, cost) of the best map found; the first ``dof`` numbers are free."""
     pyramid = [(fixed, moving, size)]
@@ -173,8 +231,10 @@ def search(fixed: np.ndarray, moving: np.ndarray, size: np.ndarray, dof: int = 1
     starts: list[tuple[float, np.ndarray]] = []
     for level in reversed(range(len(pyramid))):
         f, m, s = pyramid[level]
-        labels, places, middle = binned(f, max(4, min(bins, f.size // 32))), S.grid(f.shape), S.centre(f.shape)
-        cost = lambda p, a=(labels, places, m), b=S.cells(m), c=middle, s=s: cost_of(S.affine(p, c, s), *a, corners=b)
+        labels, places, middle, corners = binned(f, max(4, min(bins, f.size // 32))), S.grid(f.shape), S.centre(f.shape), S.cells(m)
+        order = np.argsort(labels, kind="stable")
+        cost = lambda p, a=(labels, places, m), b=corners, c=middle, s=s: cost_of(S.affine(p, c, s), *a, corners=b)
+        slopes = lambda p, a=(labels[order], places[:, order], (f.shape, m.shape), corners), s=s: _slopes(p, dof, s, *a)
         if not starts:
             turns = np.arange(-degrees, degrees + 1e-9, grid_step) if degrees else np.zeros(1)
             every = [np.r_[np.radians(t), np.zeros(9)] for t in itertools.product(turns, repeat=3)]
@@ -182,20 +242,23 @@ def search(fixed: np.ndarray, moving: np.ndarray, size: np.ndarray, dof: int = 1
         step = float(s.mean())
         steps = np.r_[np.full(3, np.radians(max(1.0, grid_step / 4)) if level == len(pyramid) - 1 else np.radians(1.0)), np.full(3, step / 2), np.full(6, 0.02)]
         least = np.r_[np.full(3, 0.01), np.full(3, step / 20), np.full(6, 0.01)] / (4 if level == 0 else 1)
-        found = [_descend(p, steps, least, cost, dof) for _, p in starts]
+        found = [_settle(p, steps, least, cost, slopes, dof) for _, p in starts]
         starts = sorted(((c, p) for p, c in found), key=lambda x: x[0])[: keep if level else 1]
     return starts[0][1], starts[0][0]
 
 
-def register(pairs: DataFrame, by: Sequence[str], size: Sequence[float] = (1.0, 1.0, 1.0), dof: int = 12, degrees: float = 30.0, grid_step: float = 15.0, levels: int = 2, bins: int = BINS) -> DataFrame:
+def register(pairs: DataFrame, by: Sequence[str], size: Sequence[float] = (1.0, 1.0, 1.0), dof: int = 12, degrees: float = 30.0, grid_step: float = 15.0, levels: int = 2, bins: int = BINS, deal: bool = True) -> DataFrame:
     """by, params (twelve numbers), matrix (16 numbers, rows of the map of the fixed volume's voxels into the moving one's), cost, and ``still``, the cost of not moving.
 
     ``dof`` is 3 for turns, 6 for rigid maps, 9 with scales, 12 with shears;
     ``degrees`` bounds the turns that the search starts from.  A pair is one
-    row and one search; pairs are dealt over all tasks.
+    row and one search; pairs are dealt over all tasks.  Where pairs are made
+    from something small, that may be ``dealt`` before, and the pairs are taken
+    where they are (not ``deal``), so that no volume is exchanged.
     """
     n, spacing = len(by), np.asarray(size, float)
-    rows = _spread(pairs.select(*by, "dims", "fixed", "moving_dims", "moving"), by)
+    rows = pairs.select(*by, "dims", "fixed", "moving_dims", "moving")
+    rows = dealt(rows, by) if deal else rows
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by] + ["params array<double>, matrix array<double>, cost double, still double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
