@@ -320,10 +320,58 @@ def _lines(df):
     return df._jdf.queryExecution().executedPlan().toString().splitlines()
 
 
-@pytest.mark.parametrize("name", ["registration_found"])
+@pytest.mark.parametrize("name", ["frames_aligned", "registration_found"])
 def test_volumes_of_stand_ins_are_made_after_all_exchanges(spark, name):
     if not DATA.exists():
         pytest.skip("the driver's tables aren't here")
     lines = _lines(QUERIES[name](spark, str(DATA)))
     made, exchanged = ([k for k, line in enumerate(lines) if word in line] for word in ("MapInArrow", "Exchange"))
     assert len(made) == 2 and exchanged and max(made) < min(exchanged)
+
+
+def test_a_frame_is_exchanged_once_to_be_aligned(spark, tmp_path):
+    at = str(tmp_path / "frames")
+    spark.range(40).selectExpr("id div 2 as run", "cast(id % 2 as int) as t", "named_struct('x', 2, 'y', 2, 'z', 2) as dims", "transform(sequence(1, 8), i -> cast(i + id as double)) as voxels").write.parquet(at)
+    frames = spark.read.parquet(at)
+    base = frames.where("t = 0").drop("t")
+    # none between the join and the steps, where each frame would take its base along
+    names = [line.lstrip(" :+-*0123456789()") for line in _lines(A.align_frames(frames, base))]
+    assert next(k for k, line in enumerate(names) if "Join" in line) < next(k for k, line in enumerate(names) if line.startswith("Exchange"))
+
+
+def test_a_long_run_is_dealt_in_shares(spark, monkeypatch):
+    n, (centres, heights) = 6, hills(6)
+    moves = [np.array([[0.02 * t], [-0.01 * t], [0.0]]) for t in range(9)]
+    volumes = [field(S.grid((n,) * 3) - m, centres, heights, 2.0).reshape((n,) * 3) for m in moves]
+    frames = wide(spark, [*((0, t, v) for t, v in enumerate(volumes)), (1, 3, volumes[0])])
+    base = A.base_volumes(frames, "first")
+    whole = sorted(A.align_frames(frames, base).collect())
+    monkeypatch.setattr(A, "SHARE", 2)
+    shared = A.beside_base(frames, base).withColumn("task", F.spark_partition_id())
+    assert sorted(A.align_frames(frames, base).collect()) == whole and len(whole) == 10
+    assert shared.where("run = 0").select("task").distinct().count() > 1 and shared.count() == 10
+    # without a number, too, a frame is aligned
+    assert A.align_frames(frames.withColumn("t", F.expr("nullif(t, 4)")), base).count() == 10
+
+
+def test_wide_volumes_read_what_cubic_reads():
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(4, 6, 5))
+    at = np.concatenate([rng.uniform(0, 1, (3, 500)) * np.array([[4.0], [5.0], [3.0]]), S.grid(v.shape), S.grid(v.shape) * (1 + 1e-7), -1e-7 * np.ones((3, 1))], axis=1)
+    at = at[:, S.inside(v.shape, at)]
+    assert at.shape[1] > 600 and np.allclose(S.cubic_in(S.edged(v), at, 64), S.cubic(v, at), atol=1e-12)
+    one = np.full((1, 1, 1), 3.0)
+    assert S.cubic_in(S.edged(one), np.zeros((3, 2))).tolist() == [3.0, 3.0]
+
+
+def test_steps_that_go_in_circles_end(monkeypatch):
+    n, (centres, heights) = 10, hills(10)
+    places, steps, inside = S.grid((n,) * 3), [], S.inside
+    monkeypatch.setattr(S, "inside", lambda *a: steps.append(1) or inside(*a))
+    base, frame = (field(places - np.array([[x], [y], [0.0]]), centres, heights, 2.0).reshape((n,) * 3) for x, y in ((0, 0), (0.6, -0.4)))
+    slopes = A._slopes(base, np.ones(3))
+    p, error = A.align(base, frame, np.ones(3), slopes)
+    few = len(steps)
+    all_of_them = A.align(base, frame, np.ones(3), slopes, least=0.0)
+    assert few <= 10 and len(steps) - few == 30
+    assert np.allclose(p, all_of_them[0], atol=1e-5) and error == pytest.approx(all_of_them[1])

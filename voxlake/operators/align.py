@@ -13,11 +13,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import spatial as S
 from ..model import CHANNELS
 
+#: Numbers of frames that are dealt together with one copy of their base.
+SHARE = 32
+
+
+def base_numbers(frames: DataFrame, at: str = "middle", by: Sequence[str] = ("run",), t: str = "t", name: str = "base") -> DataFrame:
+    """A row a run: by and the number of its ``first`` or ``middle`` frame, from the frames' numbers alone."""
+    place = F.min(t) if at == "first" else F.floor((F.min(t) + F.max(t)) / 2)
+    wanted = frames.groupBy(*by).agg(place.cast("long").alias("__at"))
+    return frames.select(*by, F.col(t).alias("__t")).join(wanted, list(by)).groupBy(*by).agg(F.min(F.struct(F.abs(F.col("__t") - F.col("__at")).alias("d"), "__t"))["__t"].alias(name))
+
 
 def base_volumes(frames: DataFrame, at: str = "middle", by: Sequence[str] = ("run",), t: str = "t") -> DataFrame:
     """A row a run: dims and voxels of its ``first`` or ``middle`` frame, by an aggregate over frame numbers and a join.
@@ -25,9 +35,7 @@ def base_volumes(frames: DataFrame, at: str = "middle", by: Sequence[str] = ("ru
     Volumes are far larger than the sizes that Spark estimates for arrays, so
     joins with them are never broadcast.
     """
-    place = F.min(t) if at == "first" else F.floor((F.min(t) + F.max(t)) / 2)
-    wanted = frames.groupBy(*by).agg(place.cast("long").alias("__at"))
-    near = frames.select(*by, F.col(t).alias("__t")).join(wanted, list(by)).groupBy(*by).agg(F.min(F.struct(F.abs(F.col("__t") - F.col("__at")).alias("d"), "__t"))["__t"].alias("__t"))
+    near = base_numbers(frames, at, by, t, "__t")
     return frames.join(near.hint("merge"), list(by)).where(F.col(t) == F.col("__t")).select(*by, "dims", "voxels")
 
 
@@ -39,42 +47,63 @@ def _slopes(base: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.stack([y * gz - z * gy, z * gx - x * gz, x * gy - y * gx, gx, gy, gz], axis=1)
 
 
-def align(base: np.ndarray, frame: np.ndarray, size: np.ndarray, slopes: np.ndarray, steps: int = 30, least: float = 1e-5) -> tuple[np.ndarray, float]:
-    """(angles and shifts that bring ``frame`` onto ``base``, mean squared difference then)."""
-    places, middle, p = S.grid(base.shape), S.centre(base.shape), np.zeros(6)
-    flat, best = base.reshape(-1), (np.inf, np.zeros(6))
+def align(base: np.ndarray, frame: np.ndarray, size: np.ndarray, slopes: np.ndarray, steps: int = 30, least: float = 1e-5, places: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """(angles and shifts that bring ``frame`` onto ``base``, mean squared difference then).
+
+    Ends where a step is below ``least``, or leads back to within ``least`` of
+    numbers met before: from there the same steps would come again.
+    """
+    places, middle, p = S.grid(base.shape) if places is None else places, S.centre(base.shape), np.zeros(6)
+    flat, wide, best, met = base.reshape(-1), S.edged(frame), (np.inf, np.zeros(6)), []
     for _ in range(steps):
         at = S.at(S.affine(p, middle, size), places)
-        ok = S.inside(base.shape, at)
-        if not ok.any():
+        ok = np.flatnonzero(S.inside(base.shape, at))
+        if not len(ok):
             break
-        rest = S.cubic(frame, at[:, ok]) - flat[ok]
+        rest = S.cubic_in(wide, at.take(ok, axis=1)) - flat[ok]
         error = float(rest @ rest) / len(rest)
         if error < best[0]:
             best = (error, p)
-        j = slopes[ok]
-        step = np.linalg.lstsq(j.T @ j, j.T @ rest, rcond=1e-9)[0]
-        p = p - step
-        if np.abs(step).max() < least:
+        met.append(p)
+        j = slopes.take(ok, axis=0)
+        p = p - np.linalg.lstsq(j.T @ j, j.T @ rest, rcond=1e-9)[0]
+        if (np.abs(np.array(met) - p).max(1) < least).any():
             break
     return best[1], best[0]
 
 
-def align_frames(frames: DataFrame, base: DataFrame, size: Sequence[float] = (1.0, 1.0, 1.0), by: Sequence[str] = ("run",), t: str = "t", steps: int = 30) -> DataFrame:
-    """by, t, the six channels (radians round the volume's centre, millimetres) and ``error``, the mean squared difference left.
+def share(t: str = "t") -> Column:
+    """The share of a run's frames that a frame is dealt with: few runs are dealt over many tasks, and one base serves a share."""
+    return F.coalesce(F.floor(F.col(t) / SHARE), F.lit(0))
 
-    Frames and base are wide volumes of the same size (another size is an
-    error); null and NaN voxels count as 0.  A frame that doesn't overlap its
-    base, or shows nothing, keeps the best numbers met, at first zeros.
+
+def beside_base(frames: DataFrame, base: DataFrame, by: Sequence[str] = ("run",), t: str = "t") -> DataFrame:
+    """by, t, dims, voxels, base_dims, base_voxels: each frame with the base of its run, dealt for ``align_rows``.
+
+    Little data, much work: as many tasks as shuffles have, and the frames of a
+    long run over all of them, in shares of SHARE numbers.  The frames are
+    dealt once, before the join, and a base goes to each share of its run; dealt
+    after it, every frame would take its base along.
+    """
+    tasks, dealt = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*by, "__share"]
+    frames = frames.select(*by, t, "dims", "voxels", share(t).alias("__share"))
+    bases = base.select(*by, F.col("dims").alias("base_dims"), F.col("voxels").alias("base_voxels")).join(frames.select(*dealt).distinct().hint("merge"), list(by))
+    return frames.repartition(tasks, *dealt).join(bases.repartition(tasks, *dealt).hint("merge"), dealt).select(*by, t, "dims", "voxels", "base_dims", "base_voxels")
+
+
+def align_rows(rows: DataFrame, size: Sequence[float] = (1.0, 1.0, 1.0), by: Sequence[str] = ("run",), t: str = "t", steps: int = 30) -> DataFrame:
+    """``align_frames`` for frames that have their base beside them: dims, voxels, base_dims, base_voxels.
+
+    Rows are taken where they are.  Where volumes are made or read from
+    something small, deal that and make them after it (``base_numbers`` tells
+    which), so that no volume is exchanged.
     """
-    rows = frames.select(*by, t, "dims", "voxels").join(base.select(*by, F.col("dims").alias("__dims"), F.col("voxels").alias("__base")).hint("merge"), list(by))
-    # little data, much work: as many tasks as shuffles have, and the frames of a long run over all of them
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, t)
     kept, spacing = [*by, t], np.asarray(size, float)
+    rows = rows.select(*kept, "dims", "voxels", "base_dims", "base_voxels")
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} double" for c in CHANNELS] + ["error double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # slopes of the base met last
+        known: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # the base met last, its slopes and places
         for batch in batches:
             out = []
             for dims, voxels, shape, other in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1), batch.column(len(kept) + 2).to_pylist(), batch.column(len(kept) + 3), strict=True):
@@ -83,12 +112,22 @@ def align_frames(frames: DataFrame, base: DataFrame, size: Sequence[float] = (1.
                 size_zyx = [dims[a] for a in "zyx"]
                 frame, first = (np.nan_to_num(v.values.to_numpy(zero_copy_only=False).astype(float)).reshape(size_zyx) for v in (voxels, other))
                 name = first.tobytes()
-                if name not in known:
-                    known = {name: (first, _slopes(first, spacing))}
-                p, error = align(known[name][0], frame, spacing, known[name][1], steps)
+                if name not in known or known[name][0].shape != first.shape:
+                    known = {name: (first, _slopes(first, spacing), S.grid(first.shape))}
+                first, slopes, places = known[name]
+                p, error = align(first, frame, spacing, slopes, steps, places=places)
                 out.append([*p, error])
             numbers = np.array(out, float).reshape(-1, 7)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), *(pa.array(numbers[:, k]) for k in range(7))], names=[*kept, *CHANNELS, "error"])
 
     return rows.mapInArrow(run, schema)
 
+
+def align_frames(frames: DataFrame, base: DataFrame, size: Sequence[float] = (1.0, 1.0, 1.0), by: Sequence[str] = ("run",), t: str = "t", steps: int = 30) -> DataFrame:
+    """by, t, the six channels (radians round the volume's centre, millimetres) and ``error``, the mean squared difference left.
+
+    Frames and base are wide volumes of the same size (another size is an
+    error); null and NaN voxels count as 0.  A frame that doesn't overlap its
+    base, or shows nothing, keeps the best numbers met, at first zeros.
+    """
+    return align_rows(beside_base(frames, base, by, t), size, by, t, steps)
