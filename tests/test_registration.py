@@ -373,5 +373,5 @@ def test_steps_that_go_in_circles_end(monkeypatch):
     p, error = A.align(base, frame, np.ones(3), slopes)
     few = len(steps)
     all_of_them = A.align(base, frame, np.ones(3), slopes, least=0.0)
-    assert few <= 10 and len(steps) - few == 30
-    assert np.allclose(p, all_of_them[0], atol=1e-5) and error == pytest.approx(all_of_them[1])
+    assert few <= 15 and len(steps) - few == 30
+    assert np.allclose(p, all_of_them[0], atol=1e-7) and error == pytest.approx(all_of_them[1])

@@ -50,8 +50,8 @@ def _slopes(base: np.ndarray, size: np.ndarray) -> np.ndarray:
 def align(base: np.ndarray, frame: np.ndarray, size: np.ndarray, slopes: np.ndarray, steps: int = 30, least: float = 1e-5, places: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """(angles and shifts that bring ``frame`` onto ``base``, mean squared difference then).
 
-    Ends where a step is below ``least``, or leads back to within ``least`` of
-    numbers met before: from there the same steps would come again.
+    Ends where a step is below ``least``, or leads back to numbers met before
+    (to within a thousandth of it): from there the same steps would come again.
     """
     places, middle, p = S.grid(base.shape) if places is None else places, S.centre(base.shape), np.zeros(6)
     flat, wide, best, met = base.reshape(-1), S.edged(frame), (np.inf, np.zeros(6)), []
@@ -66,8 +66,9 @@ def align(base: np.ndarray, frame: np.ndarray, size: np.ndarray, slopes: np.ndar
             best = (error, p)
         met.append(p)
         j = slopes.take(ok, axis=0)
-        p = p - np.linalg.lstsq(j.T @ j, j.T @ rest, rcond=1e-9)[0]
-        if (np.abs(np.array(met) - p).max(1) < least).any():
+        step = np.linalg.lstsq(j.T @ j, j.T @ rest, rcond=1e-9)[0]
+        p = p - step
+        if np.abs(step).max() < least or (np.abs(np.array(met) - p).max(1) < least / 1000).any():
             break
     return best[1], best[0]
 

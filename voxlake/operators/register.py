@@ -6,8 +6,9 @@ tells nothing.  ``candidate_costs`` costs many maps in one pass over the
 volumes, chunks of candidates dealt over tasks, and partial minima keep the
 best; ``best_in_ranges`` answers every setting of a sweep over search ranges
 from the same costs, one axis after the other.  ``register`` searches for the
-map: turns on a grid at the coarsest of several halved volumes, then steps in
-each of up to twelve numbers, ever smaller, level by level.
+map: turns on a grid at the coarsest of several halved volumes, then, level by
+level, Gauss-Newton steps in up to twelve numbers and steps in each of them, to
+where none of the smallest helps.
 """
 
 from __future__ import annotations
