motion_with_mask: take the channels through the one join of frames

Symptom: motion_with_mask writes 92 MB and reads 115 MB of shuffle for a 10.8 MB lineitem table (the profiler, sf0.1), most of it rows of motion moved twice.
Evidence: the plan makes motion a second time only to join it with the finished masks; its scan has a filter the others lack, so not even the exchange by run is shared, and the masks are exchanged again behind the full join. On 6 million rows these are 226.6 + 206.8 + 51.8 of 903.4 MB written.
Fix: framewise_displacement keeps the channels it is given, so they go through join_frames beside the displacement, and the mask is set on the joined row; motion is made once.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1725 -> 1570 s, shuffle 5.83 -> 3.22 GB, spill 0.00 -> 0.00 GB, read 1.63 -> 0.82 GB, longest task 17 -> 20 s, most memory of a task 336 -> 268 MB; at 6 GB of input CPU 7801 -> 7103 s, shuffle 35.77 -> 19.62 GB, spill 0.00 -> 0.00 GB, read 11.34 -> 5.67 GB, longest task 17 -> 18 s, most memory of a task 604 -> 604 MB.

@@ -152,8 +152,9 @@ def dvars_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.z_scores(S.dvars(S.percent_change(series(spark, sf_dir)))).select("run", "t", r("z", 4).alias("z"))
 
 
-def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fd = _frames(spark, sf_dir).select("run", "t", "fd")
+def _both(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
+    """Frames with both measures, and the motion columns ``kept``."""
+    fd = _frames(spark, sf_dir).select("run", "t", "fd", *kept)
     return quality.join_frames(fd, S.global_change(S.percent_change(signal(spark, sf_dir))), ["run"])
 
 
@@ -176,8 +177,7 @@ def quality_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def motion_with_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = quality.choose_mask("or", M.lost_mask("fd", FD_THRESHOLD), M.lost_mask("global_change", CHANGE_THRESHOLD))
-    masks = _both(spark, sf_dir).select("run", "t", lost.cast("int").alias("mask"))
-    rows = motion(spark, sf_dir).join(masks, ["run", "t"])
+    rows = _both(spark, sf_dir, *CHANNELS).withColumn("mask", lost.cast("int"))
     return rows.select("run", "t", M.motion_lines(rows).alias("line"))
 
 
