@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from voxlake.model import CHANNELS
 from voxlake.operators import motion as M, quality
 from voxlake.plans import queries as Q, tables
 
@@ -46,3 +47,20 @@ def test_motion_with_mask_on_odd_rows_is_motion_joined_with_the_mask(spark, odd)
     want = rows_of(joined.select("run", "t", M.motion_lines(joined).alias("line")))
     assert rows_of(Q.motion_with_mask(spark, odd)) == want
     assert len(want) == 2501 and any(line.count("\t") < 6 for _, _, line in want)
+
+
+@pytest.mark.parametrize("name", ["masks_chosen", "motion_with_mask"])
+def test_frames_are_judged_before_they_are_joined(spark, odd, name, monkeypatch):
+    given, join = [], quality.join_frames
+    monkeypatch.setattr(quality, "join_frames", lambda fd, change, *how: given.extend((fd, change)) or join(fd, change, *how))
+    assert Q.QUERIES[name](spark, odd).columns
+    measures = [[c for c, kind in df.dtypes if kind == "double" and c not in CHANNELS] for df in given]
+    assert measures == [[], []]
+
+
+def test_masks_on_odd_rows_are_those_of_the_joined_measures(spark, odd):
+    both = Q._both(spark, odd)
+    fd, change = F.col("fd") > Q.FD_THRESHOLD, F.col("global_change") > Q.CHANGE_THRESHOLD
+    want = rows_of(both.select("run", "t", fd, change, fd | change, fd & change))
+    assert rows_of(Q.masks_chosen(spark, odd).select("run", "t", "fwd", "dvars", "either", "both")) == want
+    assert any(row[2] is None for row in want) and any(row[2] for row in want)

@@ -152,12 +152,18 @@ def dvars_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.z_scores(S.dvars(S.percent_change(series(spark, sf_dir)))).select("run", "t", r("z", 4).alias("z"))
 
 
-def _both(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
-    """Frames with both measures, and the motion columns ``kept``."""
-    fd = _frames(spark, sf_dir).select("run", "t", "fd", *kept)
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fd = _frames(spark, sf_dir).select("run", "t", "fd")
     return quality.join_frames(fd, S.global_change(S.percent_change(signal(spark, sf_dir))), ["run"])
 
 
+def _lost(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
+    """Whether each frame is lost by either measure, and the motion columns ``kept``: judged before the join, which then moves flags and no measures."""
+    fd = _frames(spark, sf_dir).select("run", "t", M.lost_mask("fd", FD_THRESHOLD).alias("fd_lost"), *kept)
+    change = S.global_change(S.percent_change(signal(spark, sf_dir))).select("run", "t", M.lost_mask("global_change", CHANGE_THRESHOLD).alias("change_lost"))
+    return quality.join_frames(fd, change, ["run"])
+
+
 _BOTH_SQL = f"WITH {MOTION_SQL}, {SIGNAL_SQL}, f AS ({_fd_sql()}), {_psc_sql('signal')}, g AS (SELECT run, t, abs(avg(psc)) AS c FROM p GROUP BY run, t), b AS (SELECT run, t, fd, c FROM f JOIN g USING (run, t)) "
 
 
@@ -176,8 +182,8 @@ def quality_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     _BOTH_SQL + "SELECT m.run, m.t, " + " || chr(9) || ".join(f"printf('%.6f', m.{c})" for c in CHANNELS) + f" || chr(9) || printf('%.6f', (fd > {FD_THRESHOLD} OR c > {CHANGE_THRESHOLD})::INT::DOUBLE) AS line FROM motion m JOIN b USING (run, t)"
 )
 def motion_with_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lost = quality.choose_mask("or", M.lost_mask("fd", FD_THRESHOLD), M.lost_mask("global_change", CHANGE_THRESHOLD))
-    rows = _both(spark, sf_dir, *CHANNELS).withColumn("mask", lost.cast("int"))
+    lost = quality.choose_mask("or", F.col("fd_lost"), F.col("change_lost"))
+    rows = _lost(spark, sf_dir, *CHANNELS).withColumn("mask", lost.cast("int"))
     return rows.select("run", "t", M.motion_lines(rows).alias("line"))
 
 
@@ -186,9 +192,9 @@ _FD_LOST, _CHANGE_LOST = f"fd > {FD_THRESHOLD}", f"c > {CHANGE_THRESHOLD}"
 
 @query(_BOTH_SQL + f"SELECT run, t, {_FD_LOST} AS fwd, {_CHANGE_LOST} AS dvars, {_FD_LOST} OR {_CHANGE_LOST} AS either, {_FD_LOST} AND {_CHANGE_LOST} AS both FROM b")
 def masks_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lost = (M.lost_mask("fd", FD_THRESHOLD), M.lost_mask("global_change", CHANGE_THRESHOLD))
+    lost = (F.col("fd_lost"), F.col("change_lost"))
     shown = {"fwd": "fwd", "dvars": "dvars", "or": "either", "and": "both"}
-    return _both(spark, sf_dir).select("run", "t", *[quality.choose_mask(k, *lost).alias(v) for k, v in shown.items()])
+    return _lost(spark, sf_dir).select("run", "t", *[quality.choose_mask(k, *lost).alias(v) for k, v in shown.items()])
 
 
 @query(f"WITH {SERIES_SQL} SELECT run, voxel, {rs('avg(v)')} AS v FROM series GROUP BY run, voxel")
