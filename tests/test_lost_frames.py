@@ -64,3 +64,27 @@ def test_masks_on_odd_rows_are_those_of_the_joined_measures(spark, odd):
     want = rows_of(both.select("run", "t", fd, change, fd | change, fd & change))
     assert rows_of(Q.masks_chosen(spark, odd).select("run", "t", "fwd", "dvars", "either", "both")) == want
     assert any(row[2] is None for row in want) and any(row[2] for row in want)
+
+
+def test_the_join_of_frames_moves_only_what_it_is_given(spark):
+    fd = spark.createDataFrame([(1, 0, 0.5)], "run int, t long, fd double")
+    change = spark.createDataFrame([(1, 0, 2.5)], "run int, t long, global_change double")
+    plan = executed(quality.join_frames(fd, change, ["run"]))
+    below_join = plan[plan.index("Join") :]
+    assert "1 AS" not in below_join
+
+
+@pytest.mark.parametrize("a, b", [([(1, 0)], [(1, 0), (1, 1)]), ([(1, 0), (1, 1)], [(1, 0)]), ([(None, 0)], [(None, 0)]), ([(1, None)], [(1, None)]), ([(1, 0)], [])])
+def test_frames_without_their_like_are_refused(spark, a, b):
+    fd, change = (spark.createDataFrame([(*row, 0.1) for row in rows], f"run int, t long, {name} double") for rows, name in ((a, "fd"), (b, "global_change")))
+    with pytest.raises(Exception, match="differ in length"):
+        quality.join_frames(fd, change, ["run"]).collect()
+
+
+def test_joined_frames_keep_null_values_and_repeated_frames(spark):
+    fd = spark.createDataFrame([(1, 0, None), (1, 0, 0.5), (1, 1, 0.7)], "run int, t long, fd double")
+    change = spark.createDataFrame([(1, 0, None), (1, 1, 2.0), (1, 1, 3.0)], "run int, t long, global_change double")
+    joined = quality.join_frames(fd, change, ["run"])
+    assert joined.columns == ["run", "t", "fd", "global_change"]
+    assert rows_of(joined) == sorted([(1, 0, None, None), (1, 0, 0.5, None), (1, 1, 0.7, 2.0), (1, 1, 0.7, 3.0)], key=repr)
+    assert quality.join_frames(fd.limit(0), change.limit(0), ["run"]).collect() == []

@@ -20,12 +20,10 @@ def lost_count(flag: Column) -> Column:
 
 def join_frames(fd: DataFrame, change: DataFrame, by: Sequence[str], t: str = "t") -> DataFrame:
     """Frames of both series side by side; an error if a run's frames differ."""
-    left = fd.withColumn("__a", F.lit(1))
-    right = change.withColumn("__b", F.lit(1))
-    both = left.join(right, [*by, t], "full")
-    same = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    both = fd.alias("__fd").join(change.alias("__change"), [*by, t], "full")
+    same = F.col(f"__fd.`{t}`").isNotNull() & F.col(f"__change.`{t}`").isNotNull()
     checked = both.withColumn("__ok", F.when(same, 1).otherwise(F.raise_error(F.lit("the two series of a run differ in length")).cast("int")))
-    return checked.where("__ok = 1").drop("__a", "__b", "__ok")
+    return checked.where("__ok = 1").drop("__ok")
 
 
 def choose_mask(which: str, fd_lost: Column, change_lost: Column) -> Column:
