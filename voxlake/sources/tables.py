@@ -25,13 +25,17 @@ def read_motion(spark: SparkSession, path: str, rotations_first: bool = True) ->
 
 def motion_rows(files: DataFrame, rotations_first: bool = True) -> DataFrame:
     """read_motion for files that are in a table: path and value."""
+    # a file without lines has no rows, so its name isn't looked at; of the others it is taken apart once a file, not once a line
+    filled = files.where(F.col("value").rlike(r"[^ \r\n]|\r(?!\n)"))
+    named = filled.select("path", "value", parse_run_path(F.col("path")).alias("p")).select("path", "value", "p.sub", F.col("p.session").alias("ses"), "p.task", "p.run")
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")
-    rows = files.select("path", F.posexplode(lines).alias("t", "line"))
-    cells = F.split(F.trim("line"), r"\s+")
-    checked = F.when(F.size(cells) == 6, cells).otherwise(F.raise_error(F.lit("a motion file has six columns")).cast("array<string>"))
+    rows = named.select("path", "sub", "ses", "task", "run", F.posexplode(lines).alias("t", "line"))
+    # split in a step of its own: a line is cut once, both for the check and for the cells
+    cells = rows.select("path", "sub", "ses", "task", "run", F.col("t").cast("long").alias("t"), F.split(F.trim("line"), r"\s+").alias("c"))
+    sound = F.when(F.size("c") == 6, F.col("c")).otherwise(F.raise_error(F.lit("a motion file has six columns")).cast("array<string>"))
     names = CHANNELS if rotations_first else CHANNELS[3:] + CHANNELS[:3]
-    parsed = rows.select("path", F.col("t").cast("long").alias("t"), parse_run_path(F.col("path")).alias("p"), checked.alias("c"))
-    return parsed.select("path", "p.sub", F.col("p.session").alias("ses"), "p.task", "p.run", "t", *[F.col("c")[k].cast("double").alias(n) for k, n in enumerate(names)])
+    checked = cells.withColumn("c", sound)
+    return checked.select("path", "sub", "ses", "task", "run", "t", *[F.col("c")[k].cast("double").alias(n) for k, n in enumerate(names)])
 
 
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
